@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, fingerprints, simple8b, urls
+from tidewatch.llm import bpe, fingerprints, langid, simple8b, urls, warc
 from tidewatch.llm.common import scratch, table
 
 URL_RULES: list[urls.Rule] = [
@@ -30,13 +30,25 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.filter(~langid.held_out()))
+    return langid.predict(docs, model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), folder)
+    return warc.decode(warc.reassemble(warc.read(spark, folder)), with_payload=False)
+
+
 def op10_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "simple8b")
     simple8b.write(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), folder)
     return simple8b.with_starts(simple8b.read(spark, folder, with_ids=False)).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op3_bpe, op5_url_filter, op10_simple8b)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op3_bpe, op5_url_filter, op7_language_id, op9_warc, op10_simple8b)}
 
 ORACLE_SQL = {
     "op5_url_filter": r"""
