@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, fingerprints, langid, mixing, simple8b, topk, urls, warc
+from tidewatch.llm import bpe, fingerprints, langid, mixing, neardup, simple8b, topk, urls, warc
 from tidewatch.llm.common import scratch, table
 
 URL_RULES: list[urls.Rule] = [
@@ -22,6 +22,10 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_likeness(table(spark, sf_dir, "documents"))
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=2, similarity=0.8)
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
@@ -57,7 +61,7 @@ def op10_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.with_starts(simple8b.read(spark, folder, with_ids=False)).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op3_bpe, op4_mixing, op5_url_filter, op7_language_id, op8_topk, op9_warc, op10_simple8b)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_near_duplicates, op3_bpe, op4_mixing, op5_url_filter, op7_language_id, op8_topk, op9_warc, op10_simple8b)}
 
 ORACLE_SQL = {
     "op8_topk": """
