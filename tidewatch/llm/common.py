@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -110,3 +110,32 @@ def ragged(flat: np.ndarray, offset: np.ndarray, count: np.ndarray) -> np.ndarra
     total = int(count.sum())
     begin = np.cumsum(count) - count
     return flat[np.repeat(offset - begin, count) + np.arange(total)]
+
+
+def store(df: DataFrame, name: str) -> DataFrame:
+    """Like ``cut``, as a compressed table in the shared folder."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path, compression="zstd")
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Batches of rows sorted by keys, cut only between groups."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        change = np.zeros(batch.num_rows, bool)
+        for k in keys:
+            v = batch.column(k).to_numpy(zero_copy_only=False)
+            change[1:] |= v[1:] != v[:-1]
+            change[0] |= bool(held) and held[-1].column(k)[-1].as_py() != v[0]
+        at = np.flatnonzero(change)
+        if len(at):
+            if held or at[-1]:
+                yield pa.Table.from_batches([*held, batch.slice(0, int(at[-1]))])
+            held = [batch.slice(int(at[-1]))]
+        else:
+            held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)

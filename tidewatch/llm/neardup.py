@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import RollingHash, cut, mix64, slices
+from tidewatch.llm.common import RollingHash, cut, mix64, slices, whole_groups
 from tidewatch.llm.components import components, spanning
 
 #: Signature coordinates; trees, levels and the chance of a second child (its expectation is that of 1 / 0.8).
@@ -142,28 +142,6 @@ def leaves(classes: DataFrame) -> DataFrame:
     return classes.mapInArrow(run, LEAF_ROW)
 
 
-def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Batches of sorted rows, cut only between groups."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        change = np.zeros(batch.num_rows, bool)
-        for k in keys:
-            v = batch.column(k).to_numpy(zero_copy_only=False)
-            change[1:] |= v[1:] != v[:-1]
-            change[0] |= bool(held) and held[-1].column(k)[-1].as_py() != v[0]
-        at = np.flatnonzero(change)
-        if len(at):
-            if held or at[-1]:
-                yield pa.Table.from_batches([*held, batch.slice(0, int(at[-1]))])
-            held = [batch.slice(int(at[-1]))]
-        else:
-            held.append(batch)
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def candidate_links(rows: DataFrame, similarity: float, spread: int) -> DataFrame:
     """Compare all pairs of each node (rows in blocks i and j, or all with i = j) by sketches: a and b, a forest of each node."""
     # Coordinates that agree: similarity + a quarter of the rest, and four deviations less.

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, fingerprints, langid, mixing, neardup, simple8b, topk, urls, warc
+from tidewatch.llm import bpe, fingerprints, langid, mixing, neardup, simple8b, suffixes, topk, urls, warc
 from tidewatch.llm.common import scratch, table
 
 URL_RULES: list[urls.Rule] = [
@@ -38,6 +38,10 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op6_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"), digest=True).drop("tag")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.train(docs.filter(~langid.held_out()))
@@ -61,7 +65,7 @@ def op10_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.with_starts(simple8b.read(spark, folder, with_ids=False)).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_near_duplicates, op3_bpe, op4_mixing, op5_url_filter, op7_language_id, op8_topk, op9_warc, op10_simple8b)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_near_duplicates, op3_bpe, op4_mixing, op5_url_filter, op6_repeated_strings, op7_language_id, op8_topk, op9_warc, op10_simple8b)}
 
 ORACLE_SQL = {
     "op8_topk": """
