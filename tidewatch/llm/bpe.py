@@ -209,8 +209,8 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, text string")
 
 
-def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: what ``encode`` and ``decode`` give, as digests, in one pass."""
+def round_trip(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: what ``encode`` and ``decode`` give, as digests, in one pass; ids if asked for."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cached, vocabulary = codec(path)
@@ -226,7 +226,10 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
                     for text in decode_stream(vocabulary, ids[a:b]):
                         sha.update(text.encode())
                     digests.append(sha.hexdigest())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(count, pa.int64()), pa.array(names), pa.array(digests)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                columns = [part.column("doc_id"), pa.array(count, pa.int64()), pa.array(names), pa.array(digests)]
+                if with_ids:
+                    columns.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32())))
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
 
     docs = docs.select("doc_id", "text")
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

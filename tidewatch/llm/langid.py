@@ -21,8 +21,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import mix64, slices
@@ -126,6 +127,21 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
 
-def held_out() -> F.Column:
+def accept(docs: DataFrame, model: Model) -> DataFrame:
+    """The documents in a language, with the columns they had; ``lang`` becomes the predicted one, ``und`` goes."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is bounded by min_share
+    at = docs.columns.index("lang")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in slices(batch):
+                names = pa.array(predict_texts(shared.value, texts)[0], part.schema.field(at).type)
+                part = part.set_column(at, part.schema.field(at), names)
+                yield part.filter(pa.compute.not_equal(names, UNKNOWN))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def held_out() -> Column:
     """Whether a document is kept from training: every third by the checksum of its id; never for a null id."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))

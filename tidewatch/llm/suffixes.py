@@ -23,6 +23,7 @@ import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
 import zstandard
@@ -80,7 +81,8 @@ _TAG = 1 << 23
 
 def tagged(docs: DataFrame) -> DataFrame:
     """doc_id, text and tag: some bits of the text, so that rows with the same doc_id are told apart."""
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(_TAG)).alias("tag"))
+    text = F.coalesce("text", F.lit(""))
+    return docs.select("doc_id", text.alias("text"), F.pmod(F.xxhash64(text), F.lit(_TAG)).alias("tag"), *(["row"] if "row" in docs.columns else []))
 
 
 def anchor_rows(docs: DataFrame) -> DataFrame:
@@ -106,16 +108,18 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """Texts compressed, for a shuffle."""
+    """Texts compressed, for a shuffle; ``row`` goes with them if there is one."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    rest = ["row"] if "row" in docs.columns else []
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for part, texts in slices(batch):
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tag").cast(pa.int32()), pa.array([press.compress(t.encode()) for t in texts], pa.binary())], ["doc_id", "tag", "packed"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tag").cast(pa.int32()), pa.array([press.compress(t.encode()) for t in texts], pa.binary()), *map(part.column, rest)], ["doc_id", "tag", "packed", *rest])
 
-    return docs.mapInArrow(run, f"doc_id {kind}, tag int, packed binary")
+    schema = f"doc_id {kind}, tag int, packed binary" + "".join(f", row {docs.schema['row'].dataType.simpleString()}" for _ in rest)
+    return docs.mapInArrow(run, schema)
 
 
 def _same_document(a: DataFrame, b: DataFrame) -> Column:
@@ -126,7 +130,7 @@ def _contexts(docs: DataFrame, chosen: DataFrame, strings: bool) -> DataFrame:
     """The bytes of all strings of each chosen anchor (rank2, alone, doc_id, tag, span); or with ``strings`` the hash of each one."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     lists = chosen.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("rank2", "alone", "span")).alias("list"))
-    texts = packed(docs)
+    texts = packed(docs.select("doc_id", "text", "tag"))
     joined = texts.join(lists, _same_document(texts, lists)).select(texts["doc_id"], texts["tag"], "packed", "list")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +190,7 @@ def _repeated_in_groups(rows: DataFrame, kind: str) -> DataFrame:
 def repeated_starts(docs: DataFrame) -> DataFrame:
     """doc_id, tag, lo and hi: runs of starts of repeated strings; docs as ``tagged`` gives them."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = anchor_rows(docs)
+    rows = anchor_rows(docs.select("doc_id", "text", "tag"))
     shared = cut(rows.groupBy("rank2").agg(F.count("*").alias("n")).filter("n > 1").select("rank2"))
     left = store(rows.join(shared, "rank2"), "anchors")
     last = store(left.groupBy("rank2", "rank3").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "tag", "span")).alias("one")), "ranks")
@@ -207,9 +211,10 @@ def remove_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
     """doc_id, tag, n_bytes, n_removed, n_spans and kept (the remaining bytes; with ``digest`` their sha256 instead)."""
     docs = tagged(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
+    rest = ["row"] if "row" in docs.columns else []
     spans = repeated_starts(docs).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
     texts = packed(docs)
-    joined = texts.join(spans, _same_document(texts, spans), "left").select(texts["doc_id"], texts["tag"], "packed", "runs")
+    joined = texts.join(spans, _same_document(texts, spans), "left").select(texts["doc_id"], texts["tag"], "packed", "runs", *rest)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdDecompressor()
@@ -222,15 +227,32 @@ def remove_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
                     for lo, hi in merged([(r["lo"], r["hi"] + LENGTH) for r in runs or []]):
                         out.append(text[at:lo])
                         at, n = hi, n + 1
-                    rest = b"".join([*out, text[at:]])
+                    left = b"".join([*out, text[at:]])
                     sizes.append(len(text))
-                    removed.append(len(text) - len(rest))
+                    removed.append(len(text) - len(left))
                     count.append(n)
-                    kept.append(hashlib.sha256(rest).hexdigest() if digest else rest)
+                    kept.append(hashlib.sha256(left).hexdigest() if digest else left)
                 columns = [pa.array(c, pa.int64()) for c in (sizes, removed, count)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tag"), *columns, pa.array(kept, pa.string() if digest else pa.binary())], ["doc_id", "tag", "n_bytes", "n_removed", "n_spans", "kept_sha256" if digest else "kept"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tag"), *columns, pa.array(kept, pa.string() if digest else pa.binary()), *map(batch.column, rest)], ["doc_id", "tag", "n_bytes", "n_removed", "n_spans", "kept_sha256" if digest else "kept", *rest])
+
+    schema = f"doc_id {kind}, tag int, n_bytes long, n_removed long, n_spans long, " + ("kept_sha256 string" if digest else "kept binary")
+    return joined.mapInArrow(run, schema + "".join(f", row {docs.schema['row'].dataType.simpleString()}" for _ in rest))
+
+
+def strip(docs: DataFrame) -> DataFrame:
+    """The documents, with all their columns, without the repeated bytes of their texts; a character that is cut goes."""
+    names, kinds = docs.columns, dict(docs.dtypes)
+    others = [F.col(n) for n in names if n != "text"]
+    kept = remove_repeats(docs.select("doc_id", "text", F.struct(*others).alias("row")))
+
+    @F.pandas_udf("string")
+    def characters(data: pd.Series) -> pd.Series:
+        return data.map(lambda b: b.decode("utf-8", "ignore"))
 
-    return joined.mapInArrow(run, f"doc_id {kind}, tag int, n_bytes long, n_removed long, n_spans long, " + ("kept_sha256 string" if digest else "kept binary"))
+    out = kept.select(*(F.col("row")[n].alias(n) for n in names if n != "text"), characters("kept").alias("text"))
+    if "n_chars" in names:
+        out = out.withColumn("n_chars", F.length("text").cast(kinds["n_chars"]))
+    return out.select(*names)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
