@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import regex
@@ -61,45 +62,59 @@ def split(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 
 
 class PieceCache:
-    """Ids of the pieces seen so far, by a 64-bit hash of the piece; emptied when it reaches its limit."""
+    """Ids of the pieces seen so far, found by a 64-bit hash in a sorted array; emptied when it reaches its limit.
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 400_000):
+    An entry takes some 50 bytes, so the limit bounds a Python worker's memory.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 3_000_000):
         self.encode, self.limit, self.hash = encode, limit, RollingHash(20_011)
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[int, int] = {}
+        self.keys = np.zeros(0, np.uint64)
+        self.entry = np.zeros(0, np.int64)
         self.flat = np.zeros(1 << 16, np.int32)
         self.offset = np.zeros(1 << 14, np.int64)
         self.count = np.zeros(1 << 14, np.int64)
         self.used = 0
 
-    def _add(self, key: int, ids: list[int]) -> None:
-        n = len(self.known)
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * len(self.flat))
-        if n >= len(self.offset):
-            self.offset, self.count = np.resize(self.offset, 2 * n), np.resize(self.count, 2 * n)
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.offset[n], self.count[n] = self.used, len(ids)
-        self.used += len(ids)
-        self.known[key] = n
+    def _add(self, keys: np.ndarray, encoded: list[list[int]]) -> None:
+        """New keys, in ascending order, with their ids."""
+        n, m = len(self.keys), len(keys)
+        count = np.fromiter(map(len, encoded), np.int64, m)
+        size = int(count.sum())
+        if self.used + size > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(size, len(self.flat)), np.int32)])
+        if n + m > len(self.offset):
+            more = np.zeros(max(m, len(self.offset)), np.int64)
+            self.offset, self.count = np.concatenate([self.offset, more]), np.concatenate([self.count, more])
+        self.flat[self.used : self.used + size] = np.fromiter(chain.from_iterable(encoded), np.int32, size)
+        self.offset[n : n + m] = self.used + np.cumsum(count) - count
+        self.count[n : n + m] = count
+        self.used += size
+        at = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, at, keys)
+        self.entry = np.insert(self.entry, at, np.arange(n, n + m))
 
     def encode_texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and how many each has."""
         start, end, pieces, cp, joined = split(texts)
         if not len(start):
             return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
-        if len(self.known) > self.limit:
+        if len(self.keys) > self.limit:
             self.clear()
-        key, at, inverse = np.unique(self.hash.spans(self.hash.sums(cp), start, end), return_index=True, return_inverse=True)
-        keys = key.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.known]
-        if new:
-            own = at[new]
-            for i, ids in zip(new, self.encode([joined[a:b] for a, b in zip(start[own].tolist(), end[own].tolist())])):
-                self._add(keys[i], ids)
-        index = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))[inverse]
+        keys, first, inverse = np.unique(self.hash.spans(self.hash.sums(cp), start, end), return_index=True, return_inverse=True)
+        at = np.searchsorted(self.keys, keys)
+        known = np.zeros(len(keys), bool)
+        inside = at < len(self.keys)
+        known[inside] = self.keys[at[inside]] == keys[inside]
+        new = np.flatnonzero(~known)
+        if len(new):
+            own = first[new]
+            self._add(keys[new], self.encode([joined[a:b] for a, b in zip(start[own].tolist(), end[own].tolist())]))
+            at = np.searchsorted(self.keys, keys)
+        index = self.entry[at][inverse]
         count = self.count[index]
         total = np.concatenate([[0], np.cumsum(count)])
         bounds = np.concatenate([[0], np.cumsum(pieces)])
