@@ -6,7 +6,7 @@ moves only the boundaries near it.  A fingerprint is the set of chunk digests wi
 the bytes of the chunks that they share, over the bytes of the smaller set: the containment of one in the other.
 
 Null texts count as empty.  An empty text has the empty fingerprint, which is like another empty one (1) and unlike
-any other (0).  Equal texts have equal fingerprints.  Repeated rows, ties of doc_id (ordered by text), a null doc_id
+any other (0).  Equal texts have equal fingerprints.  Repeated rows, ties of doc_id (in the order of their compressed texts), a null doc_id
 (it comes first) and an empty table (empty result) need no special care; other columns are ignored.
 """
 
@@ -19,10 +19,11 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import cut, shuffle_partitions, slices
+from tidewatch.llm.common import shuffle_partitions, slices, store
 
 WINDOW, NORMAL, LONGEST = 32, 64, 256
 STRICT, LOOSE = np.uint32(0x7F << 25), np.uint32(0x1F << 27)
@@ -130,11 +131,18 @@ def edit_likeness(docs: DataFrame) -> DataFrame:
     names = [c.split()[0] for c in COLUMNS.split(", ")]
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, held_id, held = None, None, None
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for part, texts in slices(batch):
-                ids = part.column("doc_id")
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([press.compress(t.encode()) for t in texts], pa.binary())], ["doc_id", "packed"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, held_id, held, press = None, None, None, zstandard.ZstdDecompressor()
+        for whole in batches:
+            for k in range(0, whole.num_rows, 256):
+                part = whole.slice(k, 256)
+                ids, texts = part.column("doc_id"), [press.decompress(p).decode() for p in part.column("packed").to_pylist()]
                 if held is None:
                     first = texts[0]
                 else:
@@ -152,8 +160,9 @@ def edit_likeness(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *_compare(batch.column("last").to_pylist(), batch.column("next").to_pylist())], ["doc_id", *names])
 
     docs = docs.select("doc_id", "text")
-    ordered = docs.repartitionByRange(shuffle_partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
-    rows = cut(ordered.mapInArrow(run, f"doc_id {kind}, {COLUMNS}, last string, first string").withColumn("range", F.spark_partition_id()))
+    packed = docs.mapInArrow(pack, f"doc_id {kind}, packed binary")  # texts go compressed through the shuffle
+    ordered = packed.repartitionByRange(shuffle_partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "packed")
+    rows = store(ordered.mapInArrow(run, f"doc_id {kind}, {COLUMNS}, last string, first string").withColumn("range", F.spark_partition_id()), "fingerprints")
     ends = rows.filter("last IS NOT NULL")
     # One row for each range of documents, whose number is that of the shuffle partitions.
     order = Window.orderBy("range")
