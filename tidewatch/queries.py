@@ -516,14 +516,14 @@ for _name in ("HBOS", "OCSVM", "MCD", "CBLOF", "EIF", "RobustPCA"):
 
 # Benchmark: nations as detectors, priorities as series, mean prices as measures.
 
-RESULTS = "res AS (SELECT o_orderpriority AS series_id, n_name AS detector, 'price' AS measure, round(avg(o_totalprice), 2) AS value FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2)"
+RESULTS = "res AS (SELECT o_orderpriority AS series_id, n_name AS detector, 'price' AS measure, round(avg(o_totalprice), 6) AS value FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2)"
 RANKS = RESULTS + ", rk AS (SELECT *, rank() OVER (PARTITION BY measure, series_id ORDER BY value DESC) + (count(*) OVER (PARTITION BY measure, series_id, value) - 1) / 2 AS rank FROM res)"
 
 
 def results(spark: SparkSession, sf: str) -> DataFrame:
     o, c, n = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("orders", "customer", "nation"))
     joined = o.join(c, o["o_custkey"] == c["c_custkey"]).join(n, c["c_nationkey"] == n["n_nationkey"])
-    return joined.groupBy(F.col("o_orderpriority").alias("series_id"), F.col("n_name").alias("detector")).agg(F.round(F.avg("o_totalprice"), 2).alias("value")).withColumn("measure", F.lit("price"))
+    return joined.groupBy(F.col("o_orderpriority").alias("series_id"), F.col("n_name").alias("detector")).agg(F.round(F.avg("o_totalprice"), 6).alias("value")).withColumn("measure", F.lit("price"))
 
 
 @query("leaderboard", RESULTS + ", mn AS (SELECT measure, detector, avg(value) AS mean FROM res GROUP BY 1, 2) SELECT measure, detector, round(mean, 4) AS mean, (rank() OVER (ORDER BY mean DESC))::DOUBLE AS rank FROM mn")
