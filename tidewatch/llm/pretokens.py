@@ -99,6 +99,8 @@ class PieceCache:
 
     def encode_texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and how many each has."""
+        if not any(texts):
+            return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
         start, end, pieces, cp, joined = split(texts)
         if not len(start):
             return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
