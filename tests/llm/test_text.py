@@ -125,7 +125,7 @@ def test_repeated_strings_are_those_of_all_strings(spark, documents, monkeypatch
 
 
 def test_repeated_strings_of_small_table(spark, small_docs, small_texts):
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.remove_repeats(small_docs, digest=True).collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.remove_repeats(small_docs, "kept_sha256").collect()}
     want = plain_repeats([t.encode() for _, t in small_texts], 400)
     assert got == {i: (*w[:3], hashlib.sha256(w[3]).hexdigest()) for (i, _), w in zip(small_texts, want)}
 

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidewatch.llm.common import ragged, slices
+from tidewatch.llm.common import ragged, slices, text_batches
 from tidewatch.llm.pretokens import PieceCache
 
 
@@ -32,10 +32,10 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Transducer:
-    def __init__(self, ranks: dict[bytes, int], limit: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], limit: int = 50_000):
         self.ranks, self.limit = ranks, limit
         self.beginnings = {t[:n] for t in ranks for n in range(1, len(t))}
-        self.profiles = {t: p for t in ranks if (p := self._profile(t))}
+        self.profiles: dict[bytes, tuple | None] = {}
         self._reset()
 
     def _reset(self) -> None:
@@ -50,7 +50,9 @@ class Transducer:
 
         None if the merges don't give the token.
         """
-        get, never = self.ranks.get, 1 << 60
+        if token in self.profiles:
+            return self.profiles[token]
+        get, never, self.profiles[token] = self.ranks.get, 1 << 60, None
         parts, right, left, now = [token[i : i + 1] for i in range(len(token))], [], [], -1
         while len(parts) > 1:
             pairs = [get(x + y, never) for x, y in zip(parts, parts[1:])]
@@ -63,7 +65,8 @@ class Transducer:
             if i == 0:
                 left.append((parts[0], now))
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return [*right, (token, never)], [*left, (token, never)]
+        out = self.profiles[token] = (*right, (token, never)), (*left, (token, never))
+        return out
 
     def _fit(self, a: bytes, b: bytes) -> bool:
         """Whether the merges of both tokens side by side keep them apart: at no time is a pair across their border next."""
@@ -84,10 +87,10 @@ class Transducer:
     def _move(self, state: int, byte: int) -> tuple[tuple[int, ...], int]:
         settled, behind, open_ = self.states[state]
         text = behind + bytes((byte,))
-        n, path, still, profiles = len(text), None, {}, self.profiles
+        n, path, still, ranks = len(text), None, {}, self.ranks
         for j, before in open_.items():  # in ascending order, so that the longest token comes first
             token = text[j:]
-            if path is None and token in profiles:
+            if path is None and token in ranks and self._profile(token) is not None:
                 last = before[-1] if before else settled
                 if not last or self._fit(last, token):
                     path = (*before, token)
@@ -192,7 +195,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], ["doc_id", "ids"])
 
-    docs = docs.select("doc_id", "text")
+    docs = text_batches(docs).select("doc_id", "text")
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
 
@@ -205,7 +208,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             texts = ["".join(decode_stream(vocabulary, np.asarray(ids or [], np.int64))) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    encoded = encoded.select("doc_id", "ids")
+    encoded = text_batches(encoded).select("doc_id", "ids")
     return encoded.mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, text string")
 
 
@@ -231,5 +234,5 @@ def round_trip(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
                     columns.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
 
-    docs = docs.select("doc_id", "text")
+    docs = text_batches(docs).select("doc_id", "text")
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

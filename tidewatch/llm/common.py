@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text handled at once inside a Python task; arrays of eight bytes a character then stay small.
-SLICE_CHARS = 1_500_000
+SLICE_CHARS = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +41,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def text_batches(df: DataFrame, rows: int = 1_000) -> DataFrame:
+    """The same table, in a session that hands at most ``rows`` rows at once to Python.
+
+    Arrow's buffers hold a whole batch, in the JVM and in Python; the usual 10,000 rows are too many for whole texts.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= rows:
+        conf.set(name, rows)
+    return df
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -49,15 +62,24 @@ def slices(batch: pa.RecordBatch, column: str = "text", chars: int = SLICE_CHARS
 
     A single row longer than the bound makes a slice of its own.
     """
-    texts = [t or "" for t in batch.column(column).to_pylist()]
-    begin, size = 0, 0
-    for i, t in enumerate(texts):
-        if i > begin and size + len(t) > chars:
-            yield batch.slice(begin, i - begin), texts[begin:i]
-            begin, size = i, 0
-        size += len(t)
-    if begin < len(texts):
-        yield batch.slice(begin), texts[begin:]
+    for at in range(0, batch.num_rows, 512):
+        part = batch.slice(at, 512)
+        texts = [t or "" for t in part.column(column).to_pylist()]
+        begin, size = 0, 0
+        for i, t in enumerate(texts):
+            if i > begin and size + len(t) > chars:
+                yield part.slice(begin, i - begin), texts[begin:i]
+                begin, size = i, 0
+            size += len(t)
+        yield part.slice(begin), texts[begin:]
+    release()
+
+
+def release() -> None:
+    """Give freed memory back to the system: a Python worker waits for its next task beside the JVM, with what it has kept."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -139,3 +161,4 @@ def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator
             held.append(batch)
     if held:
         yield pa.Table.from_batches(held)
+    release()

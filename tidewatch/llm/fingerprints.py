@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import shuffle_partitions, slices, store
+from tidewatch.llm.common import shuffle_partitions, slices, store, text_batches
 
 WINDOW, NORMAL, LONGEST = 32, 64, 256
 STRICT, LOOSE = np.uint32(0x7F << 25), np.uint32(0x1F << 27)
@@ -96,7 +96,7 @@ def fingerprint(docs: DataFrame) -> DataFrame:
                 found = chunk_texts([t.encode() for t in texts])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(map(to_string, found), pa.string())], ["doc_id", "fingerprint"])
 
-    docs = docs.select("doc_id", "text")
+    docs = text_batches(docs).select("doc_id", "text")
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fingerprint string")
 
 
@@ -159,7 +159,7 @@ def edit_likeness(docs: DataFrame) -> DataFrame:
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *_compare(batch.column("last").to_pylist(), batch.column("next").to_pylist())], ["doc_id", *names])
 
-    docs = docs.select("doc_id", "text")
+    docs = text_batches(docs).select("doc_id", "text")
     packed = docs.mapInArrow(pack, f"doc_id {kind}, packed binary")  # texts go compressed through the shuffle
     ordered = packed.repartitionByRange(shuffle_partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "packed")
     rows = store(ordered.mapInArrow(run, f"doc_id {kind}, {COLUMNS}, last string, first string").withColumn("range", F.spark_partition_id()), "fingerprints")

@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import mix64, slices
+from tidewatch.llm.common import mix64, slices, text_batches
 
 UNKNOWN = "und"
 HASHES = 3
@@ -62,7 +62,7 @@ def positions(code: np.ndarray, size: int) -> list[np.ndarray]:
 
 def train(labelled: DataFrame, sample: int = 20_000, min_share: float = 2e-5, min_ratio: float = 0.5) -> Model:
     """Fit on rows with text and lang; of each language on about ``sample`` documents, chosen by a hash of the text."""
-    labelled = labelled.select("text", "lang").filter("text IS NOT NULL AND lang IS NOT NULL")
+    labelled = text_batches(labelled).select("text", "lang").filter("text IS NOT NULL AND lang IS NOT NULL")
     sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     if len(sizes) > 64:
         raise ValueError("a mask has 64 bits: at most 64 languages")
@@ -73,12 +73,26 @@ def train(labelled: DataFrame, sample: int = 20_000, min_share: float = 2e-5, mi
     chosen = labelled.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < part[F.col("lang")] * (1 << 20))
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+        def out(lang: str) -> pa.RecordBatch:
+            code, n = held.pop(lang)
+            return pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(code.astype(np.int64)), pa.array(n)], ["lang", "gram", "n"])
+
         for batch in batches:
-            of = np.array(batch.column("lang").to_pylist(), object)
-            texts = batch.column("text").to_pylist()
-            for lang in sorted(set(of)):
-                code, n = np.unique(grams([texts[i] for i in np.flatnonzero(of == lang)])[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(code.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
+            for part, texts in slices(batch):
+                of = part.column("lang").to_pylist()
+                for lang in sorted(set(of)):
+                    code, n = np.unique(grams([t for t, x in zip(texts, of) if x == lang])[0], return_counts=True)
+                    if lang in held:
+                        both, place = np.unique(np.concatenate([held[lang][0], code]), return_inverse=True)
+                        sums = np.zeros(len(both), np.int64)
+                        np.add.at(sums, place, np.concatenate([held[lang][1], n]))
+                        code, n = both, sums
+                    held[lang] = code, n.astype(np.int64)
+                    if len(code) > 300_000:
+                        yield out(lang)
+        yield from (out(lang) for lang in sorted(held))
 
     counts = chosen.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
@@ -123,7 +137,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 names, score = predict_texts(shared.value, texts)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
-    docs = docs.select("doc_id", "text")
+    docs = text_batches(docs).select("doc_id", "text")
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
 
@@ -139,7 +153,7 @@ def accept(docs: DataFrame, model: Model) -> DataFrame:
                 part = part.set_column(at, part.schema.field(at), names)
                 yield part.filter(pa.compute.not_equal(names, UNKNOWN))
 
-    return docs.mapInArrow(run, docs.schema)
+    return text_batches(docs).mapInArrow(run, docs.schema)
 
 
 def held_out() -> Column:

@@ -12,7 +12,7 @@ pair, again in blocks, so a cluster of any size is the work of many tasks; a lin
 full sets (as 64-bit hashes of shingles).  All links of a cluster are found, though only a spanning forest of them is
 written.
 
-With RECALL figures as set here a pair at the threshold itself is missed with a probability under 1 in 1000, and
+With the trees and levels set here a pair at the threshold itself is missed with a probability under 1 in 1000, and
 a pair of similarity 0.9 with one under 1 in a million, unless others connect them.
 
 A null, empty or blank text has no shingles and is linked with nothing; one with fewer words than a shingle has its
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import RollingHash, cut, mix64, slices, whole_groups
+from tidewatch.llm.common import RollingHash, cut, mix64, slices, text_batches, whole_groups
 from tidewatch.llm.components import components, spanning
 
 #: Signature coordinates; trees, levels and the chance of a second child (its expectation is that of 1 / 0.8).
@@ -98,7 +98,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                     ["doc_id", "n_shingles", "h1", "h2", "signature"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, signature binary")
+    return text_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, signature binary")
 
 
 def _branch(sig: np.ndarray, node: np.ndarray, row: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray]:

@@ -39,7 +39,7 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.remove_repeats(table(spark, sf_dir, "documents"), digest=True).drop("tag")
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"), "kept_sha256").drop("tag")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +68,21 @@ def op10_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_near_duplicates, op3_bpe, op4_mixing, op5_url_filter, op6_repeated_strings, op7_language_id, op8_topk, op9_warc, op10_simple8b)}
 
 ORACLE_SQL = {
+    "op2_near_duplicates": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        sets AS (
+            SELECT doc_id, CASE WHEN len(w) > 1 THEN list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) ELSE w END AS s FROM words),
+        items AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+        pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i, max(a.n) + max(b.n) - count(*) AS u FROM items a JOIN items b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        links AS (SELECT a, b FROM pairs WHERE 100 * i >= 80 * u UNION SELECT b, a FROM pairs WHERE 100 * i >= 80 * u),
+        reach AS (SELECT doc_id AS d, doc_id AS c FROM sets UNION SELECT l.b, r.c FROM reach r JOIN links l ON l.a = r.d)
+        SELECT doc_id, len(s)::BIGINT AS n_shingles, min(c) AS component_id, doc_id = min(c) AS kept FROM sets JOIN reach ON d = doc_id GROUP BY doc_id, s""",
+    "op9_warc": """
+        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS digest FROM pages),
+        f AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY digest) END AS origin FROM p)
+        SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN origin <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN origin <> page_id THEN origin END AS refers_to, NULL::VARCHAR AS error FROM f""",
     "op8_topk": """
         WITH good AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
                       WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),

@@ -23,14 +23,13 @@ import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import RollingHash, cut, mix64, shuffle_partitions, slices, store, whole_groups
+from tidewatch.llm.common import RollingHash, cut, mix64, shuffle_partitions, slices, store, text_batches, whole_groups
 
 LENGTH, SPREAD, GRAM = 400, 192, 16
 HALF = (LENGTH - SPREAD) // 2
@@ -207,9 +206,13 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
     return found
 
 
-def remove_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
-    """doc_id, tag, n_bytes, n_removed, n_spans and kept (the remaining bytes; with ``digest`` their sha256 instead)."""
-    docs = tagged(docs)
+FORMS = {"kept": ("binary", pa.binary(), lambda b: b), "kept_sha256": ("string", pa.string(), lambda b: hashlib.sha256(b).hexdigest()), "text": ("string", pa.string(), lambda b: b.decode("utf-8", "ignore"))}
+
+
+def remove_repeats(docs: DataFrame, form: str = "kept") -> DataFrame:
+    """doc_id, tag, n_bytes, n_removed, n_spans and the remaining bytes: as they are (kept), as kept_sha256, or as text without cut characters."""
+    sql, arrow, shape = FORMS[form]
+    docs = tagged(text_batches(docs))
     kind = docs.schema["doc_id"].dataType.simpleString()
     rest = ["row"] if "row" in docs.columns else []
     spans = repeated_starts(docs).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
@@ -231,11 +234,11 @@ def remove_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
                     sizes.append(len(text))
                     removed.append(len(text) - len(left))
                     count.append(n)
-                    kept.append(hashlib.sha256(left).hexdigest() if digest else left)
+                    kept.append(shape(left))
                 columns = [pa.array(c, pa.int64()) for c in (sizes, removed, count)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tag"), *columns, pa.array(kept, pa.string() if digest else pa.binary()), *map(batch.column, rest)], ["doc_id", "tag", "n_bytes", "n_removed", "n_spans", "kept_sha256" if digest else "kept", *rest])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tag"), *columns, pa.array(kept, arrow), *map(batch.column, rest)], ["doc_id", "tag", "n_bytes", "n_removed", "n_spans", form, *rest])
 
-    schema = f"doc_id {kind}, tag int, n_bytes long, n_removed long, n_spans long, " + ("kept_sha256 string" if digest else "kept binary")
+    schema = f"doc_id {kind}, tag int, n_bytes long, n_removed long, n_spans long, {form} {sql}"
     return joined.mapInArrow(run, schema + "".join(f", row {docs.schema['row'].dataType.simpleString()}" for _ in rest))
 
 
@@ -243,13 +246,8 @@ def strip(docs: DataFrame) -> DataFrame:
     """The documents, with all their columns, without the repeated bytes of their texts; a character that is cut goes."""
     names, kinds = docs.columns, dict(docs.dtypes)
     others = [F.col(n) for n in names if n != "text"]
-    kept = remove_repeats(docs.select("doc_id", "text", F.struct(*others).alias("row")))
-
-    @F.pandas_udf("string")
-    def characters(data: pd.Series) -> pd.Series:
-        return data.map(lambda b: b.decode("utf-8", "ignore"))
-
-    out = kept.select(*(F.col("row")[n].alias(n) for n in names if n != "text"), characters("kept").alias("text"))
+    kept = remove_repeats(docs.select("doc_id", "text", F.struct(*others).alias("row")), "text")
+    out = kept.select(*(F.col("row")[n].alias(n) for n in names if n != "text"), "text")
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.length("text").cast(kinds["n_chars"]))
     return out.select(*names)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import cut
+from tidewatch.llm.common import cut, text_batches
 
 SEGMENT, CHUNK, MIN_SHARED = 32_768, 8_192, 100
 END = b"\r\n"
@@ -83,7 +83,7 @@ def records(page_id: int | None, url: str | None, payload: bytes, refers_to: int
 
 def write(pages: DataFrame, folder: str) -> None:
     """Write all pages to gzipped WARC files."""
-    pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
+    pages = text_batches(pages).select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     long_enough = F.octet_length("html") >= MIN_SHARED
     # Short pages share nothing; a key of their own keeps them apart.
     pages = pages.withColumn("key", F.when(long_enough, F.sha2("html", 256)).otherwise(F.concat(F.lit("short"), F.coalesce(F.col("page_id").cast("string"), F.lit("")))))
