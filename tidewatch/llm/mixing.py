@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import cut, mix64, shuffle_partitions
+from tidewatch.llm.common import cut, mix64, shuffle_partitions, text_batches
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK, SHARDS, BUCKET_ROWS, RUN = 128, 256, 1_000, 20_000
@@ -99,6 +99,7 @@ def place(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float =
     """Documents with size, number (of the source) and place (of the first word in its source's row); figures of sources."""
     spark = docs.sparkSession
     sized = docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+    sized = sized.withColumn("order", F.xxhash64("text")).drop("text")
     figures = source_figures(sized.select("source", "size"), weights, share)
     numbers = spark.createDataFrame([(s, int(n)) for s, n in zip(figures["source"], figures["number"])], "source string, number int")
     sized = sized.join(F.broadcast(numbers.withColumnRenamed("source", "its_source")), F.col("source").eqNullSafe(F.col("its_source"))).drop("its_source")  # one row for each source
@@ -107,9 +108,9 @@ def place(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float =
     sums = sized.groupBy("number", "bucket").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("number").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = cut(sums.select("number", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base")))
-    inside = Window.partitionBy("number", "bucket").orderBy("doc_id", "size", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("number", "bucket").orderBy("doc_id", "size", "order").rowsBetween(Window.unboundedPreceding, -1)
     sized = sized.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    return sized.join(starts, ["number", "bucket"]).withColumn("place", F.col("base") + F.col("within")).drop("base", "within", "bucket"), figures
+    return sized.join(starts, ["number", "bucket"]).withColumn("place", F.col("base") + F.col("within")).drop("base", "within", "bucket", "order"), figures
 
 
 def drawn_blocks(docs: DataFrame, figures: pd.DataFrame, seed: int = 1) -> DataFrame:
@@ -137,7 +138,8 @@ def pieces(placed: DataFrame, figures: pd.DataFrame, seed: int = 1) -> DataFrame
     parts = parts.withColumn("from_word", F.greatest(F.col("block") * BLOCK - F.col("place"), F.lit(0)))
     parts = parts.withColumn("to_word", F.least((F.col("block") + 1) * BLOCK - F.col("place"), F.col("size")))
     drawn = drawn_blocks(placed, figures, seed)
-    return parts.join(drawn, ["number", "block"], "left").withColumn("draws", F.coalesce("draws", F.lit(0)))
+    # The planner takes what explode() makes of a few rows for small; as many rows as blocks must not be broadcast.
+    return parts.join(drawn.hint("merge"), ["number", "block"], "left").withColumn("draws", F.coalesce("draws", F.lit(0)))
 
 
 def taken_words(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, seed: int = 1) -> DataFrame:
@@ -153,13 +155,13 @@ def taken_words(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
 
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, seed: int = 1) -> DataFrame:
     """The mixed documents, with the columns they had: the words that were drawn of each text, once for each pass."""
-    names = docs.columns
+    names = text_batches(docs).columns
     own = docs.select(F.struct(*names).alias("row"), F.col("doc_id"), F.col("source"), F.col("text"))
     placed, figures = place(own, weights, share)
     chosen = pieces(placed.select("doc_id", "number", "size", "place").filter("size > 0"), figures, seed).filter("draws > 0")
     copies = chosen.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("draws").cast("int"))))
     taken = copies.groupBy("number", "place", "copy").agg(F.sort_array(F.collect_list(F.struct("from_word", "to_word"))).alias("parts"))
-    joined = placed.filter("size > 0").select("number", "place", "row").join(taken, ["number", "place"])
+    joined = placed.filter("size > 0").select("number", "place", "row").join(taken.hint("merge"), ["number", "place"])
     fields = [F.col("row")[n].alias(n) for n in names if n not in ("text", "n_chars")]
     kinds = dict(docs.dtypes)
 
