@@ -17,14 +17,15 @@ the same mix.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import cut, mix64, shuffle_partitions, text_batches
+from tidewatch.llm.common import cut, mix64, shuffle_partitions, slices, text_batches
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK, SHARDS, BUCKET_ROWS, RUN = 128, 256, 1_000, 20_000
@@ -162,17 +163,18 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     copies = chosen.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("draws").cast("int"))))
     taken = copies.groupBy("number", "place", "copy").agg(F.sort_array(F.collect_list(F.struct("from_word", "to_word"))).alias("parts"))
     joined = placed.filter("size > 0").select("number", "place", "row").join(taken.hint("merge"), ["number", "place"])
-    fields = [F.col("row")[n].alias(n) for n in names if n not in ("text", "n_chars")]
-    kinds = dict(docs.dtypes)
-
-    @F.pandas_udf("string")
-    def cut_words(text: pd.Series, parts: pd.Series) -> pd.Series:
-        return pd.Series([join_words(t, [(p["from_word"], p["to_word"]) for p in ps]) for t, ps in zip(text, parts)], dtype=object)
-
-    out = joined.select(*fields, cut_words(F.col("row")["text"], F.col("parts")).alias("text"))
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.length("text").cast(kinds["n_chars"]))
-    return out.select(*names)
+    schema = docs.schema
+
+    def cut_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in slices(batch):
+                lists = part.column("drawn_parts").to_pylist()
+                own = [join_words(t, [(p["from_word"], p["to_word"]) for p in ps]) for t, ps in zip(texts, lists)]
+                new = {"text": own, "n_chars": [len(t) for t in own]}
+                columns = [pa.array(new[n], part.schema.field(n).type) if n in new else part.column(n) for n in names]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    return joined.select(*(F.col("row")[n].alias(n) for n in names), F.col("parts").alias("drawn_parts")).mapInArrow(cut_words, schema)
 
 
 def join_words(text: str, parts: list[tuple[int, int]]) -> str:
