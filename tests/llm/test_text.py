@@ -93,6 +93,19 @@ def test_recall_of_the_trees():
     assert missed <= 2
 
 
+def test_recall_in_large_leaves(spark, documents, monkeypatch):
+    """Leaves over the limit lose no more pairs than others: pairs near the threshold, in leaves filled by others too short or too long for a link."""
+    monkeypatch.setattr(neardup, "LEAF", 2)
+    rows = []
+    for p in range(100):
+        common, own = [f"p{p}n{i}" for i in range(550)], [[f"p{p}s{side}n{i}" for i in range(66)] for side in range(2)]
+        short, long = common[:470], common + own[0] + own[1] + [f"p{p}more{i}" for i in range(100)]
+        rows += [" ".join(words) for words in (common + own[0], common + own[1], short, short[1:], long, long[1:])]
+    found = {r.doc_id: r.component_id for r in neardup.near_duplicates(documents(list(enumerate(rows))), 1).collect()}
+    assert all(c in (i, i - i % 2) for i, c in found.items())
+    assert sum(found[6 * p + 1] != 6 * p for p in range(100)) <= 1
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, i) for i in range(101, 140)] + [(7, 7), (300, 300), (2, 1)]
     got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -4,8 +4,9 @@ A document is the set of its word shingles.  Equal sets are one class; only the
 it in what follows.  In each of several independent trees a set follows, from the root, one coordinate of its MinHash
 signature, and with some chance a second one, that the node chooses; the value there leads to the child.  The
 expected number of children that a pair of the wanted similarity shares stays one, so a pair is likely to meet in some
-leaf of some tree.  Leaves with very many sets are branched on.  In a leaf all pairs are compared by sketches (two bits
-of each signature coordinate), in blocks, and what passes is kept as a spanning forest of the leaf.
+leaf of some tree.  In a leaf all pairs are compared by sketches (two bits of each signature coordinate), and what passes
+is kept as a spanning forest of the leaf.  Every leaf has the same depth, whatever its size, as each level more loses
+pairs; leaves with very many sets are compared in pairs of blocks, each in a task of its own.
 
 The forest's components are clusters of candidates.  In them full sets, made anew from the texts, are compared pair by
 pair, again in blocks, so a cluster of any size is the work of many tasks; a link of the result is always one of
@@ -36,8 +37,8 @@ from tidewatch.llm.components import components, spanning
 
 #: Signature coordinates; trees, levels and the chance of a second child (its expectation is that of 1 / 0.8).
 COORDINATES, TREES, LEVELS, SECOND = 64, 10, 4, 0.25
-#: Sets in a leaf above which it is branched on by so many levels, at most so often; members of one comparison.
-LEAF, MORE_LEVELS, MORE_TIMES, BLOCK = 8_192, 3, 4, 1_024
+#: Sets in a leaf above which it comes in blocks of half as many; members of one comparison of full sets.
+LEAF, BLOCK = 8_192, 1_024
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -122,7 +123,7 @@ LEAF_ROW = "node long, doc_id long, n long, s1 long, s2 long"
 
 
 def leaves(classes: DataFrame) -> DataFrame:
-    """A row for each leaf of each tree that a class (doc_id, n, signature, and node or null) comes to."""
+    """A row for each leaf of each tree that a class (doc_id, n, signature) comes to."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -130,11 +131,8 @@ def leaves(classes: DataFrame) -> DataFrame:
                 batch = whole.slice(i, 4_096)
                 n = batch.num_rows
                 sig = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32).reshape(n, COORDINATES)
-                if "node" in batch.schema.names:
-                    node, row = _branch(sig, batch.column("node").to_numpy().view(np.uint64), np.arange(n), MORE_LEVELS)
-                else:
-                    roots = mix64(np.arange(1, TREES + 1, dtype=np.uint64))
-                    node, row = _branch(sig, np.repeat(roots, n), np.tile(np.arange(n), TREES), LEVELS)
+                roots = mix64(np.arange(1, TREES + 1, dtype=np.uint64))
+                node, row = _branch(sig, np.repeat(roots, n), np.tile(np.arange(n), TREES), LEVELS)
                 sketch = _sketches(sig).view(np.int64)[row]
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), batch.column("doc_id").take(take), batch.column("n").take(take), pa.array(np.ascontiguousarray(sketch[:, 0])), pa.array(np.ascontiguousarray(sketch[:, 1]))], ["node", "doc_id", "n", "s1", "s2"])
@@ -175,14 +173,13 @@ def candidate_links(rows: DataFrame, similarity: float, spread: int) -> DataFram
                 rows_ = np.arange(new[g], new[g] + size[g])
                 left = rows_ if i[new[g]] == j[new[g]] else rows_[block[rows_] == i[new[g]]]
                 right = rows_ if i[new[g]] == j[new[g]] else rows_[block[rows_] == j[new[g]]]
-                found_x, found_y = [], []
-                for p in range(0, len(left), 256):
+                label = np.arange(size[g])
+                for p in range(0, len(left), 256):  # only the forest is kept, as all pairs of a large leaf may be alike
                     x, y = np.nonzero(alike(s, n, left[p : p + 256, None], right[None, :]))
-                    up = left[p + x] != right[y]
-                    found_x.append(p + x[up])
-                    found_y.append(y[up])
-                x, y = left[np.concatenate(found_x)] - new[g], right[np.concatenate(found_y)] - new[g]
-                label = spanning(int(size[g]), x, y)
+                    x, y = label[left[p + x] - new[g]], label[right[y] - new[g]]
+                    apart = x != y
+                    if apart.any():
+                        label = spanning(int(size[g]), x[apart], y[apart])[label]
                 own = np.flatnonzero(label != np.arange(size[g]))
                 a.append(new[g] + own)
                 b.append(new[g] + label[own])
@@ -274,22 +271,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     classes = cut(signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n")).filter("n > 0"))
     heads = signed.join(classes.filter("rep IS NOT NULL").select(F.col("rep").alias("doc_id"), "h1", "h2"), ["doc_id", "h1", "h2"]).select("doc_id", F.col("n_shingles").alias("n"), "signature").dropDuplicates(["doc_id", "n"])
     heads = cut(heads)
-    rows, forests = leaves(heads), []
-    for more in range(MORE_TIMES + 1):
-        rows = cut(rows)
-        counts = rows.groupBy("node").agg(F.count("*").alias("n_members"))
-        large = cut(counts.filter(F.col("n_members") > LEAF))
-        if not large.take(1):
-            forests.append(candidate_links(in_blocks(rows, "node", None, BLOCK), similarity, spread))
-            break
-        if more == MORE_TIMES:
-            forests.append(candidate_links(in_blocks(rows, "node", large, LEAF // 2), similarity, spread))
-            break
-        forests.append(candidate_links(in_blocks(rows.join(large, "node", "left_anti"), "node", None, BLOCK), similarity, spread))
-        rows = leaves(rows.join(large, "node", "left_semi").select("node", "doc_id", "n").join(heads, ["doc_id", "n"]))
-    candidates = forests[0]
-    for f in forests[1:]:
-        candidates = candidates.unionByName(f)
+    rows = cut(leaves(heads))
+    large = cut(rows.groupBy("node").agg(F.count("*").alias("n_members")).filter(F.col("n_members") > LEAF))
+    candidates = candidate_links(in_blocks(rows, "node", large if large.take(1) else None, LEAF // 2), similarity, spread)
     clusters = cut(components(candidates.distinct()).withColumnRenamed("id", "doc_id").withColumnRenamed("component", "cluster"))
     sizes = cut(clusters.groupBy("cluster").agg(F.count("*").alias("n_members")).filter(F.col("n_members") > BLOCK))
     giants = bool(sizes.take(1))
