@@ -167,6 +167,22 @@ def test_detectors_find_a_spike(spark, name, params):
     assert score[190:220].mean() > np.delete(score, np.s_[180:230]).mean()
 
 
+def test_online_shapes_know_only_the_past(spark):
+    """Scores of SAND don't depend on later batches, those of KShapeAD do."""
+    t = np.arange(1200)
+    v = np.where(t < 900, np.sin(t / 4), np.abs(t % 40 - 20) / 10) + 0.1 * np.random.default_rng(0).normal(size=1200)
+    other = np.where(t < 900, v, v[::-1])
+    rows = spark.createDataFrame([(name, i, float(x)) for name, s in (("a", v), ("b", other)) for i, x in enumerate(s)], "series_id string, idx long, value double")
+    got = {}
+    for name in ("SAND", "KShapeAD"):
+        scores = {(r.series_id, r.idx): r.score for r in detect(rows, name, width=20).collect()}
+        a, b = (np.array([scores[s, i] for i in range(1200)]) for s in "ab")
+        assert np.isfinite(a).all() and np.isfinite(b).all()
+        # 360 points at first, then 120 at a time; sub-sequences reach 80 points beyond their batch.
+        got[name] = np.allclose(a[:720], b[:720]) and not np.allclose(a[900:], b[900:])
+    assert got == {"SAND": True, "KShapeAD": False}
+
+
 def test_registry(spark):
     assert len(REGISTRY) == 47
     with pytest.raises(ValueError, match="not available"):

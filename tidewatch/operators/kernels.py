@@ -180,21 +180,74 @@ def nearest_in(v: np.ndarray, long: np.ndarray, width: int) -> np.ndarray:
     return np.concatenate([np.sqrt(np.maximum(2 * width - 2 * (a[i : i + 4_096] @ b.T), 0)).min(axis=1) for i in range(0, len(a), 4_096)])
 
 
-def shape_scores(v: np.ndarray, width: int, k: int = 6, seed: int = 0) -> np.ndarray:
-    """Distances to the centres of k-shape clusters of sub-sequences (length 4 * width), weighted by frequency and centrality, as a running mean."""
-    length = min(4 * width, len(v) // 2)
-    parts = np.lib.stride_tricks.sliding_window_view(v, length)[:: max(length // 2, 1)]
-    of, c = shapes(parts, min(k, len(parts)), seed)
-    used = [i for i in range(len(c)) if (of == i).any()]
-    freq = np.array([(of == i).mean() for i in used])
-    central = np.array([sum(1 - shape_correlation(c[[j]], c[i])[0][0] for j in used) for i in used])
-    scale = lambda a: (a - a.min()) / (a.max() - a.min()) + 1 if a.max() > a.min() else np.ones(len(a))
-    weight = scale(freq) ** 2 / scale(central)
-    join = sum(w * nearest_in(v, c[i], width) for w, i in zip(weight, used)) / weight.sum()
-    mean = np.convolve(join, np.full(width, 1 / width), "same")
-    before = -(-(width - 1) // 2)
-    mean = np.pad(mean, (before, len(v) - len(mean) - before), "edge")
-    return (mean - mean.mean()) / max(mean.std(), 1e-12)
+def aligned(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Each row of x moved to where it correlates best with c, with zeros where nothing is left."""
+    out = np.zeros_like(x)
+    for row, r, s in zip(out, x, shape_correlation(x, c)[1]):
+        row[max(-s, 0) : len(r) - max(s, 0)] = r[max(s, 0) : len(r) + min(s, 0)]
+    return out
+
+
+def shape_scores(v: np.ndarray, width: int, k: int = 6, seed: int = 0, start: int | None = None, batch: int = 0, alpha: float = 0.5) -> np.ndarray:
+    """Distances to the centres of k-shape clusters of sub-sequences (length 4 * width, one every 1.5 * width), weighted by frequency, centrality and age, as a running mean.
+
+    Without ``batch`` all sub-sequences are clustered at once.  With it the first ``start`` points are, then so many
+    points at a time: a batch's clusters are merged with those nearer than their own mean distance, or added; weights,
+    mean and deviation of the scores follow with ``alpha``, and each batch is scored by the clusters known by then.
+    """
+    n, length, stride = len(v), 4 * width, max(int(1.5 * width), 1)
+    scale = lambda a: (a - a.min()) / (a.max() - a.min() + 1e-7) + 1
+    far = lambda starts, c: 1 - shape_correlation(np.stack([v[i : i + length] for i in starts]), c)[0]
+    # Of each cluster: centre, starts of members, sum of outer products of aligned members, mean distance, weight.
+    centres, members, outer, mean_far, weight = [], [], [], [], np.zeros(0)
+    level = spread = None
+    scores, now = [], 0
+    while not scores or now < n - length:
+        size = (start or n) if not scores else batch
+        starts = np.arange(now, min(now + size, n - length), stride)
+        if not len(starts):
+            raise ValueError(f"no sub-sequence of {length} points in {n}")
+        of, found = shapes(np.stack([v[i : i + length] for i in starts]), min(k, len(starts)), seed)
+        merge, known = {}, len(centres)
+        for i in range(len(found)):
+            own = starts[of == i].tolist()
+            if not own:
+                continue
+            near = 1 - shape_correlation(np.stack(centres[:known]), found[i])[0] if known else np.zeros(0)
+            if known and near.min() < mean_far[int(near.argmin())]:
+                merge.setdefault(int(near.argmin()), []).extend(own)
+                continue
+            moved = aligned(np.stack([v[j : j + length] for j in own]), found[i])
+            centres.append(found[i])
+            members.append(own)
+            outer.append(moved.T @ moved)
+            mean_far.append(float(far(own, found[i]).mean()))
+        for i, new in merge.items():
+            moved = aligned(np.stack([v[j : j + length] for j in new]), centres[i])
+            outer[i] = outer[i] + moved.T @ moved
+            members[i] = members[i] + new
+            mean_far[i] = (mean_far[i] + float(far(members[i], centres[i]).mean())) / 2
+            centre = np.eye(length) - 1 / length
+            c = np.linalg.eigh(centre @ outer[i] @ centre)[1][:, -1]
+            if np.linalg.norm(moved + c, axis=1).sum() < np.linalg.norm(moved - c, axis=1).sum():
+                c = -c
+            centres[i] = (c - c.mean()) / max(c.std(ddof=1), 1e-12)
+        begin, now = now, now + size
+        own = v[begin:] if now >= n - length else v[begin:now]
+
+        all_centres = np.stack(centres)
+        central = np.array([(1 - shape_correlation(all_centres, c)[0]).sum() for c in centres])
+        fresh = scale(np.array([float(len(m)) for m in members])) ** 2 / scale(central)
+        weight = np.concatenate([weight, fresh[len(weight) :]])
+        age = np.array([float(now - m[-1]) for m in members])
+        weight = (1 - alpha) * weight + alpha * fresh / (1 + np.maximum(age - batch, 0))
+        join = sum(w * nearest_in(own, c, width) for w, c in zip(weight, centres)) / weight.sum()
+        mean = np.convolve(np.pad(join, (0, width - 1), "edge"), np.full(width, 1 / width), "valid")
+        mean = np.pad(mean, (width - 1, 0), "edge")
+        level = mean.mean() if level is None else (1 - alpha) * level + alpha * mean.mean()
+        spread = mean.std() if spread is None else (1 - alpha) * spread + alpha * mean.std()
+        scores.append((mean - level) / max(spread, 1e-12))
+    return np.concatenate(scores)
 
 
 def autoencoder(x: np.ndarray, hidden: tuple[int, ...] = (16, 4, 16), epochs: int = 30, seed: int = 0, rate: float = 1e-3, train: np.ndarray | None = None) -> np.ndarray:

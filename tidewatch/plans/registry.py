@@ -121,6 +121,11 @@ def _detrended(v: np.ndarray, width: int = 12, gamma: float = 0.99, quantile: fl
     return np.pad(out, (0, len(v) - len(out)), "edge")
 
 
+def _online_shapes(v: np.ndarray, width: int = 24, **params: Any) -> np.ndarray:
+    """k-shape clusters batch by batch, after the training part."""
+    return k.shape_scores(v, width, start=len(_train(len(v))), batch=max(5 * width, int(0.1 * len(v))), **params)
+
+
 def _poly(v: np.ndarray, width: int = 100, power: int = 3, hood: int = 600) -> np.ndarray:
     v = (v - v.min()) / max(v.max() - v.min(), 1e-12)
     out = np.zeros(len(v))
@@ -177,7 +182,7 @@ register("Sub_LOF", _sub(d.lof), width=50, k=30)
 register("POLY", per_series(_poly), width=100, power=3)
 register("MatrixProfile", d.matrix_profile, width=24)
 register("Left_STAMPi", d.left_profile, width=24, warm_up=50)
-register("SAND", per_series(k.shape_scores), width=24, k=6)
+register("SAND", per_series(_online_shapes), width=24, k=6)
 register("KShapeAD", per_series(k.shape_scores), width=24, k=6)
 register("Series2Graph", why_not=NOT_SHIPPED)
 register("NORMA", why_not=NOT_SHIPPED)
