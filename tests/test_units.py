@@ -183,6 +183,23 @@ def test_online_shapes_know_only_the_past(spark):
     assert got == {"SAND": True, "KShapeAD": False}
 
 
+def test_one_class_fits_all_points():
+    """No sample: over 500 points, scores don't depend on the order of the points."""
+    rng = np.random.default_rng(0)
+    x = np.vstack([rng.normal(size=(2970, 2)), rng.normal(8, 0.1, size=(30, 2))])
+    score = kernels.one_class(x)
+    assert np.abs(kernels.one_class(x[::-1])[::-1] - score).max() < 1e-4 * np.ptp(score)
+    assert (score > 0).mean() == pytest.approx(0.5, abs=0.01)
+
+
+def test_one_class_is_fitted_on_the_training_part(spark):
+    x = np.random.default_rng(0).normal(size=(600, 3))
+    other = np.vstack([x[:300], x[300:] ** 3])
+    rows = spark.createDataFrame([(name, i, f.tolist()) for name, s in (("a", x), ("b", other)) for i, f in enumerate(s)], "series_id string, idx long, features array<double>")
+    scores = {(r.series_id, r.idx): r.score for r in detect(rows, "OCSVM").collect()}
+    assert np.allclose(*([scores[s, i] for i in range(300)] for s in "ab"))
+
+
 def test_registry(spark):
     assert len(REGISTRY) == 47
     with pytest.raises(ValueError, match="not available"):

@@ -86,26 +86,40 @@ def isolation(x: np.ndarray, trees: int = 100, sample: int = 256, extended: bool
     return 2 ** (-depth / trees / max(float(expected_depth(np.array(float(sample)))), 1e-12))
 
 
-def one_class(x: np.ndarray, nu: float = 0.5, rounds: int = 300, seed: int = 0, most: int = 500) -> np.ndarray:
-    """One-class support vectors with a Gaussian kernel, by projected gradient on the dual over at most ``most`` support points; score = rho - f(x)."""
-    rng = np.random.default_rng(seed)
-    own = x if len(x) <= most else x[np.sort(rng.choice(len(x), most, replace=False))]
-    gamma = 1 / (x.shape[1] * max(x.var(), 1e-12))
-    kernel = lambda a, b: np.exp(-gamma * np.maximum((a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1) - 2 * a @ b.T, 0))
-    k, cap = kernel(own, own), 1 / (nu * len(own))
-    alpha = np.full(len(own), 1 / len(own))
-    step = 1 / np.linalg.norm(k, 2)
-    for _ in range(rounds):
-        moved = alpha - step * (k @ alpha)
-        lo, hi = moved.min() - cap, moved.max()
-        for _ in range(50):  # the shift that makes the clipped weights sum to one
-            mid = (lo + hi) / 2
-            lo, hi = (mid, hi) if np.clip(moved - mid, 0, cap).sum() > 1 else (lo, mid)
-        alpha = np.clip(moved - (lo + hi) / 2, 0, cap)
-    f = k @ alpha
-    margin = (alpha > 1e-8) & (alpha < cap * (1 - 1e-6))
-    rho = f[margin].mean() if margin.any() else np.quantile(f, nu)
-    return np.concatenate([rho - kernel(x[i : i + 2_000], own) @ alpha for i in range(0, len(x), 2_000)])
+def one_class(x: np.ndarray, train: np.ndarray | None = None, nu: float = 0.5, tol: float = 1e-3) -> np.ndarray:
+    """One-class support vectors with a Gaussian kernel, fitted on all rows of ``train`` (or all points); score = rho - f(x).
+
+    The dual is solved by steps on the pair of weights that gains most, until no pair violates its conditions by ``tol``;
+    rows of the kernel are made when they are needed.
+    """
+    own = x if train is None else x[train]
+    n, gamma = len(own), 1 / (x.shape[1] * max(own.var(), 1e-12))
+    square = (own * own).sum(axis=1)
+    kernel = lambda a: np.exp(-gamma * np.maximum((a * a).sum(axis=1)[:, None] + square - 2 * a @ own.T, 0))
+    alpha = np.clip(nu * n - np.arange(n), 0, 1)  # sums to nu * n
+    step = max(1, 4_000_000 // n)
+    f = np.concatenate([kernel(own[i : i + step]) @ alpha for i in range(0, n, step)])
+    while True:
+        up, down = alpha < 1, alpha > 0
+        if not up.any():
+            break
+        i = int(np.where(up, f, np.inf).argmin())
+        gap = np.where(down, f - f[i], 0)
+        if gap.max() <= tol:
+            break
+        row = kernel(own[[i]])[0]
+        curve = np.maximum(2 - 2 * row, 1e-12)
+        j = int(np.where(gap > 0, gap * gap / curve, -1).argmax())
+        move = min(gap[j] / curve[j], 1 - alpha[i], alpha[j])
+        alpha[i] = 1.0 if move == 1 - alpha[i] else alpha[i] + move
+        alpha[j] = 0.0 if move == alpha[j] else alpha[j] - move
+        f += move * (row - kernel(own[[j]])[0])
+    margin = (alpha > 0) & (alpha < 1)
+    if margin.any():
+        rho = f[margin].mean()
+    else:
+        rho = (f[alpha > 0].max() + f[alpha < 1].min()) / 2 if (alpha < 1).any() else f.max()
+    return np.concatenate([rho - kernel(x[i : i + step]) @ alpha for i in range(0, len(x), step)])
 
 
 def spectral_residual(v: np.ndarray, taps: int = 100) -> np.ndarray:

@@ -96,6 +96,10 @@ def _train(n: int, share: float = 0.3) -> np.ndarray:
     return np.arange(max(int(share * n), 2))
 
 
+def _one_class(x: np.ndarray) -> np.ndarray:
+    return k.one_class(x, _train(len(x)))
+
+
 def _reconstruct(v: np.ndarray, width: int = 50, hidden: tuple[int, ...] = (16, 4, 16), epochs: int = 30, phases: int = 1) -> np.ndarray:
     w = normalised_windows(v, width)
     train = w[_train(len(w))]
@@ -190,8 +194,8 @@ register("Sub_PCA", per_series(on_windows(k.principal)), width=50)
 register("PCA", per_series(on_windows(k.principal)), width=100)
 register("HBOS", lambda s, **p: d.hbos(d.channel_values(zscore_rows(s, "features")), **p), channels=True, bins=10, tol=0.5)
 register("Sub_HBOS", d.sub_hbos, width=50, bins=10, tol=0.5)
-register("OCSVM", per_series(on_windows(k.one_class)), channels=True, semi=True, width=1)
-register("Sub_OCSVM", per_series(on_windows(k.one_class)), semi=True, width=50)
+register("OCSVM", per_series(on_windows(_one_class)), channels=True, semi=True, width=1)
+register("Sub_OCSVM", per_series(on_windows(_one_class)), semi=True, width=50)
 register("MCD", per_series(on_windows(k.covariance_distance)), channels=True, semi=True, width=1)
 register("Sub_MCD", per_series(on_windows(k.covariance_distance)), semi=True, width=10)
 register("KNN", lambda s, **p: d.knn(d.channel_points(s), **p), channels=True, k=10, method="largest")
