@@ -200,6 +200,18 @@ def test_one_class_is_fitted_on_the_training_part(spark):
     assert np.allclose(*([scores[s, i] for i in range(300)] for s in "ab"))
 
 
+def test_robust_principal_components(spark):
+    """Differences between the low-rank part and its components, of channels as they are, with the rounds of the reference."""
+    load = np.append(np.linspace(1, 2, 8), 0)
+    x = np.outer(np.sin(np.arange(200) / 9) + 2, load)
+    rows = spark.createDataFrame([("a", i, f.tolist()) for i, f in enumerate(x)], "series_id string, idx long, features array<double>")
+    got = np.array([r.score for r in detect(rows, "RobustPCA").orderBy("idx").collect()])
+    # The low-rank part is x itself; only its first component has variance.
+    first = (x - x.mean(axis=0)) @ load / np.linalg.norm(load)
+    assert np.allclose(got, np.abs(x[:, 0] - first) + np.abs(x[:, 1:]).sum(axis=1), atol=1e-3)
+    assert REGISTRY["RobustPCA"].params["rounds"] == 1000
+
+
 def test_registry(spark):
     assert len(REGISTRY) == 47
     with pytest.raises(ValueError, match="not available"):

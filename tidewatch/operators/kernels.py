@@ -22,8 +22,15 @@ def principal(x: np.ndarray, keep: int | None = None) -> np.ndarray:
     return (away / (values / values.sum())).sum(axis=1)
 
 
-def robust_principal(x: np.ndarray, rounds: int = 100) -> np.ndarray:
-    """Principal component pursuit: x as a low-rank and a sparse part; the size of the sparse part."""
+def robust_principal(x: np.ndarray, rounds: int = 1000) -> np.ndarray:
+    """Principal component pursuit: x as a low-rank and a sparse part; the sum of the differences between the low-rank part and its principal components.
+
+    Columns of zeros only are dropped; a component's largest loading is positive.
+    """
+    x = x.reshape(len(x), -1)
+    x = x[:, (x != 0).any(axis=0)]
+    if not x.size:
+        return np.zeros(len(x))
     lam, mu = 1 / np.sqrt(max(x.shape)), x.size / (4 * max(np.abs(x).sum(axis=0).max(), 1e-12))
     low, sparse, dual = np.zeros_like(x), np.zeros_like(x), np.zeros_like(x)
     for _ in range(rounds):
@@ -34,7 +41,10 @@ def robust_principal(x: np.ndarray, rounds: int = 100) -> np.ndarray:
         dual = dual + mu * (x - low - sparse)
         if np.linalg.norm(x - low - sparse) <= 1e-7 * np.linalg.norm(x):
             break
-    return np.abs(sparse).sum(axis=1)
+    centred = low - low.mean(axis=0)
+    v = np.linalg.svd(centred, full_matrices=False)[2]
+    v = v * np.sign(v[np.arange(len(v)), np.abs(v).argmax(axis=1)])[:, None]
+    return np.abs(low - centred @ v.T).sum(axis=1)
 
 
 def covariance_distance(x: np.ndarray, seed: int = 0, support: float | None = None) -> np.ndarray:

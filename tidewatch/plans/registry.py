@@ -206,7 +206,7 @@ register("COPOD", lambda s: d.copod(d.channel_values(zscore_rows(s, "features"))
 register("CBLOF", cblof, channels=True, clusters=8, alpha=0.9, beta=5.0)
 register("COF", lambda s, **p: d.cof(d.channel_points(s), **p), channels=True, k=10)
 register("EIF", per_series(on_windows(lambda x, **p: k.isolation(x, extended=True, **p))), channels=True, trees=100)
-register("RobustPCA", per_series(on_windows(k.robust_principal)), channels=True, rounds=50)
+register("RobustPCA", per_series(k.robust_principal), channels=True, rounds=1000)
 register("SR", per_series(k.spectral_residual))
 register("AutoEncoder", per_series(_reconstruct), semi=True, width=50)
 register("USAD", per_series(_reconstruct), semi=True, width=50, phases=2)
