@@ -80,6 +80,25 @@ def test_near_duplicates_of_odd_rows(spark, documents):
     assert kept.columns == documents([]).columns and kept.filter("doc_id = 5").count() == 1
 
 
+def test_words_alike_by_construction_are_not_linked(spark, documents):
+    """A sequence and its complement have the same polynomial hash modulo a power of two, whatever its base."""
+    one = "".join("ab"[i.bit_count() % 2] for i in range(1_024))
+    other = one.translate(str.maketrans("ab", "ba"))
+    rows = [(1, one), (2, other), (3, one.upper()), (4, " ".join(one)), (5, " ".join(other))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(documents(rows), 2).collect()}
+    assert got == plain_components(rows, 2)
+    left = {r.doc_id: r.n_removed for r in suffixes.remove_repeats(documents([(1, "x" + one[:512] + "y"), (2, "z" + other[:512])])).collect()}
+    plain = plain_repeats([b"x" + one[:512].encode() + b"y", b"z" + other[:512].encode()], 400)
+    assert left == {1: plain[0][1], 2: plain[1][1]}
+
+
+def test_clusters_in_blocks_by_shingles(spark, documents, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 200)
+    rows = list(enumerate(near_copies(25, 60, random.Random(6), 8)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(documents(rows), 2).collect()}
+    assert got == plain_components(rows, 2)
+
+
 def test_recall_of_the_trees():
     """Pairs at the threshold share a leaf but for one in a thousand or so."""
     rng, missed = np.random.default_rng(1), 0

@@ -16,7 +16,10 @@ from tidewatch.llm import bpe, mixing, pretokens, simple8b
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 LIBRARY = public_tokenizers.path("byte_bpe_50k.json")
-ODD = [(1, None), (2, ""), (3, " \t\n "), (4, "it's we'll 'sand don't!'s  x"), (4, "it's we'll 'sand don't!'s  x"), (None, "none"), (5, "é漢🙂\x00\x1c " * 500), (6, "aaaa" * 5_000)]
+ODD = [(1, None), (2, ""), (3, " \t\n "), (4, "it's we'll 'sand don't!'s  x"), (4, "it's we'll 'sand don't!'s  x"), (None, "none"), (5, "é漢🙂\x00\x1c " * 500), (6, "aaaa" * 5_000), (7, "x <|endoftext|><|endoftext|> y"), (8, "<|endoftext|>")]
+#: A sequence and its complement, which have the same polynomial hash modulo a power of two whatever its base.
+MORSE = "".join("ab"[i.bit_count() % 2] for i in range(1_024))
+COMPLEMENT = MORSE.translate(str.maketrans("ab", "ba"))
 
 
 @pytest.fixture(scope="module")
@@ -49,11 +52,34 @@ def test_odd_rows_encode_and_decode(spark, documents):
 
 def test_small_limits_change_nothing(reference):
     machine = bpe.Transducer(bpe.read_ranks(RANKS), limit=50)
-    cached = pretokens.PieceCache(lambda pieces: [machine.encode_piece(p.encode()) for p in pieces], limit=3)
+    cached = pretokens.PieceCache(lambda pieces: [machine.encode_piece(p.encode()) for p in pieces], limit=4)
     for text in ("unbelievable internationalisation of tokenisers", "Donaudampfschifffahrtsgesellschaft und so weiter") * 2:
         assert cached.encode_texts([text])[0].tolist() == reference.encode_ordinary(text)
 
 
+def test_pieces_are_told_apart_by_their_bytes(reference, monkeypatch):
+    texts = [MORSE + "\n" + COMPLEMENT, COMPLEMENT, "hello <|endoftext|> world", "", "\x00 \x00\x00"]
+    library = Tokenizer.from_file(LIBRARY)
+    for weak in (False, True):
+        if weak:  # nearly all pieces have the hash of others
+            monkeypatch.setattr(pretokens, "span_hashes", lambda words, size: size.astype(np.uint64) % np.uint64(3))
+        ids, _ = pretokens.PieceCache(bpe.codec(RANKS)[0].encode).encode_texts(texts)
+        assert ids.tolist() == [i for t in texts for i in reference.encode_ordinary(t)]
+        for special in (False, True):
+            library.encode_special_tokens = special
+            ids, counts = simple8b.LibraryCodec(LIBRARY, special_as_text=special).encode_texts(texts)
+            want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+            assert ids.tolist() == [i for w in want for i in w] and counts.tolist() == [*map(len, want)]
+
+
+def test_long_texts_go_in_parts(reference, monkeypatch):
+    monkeypatch.setattr(pretokens, "SLICE_CHARS", 20)
+    texts = ["it's   a\n\n long text, isn't it?  And\x1c\u2003 so on " * 20, "short", "x" * 500 + " y" * 50]
+    ids, counts = pretokens.PieceCache(bpe.codec(RANKS)[0].encode).encode_texts(texts)
+    want = [reference.encode_ordinary(t) for t in texts]
+    assert ids.tolist() == [i for w in want for i in w] and counts.tolist() == [*map(len, want)]
+
+
 @given(st.binary(max_size=40), st.lists(st.integers(0, 40)))
 def test_utf8_stream(data, cuts):
     stream, out, at = bpe.Utf8Stream(), [], 0
@@ -79,7 +105,6 @@ def test_files_hold_the_library_ids(spark, documents, small_texts, tmp_path, odd
     simple8b.write(documents(rows), LIBRARY, str(tmp_path / "out"))
     got = simple8b.with_starts(simple8b.read(spark, str(tmp_path / "out"))).orderBy("start").collect()
     library = Tokenizer.from_file(LIBRARY)
-    library.encode_special_tokens = True
     at = 0
     for r, (i, t) in zip(got, sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or "")), strict=True):
         ids = [*library.encode(t or "", add_special_tokens=False).ids, 0]

@@ -34,13 +34,16 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     def __init__(self, ranks: dict[bytes, int], limit: int = 50_000):
         self.ranks, self.limit = ranks, limit
-        self.beginnings = {t[:n] for t in ranks for n in range(1, len(t))}
+        # 1: a token, 2: the beginning of one, 3: both.
+        self.kinds = dict.fromkeys((t[:n] for t in ranks for n in range(1, len(t))), 2)
+        for t in ranks:
+            self.kinds[t] = self.kinds.get(t, 0) + 1
         self.profiles: dict[bytes, tuple | None] = {}
         self._reset()
 
     def _reset(self) -> None:
-        # A state: (settled token, bytes behind it, {open boundary: tokens from 0 to it}).
-        self.states: list[tuple[bytes, bytes, dict[int, tuple[bytes, ...]]]] = [(b"", b"", {0: ()})]
+        # A state: (settled token, bytes behind it, [(open boundary, tokens from 0 to it)]).
+        self.states: list[tuple[bytes, bytes, list[tuple[int, tuple[bytes, ...]]]]] = [(b"", b"", [(0, ())])]
         self.numbers: dict[tuple, int] = {}
         self.moves: dict[int, tuple[tuple[int, ...], int]] = {}
         self.finals: dict[int, tuple[int, ...]] = {}
@@ -86,27 +89,31 @@ class Transducer:
 
     def _move(self, state: int, byte: int) -> tuple[tuple[int, ...], int]:
         settled, behind, open_ = self.states[state]
-        text = behind + bytes((byte,))
-        n, path, still, ranks = len(text), None, {}, self.ranks
-        for j, before in open_.items():  # in ascending order, so that the longest token comes first
-            token = text[j:]
-            if path is None and token in ranks and self._profile(token) is not None:
+        text, path, still, kinds = behind + bytes((byte,)), None, [], self.kinds
+        for boundary in open_:  # in ascending order, so that the longest token comes first
+            token = text[boundary[0] :]
+            kind = kinds.get(token)
+            if kind is None:
+                continue
+            if path is None and kind & 1 and self._profile(token) is not None:
+                before = boundary[1]
                 last = before[-1] if before else settled
                 if not last or self._fit(last, token):
                     path = (*before, token)
-            if token in self.beginnings:
-                still[j] = before
+            if kind & 2:
+                still.append(boundary)
         if path is None:
             raise ValueError("the ranks lack a single byte or contradict each other")
-        still[n] = path
-        common, shortest = 0, min(map(len, still.values()))
-        while common < shortest and all(p[common] == path[common] for p in still.values()):
-            common += 1
+        common = len(path)
+        for _, other in still:
+            common = min(common, len(other))
+            while path[:common] != other[:common]:
+                common -= 1
+        still.append((len(text), path))
         if common:
-            out = path[:common]
-            cutoff = sum(map(len, out))
-            settled, text = out[-1], text[cutoff:]
-            still = {j - cutoff: p[common:] for j, p in still.items()}
+            settled, cutoff = path[common - 1], sum(map(len, path[:common]))
+            text = text[cutoff:]
+            still = [(j - cutoff, p[common:]) for j, p in still]
         name = (settled, text)
         if (number := self.numbers.get(name)) is None:
             number = self.numbers[name] = len(self.states)
@@ -124,8 +131,7 @@ class Transducer:
             emitted, state = moves.get(state << 8 | byte) or self._move(state, byte)
             out += emitted
         if (rest := self.finals.get(state)) is None:
-            _, behind, open_ = self.states[state]
-            rest = self.finals[state] = tuple(self.ranks[t] for t in open_[len(behind)])
+            rest = self.finals[state] = tuple(self.ranks[t] for t in self.states[state][2][-1][1])
         out += rest
         return out
 
@@ -176,7 +182,11 @@ def codec(path: str) -> tuple[PieceCache, Vocabulary]:
     return PieceCache(lambda pieces: [machine.encode_piece(p.encode("utf-8", "surrogatepass")) for p in pieces]), Vocabulary(ranks)
 
 
-def decode_stream(vocabulary: Vocabulary, ids: np.ndarray, portion: int = 65_536) -> Iterator[str]:
+#: Ids that are turned into text at once.
+PORTION = 65_536
+
+
+def decode_stream(vocabulary: Vocabulary, ids: np.ndarray, portion: int = PORTION) -> Iterator[str]:
     """Text of the ids, portion by portion of ids."""
     stream = Utf8Stream()
     for i in range(0, len(ids), portion):
@@ -205,7 +215,8 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, vocabulary = codec(path)
         for batch in batches:
-            texts = ["".join(decode_stream(vocabulary, np.asarray(ids or [], np.int64))) for ids in batch.column("ids").to_pylist()]
+            lists = batch.column("ids")
+            texts = ["".join(decode_stream(vocabulary, x.values.to_numpy(zero_copy_only=False).astype(np.int64) if x.is_valid else np.zeros(0, np.int64))) for x in lists]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     encoded = text_batches(encoded).select("doc_id", "ids")
@@ -217,17 +228,18 @@ def round_trip(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cached, vocabulary = codec(path)
-        decimal = np.array([str(i) for i in range(len(vocabulary.count))], object)
         for batch in batches:
             for part, texts in slices(batch):
                 ids, count = cached.encode_texts(texts)
                 bounds = np.concatenate([[0], np.cumsum(count)]).tolist()
                 names, digests = [], []
                 for a, b in zip(bounds, bounds[1:]):
-                    names.append(hashlib.sha256(",".join(decimal[ids[a:b]].tolist()).encode()).hexdigest())
-                    sha = hashlib.sha256()
+                    name, sha = hashlib.sha256(), hashlib.sha256()
+                    for c in range(a, b, PORTION):
+                        name.update(b"," * (c > a) + ",".join(map(str, ids[c : min(c + PORTION, b)].tolist())).encode())
                     for text in decode_stream(vocabulary, ids[a:b]):
                         sha.update(text.encode())
+                    names.append(name.hexdigest())
                     digests.append(sha.hexdigest())
                 columns = [part.column("doc_id"), pa.array(count, pa.int64()), pa.array(names), pa.array(digests)]
                 if with_ids:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -12,7 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text handled at once inside a Python task; arrays of eight bytes a character then stay small.
-SLICE_CHARS = 500_000
+SLICE_CHARS = 250_000
+#: Bytes and rows of a batch handed to Python; Arrow's buffers hold a whole batch, in the JVM and in Python.
+BATCH_BYTES, BATCH_ROWS = 2 << 20, 1_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,10 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset, one of our own, on a single machine only."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="tidewatch-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(folder)
@@ -41,15 +46,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def text_batches(df: DataFrame, rows: int = 1_000) -> DataFrame:
-    """The same table, in a session that hands at most ``rows`` rows at once to Python.
+def text_batches(df: DataFrame) -> DataFrame:
+    """The same table, in a session that hands at most BATCH_BYTES (or one row) and BATCH_ROWS at once to Python.
 
-    Arrow's buffers hold a whole batch, in the JVM and in Python; the usual 10,000 rows are too many for whole texts.
+    Spark reads these settings when the plan runs, so they stay in the session; lower ones of the caller's are kept.
     """
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     conf = df.sparkSession.conf
-    if not 0 < int(conf.get(name)) <= rows:
-        conf.set(name, rows)
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = re.fullmatch(r"(\d+)b?", conf.get(name))
+        if not now or not 0 < int(now[1]) <= most:
+            conf.set(name, most)
     return df
 
 
@@ -91,40 +97,41 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class RollingHash:
-    """Polynomial hashes modulo 2**64 of any substring of an array of symbols, from one running sum."""
-
-    def __init__(self, seed: int):
-        rng = np.random.default_rng(seed)
-        self.base = int(rng.integers(0, 2**63)) * 8 + 5 & (2**64 - 1)
-        self.symbols = rng.integers(0, 2**64, 256, dtype=np.uint64)
-        self.salt = np.uint64(rng.integers(0, 2**64, dtype=np.uint64))
-        self.power = np.ones(1, np.uint64)
-        self.inverse = np.ones(1, np.uint64)
-
-    def _grow(self, n: int) -> None:
-        if len(self.power) <= n:
-            size = 1 << (n + 1).bit_length()
-            for name, step in (("power", self.base), ("inverse", pow(self.base, -1, 2**64))):
-                p = np.ones(size, np.uint64)
-                have = 1
-                while have < size:
-                    p[have : 2 * have] = p[:have] * np.uint64(pow(step, have, 2**64))
-                    have *= 2
-                setattr(self, name, p)
-
-    def sums(self, values: np.ndarray) -> np.ndarray:
-        """Running sums over bytes (uint8) or code points (uint32); one longer than the input."""
-        self._grow(len(values))
-        v = self.symbols[values] if values.dtype == np.uint8 else mix64(values.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + self.salt)
-        out = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(v * self.power[: len(values)], out=out[1:])
-        return out
-
-    def spans(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Hash of each [start, end); the same content has the same hash wherever it stands."""
-        h = (sums[end] - sums[start]) * self.inverse[start]
-        return mix64(h + (end - start).astype(np.uint64) * self.salt)
+def window_hashes(data: np.ndarray, width: int) -> np.ndarray:
+    """Hash of the ``width`` bytes from each place on.
+
+    Hashes of 2, 4, 8, ... bytes are made of two of half the length, with a step that is not linear, so no text has
+    the hash of another by its construction.  A width that is no power of two takes two windows that overlap.
+    """
+    h, n = mix64(data.astype(np.uint64) + np.uint64(1)), 1
+    while 2 * n <= width:
+        h = mix64(h[:-n] * np.uint64(0x9E3779B97F4A7C15) + (h[n:] ^ np.uint64(n)))
+        n *= 2
+    if n < width:
+        last = width - n
+        h = mix64(h[:-last] * np.uint64(0x9E3779B97F4A7C15) + (h[last:] ^ np.uint64(width)))
+    return h
+
+
+#: Bytes of a span that ``span_words`` takes as they are.
+EXACT = 24
+
+
+def span_words(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The first EXACT bytes of each [start, end), as words with zeros behind the end."""
+    padded = np.concatenate([data, np.zeros(EXACT, np.uint8)])
+    words = np.ndarray((len(data) + EXACT - 7,), "<u8", padded, strides=(1,))
+    mask = np.append((np.uint64(1) << np.arange(0, 64, 8, dtype=np.uint64)) - np.uint64(1), np.uint64(2**64 - 1))
+    size = end - start
+    return np.stack([words[np.minimum(start + at, len(data))] & mask[np.clip(size - at, 0, 8)] for at in range(0, EXACT, 8)])
+
+
+def span_hashes(words: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hash of spans from what ``span_words`` gives; different for most, to be told apart by words and size where it counts."""
+    h = mix64(size.astype(np.uint64) + np.uint64(1))
+    for w in words:
+        h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + w)
+    return h
 
 
 def ragged(flat: np.ndarray, offset: np.ndarray, count: np.ndarray) -> np.ndarray:

@@ -10,7 +10,7 @@ pairs; leaves with very many sets are compared in pairs of blocks, each in a tas
 
 The forest's components are clusters of candidates.  In them full sets, made anew from the texts, are compared pair by
 pair, again in blocks, so a cluster of any size is the work of many tasks; a link of the result is always one of
-full sets (as 64-bit hashes of shingles).  All links of a cluster are found, though only a spanning forest of them is
+full sets (as 64-bit hashes of shingles, which are not linear in the words' bytes).  All links of a cluster are found, though only a spanning forest of them is
 written.
 
 With the trees and levels set here a pair at the threshold itself is missed with a probability under 1 in 1000, and
@@ -32,19 +32,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import RollingHash, cut, mix64, slices, text_batches, whole_groups
+from tidewatch.llm.common import EXACT, cut, mix64, slices, span_hashes, span_words, text_batches, whole_groups
 from tidewatch.llm.components import components, spanning
 
 #: Signature coordinates; trees, levels and the chance of a second child (its expectation is that of 1 / 0.8).
 COORDINATES, TREES, LEVELS, SECOND = 64, 10, 4, 0.25
-#: Sets in a leaf above which it comes in blocks of half as many; members of one comparison of full sets.
-LEAF, BLOCK = 8_192, 1_024
+#: Sets in a leaf above which it comes in blocks of half as many; members and shingles of a block of full sets.
+LEAF, BLOCK, BLOCK_SHINGLES = 8_192, 1_024, 500_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_HASH = RollingHash(91)
 _RANDOM = np.random.default_rng(92)
 _PLACE = _RANDOM.integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _A = _RANDOM.integers(0, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -58,7 +57,9 @@ def shingle_sets(texts: list[str], words: int) -> list[np.ndarray]:
     inside = ~_SPACE[data]
     edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    word = _HASH.spans(_HASH.sums(data), start, end)
+    word = span_hashes(span_words(data, start, end), end - start)
+    for i in np.flatnonzero(end - start > EXACT).tolist():
+        word[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]].tobytes())
     ends = np.cumsum([len(e) + 1 for e in encoded])
     bounds = [0, *np.searchsorted(start, ends).tolist()]
     place = np.resize(_PLACE, max(words, 1))
@@ -191,11 +192,10 @@ def candidate_links(rows: DataFrame, similarity: float, spread: int) -> DataFram
     return rows.repartition(spread, "node", "i", "j").sortWithinPartitions("node", "i", "j").mapInArrow(run, "a long, b long")
 
 
-def in_blocks(rows: DataFrame, key: str, sizes: DataFrame | None, block: int) -> DataFrame:
-    """Add own, i and j: groups in ``sizes`` (key and n_members) come in blocks, a row in all pairs of blocks with its own; others whole."""
-    if sizes is None:
+def in_blocks(rows: DataFrame, key: str, cuts: DataFrame | None) -> DataFrame:
+    """Add own, i and j: groups in ``cuts`` (key and blocks) come in so many blocks, a row in all pairs of blocks with its own; others whole."""
+    if cuts is None:
         return rows.select("*", F.lit(0).alias("own"), F.lit(0).alias("i"), F.lit(0).alias("j"))
-    cuts = sizes.select(key, F.ceil(F.col("n_members") / block).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("doc_id"), F.coalesce("blocks", F.lit(1))).cast("int")
     dealt = rows.join(cuts, key, "left").withColumn("own", own)
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
@@ -272,13 +272,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     heads = signed.join(classes.filter("rep IS NOT NULL").select(F.col("rep").alias("doc_id"), "h1", "h2"), ["doc_id", "h1", "h2"]).select("doc_id", F.col("n_shingles").alias("n"), "signature").dropDuplicates(["doc_id", "n"])
     heads = cut(heads)
     rows = cut(leaves(heads))
-    large = cut(rows.groupBy("node").agg(F.count("*").alias("n_members")).filter(F.col("n_members") > LEAF))
-    candidates = candidate_links(in_blocks(rows, "node", large if large.take(1) else None, LEAF // 2), similarity, spread)
+    large = cut(rows.groupBy("node").agg(F.count("*").alias("n")).filter(F.col("n") > LEAF).select("node", F.ceil(F.col("n") / (LEAF // 2)).cast("int").alias("blocks")))
+    candidates = candidate_links(in_blocks(rows, "node", large if large.take(1) else None), similarity, spread)
     clusters = cut(components(candidates.distinct()).withColumnRenamed("id", "doc_id").withColumnRenamed("component", "cluster"))
-    sizes = cut(clusters.groupBy("cluster").agg(F.count("*").alias("n_members")).filter(F.col("n_members") > BLOCK))
-    giants = bool(sizes.take(1))
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    giants = cut(clusters.join(heads.select("doc_id", "n"), "doc_id").groupBy("cluster").agg(blocks.alias("blocks")).filter("blocks > 1"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(clusters, "doc_id")
-    links = exact_links(in_blocks(texts, "cluster", sizes if giants else None, BLOCK), words, similarity, spread)
+    links = exact_links(in_blocks(texts, "cluster", giants if giants.take(1) else None), words, similarity, spread)
     found = components(links)
     of_class = classes.join(found, classes["rep"] == found["id"], "left").select("h1", "h2", F.coalesce("component", "rep").alias("component"))
     of_class = cut(of_class)

@@ -3,14 +3,15 @@
 Which bytes are covered by a string of ``LENGTH`` bytes that also starts elsewhere?  A row for each byte would be many
 times the input, so suffixes are taken only at anchors: the position with the least hash of ``GRAM`` bytes among
 ``SPREAD`` positions in a row.  Each string of LENGTH bytes has one anchor near its start, the same one wherever it
-stands, and contains the HALF * 2 bytes behind it.
+stands, and contains the BASE * 4 bytes behind it.
 
-Ranks of the anchors are doubled: first those of the HALF bytes behind an anchor, then the pairs with the rank of the
-position HALF bytes on, then the pairs with what reaches past the threshold: the bytes of all strings of the anchor.
-After each round, anchors whose rank nobody shares are dropped.  (A rank is a 64-bit hash; only equality counts here.)
+Spark doubles the ranks of the anchors.  The first rank is the name (a 64-bit hash) of the BASE bytes behind an anchor.
+In each round the pairs of an anchor's rank and of the name of the bytes that follow, as many again, are counted, those
+that only one anchor has are dropped, and the others are sorted; the place in that order is the new rank, of
+twice the length.  The last round goes past the threshold: the name is that of all bytes of all strings of the anchor.
 Anchors that share the last rank have all their strings repeated.  Where anchors share the rank before but differ in
 the last, single strings are decided: one anchor of each last rank gives a row for each of its strings, and those that
-meet an equal one are repeated.
+meet an equal one are repeated.  Equality thus rests on several names of 64 bits together.
 
 A null text is empty.  Texts shorter than LENGTH lose nothing.  Repeated rows are texts of their own: each of at least
 LENGTH bytes loses everything.  Rows with the same doc_id are told apart by their text; a null doc_id is handled as any
@@ -28,35 +29,37 @@ import pyarrow.compute
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
-from tidewatch.llm.common import RollingHash, cut, mix64, shuffle_partitions, slices, store, text_batches, whole_groups
+from tidewatch.llm.common import cut, mix64, shuffle_partitions, slices, store, text_batches, whole_groups, window_hashes
 
 LENGTH, SPREAD, GRAM = 400, 192, 16
-HALF = (LENGTH - SPREAD) // 2
-_HASH = RollingHash(61)
+#: Bytes of the first rank; each of the ROUNDS doubles them.
+BASE, ROUNDS = (LENGTH - SPREAD) // 4, 2
 
 
 class Bytes:
-    """The texts of a slice in one array, with what hashing any part of them needs."""
+    """The texts of a slice in one array."""
 
     def __init__(self, texts: list[str]):
         self.encoded = [t.encode() for t in texts]
         self.size = np.array([len(e) for e in self.encoded], np.int64)
         self.begin = np.cumsum(self.size) - self.size
-        self.sums = _HASH.sums(np.frombuffer(b"".join(self.encoded), np.uint8))
+        self.joined = b"".join(self.encoded)
+        self.view = memoryview(self.joined)
 
-    def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return _HASH.spans(self.sums, start, end)
+    def names(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """64-bit names of the spans [start, end)."""
+        return np.fromiter((xxh3_64_intdigest(self.view[a:b]) for a, b in zip(start.tolist(), end.tolist())), np.uint64, len(start))
 
 
 def anchors(b: Bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Text, position, and first and last start of the strings of each anchor (places in the array of all texts)."""
-    n = len(b.sums) - 1
+    n = len(b.joined)
     if n < LENGTH:
         return (np.zeros(0, np.int64),) * 4
-    at = np.arange(n - GRAM + 1)
     # The hash above, the position below: the least is the leftmost of the least hashes.
-    key = (b.hashes(at, at + GRAM) >> np.uint64(36) << np.uint64(36)) | at.astype(np.uint64)
+    key = window_hashes(np.frombuffer(b.joined, np.uint8), GRAM) >> np.uint64(36) << np.uint64(36) | np.arange(n - GRAM + 1, dtype=np.uint64)
     width = 1
     while 2 * width <= SPREAD:
         key = np.minimum(key[:-width], key[width:])
@@ -84,8 +87,12 @@ def tagged(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text.alias("text"), F.pmod(F.xxhash64(text), F.lit(_TAG)).alias("tag"), *(["row"] if "row" in docs.columns else []))
 
 
+#: Names of the bytes that each round adds to an anchor's rank; the first is the first rank.
+NAMES = [f"name{k}" for k in range(ROUNDS + 2)]
+
+
 def anchor_rows(docs: DataFrame) -> DataFrame:
-    """rank2 and rank3 of each anchor, its document (doc_id, tag) and span: the first start * 2**8 + how many more."""
+    """The names of each anchor, its document (doc_id, tag) and span: the first start * 2**8 + how many more."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,17 +100,25 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
             for part, texts in slices(batch):
                 b = Bytes(texts)
                 text, at, lo, hi = anchors(b)
-                rank = b.hashes(at, at + HALF)
-                rank2 = mix64(rank + mix64(b.hashes(at + HALF, at + 2 * HALF)))
+                edges = [0, *(BASE << k for k in range(ROUNDS + 1))]
+                names = [b.names(at + x, at + y) for x, y in zip(edges, edges[1:])]
                 shape = (at - lo).astype(np.uint64) << np.uint64(32) | (hi - at + SPREAD).astype(np.uint64)
-                rank3 = mix64(rank2 + mix64(b.hashes(lo, hi + LENGTH) + mix64(shape)))
+                names.append(mix64(b.names(lo, hi + LENGTH) + mix64(shape)))
                 take = pa.array(text)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(rank2.view(np.int64)), pa.array(rank3.view(np.int64)), part.column("doc_id").take(take), part.column("tag").take(take).cast(pa.int32()), pa.array((lo - b.begin[text]) << 8 | (hi - lo))],
-                    ["rank2", "rank3", "doc_id", "tag", "span"],
+                    [*(pa.array(x.view(np.int64)) for x in names), part.column("doc_id").take(take), part.column("tag").take(take).cast(pa.int32()), pa.array((lo - b.begin[text]) << 8 | (hi - lo))],
+                    [*NAMES, "doc_id", "tag", "span"],
                 )
 
-    return docs.mapInArrow(run, f"rank2 long, rank3 long, doc_id {kind}, tag int, span long")
+    return docs.mapInArrow(run, ", ".join(f"{n} long" for n in NAMES) + f", doc_id {kind}, tag int, span long")
+
+
+def rerank(rows: DataFrame, name: str) -> DataFrame:
+    """One round: rows whose pair of rank and name others have too, with the pair's place in the order of all pairs as rank."""
+    pairs = rows.groupBy("rank", name).agg(F.count("*").alias("n")).filter("n > 1").select("rank", name)
+    # Increasing over the ranges and in each of them; written out, as a second run might cut the ranges elsewhere.
+    ordered = cut(pairs.repartitionByRange(shuffle_partitions(rows.sparkSession), "rank", name).sortWithinPartitions("rank", name).withColumn("next", F.monotonically_increasing_id()))
+    return rows.join(ordered, ["rank", name]).drop("rank", name).withColumnRenamed("next", "rank")
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -126,9 +141,9 @@ def _same_document(a: DataFrame, b: DataFrame) -> Column:
 
 
 def _contexts(docs: DataFrame, chosen: DataFrame, strings: bool) -> DataFrame:
-    """The bytes of all strings of each chosen anchor (rank2, alone, doc_id, tag, span); or with ``strings`` the hash of each one."""
+    """The bytes of all strings of each chosen anchor (rank, alone, doc_id, tag, span); or with ``strings`` the hash of each one."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    lists = chosen.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("rank2", "alone", "span")).alias("list"))
+    lists = chosen.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("rank", "alone", "span")).alias("list"))
     texts = packed(docs.select("doc_id", "text", "tag"))
     joined = texts.join(lists, _same_document(texts, lists)).select(texts["doc_id"], texts["tag"], "packed", "list")
 
@@ -141,22 +156,22 @@ def _contexts(docs: DataFrame, chosen: DataFrame, strings: bool) -> DataFrame:
                 lists_ = batch.column("list")
                 of = np.repeat(np.arange(batch.num_rows), pa.compute.list_value_length(lists_).to_numpy())
                 flat = lists_.flatten()
-                rank2, alone, span = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+                rank, alone, span = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
                 lo, more = span >> 8, span & 255
                 owner = [batch.column("doc_id").take(pa.array(of)), batch.column("tag").take(pa.array(of))]
                 if not strings:
                     parts = [text[t][a : a + n + LENGTH] for t, a, n in zip(of.tolist(), lo.tolist(), more.tolist())]
-                    yield pa.RecordBatch.from_arrays([pa.array(rank2), pa.array(alone), *owner, pa.array(lo), pa.array(parts, pa.binary())], ["rank2", "alone", "doc_id", "tag", "lo", "part"])
+                    yield pa.RecordBatch.from_arrays([pa.array(rank), pa.array(alone), *owner, pa.array(lo), pa.array(parts, pa.binary())], ["rank", "alone", "doc_id", "tag", "lo", "part"])
                     continue
                 size = np.array([len(t) for t in text])
-                sums = _HASH.sums(np.frombuffer(b"".join(text), np.uint8))
+                string = window_hashes(np.frombuffer(b"".join(text), np.uint8), LENGTH)
                 row = np.repeat(np.arange(len(lo)), more + 1)
                 start = lo[row] + np.arange(len(row)) - np.repeat(np.cumsum(more + 1) - more - 1, more + 1)
                 place = start + (np.cumsum(size) - size)[of[row]]
                 take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(_HASH.spans(sums, place, place + LENGTH).view(np.int64)), pa.array(alone).take(take), owner[0].take(take), owner[1].take(take), pa.array(start)], ["string", "alone", "doc_id", "tag", "lo"])
+                yield pa.RecordBatch.from_arrays([pa.array(rank).take(take), pa.array(string[place].view(np.int64)), pa.array(alone).take(take), owner[0].take(take), owner[1].take(take), pa.array(start)], ["rank", "string", "alone", "doc_id", "tag", "lo"])
 
-    head = "string long" if strings else "rank2 long"
+    head = "rank long, string long" if strings else "rank long"
     return joined.mapInArrow(run, f"{head}, alone boolean, doc_id {kind}, tag int, lo long" + ", part binary" * (not strings))
 
 
@@ -164,16 +179,16 @@ def _repeated_in_groups(rows: DataFrame, kind: str) -> DataFrame:
     """doc_id, tag, lo and hi: runs of starts of strings that another anchor of the same rank has too."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches, ["rank2"]):
+        for t in whole_groups(batches, ["rank"]):
             t = t.combine_chunks()
             parts = t.column("part").to_pylist()
             size = np.array([len(p) for p in parts])
-            sums = _HASH.sums(np.frombuffer(b"".join(parts), np.uint8))
+            string = window_hashes(np.frombuffer(b"".join(parts), np.uint8), LENGTH)
             count = size - LENGTH + 1
             row = np.repeat(np.arange(len(parts)), count)
             inside = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
             place = inside + (np.cumsum(size) - size)[row]
-            string = mix64(_HASH.spans(sums, place, place + LENGTH) + t.column("rank2").to_numpy().view(np.uint64)[row])
+            string = mix64(string[place] + mix64(t.column("rank").to_numpy().view(np.uint64)[row]))
             _, inverse, times = np.unique(string, return_inverse=True, return_counts=True)
             hit = (times[inverse] > 1) & t.column("alone").to_numpy()[row]
             edge = np.flatnonzero(hit & ~np.concatenate([[False], hit[:-1] & (row[1:] == row[:-1])]))
@@ -183,26 +198,27 @@ def _repeated_in_groups(rows: DataFrame, kind: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([doc, tag, pa.array(lo + inside[edge]), pa.array(lo + inside[end])], ["doc_id", "tag", "lo", "hi"])
 
     spread = shuffle_partitions(rows.sparkSession)
-    return rows.repartition(spread, "rank2").sortWithinPartitions("rank2").mapInArrow(run, f"doc_id {kind}, tag int, lo long, hi long")
+    return rows.repartition(spread, "rank").sortWithinPartitions("rank").mapInArrow(run, f"doc_id {kind}, tag int, lo long, hi long")
 
 
 def repeated_starts(docs: DataFrame) -> DataFrame:
     """doc_id, tag, lo and hi: runs of starts of repeated strings; docs as ``tagged`` gives them."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = anchor_rows(docs.select("doc_id", "text", "tag"))
-    shared = cut(rows.groupBy("rank2").agg(F.count("*").alias("n")).filter("n > 1").select("rank2"))
-    left = store(rows.join(shared, "rank2"), "anchors")
-    last = store(left.groupBy("rank2", "rank3").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "tag", "span")).alias("one")), "ranks")
-    certain = left.join(last.filter("n > 1").select("rank2", "rank3"), ["rank2", "rank3"])
+    rows = anchor_rows(docs.select("doc_id", "text", "tag")).withColumnRenamed(NAMES[0], "rank")
+    for k, name in enumerate(NAMES[1:-1], 1):
+        rows = store(rerank(rows, name), f"anchors{k}")
+    left = rows.withColumnRenamed(NAMES[-1], "name")
+    last = store(left.groupBy("rank", "name").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "tag", "span")).alias("one")), "ranks")
+    certain = left.join(last.filter("n > 1").select("rank", "name"), ["rank", "name"])
     found = certain.select("doc_id", "tag", F.shiftright("span", 8).alias("lo"), (F.shiftright("span", 8) + F.col("span").bitwiseAND(255)).alias("hi"))
-    mixed = cut(last.groupBy("rank2").agg(F.count("*").alias("ranks")).filter("ranks > 1"))
-    open_ = last.join(mixed, "rank2").select("rank2", "ranks", (F.col("n") == 1).alias("alone"), "one.*")
-    few, many = open_.filter(F.col("ranks") <= MANY).drop("ranks"), open_.filter(F.col("ranks") > MANY).drop("ranks")
+    mixed = cut(last.groupBy("rank").agg(F.count("*").alias("names")).filter("names > 1"))
+    open_ = last.join(mixed, "rank").select("rank", "names", (F.col("n") == 1).alias("alone"), "one.*")
+    few, many = open_.filter(F.col("names") <= MANY).drop("names"), open_.filter(F.col("names") > MANY).drop("names")
     found = found.unionByName(_repeated_in_groups(_contexts(docs, few, strings=False), kind))
-    if mixed.filter(F.col("ranks") > MANY).take(1):
+    if mixed.filter(F.col("names") > MANY).take(1):
         strings = store(_contexts(docs, many, strings=True), "strings")
-        repeated = cut(strings.groupBy("string").agg(F.count("*").alias("n")).filter("n > 1").select("string"))
-        found = found.unionByName(strings.filter("alone").join(repeated, "string").select("doc_id", "tag", "lo", F.col("lo").alias("hi")))
+        repeated = cut(strings.groupBy("rank", "string").agg(F.count("*").alias("n")).filter("n > 1").select("rank", "string"))
+        found = found.unionByName(strings.filter("alone").join(repeated, ["rank", "string"]).select("doc_id", "tag", "lo", F.col("lo").alias("hi")))
     return found
 
 
