@@ -7,8 +7,8 @@ stands for the block with that index under a pseudorandom permutation, a new one
 and blocks meet in a join by source and block index.
 
 Only figures of sources and shards are held by the driver; slots, blocks and documents never are.  The order of
-documents in a source comes from a hash of the id, in buckets of few documents, so a source of any size is numbered by
-many tasks.
+documents in a source comes from a hash of id and text, in buckets of few documents, and the buckets are summed up in
+groups, so a source of any size is numbered by many tasks.
 
 A null text has size 0 and is never taken; a null source is a source of its own, last in order; a source without words
 has target 0.  Repeated rows count as often as they occur.  An empty table gives an empty table.  The same table gives
@@ -17,18 +17,21 @@ the same mix.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import cut, mix64, shuffle_partitions, slices, text_batches
+from tidewatch.llm.common import cut, mix64, shuffle_partitions, slices, store, text_batches
 
 WORD = r"[^\x20\x09-\x0D]+"
-BLOCK, SHARDS, BUCKET_ROWS, RUN = 128, 256, 1_000, 20_000
+BLOCK, SHARDS, BUCKET_ROWS, RUN = 128, 256, 250, 20_000
+#: Buckets that are summed up in one group.
+GROUP = 1_000
 
 
 def targets(sizes: Sequence[int], weights: Sequence[float], total: float, most: float = 2.0) -> list[float]:
@@ -48,7 +51,7 @@ def targets(sizes: Sequence[int], weights: Sequence[float], total: float, most:
 
 
 def draw(slots: Sequence[int], shards: int, seed: int) -> list[tuple[int, int, int, int]]:
-    """(shard, source, first slot, number of slots): multinomial counts of each shard, from what is left of each source."""
+    """(shard, source, first slot, number of slots), one for each shard and source: multinomial counts, from what is left of each source."""
     rng = np.random.default_rng(seed)
     left = np.array(slots, np.int64)
     next_slot = np.zeros(len(left), np.int64)
@@ -59,9 +62,7 @@ def draw(slots: Sequence[int], shards: int, seed: int) -> list[tuple[int, int, i
         while want > taken.sum():  # what goes beyond a source's rest is drawn again among the others
             rest = left - taken
             taken += np.minimum(rng.multinomial(want - int(taken.sum()), rest / rest.sum()), rest)
-        for source in np.flatnonzero(taken).tolist():
-            n, at = int(taken[source]), int(next_slot[source])
-            out += [(shard, source, at + i, min(RUN, n - i)) for i in range(0, n, RUN)]
+        out += [(shard, source, int(next_slot[source]), int(taken[source])) for source in np.flatnonzero(taken).tolist()]
         next_slot += taken
         left -= taken
     return out
@@ -96,32 +97,43 @@ def source_figures(sized: DataFrame, weights: Sequence[float], share: float) ->
     return out
 
 
-def place(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5) -> tuple[DataFrame, pd.DataFrame]:
-    """Documents with size, number (of the source) and place (of the first word in its source's row); figures of sources."""
-    spark = docs.sparkSession
-    sized = docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-    sized = sized.withColumn("order", F.xxhash64("text")).drop("text")
-    figures = source_figures(sized.select("source", "size"), weights, share)
-    numbers = spark.createDataFrame([(s, int(n)) for s, n in zip(figures["source"], figures["number"])], "source string, number int")
-    sized = sized.join(F.broadcast(numbers.withColumnRenamed("source", "its_source")), F.col("source").eqNullSafe(F.col("its_source"))).drop("its_source")  # one row for each source
+def numbered(docs: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """Stored once: a number of its own for every row (n), the columns to keep, source, size and a hash of the text."""
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    hashed = F.xxhash64("doc_id", "text")
+    return store(docs.select(F.monotonically_increasing_id().alias("n"), *keep, F.col("doc_id").alias("id"), F.col("source").alias("its_source"), size.alias("size"), hashed.alias("hash")), "sized")
+
+
+def place(rows: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5) -> tuple[DataFrame, pd.DataFrame]:
+    """n, number (of the source), size and place (of the first word in its source's row); figures of sources."""
+    spark = rows.sparkSession
+    sized = rows.select("n", "id", "its_source", "size", "hash")
+    figures = source_figures(sized.select(F.col("its_source").alias("source"), "size"), weights, share)
+    numbers = spark.createDataFrame([(s, int(k)) for s, k in zip(figures["source"], figures["number"])], "source string, number int")
+    sized = sized.join(numbers, F.col("its_source").eqNullSafe(F.col("source"))).drop("source", "its_source")  # broadcast as far as Spark's limit goes
     buckets = max(1, int(figures["rows"].max() if len(figures) else 0) // BUCKET_ROWS)
-    sized = sized.withColumn("bucket", F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(1)), F.lit(buckets)))
-    sums = sized.groupBy("number", "bucket").agg(F.sum("size").alias("words"))
-    before = Window.partitionBy("number").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = cut(sums.select("number", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base")))
-    inside = Window.partitionBy("number", "bucket").orderBy("doc_id", "size", "order").rowsBetween(Window.unboundedPreceding, -1)
+    sized = sized.withColumn("bucket", F.pmod("hash", F.lit(buckets)))
+    sums = cut(sized.groupBy("number", "bucket").agg(F.sum("size").alias("words")).withColumn("group", F.floor(F.col("bucket") / GROUP)))
+    before = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    groups = sums.groupBy("number", "group").agg(F.sum("words").alias("words"))
+    groups = groups.select("number", "group", F.coalesce(F.sum("words").over(before("number", "group")), F.lit(0)).alias("start"))
+    inner = sums.select("number", "group", "bucket", F.coalesce(F.sum("words").over(before("number", "group", "bucket")), F.lit(0)).alias("inner"))
+    starts = cut(inner.join(groups, ["number", "group"]).select("number", "bucket", (F.col("start") + F.col("inner")).alias("base")))
+    inside = Window.partitionBy("number", "bucket").orderBy("hash", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
     sized = sized.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    return sized.join(starts, ["number", "bucket"]).withColumn("place", F.col("base") + F.col("within")).drop("base", "within", "bucket", "order"), figures
+    placed = sized.join(starts, ["number", "bucket"])
+    return placed.select("n", "number", "size", (F.col("base") + F.col("within")).alias("place")), figures
 
 
-def drawn_blocks(docs: DataFrame, figures: pd.DataFrame, seed: int = 1) -> DataFrame:
+def drawn_blocks(spark: SparkSession, figures: pd.DataFrame, seed: int = 1) -> DataFrame:
     """number, block and draws: how many slots of the mix each drawn block fills."""
-    spark = docs.sparkSession
-    runs = draw(figures["slots"].tolist(), SHARDS, seed)
     sizes = dict(zip(figures["number"], figures["blocks"]))
-    rows = [(shard, number, first, n, int(sizes[number])) for shard, number, first, n in runs]
-    slots = spark.createDataFrame(rows, "shard int, number int, first long, n long, blocks long").repartition(shuffle_partitions(spark))
-    slots = slots.select("shard", "number", "blocks", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("slot"))
+    rows = [(shard, number, first, n, int(sizes[number])) for shard, number, first, n in draw(figures["slots"].tolist(), SHARDS, seed)]
+    dealt = spark.createDataFrame(rows, "shard int, number int, first long, n long, blocks long")
+    # Runs of slots are made and dealt to tasks before single slots are.
+    runs = dealt.select("number", "blocks", (F.col("first") + F.col("n")).alias("end"), F.explode(F.sequence("first", F.col("first") + F.col("n") - 1, F.lit(RUN).cast("long"))).alias("run"))
+    runs = runs.repartition(shuffle_partitions(spark))
+    slots = runs.select("number", "blocks", F.explode(F.sequence("run", F.least(F.col("run") + RUN, "end") - 1)).alias("slot"))
 
     @F.pandas_udf("long")
     def block_of(number: pd.Series, slot: pd.Series, blocks: pd.Series) -> pd.Series:
@@ -133,36 +145,36 @@ def drawn_blocks(docs: DataFrame, figures: pd.DataFrame, seed: int = 1) -> DataF
 
 
 def pieces(placed: DataFrame, figures: pd.DataFrame, seed: int = 1) -> DataFrame:
-    """A row for each document and block it lies in: number, place, doc_id, size, from_word, to_word (in the document) and draws."""
+    """A row for each document (n, size) and block it lies in: from_word, to_word (in the document) and draws."""
     first, last = F.floor(F.col("place") / BLOCK), F.floor((F.col("place") + F.col("size") - 1) / BLOCK)
-    parts = placed.withColumn("block", F.explode_outer(F.when(F.col("size") > 0, F.sequence(first, last))))
+    parts = placed.filter("size > 0").withColumn("block", F.explode(F.sequence(first, last)))
     parts = parts.withColumn("from_word", F.greatest(F.col("block") * BLOCK - F.col("place"), F.lit(0)))
     parts = parts.withColumn("to_word", F.least((F.col("block") + 1) * BLOCK - F.col("place"), F.col("size")))
-    drawn = drawn_blocks(placed, figures, seed)
+    drawn = drawn_blocks(placed.sparkSession, figures, seed)
     # The planner takes what explode() makes of a few rows for small; as many rows as blocks must not be broadcast.
-    return parts.join(drawn.hint("merge"), ["number", "block"], "left").withColumn("draws", F.coalesce("draws", F.lit(0)))
+    joined = parts.join(drawn.hint("merge"), ["number", "block"], "left")
+    return joined.select("n", "number", "size", "from_word", "to_word", F.coalesce("draws", F.lit(0)).alias("draws"))
 
 
 def taken_words(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, seed: int = 1) -> DataFrame:
     """doc_id, size, source_size, target (both of its source) and taken, the words that the mix takes of the document."""
-    placed, figures = place(docs.select("doc_id", "source", "text"), weights, share)
-    placed = placed.select("doc_id", "number", "size", "place")
-    spark = docs.sparkSession
-    of_source = spark.createDataFrame([(int(n), int(w), float(t)) for n, w, t in zip(figures["number"], figures["words"], figures["target"])], "number int, source_size long, target double")
-    counted = pieces(placed.filter("size > 0"), figures, seed).groupBy("number", "place", "doc_id", "size").agg(F.sum((F.col("to_word") - F.col("from_word")) * F.col("draws")).alias("taken"))
-    out = counted.unionByName(placed.filter("size = 0").withColumn("taken", F.lit(0).cast("long")))
-    return out.join(F.broadcast(of_source), "number").select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))  # one row for each source
+    rows = numbered(docs, ["doc_id"])
+    placed, figures = place(rows, weights, share)
+    of_source = docs.sparkSession.createDataFrame([(s, int(w), float(t)) for s, w, t in zip(figures["source"], figures["words"], figures["target"])], "source string, source_size long, target double")
+    taken = pieces(placed, figures, seed).groupBy("n").agg(F.sum((F.col("to_word") - F.col("from_word")) * F.col("draws")).alias("taken"))
+    out = rows.join(taken, "n", "left").join(of_source, F.col("its_source").eqNullSafe(F.col("source")))
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, seed: int = 1) -> DataFrame:
     """The mixed documents, with the columns they had: the words that were drawn of each text, once for each pass."""
     names = text_batches(docs).columns
-    own = docs.select(F.struct(*names).alias("row"), F.col("doc_id"), F.col("source"), F.col("text"))
-    placed, figures = place(own, weights, share)
-    chosen = pieces(placed.select("doc_id", "number", "size", "place").filter("size > 0"), figures, seed).filter("draws > 0")
-    copies = chosen.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("draws").cast("int"))))
-    taken = copies.groupBy("number", "place", "copy").agg(F.sort_array(F.collect_list(F.struct("from_word", "to_word"))).alias("parts"))
-    joined = placed.filter("size > 0").select("number", "place", "row").join(taken.hint("merge"), ["number", "place"])
+    rows = numbered(docs, [F.struct(*names).alias("row")])
+    placed, figures = place(rows, weights, share)
+    copies = pieces(placed, figures, seed).filter("draws > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("draws").cast("int"))))
+    taken = copies.groupBy("n", "copy").agg(F.sort_array(F.collect_list(F.struct("from_word", "to_word"))).alias("parts"))
+    # Texts meet a hash table of narrow rows, so they needn't be sorted.
+    joined = rows.select("n", "row").join(taken.hint("shuffle_hash"), "n")
     schema = docs.schema
 
     def cut_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,8 +191,6 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
 
 def join_words(text: str, parts: list[tuple[int, int]]) -> str:
     """The text from the first to the last word of each part, parts that follow each other as one; a line feed between others."""
-    import re
-
     spans = [m.span() for m in re.finditer(WORD, text)]
     runs: list[list[int]] = []
     for a, b in parts:
