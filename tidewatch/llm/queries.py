@@ -84,11 +84,11 @@ ORACLE_SQL = {
         SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN origin <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN origin <> page_id THEN origin END AS refers_to, NULL::VARCHAR AS error FROM f""",
     "op8_topk": """
-        WITH good AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+        WITH good AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
                       WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-        pairs AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
-                  FROM good q JOIN good c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
-        ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM pairs)
+        pairs AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+                  FROM good q JOIN good c ON q.vec_id % 50 = 0 AND c.r <> q.r),
+        ranked AS (SELECT query_id, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM pairs)
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
     "op5_url_filter": r"""
         WITH parts AS (

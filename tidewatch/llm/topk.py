@@ -6,14 +6,15 @@ about ``GROUP`` vectors.  A query looks into the annuli that could be nearest, i
 inequality an annulus can be left out when the query's distance to the pivot is further from the annulus than the
 k-th best found so far.  The last step looks into all that are left, so the result is exact.
 
-Annulus and query block (of at most about ``GROUP`` queries) make a group; annuli of more vectors, such as repeated
-ones, are cut by a hash of the id.  The driver holds the pivots and the bounds of the annuli, whose number is bounded
-by PIVOTS * RINGS.
+Annulus and query block (of at most about ``GROUP`` queries with the same nearest pivot, which want much the same
+annuli) make a group, and only the groups that queries want get rows of the index; annuli of more vectors, such as
+repeated ones, are cut by a hash of the row.  The driver holds the pivots and the bounds of the annuli, whose number is
+bounded by PIVOTS * RINGS.
 
 Vectors that are null, or hold a null or a component that isn't finite, take no part; nor do those of another length
-than the commonest (the larger of two as common), nor rows without an id.  Of rows with the same id one takes part, the
-one whose vector sorts first.  Ties go to the smaller id.  An empty table gives an empty result; other columns are
-ignored.
+than the commonest (the larger of two as common), nor rows without an id.  Rows with the same id are rows of their own:
+each is a query of its own, and a candidate of all others.  Ties go to the smaller id.  An empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import cut
+from tidewatch.llm.common import cut, store
 
 PIVOTS, RINGS, SAMPLE, GROUP = 32, 64, 4_096, 2_048
 #: How many annuli a query looks into before all that the bounds leave.
@@ -34,14 +35,15 @@ FIRST_RINGS = 4
 
 
 def integer_vectors(table: DataFrame, vector: str = "embedding", scale: int = 256) -> DataFrame:
-    """vec_id and v: each component x as floor(scale * x)."""
+    """row (a number of its own), vec_id and v: each component x as floor(scale * x); stored, so that the numbers stay."""
     x = F.col(vector)
     finite = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     good = table.filter(x.isNotNull() & F.col("vec_id").isNotNull()).filter(finite)
     # floor() gives a whole number; as a double again, so that arrays of any magnitude can be compared.
-    good = good.select("vec_id", F.transform(x, lambda c: F.floor(c.cast("double") * scale).cast("double")).alias("v"))
+    good = good.select(F.monotonically_increasing_id().alias("row"), "vec_id", F.transform(x, lambda c: F.floor(c.cast("double") * scale).cast("double")).alias("v"))
+    good = store(good, "vectors")
     lengths = good.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    return good.filter(F.size("v") == (lengths["n"] if lengths else 0)).groupBy("vec_id").agg(F.min("v").alias("v"))
+    return good.filter(F.size("v") == (lengths["n"] if lengths else 0))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -56,6 +58,11 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1) - 2 * a @ b.T, 0))
 
 
+def _slack(width: int, longest: float) -> float:
+    """What rounding may add to a distance of vectors whose squares sum up to ``longest`` at most."""
+    return float(np.sqrt(16 * np.finfo(float).eps * (width + 8) * max(longest, 1.0)))
+
+
 def choose_pivots(sample: np.ndarray) -> np.ndarray:
     """Points of the sample far from each other, moved to the middle of what is nearest to them."""
     chosen = [0]
@@ -74,18 +81,18 @@ def build_index(vectors: DataFrame) -> tuple[DataFrame, pd.DataFrame, np.ndarray
     """Vectors with ring and part; the rings (pivot, ring, lo, hi, parts); the pivots; the square of the greatest length."""
     norm = F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c)
     longest = float(vectors.agg(F.max(norm)).first()[0] or 0.0)
-    sample = vectors.select("v", F.xxhash64("vec_id").alias("h"), "vec_id").orderBy("h", "vec_id").limit(SAMPLE).select("v").toPandas()
+    sample = vectors.select("v", F.xxhash64("vec_id", "v").alias("h")).orderBy("h").limit(SAMPLE).select("v").toPandas()
     if not len(sample):
-        return vectors.select("vec_id", "v", F.lit(0).alias("ring"), F.lit(0).alias("part")), pd.DataFrame(), np.zeros((0, 1)), longest
+        return vectors.select("row", "vec_id", "v", F.lit(0).alias("pivot"), F.lit(0).alias("ring"), F.lit(0).alias("part")), pd.DataFrame(), np.zeros((0, 1)), longest
     pivots = choose_pivots(_augment(np.stack(sample["v"].to_list()), longest))
 
     def locate(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 d = _distances(_augment(_matrix(batch.column("v")), longest), pivots)
-                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(d.argmin(axis=1).astype(np.int32)), pa.array(d.min(axis=1))], ["vec_id", "v", "pivot", "dist"])
+                yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("vec_id"), batch.column("v"), pa.array(d.argmin(axis=1).astype(np.int32)), pa.array(d.min(axis=1))], ["row", "vec_id", "v", "pivot", "dist"])
 
-    located = cut(vectors.mapInArrow(locate, f"vec_id {vectors.schema['vec_id'].dataType.simpleString()}, v array<double>, pivot int, dist double"))
+    located = cut(vectors.mapInArrow(locate, f"row long, vec_id {vectors.schema['vec_id'].dataType.simpleString()}, v array<double>, pivot int, dist double"))
     cuts = located.groupBy("pivot").agg(F.count("*").alias("n"), F.percentile_approx("dist", [i / RINGS for i in range(1, RINGS)]).alias("q")).toPandas()
     inner = {}
     for pivot, n, q in zip(cuts["pivot"], cuts["n"], cuts["q"]):
@@ -103,35 +110,44 @@ def build_index(vectors: DataFrame) -> tuple[DataFrame, pd.DataFrame, np.ndarray
     ringed = located.withColumn("ring", ring_of("pivot", "dist"))
     rings = ringed.groupBy("ring").agg(F.first("pivot").alias("pivot"), F.min("dist").alias("lo"), F.max("dist").alias("hi"), F.count("*").alias("n")).toPandas().sort_values("ring")
     rings["parts"] = -(-rings["n"] // GROUP)
-    # Which part of an annulus that is cut: by the id.
+    # Which part of an annulus that is cut: by the row.
     pairs = [F.lit(int(x)) for r, parts in zip(rings["ring"], rings["parts"]) if parts > 1 for x in (r, parts)]
     parts = F.coalesce(F.create_map(*pairs)[F.col("ring")], F.lit(1)) if pairs else F.lit(1)
-    return ringed.select("vec_id", "v", "ring", F.pmod(F.xxhash64("vec_id"), parts).cast("int").alias("part")), rings.reset_index(drop=True), pivots, longest
+    return ringed.select("row", "vec_id", "v", "pivot", "ring", F.pmod(F.xxhash64("row"), parts).cast("int").alias("part")), rings.reset_index(drop=True), pivots, longest
 
 
-def _best(q: pd.DataFrame, x: pd.DataFrame, k: int) -> pd.DataFrame:
+def _best(q: pa.Table, x: pa.Table, k: int) -> pa.Table:
     """The k best of x for each query of a group; those of the k-th score are all weighed, the smaller id first."""
-    scores = np.stack(q["v"].to_list()) @ np.stack(x["v"].to_list()).T
-    ids, own = x["vec_id"].to_numpy(), q["query_id"].to_numpy()
-    scores[own[:, None] == ids[None, :]] = -np.inf
-    kth = np.partition(scores, -min(k, len(ids)), axis=1)[:, -min(k, len(ids))]
-    row, col = np.nonzero((scores >= kth[:, None]) & np.isfinite(scores))
-    order = np.lexsort((ids[col], -scores[row, col], row))
-    row, col = row[order], col[order]
-    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
-    row, col = row[keep], col[keep]
-    return pd.DataFrame({"query_id": own[row], "vec_id": ids[col], "score": scores[row, col].astype(np.int64)})
+    ids, rows, own = x["vec_id"].to_numpy(), x["row"].to_numpy(), q["query_row"].to_numpy()
+    found = []
+    matrix = _matrix(x["v"].combine_chunks()).T
+    for i in range(0, len(own), 512):
+        part = q.slice(i, 512)
+        scores = _matrix(part["v"].combine_chunks()) @ matrix
+        scores[own[i : i + 512, None] == rows[None, :]] = -np.inf
+        kth = np.partition(scores, -min(k, len(ids)), axis=1)[:, -min(k, len(ids))]
+        row, col = np.nonzero((scores >= kth[:, None]) & np.isfinite(scores))
+        order = np.lexsort((ids[col], -scores[row, col], row))
+        row, col = row[order], col[order]
+        keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+        row, col = row[keep], col[keep]
+        found.append(pa.table({"query_row": own[i + row], "query_id": part["query_id"].take(pa.array(row)), "vec_id": x["vec_id"].take(pa.array(col)), "score": scores[row, col].astype(np.int64)}))
+    return pa.concat_tables(found)
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id and score of the k best other vectors of each query."""
-    vectors = cut(vectors)
     kind = vectors.schema["vec_id"].dataType.simpleString()
     index, rings, pivots, longest = build_index(vectors)
-    result = f"query_id {kind}, vec_id {kind}, score long"
-    queries = vectors.filter(is_query).select(F.col("vec_id").alias("query_id"), "v")
-    blocks = max(1, -(-queries.count() // GROUP))
     index = cut(index)
+    result = f"query_row long, query_id {kind}, vec_id {kind}, score long"
+    queries = index.filter(is_query).select(F.col("row").alias("query_row"), F.col("vec_id").alias("query_id"), "v", "pivot")
+    # Queries of a pivot come in blocks; as many figures as pivots.
+    counts = {r["pivot"]: -(-r["count"] // GROUP) for r in queries.groupBy("pivot").count().collect()}
+    base = dict(zip(counts, np.cumsum([0, *counts.values()]).tolist()))
+    of_pivot = lambda figures: F.coalesce(F.create_map(*[F.lit(int(x)) for item in figures.items() for x in item])[F.col("pivot")], F.lit(0)) if figures else F.lit(0)
+    queries = cut(queries.withColumn("block", (of_pivot(base) + F.pmod(F.xxhash64("query_row"), F.greatest(of_pivot(counts), F.lit(1)))).cast("int")).drop("pivot"))
+    slack = 3 * _slack(pivots.shape[1], longest)
 
     def visit(first: bool, kth: str | None):
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,14 +165,14 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
                 else:
                     score = batch.column(kth).to_numpy(zero_copy_only=False).astype(float)
                     # Distance of the k-th best so far, a little more for rounding; none so far: everything.
-                    reach = np.where(np.isnan(score), np.inf, np.sqrt(np.maximum((v * v).sum(axis=1) + longest - 2 * score, 0))) * (1 + 1e-9) + 1e-3
+                    reach = np.where(np.isnan(score), np.inf, np.sqrt(np.maximum((v * v).sum(axis=1) + longest - 2 * score, 0))) * (1 + 1e-9) + slack
                     wanted = (place >= FIRST_RINGS) & (bound <= reach[:, None])
                 row, ring = np.nonzero(wanted)
                 parts = rings["parts"].to_numpy()[ring]
                 row, ring = np.repeat(row, parts), np.repeat(ring, parts)
                 part = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
                 take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([batch.column("query_id").take(take), batch.column("v").take(take), pa.array(rings["ring"].to_numpy()[ring].astype(np.int32)), pa.array(part.astype(np.int32))], ["query_id", "v", "ring", "part"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in ("query_row", "query_id", "v", "block")), pa.array(rings["ring"].to_numpy()[ring].astype(np.int32)), pa.array(part.astype(np.int32))], ["query_row", "query_id", "v", "block", "ring", "part"])
 
         return run
 
@@ -164,16 +180,22 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
         return np.hstack([v, np.zeros((len(v), 1))])
 
     keys = ["ring", "part", "block"]
-    spread = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+    def best(a: pa.Table, b: pa.Table) -> pa.Table:
+        if a.num_rows and b.num_rows:
+            return _best(a, b, k)
+        return pa.table({"query_row": pa.array([], pa.int64()), "query_id": a["query_id"].slice(0, 0), "vec_id": b["vec_id"].slice(0, 0), "score": pa.array([], pa.int64())})
 
     def look(q: DataFrame, first: bool, kth: str | None) -> DataFrame:
-        wanted = q.mapInArrow(visit(first, kth), f"query_id {kind}, v array<double>, ring int, part int").withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-        found = wanted.groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInPandas(lambda a, b: _best(a, b, k) if len(a) and len(b) else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}), result)
-        return found
+        wanted = cut(q.mapInArrow(visit(first, kth), f"query_row long, query_id {kind}, v array<double>, block int, ring int, part int"))
+        # Rows of the index only for the groups that queries want.
+        asked = wanted.select(F.col("ring").alias("in_ring"), F.col("part").alias("in_part"), F.col("block").alias("for_block")).distinct()
+        spread = index.drop("pivot").join(asked, (F.col("ring") == F.col("in_ring")) & (F.col("part") == F.col("in_part")))
+        return wanted.groupBy(*keys).cogroup(spread.groupBy("in_ring", "in_part", "for_block")).applyInArrow(best, result)
 
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     near = cut(look(queries, True, None).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k))
-    kth = near.filter(F.col("rank") == k).select("query_id", F.col("score").alias("kth"))
-    rest = look(queries.join(kth, "query_id", "left"), False, "kth")
+    kth = near.filter(F.col("rank") == k).select("query_row", F.col("score").alias("kth"))
+    rest = look(queries.join(kth, "query_row", "left"), False, "kth")
     both = near.drop("rank").unionByName(rest)
     return both.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
