@@ -61,7 +61,7 @@ def test_no_pages(spark, tmp_path):
 
 def test_damaged_segments_are_told(spark):
     block = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n" + warc.chunked(b"abc")
-    part = lambda n, total, data: ("f", "r", "response" if n == 1 else "continuation", 1 if n == 1 else None, None, None, n, total, data)
+    part = lambda n, total, data: ("f", "r", "response" if n == 1 else "continuation", 1 if n == 1 else None, None, None, n, total, data, None)
     whole = spark.createDataFrame([part(1, None, block[:20]), part(2, len(block), block[20:])], warc.RECORD)
     assert bytes(warc.decode(warc.reassemble(whole)).first().payload) == b"abc"
     missing = spark.createDataFrame([part(1, None, block[:20]), part(3, len(block), block[20:])], warc.RECORD)
@@ -78,7 +78,36 @@ def test_chunked_framing(data):
 
 def test_several_gzip_members():
     record = warc._record({"WARC-Type": "response", "WARC-Record-ID": "<x>"}, b"body") + b"\r\n\r\n"
-    assert [b for _, b in warc.parse(gzip.compress(record) + gzip.compress(record))] == [b"body"] * 2
+    assert [b for _, b, _ in warc.parse(gzip.compress(record) + gzip.compress(record))] == [b"body"] * 2
+
+
+def test_archives_of_others(spark, tmp_path):
+    """Foreign ids, segments in two files, other types, headers without a space, plain files; damaged and truncated ones give error rows."""
+    http = b"HTTP/1.1 200 OK\r\nContent-Type:text/html\r\n\r\n"
+    gap = b"\r\n\r\n"
+    one = b"WARC/1.0\r\nWARC-Type:response\r\nWARC-Record-ID:<urn:uuid:1>\r\nWARC-Payload-Digest: sha1:ABC\r\nContent-Length:%d\r\n\r\n" % len(http + b"abc") + http + b"abc"
+    info = warc._record({"WARC-Type": "warcinfo", "WARC-Record-ID": "<urn:uuid:0>"}, b"software: x")
+    block = http + b"long" * 10
+    first = warc._record({"WARC-Type": "response", "WARC-Record-ID": "<urn:uuid:2>", "WARC-Segment-Number": 1}, block[:50])
+    second = warc._record({"WARC-Type": "continuation", "WARC-Record-ID": "<urn:uuid:3>", "WARC-Segment-Origin-ID": "<urn:uuid:2>", "WARC-Segment-Number": 2, "WARC-Segment-Total-Length": len(block)}, block[50:])
+    whole = gzip.compress(info + gap + second + gap)
+    files = {"a.warc": info + gap + one + gap + first + gap, "b.warc.gz": whole, "c.warc.gz": gzip.compress(one + gap + one * 50)[:-30], "d.warc": b"rubbish\r\n\r\n" + one + gap + b"WARC/1.0\r\nno length\r\n\r\n" + one + gap, "e.warc.gz": b"\x1f\x8bno gzip"}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    rows = warc.decode(warc.reassemble(warc.read(spark, str(tmp_path)))).collect()
+    assert all(r.page_id is None for r in rows)
+    good = sorted(bytes(r.payload) for r in rows if r.error is None)
+    assert good.count(b"software: x") == 2 and good.count(b"long" * 10) == 1 and good.count(b"abc") >= 4
+    assert all(r.payload is None for r in rows if r.error) and sum(bool(r.error) for r in rows) >= 4
+
+
+def test_record_ids_differ(spark, tmp_path):
+    rows = [(i % 4, "u", f"{i % 4}" * 40_000) for i in range(12)] + [(None, "u", "x")] * 3
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5), str(tmp_path / "w"))
+    records = warc.read(spark, str(tmp_path / "w")).collect()
+    heads = [r.record_id for r in records if r.record_type != "continuation"]
+    assert len(heads) == len(set(heads)) == 15
+    assert warc.decode(warc.reassemble(warc.read(spark, str(tmp_path / "w")))).filter("error IS NULL").count() == 15
 
 
 def plain_search(rows, k):
@@ -106,7 +135,10 @@ def test_search_of_odd_rows(spark):
     rows = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (50, [1.0, None]), (100, None), (150, [float("nan"), 1.0]), (200, [float("inf"), 1.0]), (250, [1.0, 1.0, 1.0]), (None, [1.0, 1.0]), (1, [3.0, 0.0]), (2, [3.0, 0.0])]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = topk.search(topk.integer_vectors(table), F.col("vec_id") % 50 == 0, 5).collect()
-    assert sorted(map(tuple, got)) == [(0, 1, 1, 196_608), (0, 2, 2, 196_608)]
+    each = [(0, 1, 0, 327_680), (0, 2, 1, 196_608), (0, 3, 2, 196_608)]  # the rows with id 0 are candidates of each other
+    assert sorted(map(tuple, got)) == sorted(each * 2)
+    twice = spark.createDataFrame([(0, [1.0, 0.0]), (1, [3.0, 0.0]), (1, [9.0, 9.0])], "vec_id long, embedding array<float>")
+    assert [tuple(r) for r in topk.search(topk.integer_vectors(twice), F.col("vec_id") % 50 == 0, 1).collect()] == [(0, 1, 1, 589_824)]
     assert topk.search(topk.integer_vectors(table.limit(0)), F.col("vec_id") % 50 == 0, 5).count() == 0
 
 
