@@ -4,9 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.operators import detectors, frames, kernels, measures, segments
+from tidewatch.operators import detectors, frames, kernels, measures, models, segments
 from tidewatch.operators import period as periods
-from tidewatch.plans import bench
+from tidewatch.plans import bench, registry
 from tidewatch.plans.registry import REGISTRY, detect, register
 from tidewatch.sources import series as sources
 from tidewatch.streaming import features as streams
@@ -159,7 +159,7 @@ def spike(spark, n=300, at=200):
     return spark.createDataFrame([("a", i, float(x)) for i, x in enumerate(v)], "series_id string, idx long, value double")
 
 
-@pytest.mark.parametrize("name, params", [("Sub_IForest", {"width": 20}), ("Sub_PCA", {"width": 20}), ("Sub_OCSVM", {"width": 20}), ("Sub_MCD", {"width": 5}), ("Sub_KNN", {"width": 20}), ("Sub_LOF", {"width": 20}), ("Sub_HBOS", {"width": 20}), ("AutoEncoder", {"width": 20}), ("TimesFM", {"width": 30}), ("MatrixProfile", {"width": 20}), ("KMeansAD", {"width": 20})])
+@pytest.mark.parametrize("name, params", [("Sub_IForest", {"width": 20}), ("Sub_PCA", {"width": 20}), ("Sub_OCSVM", {"width": 20}), ("Sub_MCD", {"width": 5}), ("Sub_KNN", {"width": 20}), ("Sub_LOF", {"width": 20}), ("Sub_HBOS", {"width": 20}), ("AutoEncoder", {"width": 20}), ("LinearForecast", {"width": 30}), ("FITS", {"width": 20}), ("Seasonal", {"width": 25}), ("DetrendedMean", {"width": 10}), ("POLY", {"width": 20}), ("MatrixProfile", {"width": 20}), ("KMeansAD", {"width": 20})])
 def test_detectors_find_a_spike(spark, name, params):
     rows = detect(spike(spark), name, **params).collect()
     score = np.array([r.score for r in sorted(rows, key=lambda r: r.idx)])
@@ -213,7 +213,7 @@ def test_robust_principal_components(spark):
 
 
 def test_registry(spark):
-    assert len(REGISTRY) == 47
+    assert len(REGISTRY) == 50
     with pytest.raises(ValueError, match="not available"):
         detect(spike(spark), "NORMA")
     with pytest.raises(ValueError, match="no parameter"):
@@ -225,15 +225,103 @@ def test_registry(spark):
 
 def test_errors_stay_with_their_series(spark):
     both = spike(spark).unionByName(spark.createDataFrame([("b", 0, 1.0)], "series_id string, idx long, value double"))
-    rows = detect(both, "TimesFM", width=30).groupBy("series_id").agg(F.max("error").alias("error")).collect()
-    assert {r.series_id: r.error is None for r in rows} == {"a": True, "b": False}
-
-
-def test_cluster_scores(spark):
-    p = spark.createDataFrame([("a", i, [float(i % 2)], 0 if i < 8 else 1) for i in range(9)], "series_id string, idx long, v array<double>, cluster int")
-    c = spark.createDataFrame([("a", 0, [0.0]), ("a", 1, [5.0])], "series_id string, cluster int, c array<double>")
-    out = {r.idx: r.score for r in detectors.cluster_scores(p, c, 0.8, 5.0).collect()}
-    assert out[1] == 1 and out[8] == 0  # the small cluster's point is scored by the large centre
+    for name, params in (("SAND", {}), ("Sub_PCA", {"width": 20}), ("Sub_OCSVM", {"width": 20})):
+        rows = detect(both, name, **params).groupBy("series_id").agg(F.max("error").alias("error"), F.count("*").alias("n")).collect()
+        assert {r.series_id: (r.error is None, r.n) for r in rows} == {"a": (True, 300), "b": (False, 1)} or name == "Sub_OCSVM"
+
+
+def test_cluster_factor(spark, monkeypatch):
+    """Large clusters by coverage; the point of a small one is scored by the nearest large centre."""
+    x = [0.0] * 40 + [1.0] * 40 + [9.0] * 4
+    p = spark.createDataFrame([("a", i, [v]) for i, v in enumerate(x)], "series_id string, idx long, v array<double>")
+    out = {r.idx: r.score for r in models.cluster_factor(p, clusters=3, alpha=0.9).collect()}
+    assert out[0] == out[50] == 0 and out[82] == pytest.approx(8)
+
+
+def cloud(spark, n=3_000):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(n, 3)) @ np.array([[2, 0.5, 0], [0, 1, 0.3], [0, 0, 0.2]]) + rng.integers(0, 3, size=(n, 1)) * 6
+    x[::100] += rng.normal(size=(n // 100, 3)) * 8
+    rows = spark.createDataFrame([(name, i, (v * s).tolist()) for name, s in (("a", 1), ("b", 2)) for i, v in enumerate(x)], "series_id string, idx long, v array<double>")
+    return x, rows.repartition(6)
+
+
+def scores_of(df, name="a"):
+    return np.array([r.score for r in df.filter(F.col("series_id") == name).orderBy("idx").collect()])
+
+
+@pytest.fixture
+def in_parts(monkeypatch):
+    """Series come in several buckets and are larger than the pool."""
+    monkeypatch.setattr(models, "POOL", 500)
+    monkeypatch.setattr(segments, "BUCKET", 700)
+
+
+def test_principal_components_of_all_points(spark, in_parts):
+    x, rows = cloud(spark)
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    values, vectors = np.linalg.eigh(np.cov(z, rowvar=False))
+    vectors = vectors * np.sign(vectors[np.abs(vectors).argmax(axis=0), np.arange(3)])
+    want = sum(np.linalg.norm(z - vectors[:, i], axis=1) / (values[i] / values.sum()) for i in range(3))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    got = models.principal(rows)
+    assert np.allclose(scores_of(got), want) and np.allclose(scores_of(got, "b"), want)
+    assert got.filter("series_id = 'a'").select(F.spark_partition_id()).distinct().count() > 1  # one series, several tasks
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_clusters_of_all_points(spark, in_parts):
+    x, rows = cloud(spark)
+    got = scores_of(models.centre_distance(rows, clusters=3, rounds=10))
+    centres = np.stack([x[np.argsort(got)[:1]][0] * 0 + c for c in x[:3]])
+    for _ in range(50):
+        of = ((x[:, None] - centres) ** 2).sum(axis=2).argmin(axis=1)
+        centres = np.stack([x[of == i].mean(axis=0) for i in range(3)])
+    inertia = (np.sqrt(((x[:, None] - centres) ** 2).sum(axis=2)).min(axis=1) ** 2).sum()
+    assert (got**2).sum() < 1.05 * inertia
+
+
+def test_robust_covariance_of_all_points(spark, in_parts):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3_000, 2)) @ np.array([[2, 1], [0, 1]])
+    x[:300] = rng.normal(30, 1, size=(300, 2))
+    rows = spark.createDataFrame([("a", i, v.tolist()) for i, v in enumerate(x)], "series_id string, idx long, v array<double>").repartition(4)
+    got = scores_of(models.covariance_distance(rows))
+    assert got[:300].min() > np.quantile(got[300:], 0.999)
+    inner = got[300:] <= np.median(got)
+    mean, cov = x[300:][inner].mean(axis=0), np.cov(x[300:][inner], rowvar=False)
+    assert np.corrcoef(got[300:], np.einsum("ij,ij->i", (x[300:] - mean) @ np.linalg.inv(cov), x[300:] - mean))[0, 1] > 0.99
+
+
+@pytest.mark.parametrize("extended", [False, True])
+def test_isolation_forests(spark, in_parts, extended):
+    x, rows = cloud(spark)
+    got = scores_of(models.isolation(rows, extended=extended, trees=50))
+    assert ((got > 0) & (got < 1)).all() and got[::100].mean() > got.mean() + 0.05
+    assert np.allclose(got, scores_of(models.isolation(rows.repartition(3), extended=extended, trees=50)))
+
+
+def test_semi_supervised_runs_learn_from_the_prefix(spark):
+    """Points behind the prefix don't change the scores of those in it; unsupervised detectors refuse a prefix."""
+    one, two = spike(spark), spike(spark).withColumn("value", F.when(F.col("idx") < 150, F.col("value")).otherwise(F.col("value") ** 2))
+    train = spark.createDataFrame([("a", 150)], "series_id string, train_index int")
+    for name, params in (("Sub_OCSVM", {"width": 8}), ("LinearForecast", {"width": 8}), ("FITS", {"width": 8}), ("DetrendedMean", {"width": 10}), ("AutoEncoder", {"width": 1, "epochs": 2})):
+        a, b = (scores_of(registry.detect_semisupervised(s, name, train, **params)) for s in (one, two))
+        same = slice(0, 130)
+        assert np.allclose(a[same], b[same]) == (name not in ("Sub_OCSVM", "AutoEncoder")) and not np.allclose(a[160:], b[160:]), name
+    with pytest.raises(ValueError, match="unsupervised"):
+        registry.detect_semisupervised(one, "SR", train)
+    with pytest.raises(ValueError, match="semisupervised"):
+        registry.detect_unsupervised(one, "FITS")
+
+
+def test_widths_from_the_period(spark):
+    two = spark.createDataFrame([(name, i, float(np.sin(2 * np.pi * i / p)) + (i == 200)) for name, p in (("a", 20), ("b", 31)) for i in range(400)], "series_id string, idx long, value double")
+    got = detect(two, "Sub_PCA", period_rank=1)
+    for name, p in (("a", 20), ("b", 31)):
+        assert np.allclose(scores_of(got, name), scores_of(detect(two.filter(F.col("series_id") == name), "Sub_PCA", width=p), name))
+    with pytest.raises(ValueError, match="period"):
+        detect(two, "SR", period_rank=1)
 
 
 def test_kernels():

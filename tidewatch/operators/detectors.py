@@ -7,10 +7,14 @@ from __future__ import annotations
 
 from math import ceil
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.operators.frames import edge_pad, min_fill_pad, minmax, ratio, windows, zscore, zscore_lags
+from tidewatch.operators.segments import overlapping
 
 
 def window_values(series: DataFrame, width: int) -> DataFrame:
@@ -26,6 +30,8 @@ def hbos(values: DataFrame, bins: int = 10, alpha: float = 0.1, tol: float = 0.5
     """Sum over columns of -log2(density + alpha) of each value's bin in a histogram of equal bins.
 
     Bins are counted closed on the left and looked up closed on the right; the least value counts as in the first bin.
+    ``tol`` is how far, in bins, a value may lie outside the histogram and still count as in its first or last bin; no
+    value that the histogram was made of lies outside, so it changes nothing here.
     """
     ends = values.groupBy("series_id", "lag").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count("*").alias("n"))
     # A constant column has a range of one around it.
@@ -53,19 +59,59 @@ def _squared(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
 
 
-def pair_distances(points: DataFrame, blocks: int = 8) -> DataFrame:
-    """series_id, idx, other and dist of all ordered pairs of a series' points (array column v), in blocks of both sides."""
-    dealt = points.withColumn("_b", (F.col("idx") % blocks).cast("int"))
-    every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    left = dealt.select("series_id", "idx", "v", F.col("_b").alias("i"), F.explode(every).alias("j"))
-    right = dealt.select("series_id", F.col("idx").alias("other"), F.col("v").alias("u"), F.explode(every).alias("i"), F.col("_b").alias("j"))
-    return left.join(right, ["series_id", "i", "j"]).filter("idx <> other").select("series_id", "idx", "other", F.sqrt(_squared("v", "u")).alias("dist"))
-
-
-def neighbours(points: DataFrame, k: int) -> DataFrame:
-    """series_id, idx, rank, other and dist of the k nearest; ties to the smaller index."""
+#: Points in a block of those that are compared with each other at once.
+BLOCK = 1_024
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    return np.stack([np.asarray(v, float) for v in column.to_pylist()]) if len(column) else np.zeros((0, 0))
+
+
+def _nearest_of(a: pa.Table, b: pa.Table, k: int, apart: int, past: bool) -> pa.Table:
+    """The k nearest of b for each point of a: by a matrix product first, and those that it can't tell from the k-th again value by value."""
+    x, y, own, other = _matrix(a["v"]), _matrix(b["u"]), a["idx"].to_numpy(), b["other"].to_numpy()
+    rows = []
+    for i in range(0, len(own), 256):
+        part, at = x[i : i + 256], own[i : i + 256, None]
+        left, right = (part * part).sum(axis=1), (y * y).sum(axis=1)
+        near = left[:, None] + right - 2 * part @ y.T
+        allowed = (np.abs(at - other) > apart) & ((other < at) if past else (other != at))
+        near[~allowed] = np.inf
+        few = min(k, near.shape[1])
+        # What rounding may add, for vectors of these lengths.
+        slack = 1e-14 * (x.shape[1] + 8) * (left.max(initial=0) + right.max(initial=0))
+        close = (near <= np.partition(near, few - 1, axis=1)[:, few - 1 :][:, :1] + 2 * slack) & allowed
+        r, c = np.nonzero(close)
+        total = np.zeros(len(r))
+        for d in range(x.shape[1]):  # in order, as a plain sum over the array would
+            step = part[r, d] - y[c, d]
+            total += step * step
+        order = np.lexsort((other[c], total, r))
+        r, c, total = r[order], c[order], total[order]
+        first = np.arange(len(r)) - np.searchsorted(r, r) < k
+        rows.append((own[i + r[first]], other[c[first]], np.sqrt(total[first])))
+    idx, found, dist = (np.concatenate(z) for z in zip(*rows)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    series = pa.array(np.repeat(a["series_id"][0].as_py() if a.num_rows else "", len(idx)).tolist(), pa.string())
+    return pa.table({"series_id": series, "idx": idx, "other": found, "dist": dist})
+
+
+def neighbours(points: DataFrame, k: int, apart: int = 0, past: bool = False) -> DataFrame:
+    """series_id, idx, rank, other and dist of the k nearest points (array column v) of the series; ties to the smaller index.
+
+    Points come in blocks of about BLOCK; two blocks are compared in one task by a matrix product, which gives the k
+    nearest of the one block for each point of the other, so the shuffle holds k rows for each point and block, not one
+    for each pair.  ``apart``: others must be further away in idx; ``past``: only earlier ones.
+    """
+    sizes = points.groupBy("series_id").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks"))
+    dealt = points.select("series_id", F.col("idx").cast("long").alias("idx"), "v").join(sizes, "series_id").withColumn("_b", F.pmod(F.xxhash64("idx"), F.col("_blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+    # By a number, so that small tables aren't put in one task: it is the computation that counts.
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = dealt.select("series_id", "idx", "v", F.col("_b").alias("i"), every.alias("j")).repartition(tasks, "series_id", "i", "j").groupBy("series_id", "i", "j")
+    right = dealt.select(F.col("series_id").alias("_series"), F.col("idx").alias("other"), F.col("v").alias("u"), every.alias("_i"), F.col("_b").alias("_j")).repartition(tasks, "_series", "_i", "_j").groupBy("_series", "_i", "_j")
+    best = left.cogroup(right).applyInArrow(lambda a, b: _nearest_of(a, b, k, apart, past), "series_id string, idx long, other long, dist double")
     order = Window.partitionBy("series_id", "idx").orderBy("dist", "other")
-    return pair_distances(points).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("series_id", "idx", "rank", "other", "dist")
 
 
 def knn(points: DataFrame, k: int = 5, method: str = "largest") -> DataFrame:
@@ -101,10 +147,7 @@ def profile_distances(series: DataFrame, width: int, left_only: bool = False) ->
     mean = F.aggregate("window", F.lit(0.0), lambda a, v: a + v) / width
     points = wins.withColumn("_mean", mean).withColumn("_std", F.sqrt(F.greatest(F.aggregate(F.transform("window", lambda v: (v - F.col("_mean")) * (v - F.col("_mean"))), F.lit(0.0), lambda a, v: a + v) / width, F.lit(0.0))))
     points = points.select("series_id", "idx", F.expr("transform(window, v -> CASE WHEN _std < 1e-12 THEN 0D ELSE (v - _mean) / _std END)").alias("v"))
-    pairs = pair_distances(points).filter(F.abs(F.col("idx") - F.col("other")) > ceil(width / 4))
-    if left_only:
-        pairs = pairs.filter("other < idx")
-    return pairs.groupBy("series_id", "idx").agg(F.min("dist").alias("score"))
+    return neighbours(points, 1, apart=ceil(width / 4), past=left_only).select("series_id", "idx", F.col("dist").alias("score"))
 
 
 def matrix_profile(series: DataFrame, width: int) -> DataFrame:
@@ -135,10 +178,11 @@ def fft_regions(series: DataFrame, keep: int = 5, neighbourhood: int = 21, limit
     return series.select("series_id", "idx").join(inside, ["series_id", "idx"], "left").select("series_id", "idx", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
-def poly_blocks(series: DataFrame, width: int, neighbourhood: int = 600) -> DataFrame:
-    """Fit a line to the surroundings of each block of ``width`` points without the block, and give its points the size of the residual.
+def poly_blocks(series: DataFrame, width: int, neighbourhood: int = 600, power: int = 1) -> DataFrame:
+    """Fit a polynomial to the surroundings of each block of ``width`` points without the block, and give its points the size of the residual.
 
-    Values are scaled to 0..1.  The first min(500, n / 10) points' blocks score 0; the line is taken at places stretched so that the last is the block's end.
+    Values are scaled to 0..1.  The first min(500, n / 10) points' blocks score 0; the curve is taken at places stretched so that the last is the block's end.
+    A fit is made of sums of powers of the places, so only as many numbers as it has coefficients leave the points.
     """
     scaled = minmax(series).select("series_id", "idx", "value")
     n = scaled.groupBy("series_id").agg(F.count("*").alias("n"))
@@ -149,47 +193,50 @@ def poly_blocks(series: DataFrame, width: int, neighbourhood: int = 600) -> Data
     late = F.col("at") + half >= F.col("n")
     lo = F.when(middle, F.col("at") - half).when(late, F.col("n") - F.col("hood")).otherwise(F.lit(0))
     hi = F.when(middle, F.col("at") + half).when(late, F.col("n")).otherwise(F.col("hood"))
-    blocks = blocks.select("series_id", "block", "at", "n", lo.alias("lo"), hi.alias("hi"))
-    near = blocks.join(scaled, "series_id").filter(F.col("idx").between(F.col("lo"), F.col("hi") - 1) & ~F.col("idx").between(F.col("at"), F.col("at") + width - 1))
-    x = F.col("idx").cast("double")
-    lines = near.groupBy("series_id", "block", "at", "n").agg(F.regr_slope(F.col("value"), x).alias("slope"), F.regr_intercept(F.col("value"), x).alias("base"))
-    inside = lines.join(scaled, "series_id").filter(F.col("idx").between(F.col("at"), F.col("at") + width - 1))
+    blocks = blocks.select("series_id", "block", "at", "n", lo.alias("lo"), (hi - 1).alias("hi"))
+    points = scaled.select("series_id", F.col("idx").alias("p"), "idx", "value")
+    near = overlapping(blocks, points, ("lo", "hi"), ("idx", "p")).filter(~F.col("idx").between(F.col("at"), F.col("at") + width - 1))
+    # Places in units of the surroundings, from -1 to 1, so that high powers stay comparable.
+    unit = lambda place: (place - (F.col("lo") + F.col("hi")) / 2) / F.greatest((F.col("hi") - F.col("lo")) / 2, F.lit(1.0))
+    x = unit(F.col("idx"))
+    sums = [F.sum(F.pow(x, F.lit(i))).alias(f"x{i}") for i in range(2 * power + 1)] + [F.sum(F.pow(x, F.lit(i)) * F.col("value")).alias(f"y{i}") for i in range(power + 1)]
+    totals = near.groupBy("series_id", "block", "at", "n", "lo", "hi").agg(*sums)
+
+    @F.pandas_udf("array<double>")
+    def solve(*columns: pd.Series) -> pd.Series:
+        m = np.column_stack([c.to_numpy(float) for c in columns])
+        moments = np.stack([m[:, i : i + power + 1] for i in range(power + 1)], axis=1)
+        right = m[:, 2 * power + 1 :]
+        return pd.Series([np.linalg.lstsq(a, b, rcond=None)[0].tolist() for a, b in zip(moments, right)])
+
+    names = [f"x{i}" for i in range(2 * power + 1)] + [f"y{i}" for i in range(power + 1)]
+    curves = totals.withColumn("c", solve(*names)).drop(*names)
+    inside = overlapping(curves.withColumn("end", F.col("at") + width - 1), points, ("at", "end"), ("idx", "p"))
     stretch = F.when(F.col("at") + width <= F.col("n"), F.col("at") + (F.col("idx") - F.col("at")) * (width / max(width - 1, 1))).otherwise(F.col("idx"))
-    residual = F.col("value") - (F.col("slope") * stretch + F.col("base"))
+    place = unit(stretch)
+    fit = F.lit(0.0)
+    for i in range(power, -1, -1):
+        fit = fit * place + F.col("c")[i]
+    residual = F.col("value") - fit
     sizes = inside.groupBy("series_id", "block", "at").agg(F.sqrt(F.sum(residual * residual) / F.count("*")).alias("score"))
     spread = sizes.select("series_id", F.explode(F.sequence(F.col("at"), F.col("at") + width - 1)).alias("idx"), "score")
     return series.select("series_id", "idx").join(spread, ["series_id", "idx"], "left").select("series_id", "idx", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
-def cluster_scores(assigned: DataFrame, centres: DataFrame, alpha: float = 0.9, beta: float = 5.0, weighted: bool = False) -> DataFrame:
-    """Cluster-based outlier factor of points (series_id, idx, v, cluster) and centres (series_id, cluster, c).
-
-    Clusters by size are split into large and small ones, where both the coverage alpha and the jump beta are met, or
-    else the coverage, or else the jump.  Points of large clusters score the distance to their own centre, others that
-    to the nearest large one.
-    """
-    total = Window.partitionBy("series_id")
-    sizes = assigned.groupBy("series_id", "cluster").agg(F.count("*").alias("size"))
-    order = Window.partitionBy("series_id").orderBy(F.desc("size"), "cluster")
-    cuts = sizes.withColumn("t", F.row_number().over(order)).withColumn("upto", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("size").over(total)).withColumn("next", F.lead("size").over(order))
-    a, b = F.col("upto") >= alpha * F.col("n"), F.col("size") / F.col("next") >= beta
-    cuts = cuts.withColumn("both", F.min(F.when(a & b, F.col("t"))).over(total)).withColumn("by_a", F.min(F.when(a, F.col("t"))).over(total)).withColumn("by_b", F.min(F.when(b, F.col("t"))).over(total))
-    marked = cuts.select("series_id", "cluster", "size", (F.col("t") <= F.coalesce("both", "by_a", "by_b")).alias("large"))
-    points = assigned.join(marked, ["series_id", "cluster"])
-    candidates = centres.join(marked.select("series_id", "cluster", F.col("large").alias("its_large")), ["series_id", "cluster"]).select("series_id", F.col("cluster").alias("c_cluster"), "c", "its_large")
-    pairs = points.join(F.broadcast(candidates), "series_id").filter("CASE WHEN large THEN cluster = c_cluster ELSE its_large END")  # one row for each centre
-    out = pairs.groupBy("series_id", "idx", "size").agg(F.min(F.sqrt(_squared("v", "c"))).alias("d"))
-    return out.select("series_id", "idx", (F.col("d") * F.col("size") if weighted else F.col("d")).alias("score"))
-
-
 def sub_hbos(series: DataFrame, width: int, bins: int = 10, alpha: float = 0.1, tol: float = 0.5) -> DataFrame:
     return edge_pad(hbos(window_values(series, width), bins, alpha, tol), series, width)
 
 
 def window_points(series: DataFrame, width: int) -> DataFrame:
-    """Windows as points (array column v), each lag normalised over all windows."""
-    lags = window_values(series, width)
-    return lags.groupBy("series_id", "idx").agg(F.transform(F.sort_array(F.collect_list(F.struct("lag", "value"))), lambda s: s["value"]).alias("v"))
+    """Windows as points (array column v), each lag normalised over all windows.
+
+    Mean and deviation of each lag are summed up before anything is shuffled; the windows stay as they are.
+    """
+    wins = windows(series, width)
+    lags = wins.select("series_id", F.posexplode("window").alias("lag", "value")).groupBy("series_id", "lag").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s"))
+    figures = lags.groupBy("series_id").agg(F.sort_array(F.collect_list(F.struct("lag", "m", "s"))).alias("_figures"))
+    scaled = F.zip_with("window", "_figures", lambda v, f: F.when(f["s"] > 0, (v - f["m"]) / F.when(f["s"] > 0, f["s"])).otherwise(F.lit(0.0)))
+    return wins.join(figures, "series_id").select("series_id", "idx", scaled.alias("v"))
 
 
 def channel_points(series: DataFrame) -> DataFrame:

@@ -7,23 +7,29 @@ from math import ceil
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.operators.segments import bucket
+
 
 def by_time(*keys: str):
     return Window.partitionBy(*(keys or ("series_id",))).orderBy("idx")
 
 
 def windows(series: DataFrame, width: int, stride: int = 1) -> DataFrame:
-    """series_id, idx (of the first point) and window: every run of ``width`` values; channels one after the other."""
-    frame = by_time().rowsBetween(0, width - 1)
+    """series_id, idx (of the first point) and window: every run of ``width`` values; channels one after the other.
+
+    Points are dealt to buckets of indices, with those that windows of the bucket before reach into.
+    """
+    dealt = series.withColumn("_bucket", F.explode(F.sequence(F.greatest(bucket(F.col("idx") - width + 1), F.lit(0)), bucket())))
+    frame = Window.partitionBy("series_id", "_bucket").orderBy("idx").rowsBetween(0, width - 1)
     if "features" in series.columns:
         rows = F.collect_list("features").over(frame)
         channel = lambda c: F.transform(rows, lambda r: r[c])
         whole = F.flatten(F.transform(F.sequence(F.lit(0), F.size(rows[0]) - 1), channel))
-        out = series.select("series_id", "idx", F.size(rows).alias("_n"), whole.alias("window"))
+        out = dealt.select("series_id", "idx", "_bucket", F.size(rows).alias("_n"), whole.alias("window"))
     else:
         values = F.collect_list("value").over(frame)
-        out = series.select("series_id", "idx", F.size(values).alias("_n"), values.alias("window"))
-    return out.filter((F.col("_n") == width) & (F.col("idx") % stride == 0)).drop("_n")
+        out = dealt.select("series_id", "idx", "_bucket", F.size(values).alias("_n"), values.alias("window"))
+    return out.filter((F.col("_bucket") == bucket()) & (F.col("_n") == width) & (F.col("idx") % stride == 0)).drop("_n", "_bucket")
 
 
 def forecast_pairs(series: DataFrame, width: int, horizon: int = 1) -> DataFrame:

@@ -5,23 +5,6 @@ from __future__ import annotations
 import numpy as np
 
 
-def principal(x: np.ndarray, keep: int | None = None) -> np.ndarray:
-    """Sum over components of the distance from the point to the component's vector, over the share of variance it explains.
-
-    Columns are standardised, constant ones dropped; a vector's largest loading is positive.
-    """
-    std = x.std(axis=0)
-    x = (x[:, std > 0] - x[:, std > 0].mean(axis=0)) / std[std > 0]
-    if not x.size:
-        return np.zeros(len(x))
-    values, vectors = np.linalg.eigh(np.cov(x, rowvar=False, bias=False).reshape(x.shape[1], -1))
-    order = np.argsort(values)[::-1][: keep or min(x.shape)]
-    values, vectors = np.maximum(values[order], 1e-12), vectors[:, order]
-    vectors = vectors * np.sign(vectors[np.abs(vectors).argmax(axis=0), np.arange(vectors.shape[1])])
-    away = np.sqrt(np.maximum((x * x).sum(axis=1)[:, None] + 1 - 2 * x @ vectors, 0))
-    return (away / (values / values.sum())).sum(axis=1)
-
-
 def robust_principal(x: np.ndarray, rounds: int = 1000) -> np.ndarray:
     """Principal component pursuit: x as a low-rank and a sparse part; the sum of the differences between the low-rank part and its principal components.
 
@@ -47,55 +30,6 @@ def robust_principal(x: np.ndarray, rounds: int = 1000) -> np.ndarray:
     return np.abs(low - centred @ v.T).sum(axis=1)
 
 
-def covariance_distance(x: np.ndarray, seed: int = 0, support: float | None = None) -> np.ndarray:
-    """Squared Mahalanobis distances from the half of the points with the least covariance determinant found."""
-    n, d = x.shape
-    h = min(n, int(support * n) if support else (n + d + 1) // 2)
-    rng, best = np.random.default_rng(seed), None
-    for _ in range(10):
-        own = rng.permutation(n)[: d + 1]
-        for _ in range(20):
-            mean, cov = x[own].mean(axis=0), np.cov(x[own], rowvar=False, bias=True).reshape(d, d) + 1e-9 * np.eye(d)
-            far = np.einsum("ij,ij->i", (x - mean) @ np.linalg.inv(cov), x - mean)
-            now = np.argsort(far, kind="stable")[:h]
-            if set(now) == set(own):
-                break
-            own = now
-        det = np.linalg.slogdet(cov)[1]
-        if best is None or det < best[0]:
-            best = det, far
-    return best[1]
-
-
-def expected_depth(n: np.ndarray) -> np.ndarray:
-    return np.where(n > 2, 2 * (np.log(np.maximum(n - 1.0, 1)) + 0.5772156649) - 2 * (n - 1.0) / np.maximum(n, 1), (n == 2) * 1.0)
-
-
-def isolation(x: np.ndarray, trees: int = 100, sample: int = 256, extended: bool = False, columns: int | None = None, seed: int = 0) -> np.ndarray:
-    """2 ** -(mean depth / expected depth) in trees of random splits: of one column, or (extended) by random hyperplanes."""
-    rng = np.random.default_rng(seed)
-    sample = min(sample, len(x))
-    height, depth = int(np.ceil(np.log2(max(sample, 2)))), np.zeros(len(x))
-    for _ in range(trees):
-        pool = rng.choice(x.shape[1], columns, replace=False) if columns else np.arange(x.shape[1])
-        stack = [(x[rng.choice(len(x), sample, replace=False)], np.arange(len(x)), 0)]
-        while stack:
-            own, rows, level = stack.pop()
-            spread = own[:, pool].max(axis=0) - own[:, pool].min(axis=0) if len(own) else np.zeros(1)
-            if level >= height or len(own) < 2 or not spread.max() or not len(rows):
-                depth[rows] += level + expected_depth(np.array(float(len(own))))
-                continue
-            if extended:
-                normal, at = rng.normal(size=x.shape[1]), rng.uniform(own.min(axis=0), own.max(axis=0))
-                a, b = (own - at) @ normal < 0, (x[rows] - at) @ normal < 0
-            else:
-                c = rng.choice(pool[spread > 0])
-                cut = rng.uniform(own[:, c].min(), own[:, c].max())
-                a, b = own[:, c] < cut, x[rows, c] < cut
-            stack += [(own[a], rows[b], level + 1), (own[~a], rows[~b], level + 1)]
-    return 2 ** (-depth / trees / max(float(expected_depth(np.array(float(sample)))), 1e-12))
-
-
 def one_class(x: np.ndarray, train: np.ndarray | None = None, nu: float = 0.5, tol: float = 1e-3) -> np.ndarray:
     """One-class support vectors with a Gaussian kernel, fitted on all rows of ``train`` (or all points); score = rho - f(x).
 
@@ -133,33 +67,17 @@ def one_class(x: np.ndarray, train: np.ndarray | None = None, nu: float = 0.5, t
 
 
 def spectral_residual(v: np.ndarray, taps: int = 100) -> np.ndarray:
-    """Magnitude of the inverse transform of the log spectrum less its moving average; the average sees first and last values beyond the ends."""
-    v = (v - v.min()) / max(v.max() - v.min(), 1e-12)
-    freq = np.fft.fft(v)
-    amp = np.abs(freq)
-    log = np.log(np.maximum(amp, 1e-8))
-    before = (taps - 1) // 2
-    padded = np.concatenate([np.full(before, v[0]), log, np.full(taps - 1 - before, v[-1])])
-    residual = np.exp(log - np.convolve(padded, np.full(taps, 1 / taps), "valid"))
-    return np.abs(np.fft.ifft(np.where(amp > 0, freq / np.maximum(amp, 1e-8), 1) * residual))
+    """Magnitude of the inverse transform of the log spectrum less its moving average.
 
-
-def kmeans(x: np.ndarray, k: int, seed: int = 0, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
-    """Assignment and centres; started from points far apart."""
-    rng = np.random.default_rng(seed)
-    k, centres = min(k, len(x)), [x[rng.integers(len(x))]]
-    near = ((x - centres[0]) ** 2).sum(axis=1)
-    while len(centres) < k:
-        centres.append(x[rng.choice(len(x), p=near / near.sum()) if near.sum() > 0 else rng.integers(len(x))])
-        near = np.minimum(near, ((x - centres[-1]) ** 2).sum(axis=1))
-    c = np.stack(centres)
-    for _ in range(rounds):
-        of = ((x * x).sum(axis=1)[:, None] - 2 * x @ c.T + (c * c).sum(axis=1)).argmin(axis=1)
-        new = np.stack([x[of == i].mean(axis=0) if (of == i).any() else c[i] for i in range(len(c))])
-        if np.allclose(new, c):
-            break
-        c = new
-    return of, c
+    The average is that of the lower half of the frequencies, with the first and last values beyond its ends, and the
+    upper half mirrors it; the mean keeps nothing.
+    """
+    v = (v - v.min()) / max(v.max() - v.min(), 1e-12)
+    freq, half, before = np.fft.fft(v), len(v) // 2, (taps - 1) // 2
+    log = np.log(np.maximum(np.abs(freq), 1e-8))
+    smooth = np.convolve(np.concatenate([np.full(before, v[0]), log[1 : half + 1], np.full(taps - 1 - before, v[-1])]), np.full(taps, 1 / taps), "valid")
+    mean = np.concatenate([log[:1], smooth, smooth[: len(v) - 1 - half][::-1]])
+    return np.abs(np.fft.ifft(np.exp(log - mean + 1j * np.angle(freq))))
 
 
 def shape_correlation(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -307,23 +225,6 @@ def autoencoder(x: np.ndarray, hidden: tuple[int, ...] = (16, 4, 16), epochs: in
     return ((forward(x)[-1] - x) ** 2).mean(axis=1)
 
 
-def ridge_forecast(w: np.ndarray, target: np.ndarray, train: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
-    """Squared errors of a linear forecast of target from windows."""
-    a = np.hstack([w, np.ones((len(w), 1))])
-    coef = np.linalg.solve(a[train].T @ a[train] + ridge * np.eye(a.shape[1]), a[train].T @ target[train])
-    return (a @ coef - target) ** 2
-
-
-def frequency_reconstruction(w: np.ndarray, every: int, train: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
-    """Squared error of the last step, where a window is rebuilt linearly from the low frequencies of every ``every``-th value."""
-    mean, std = w.mean(axis=1, keepdims=True), np.maximum(w.std(axis=1, keepdims=True), 1e-8)
-    z = (w - mean) / std
-    low = np.fft.rfft(z[:, ::every])
-    a = np.hstack([low.real, low.imag])
-    coef = np.linalg.solve(a[train].T @ a[train] + ridge * np.eye(a.shape[1]), a[train].T @ z[train])
-    return ((a @ coef - z)[:, -1] * std[:, 0]) ** 2
-
-
 def warp(x: np.ndarray, y: np.ndarray) -> float:
     """Dynamic time warping distance with absolute differences."""
     d = np.abs(np.subtract.outer(x, y))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.operators.segments import merged, runs
+from tidewatch.operators.segments import BUCKET, bucket, in_runs, merged, overlapping, runs, runs_over
 from tidewatch.sources.lineage import materialise
 
 STEPS = 100
@@ -64,14 +64,15 @@ def over_percentile(scored: DataFrame, contamination: float) -> DataFrame:
 
 def precision_at_n(scored: DataFrame) -> DataFrame:
     """Precision among scores over the percentile that leaves as many points as there are positives."""
-    share = scored.groupBy("series_id").agg(F.sum("label").alias("_p"), F.count("*").alias("_n"), F.sort_array(F.collect_list("score")).alias("_s")).filter("_p > 0")
-    # The percentile between two neighbours, linear as numpy's default.
-    at = (F.col("_n") - 1) * (1 - F.col("_p") / F.col("_n"))
-    low = F.floor(at).cast("int")
-    a, b = F.element_at("_s", low + 1), F.element_at("_s", F.least(low + 2, F.col("_n").cast("int")))
-    limits = share.select("series_id", (a + (b - a) * (at - low)).alias("_limit"))
-    hits = scored.join(limits, "series_id").filter("score > _limit")
-    return limits.select("series_id").join(hits.groupBy("series_id").agg(F.avg("label").alias("precision")), "series_id", "left").select("series_id", F.coalesce("precision", F.lit(0.0)).alias("precision_at_n"))
+    steps = by_threshold(scored).filter("p > 0")
+    # The percentile between two neighbours in ascending order, linear as numpy's default, from counts of distinct scores.
+    at = (F.col("n") - 1) * (1 - F.col("p") / F.col("n"))
+    low, first, last = F.floor(at), F.col("n") - F.col("n_at"), F.col("n") - F.col("n_at") + F.col("n_own") - 1
+    value = lambda place: F.max(F.when((first <= place) & (place <= last), F.col("score")))
+    ends = steps.groupBy("series_id").agg(value(low).alias("_a"), value(F.least(low + 1, F.col("n") - 1)).alias("_b"), F.first(at - low).alias("_part"))
+    limits = ends.select("series_id", (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_part")).alias("_limit"))
+    hits = steps.join(limits, "series_id").filter("score > _limit").groupBy("series_id").agg((F.sum("p_own") / F.sum("n_own")).alias("precision"))
+    return limits.select("series_id").join(hits, "series_id", "left").select("series_id", F.coalesce("precision", F.lit(0.0)).alias("precision_at_n"))
 
 
 def grid(scored: DataFrame, steps: int = STEPS) -> DataFrame:
@@ -103,9 +104,7 @@ def adjusted_f1(scored: DataFrame) -> DataFrame:
     The first point of a series is never adjusted, only found by itself.
     """
     p = passed(scored)
-    segs = runs(scored)
-    inside = p.filter("label = 1").join(segs, "series_id").filter("idx BETWEEN s AND e")
-    own = inside.groupBy("series_id", "seg_id", "s", "e").agg(F.max("passed").alias("passed"), F.max(F.when(F.col("idx") == 0, F.col("passed"))).alias("_first"))
+    own = in_runs(p).groupBy("series_id", "seg_id", "s", "e").agg(F.max("passed").alias("passed"), F.max(F.when(F.col("idx") == 0, F.col("passed"))).alias("_first"))
     whole = own.withColumn("_size", F.col("e") - F.greatest("s", F.lit(1)) + 1)
     tp = _counts(whole, F.col("_size"), "tp")
     at_zero = _counts(own.filter("_first IS NOT NULL").select("series_id", F.col("_first").alias("passed")), F.lit(1), "tp0")
@@ -121,7 +120,7 @@ def adjusted_f1(scored: DataFrame) -> DataFrame:
 
 def adjustment_latency(predicted: DataFrame) -> DataFrame:
     """How long until a run is found: the sum of the offsets of first hits over the number of runs found."""
-    hits = predicted.filter("label = 1 AND pred = 1").join(runs(predicted), "series_id").filter("idx BETWEEN s AND e")
+    hits = in_runs(predicted).filter("pred = 1")
     firsts = hits.groupBy("series_id", "seg_id", "s").agg(F.min("idx").alias("_hit"))
     found = firsts.groupBy("series_id").agg(F.sum(F.col("_hit") - F.col("s")).alias("_late"), F.count("*").alias("_n"))
     return predicted.select("series_id").distinct().join(found, "series_id", "left").select("series_id", (F.coalesce("_late", F.lit(0)) / (F.coalesce("_n", F.lit(0)) + 1e-4)).alias("latency"))
@@ -131,11 +130,10 @@ def event_f1(scored: DataFrame) -> DataFrame:
     """The best F of the share of runs found and the point-wise precision; a run that reaches the end counts without its last point."""
     p = passed(scored)
     last = scored.groupBy("series_id").agg(F.max("idx").alias("_last"))
-    segs = runs(scored).join(last, "series_id").withColumn("e", F.when(F.col("e") == F.col("_last"), F.col("e") - 1).otherwise(F.col("e")))
-    best = segs.join(p.select("series_id", "idx", "passed"), "series_id").filter("idx BETWEEN s AND e").groupBy("series_id", "seg_id").agg(F.max("passed").alias("passed"))
+    best = in_runs(p).join(last, "series_id").filter("idx < _last").groupBy("series_id", "seg_id").agg(F.max("passed").alias("passed"))
     hits = _counts(best, F.lit(1), "hits")
     tp, pp = _counts(p, F.col("label"), "tp"), _counts(p, F.lit(1), "pp")
-    total = segs.groupBy("series_id").agg(F.count("*").alias("events"))
+    total = runs(scored).groupBy("series_id").agg(F.count("*").alias("events"))
     rows = grid(scored).select("series_id", "k").join(total, "series_id")
     for c in (hits, tp, pp):
         rows = rows.join(c, ["series_id", "k"], "left")
@@ -147,10 +145,9 @@ def event_f1(scored: DataFrame) -> DataFrame:
 
 def range_f1(scored: DataFrame, alpha: float = 0.2) -> DataFrame:
     """The best F of range recall (existence, and overlap times cardinality) and range precision over the grid."""
-    over = passed(scored).filter("passed > 0").select("series_id", F.explode(F.sequence(F.lit(0), F.col("passed") - 1)).alias("k"), "idx", F.lit(1).alias("pred"), "label")
-    found = runs(over, "pred", ("series_id", "k"))
+    found = runs_over(passed(scored)).withColumnsRenamed({"s": "qs", "e": "qe"})
     truth = runs(scored)
-    pairs = found.select("series_id", "k", F.col("seg_id").alias("q"), F.col("s").alias("qs"), F.col("e").alias("qe")).join(truth, "series_id").filter("qs <= e AND s <= qe").withColumn("shared", F.least("e", "qe") - F.greatest("s", "qs") + 1)
+    pairs = overlapping(found, truth, ("qs", "qe"), ("s", "e")).withColumn("shared", F.least("e", "qe") - F.greatest("s", "qs") + 1)
     # A run's share that the other side covers, over the number of runs that cover it.
     side = lambda key, size: pairs.groupBy("series_id", "k", key).agg((F.sum("shared") / F.first(size) / F.count("*")).alias("_part"))
     recall = side("seg_id", F.col("e") - F.col("s") + 1).groupBy("series_id", "k").agg(F.sum(alpha + (1 - alpha) * F.col("_part")).alias("_r"))
@@ -210,7 +207,13 @@ def volume_under_surface(scored: DataFrame, width: int, steps: int = 250, first_
     new = F.coalesce((F.lag("e").over(order) + F.col("_half") < F.col("s") - F.col("_half")).cast("int"), F.lit(1))
     joined = joined.withColumn("_new", new).withColumn("seg", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     wide = joined.groupBy("series_id", "w", "seg").agg((F.min("s") - F.first("_half")).alias("s"), (F.max("e") + F.first("_half")).alias("e"))
-    best = wide.join(scored.select("series_id", "idx", "score"), "series_id").filter("idx BETWEEN s AND e").groupBy("series_id", "w", "seg").agg(F.max("score").alias("score"))
+    # The greatest score of a run: of the buckets that it covers whole, and of the points in those that it covers in part.
+    parts = wide.withColumn("bucket", F.explode(F.sequence(bucket(F.greatest("s", F.lit(0))), bucket("e")))).withColumn("_whole", (F.col("s") <= F.col("bucket") * BUCKET) & (F.col("e") >= (F.col("bucket") + 1) * BUCKET - 1))
+    points = scored.select("series_id", bucket().alias("bucket"), "idx", "score")
+    tops = points.groupBy("series_id", "bucket").agg(F.max("score").alias("score"))
+    best = parts.filter("_whole").join(tops, ["series_id", "bucket"]).select("series_id", "w", "seg", "score")
+    best = best.unionByName(parts.filter("NOT _whole").join(points, ["series_id", "bucket"]).filter("idx BETWEEN s AND e").select("series_id", "w", "seg", "score"))
+    best = best.groupBy("series_id", "w", "seg").agg(F.max("score").alias("score"))
     hits = entered(best).groupBy("series_id", "w", "k").agg(F.count("*").alias("_hits"))
     total = wide.groupBy("series_id", "w").agg(F.count("*").alias("_runs"))
     cells = thresholds.select("series_id", "k", "n_at").join(buffers, "series_id").join(sizes, "series_id").join(total, ["series_id", "w"])
@@ -244,8 +247,7 @@ def affiliation(scored: DataFrame, steps: int = STEPS) -> DataFrame:
     """affiliation_f: the best F of affiliation precision and recall over the grid."""
     sizes = scored.groupBy("series_id").agg(F.count("*").alias("n"))
     zones = affiliation_zones(runs(scored), sizes)
-    over = passed(scored, steps).filter("passed > 0").select("series_id", F.explode(F.sequence(F.lit(0), F.col("passed") - 1)).alias("k"), "idx", F.lit(1).alias("pred"))
-    found = runs(over, "pred", ("series_id", "k")).select("series_id", "k", F.col("s").cast("double").alias("q0"), (F.col("e") + 1).cast("double").alias("q1"))
+    found = runs_over(passed(scored, steps)).select("series_id", "k", F.col("s").cast("double").alias("q0"), (F.col("e") + 1).cast("double").alias("q1"))
     return _affiliation_f(found, zones, ["series_id", "k"]).groupBy("series_id").agg(F.max("f").alias("affiliation_f"))
 
 
@@ -258,7 +260,7 @@ def affiliation_of_predictions(predicted: DataFrame) -> DataFrame:
 
 def _affiliation_f(found: DataFrame, zones: DataFrame, keys: list[str]) -> DataFrame:
     """Per key: precision (mean over zones with predictions), recall (mean over all zones) and f."""
-    cut = found.join(zones, "series_id").filter("q0 < z1 AND z0 < q1").withColumn("q0", F.greatest("q0", "z0")).withColumn("q1", F.least("q1", "z1"))
+    cut = overlapping(found, zones, ("q0", "q1"), ("z0", "z1")).filter("q0 < z1 AND z0 < q1").withColumn("q0", F.greatest("q0", "z0")).withColumn("q1", F.least("q1", "z1"))
     j0, j1, z0, z1, q0, q1 = map(F.col, ("j0", "j1", "z0", "z1", "q0", "q1"))
     m, size = F.least(j0 - z0, z1 - j1), z1 - z0
 

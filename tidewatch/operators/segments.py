@@ -1,17 +1,76 @@
-"""Runs of labelled or predicted points, their buffers and overlaps."""
+"""Runs of labelled or predicted points, their buffers and overlaps.
+
+Points are dealt to buckets of ``BUCKET`` indices, so that a long series is the work of many tasks; only what a bucket
+is reduced to (its runs) is put in order over a whole series.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Indices of a series in a bucket.
+BUCKET = 8_192
+
+
+def bucket(column: str | Column = "idx") -> Column:
+    return F.floor((F.col(column) if isinstance(column, str) else column) / BUCKET)
+
+
+def in_runs(points: DataFrame, flag: str = "label", keys: tuple[str, ...] = ("series_id",)) -> DataFrame:
+    """The points with the flag set, with seg_id (from 1), s and e (both inside) of their run."""
+    hits = points.filter(F.col(flag) > 0).withColumn("_bucket", bucket())
+    hits = hits.withColumn("_island", F.col("idx") - F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy("idx")))
+    return hits.join(_islands(hits, keys), [*keys, "_bucket", "_island"]).drop("_bucket", "_island")
+
+
+def _islands(hits: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """The runs inside each bucket, with seg_id, s and e of the runs of the series that they are part of."""
+    local = hits.groupBy(*keys, "_bucket", "_island").agg(F.min("idx").alias("_s"), F.max("idx").alias("_e"))
+    order = Window.partitionBy(*keys).orderBy("_s")
+    new = F.coalesce((F.lag("_e").over(order) + 1 < F.col("_s")).cast("int"), F.lit(1))
+    whole = Window.partitionBy(*keys, "seg_id")
+    numbered = local.withColumn("_new", new).withColumn("seg_id", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
+    return numbered.select(*keys, "_bucket", "_island", "seg_id", F.min("_s").over(whole).alias("s"), F.max("_e").over(whole).alias("e"))
+
 
 def runs(points: DataFrame, flag: str = "label", keys: tuple[str, ...] = ("series_id",)) -> DataFrame:
     """keys, seg_id (from 1), s and e (both inside): the runs of points with the flag set."""
-    hits = points.filter(F.col(flag) > 0).select(*keys, "idx")
-    island = hits.withColumn("_island", F.col("idx") - F.row_number().over(Window.partitionBy(*keys).orderBy("idx")))
-    found = island.groupBy(*keys, "_island").agg(F.min("idx").alias("s"), F.max("idx").alias("e"))
-    return found.select(*keys, F.row_number().over(Window.partitionBy(*keys).orderBy("s")).alias("seg_id"), "s", "e")
+    hits = points.filter(F.col(flag) > 0).select(*keys, "idx", bucket().alias("_bucket"))
+    hits = hits.withColumn("_island", F.col("idx") - F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy("idx")))
+    return _islands(hits, keys).select(*keys, "seg_id", "s", "e").distinct()
+
+
+def beside(points: DataFrame, column: str, default: int = 0) -> DataFrame:
+    """Add _before and _after: the column of the points of the index before and after; the points of a series follow each other."""
+    edge = F.array_distinct(F.array(bucket(F.col("idx") - 1), bucket(), bucket(F.col("idx") + 1)))
+    dealt = points.withColumn("_bucket", F.explode(edge))  # the ends of a bucket are also seen by the next one
+    order = Window.partitionBy("series_id", "_bucket").orderBy("idx")
+    both = dealt.withColumn("_before", F.lag(column, 1, default).over(order)).withColumn("_after", F.lead(column, 1, default).over(order))
+    return both.filter(F.col("_bucket") == bucket()).drop("_bucket")
+
+
+def runs_over(passed: DataFrame) -> DataFrame:
+    """series_id, k, q, s and e: the runs of points over each threshold k, where a point is over k if k < passed.
+
+    Runs begin and end where ``passed`` changes, so a run gives one row for its begin and one for its end, whatever its length.
+    """
+    at = beside(passed.select("series_id", "idx", "passed"), "passed")
+    edges = lambda other, name: at.filter(F.col("passed") > F.col(other)).select("series_id", F.explode(F.sequence(F.col(other), F.col("passed") - 1)).alias("k"), F.col("idx").alias(name)).withColumn("q", F.row_number().over(Window.partitionBy("series_id", "k").orderBy(name)))
+    return edges("_before", "s").join(edges("_after", "e"), ["series_id", "k", "q"])
+
+
+def overlapping(a: DataFrame, b: DataFrame, a_ends: tuple[str, str], b_ends: tuple[str, str], key: str = "series_id") -> DataFrame:
+    """Pairs of rows of a series whose ranges (both ends inside) share an index; columns of both, which differ but for the key.
+
+    Both sides are dealt to the buckets that they cover; a pair is given in the first bucket of both.
+    """
+    cover = lambda df, ends, name: df.withColumn(name, F.explode(F.sequence(bucket(ends[0]), bucket(ends[1]))))
+    left = cover(a, a_ends, "_bucket").alias("a")
+    right = cover(b.withColumnRenamed(key, "_key"), b_ends, "_b_bucket").alias("b")
+    pairs = left.join(right, (F.col(key) == F.col("_key")) & (F.col("_bucket") == F.col("_b_bucket")))
+    meet = (F.col(a_ends[0]) <= F.col(b_ends[1])) & (F.col(b_ends[0]) <= F.col(a_ends[1]))
+    return pairs.filter(meet & (F.col("_bucket") == F.greatest(bucket(a_ends[0]), bucket(b_ends[0])))).drop("_key", "_bucket", "_b_bucket")
 
 
 def merged(segments: DataFrame, sizes: DataFrame, width: int) -> DataFrame:
@@ -40,7 +99,7 @@ def overlaps(a: DataFrame, b: DataFrame) -> DataFrame:
     """Pairs of segments of a series that share a point: series_id, a_id, b_id and shared."""
     x = a.select("series_id", F.col("seg_id").alias("a_id"), F.col("s").alias("a_s"), F.col("e").alias("a_e"))
     y = b.select("series_id", F.col("seg_id").alias("b_id"), F.col("s").alias("b_s"), F.col("e").alias("b_e"))
-    return x.join(y, "series_id").filter("a_s <= b_e AND b_s <= a_e").select("series_id", "a_id", "b_id", (F.least("a_e", "b_e") - F.greatest("a_s", "b_s") + 1).alias("shared"))
+    return overlapping(x, y, ("a_s", "a_e"), ("b_s", "b_e")).select("series_id", "a_id", "b_id", (F.least("a_e", "b_e") - F.greatest("a_s", "b_s") + 1).alias("shared"))
 
 
 def attributes(points: DataFrame) -> DataFrame:

@@ -1,9 +1,14 @@
-"""Detectors by name, run over many series at once; parameters, sweeps and what users register."""
+"""Detectors by name, run over many series at once; parameters, training prefixes, widths from the period, and what users register.
+
+A column ``train`` (boolean) of a series marks the points that a semi-supervised detector is fitted on; without it such
+a detector takes the first TRAIN of the series.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any
 
 import numpy as np
@@ -13,9 +18,14 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import detectors as d
 from tidewatch.operators import kernels as k
-from tidewatch.operators.frames import edge_pad, reverse_windowing, windows, zscore_rows
+from tidewatch.operators import models as m
+from tidewatch.operators.frames import edge_pad, left_hold_pad, reverse_windowing, windows, zscore_rows
+from tidewatch.operators.period import period
+from tidewatch.sources.lineage import materialise
 
 Scores = Callable[..., DataFrame]
+#: The part of a series that semi-supervised detectors are fitted on where no points are marked.
+TRAIN = 0.3
 
 
 @dataclass(frozen=True)
@@ -37,22 +47,54 @@ def register(name: str, run: Scores | None = None, *, semi: bool = False, channe
     REGISTRY[name] = Detector(name, run, params, semi, channels, why_not)
 
 
-def per_series(kernel: Callable[..., np.ndarray]) -> Scores:
-    """A detector from a helper that scores the array of one series; an error of a series becomes its ``error``, not the job's."""
+def per_series(kernel: Callable[..., np.ndarray], semi: bool = False) -> Scores:
+    """A detector from a helper that scores the array of one series, which has to fit in a task; an error of a series becomes its ``error``, not the job's.
+
+    With ``semi`` the helper also gets ``limit``, the number of points of the training part.
+    """
 
     def run(series: DataFrame, **params: Any) -> DataFrame:
         column = "features" if "features" in series.columns else "value"
+        marked = "train" in series.columns
 
         def score(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values("idx")
             x = np.stack(pdf[column].to_list()) if column == "features" else pdf[column].to_numpy(float)
+            limit = {"limit": int(pdf["train"].sum()) if marked else max(int(TRAIN * len(pdf)), 2)} if semi else {}
             try:
-                out, error = kernel(x, **params), None
+                out, error = kernel(x, **limit, **params), None
             except (ValueError, np.linalg.LinAlgError, IndexError, ZeroDivisionError) as e:
                 out, error = np.full(len(pdf), np.nan), str(e)
             return pd.DataFrame({"series_id": pdf["series_id"], "idx": pdf["idx"], "score": out, "error": error})
 
-        return series.select("series_id", "idx", column).groupBy("series_id").applyInPandas(score, "series_id string, idx long, score double, error string")
+        return series.select("series_id", "idx", column, *(["train"] if marked else [])).groupBy("series_id").applyInPandas(score, "series_id string, idx long, score double, error string")
+
+    return run
+
+
+def training(points: DataFrame, series: DataFrame, width: int) -> DataFrame:
+    """The points (windows of ``width``) that lie in the training part of their series."""
+    if "train" in series.columns:
+        limits = series.filter("train").groupBy("series_id").agg((F.max("idx") + 1).alias("_limit"))
+    else:
+        limits = series.groupBy("series_id").agg(F.greatest(F.floor(F.count("*") * TRAIN), F.lit(2)).alias("_limit"))
+    return points.join(limits, "series_id").filter(F.col("idx") + width <= F.greatest("_limit", F.lit(width + 1))).drop("_limit")
+
+
+def by_model(scores: Callable[..., DataFrame], semi: bool = False) -> Scores:
+    """A detector from a model of points (tidewatch.operators.models): of the normalised windows of one channel, or of rows of channels.
+
+    Windows' scores go to their middles.  A series without a window has null scores and an error.
+    """
+
+    def run(series: DataFrame, width: int = 1, **params: Any) -> DataFrame:
+        channels = "features" in series.columns
+        points = d.channel_points(series) if channels else d.window_points(series, width)
+        train = training(points, series, 1 if channels else width) if semi else None
+        found = scores(points, train=train, **params)
+        padded = found if channels else edge_pad(found, series, width)
+        error = F.when(F.col("score").isNull(), F.lit(f"no window of {width} points"))
+        return series.select("series_id", "idx").join(padded, ["series_id", "idx"], "left").select("series_id", "idx", "score", error.alias("error"))
 
     return run
 
@@ -74,10 +116,6 @@ def padded(scores: np.ndarray, n: int) -> np.ndarray:
     return np.pad(scores, (before, n - len(scores) - before), "edge")
 
 
-def on_windows(kernel: Callable[..., np.ndarray]) -> Callable[..., np.ndarray]:
-    return lambda v, width=100, **params: padded(kernel(normalised_windows(v, width), **params), len(v))
-
-
 def forecaster(predict: Callable[[np.ndarray], np.ndarray]) -> Scores:
     """A detector from a function from windows (rows) to the next values: squared errors, 0 until the first forecast."""
 
@@ -92,72 +130,68 @@ def forecaster(predict: Callable[[np.ndarray], np.ndarray]) -> Scores:
     return per_series(kernel)
 
 
-def _train(n: int, share: float = 0.3) -> np.ndarray:
-    return np.arange(max(int(share * n), 2))
+def _windowed(series: DataFrame, width: int) -> DataFrame:
+    return windows(series, width).select("series_id", "idx", F.col("window").alias("v"))
+
+
+def linear_forecast(series: DataFrame, width: int = 50, ridge: float = 1e-2) -> DataFrame:
+    """Squared errors of the next value as a linear map of the window, fitted on the training part; 0 until the first forecast."""
+    points = _windowed(series, width + 1)
+    scores = m.linear_errors(points, training(points, series, width + 1), lambda v: (v[:, :-1], v[:, -1:]), ridge)
+    return left_hold_pad(scores, series, width)
+
+
+def frequency_reconstruction(series: DataFrame, width: int = 50, every: int = 4, ridge: float = 1e-2) -> DataFrame:
+    """Squared errors of a window's last value, rebuilt linearly from the low frequencies of every ``every``-th value."""
+
+    def sides(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        z = (v - v.mean(axis=1, keepdims=True)) / np.maximum(v.std(axis=1, keepdims=True), 1e-8)
+        low = np.fft.rfft(z[:, ::every])
+        return np.hstack([low.real, low.imag]), z
 
+    points = _windowed(series, width)
+    scores = m.linear_errors(points, training(points, series, width), sides, ridge, last=True, scale=lambda v: np.maximum(v.std(axis=1), 1e-8))
+    return edge_pad(scores, series, width)
 
-def _one_class(x: np.ndarray) -> np.ndarray:
-    return k.one_class(x, _train(len(x)))
 
+def seasonal(series: DataFrame, width: int = 24) -> DataFrame:
+    """Squared differences from the value one season (``width``) before; 0 in the first season."""
+    before = series.select("series_id", (F.col("idx") + width).alias("idx"), F.col("value").alias("_before"))
+    return series.join(before, ["series_id", "idx"], "left").select("series_id", "idx", F.coalesce(F.pow(F.col("value") - F.col("_before"), 2), F.lit(0.0)).alias("score"))
 
-def _reconstruct(v: np.ndarray, width: int = 50, hidden: tuple[int, ...] = (16, 4, 16), epochs: int = 30, phases: int = 1) -> np.ndarray:
+
+def _one_class(v: np.ndarray, limit: int, width: int = 1) -> np.ndarray:
+    x = normalised_windows(v, width)
+    return padded(k.one_class(x, np.arange(min(max(limit - (len(v) - len(x)), 2), len(x)))), len(v))
+
+
+def _reconstruct(v: np.ndarray, limit: int, width: int = 50, hidden: tuple[int, ...] = (16, 4, 16), epochs: int = 30) -> np.ndarray:
     w = normalised_windows(v, width)
-    train = w[_train(len(w))]
-    out = k.autoencoder(w, hidden, epochs, 0, 1e-3, train)
-    for i in range(1, phases):  # a second network weighs more, as in adversarial pairs
-        out = 0.1 * out + 0.9 * k.autoencoder(w, hidden, epochs, i, 1e-3, train)
-    return padded(out, len(v))
+    return padded(k.autoencoder(w, hidden, epochs, 0, 1e-3, w[: max(limit - (len(v) - len(w)), 2)]), len(v))
 
 
-def _detrended(v: np.ndarray, width: int = 12, gamma: float = 0.99, quantile: float = 0.9) -> np.ndarray:
-    """Reconstruction of windows less their slowly moving mean, which only follows windows scored normal."""
+def _detrended(v: np.ndarray, limit: int, width: int = 12, gamma: float = 0.99, quantile: float = 0.9) -> np.ndarray:
+    """Mean squares of windows less their slowly moving mean, which only follows windows scored normal."""
     w = np.lib.stride_tricks.sliding_window_view(v, width)[::width]
-    train = w[: max(2, int(0.3 * len(w)))]
-    mean = train.mean()
-    base = np.array([(x - mean) for x in train])
-    limit = np.quantile((base**2).mean(axis=1), quantile)
+    mean = w[: max(2, limit // width)].mean()
+    edge = np.quantile(((w[: max(2, limit // width)] - mean) ** 2).mean(axis=1), quantile)
     scores = np.zeros(len(w))
     for i, x in enumerate(w):
         scores[i] = ((x - mean) ** 2).mean()
-        if scores[i] < limit:
+        if scores[i] < edge:
             mean += (1 - gamma) * (x.mean() - mean)
     out = np.repeat(scores, width)
     return np.pad(out, (0, len(v) - len(out)), "edge")
 
 
 def _online_shapes(v: np.ndarray, width: int = 24, **params: Any) -> np.ndarray:
-    """k-shape clusters batch by batch, after the training part."""
-    return k.shape_scores(v, width, start=len(_train(len(v))), batch=max(5 * width, int(0.1 * len(v))), **params)
-
-
-def _poly(v: np.ndarray, width: int = 100, power: int = 3, hood: int = 600) -> np.ndarray:
-    v = (v - v.min()) / max(v.max() - v.min(), 1e-12)
-    out = np.zeros(len(v))
-    for at in range(-(-min(500, len(v) // 10) // width) * width, len(v), width):
-        near = np.r_[max(at - hood // 2, 0) : at, min(at + width, len(v)) : min(at + hood // 2, len(v))]
-        own = np.arange(at, min(at + width, len(v)))
-        if len(near) > power:
-            fit = np.polynomial.Polynomial.fit(near, v[near], power)
-            out[own] = np.sqrt(((v[own] - fit(own)) ** 2).mean())
-    return out
+    """k-shape clusters batch by batch, after the first TRAIN of the points."""
+    return k.shape_scores(v, width, start=max(int(TRAIN * len(v)), 2), batch=max(5 * width, int(0.1 * len(v))), **params)
 
 
 def _kmeans_series(series: DataFrame, width: int = 100, clusters: int = 20, seed: int = 2024) -> DataFrame:
-    rows = zscore_rows(windows(series, width)).select("series_id", "idx", F.col("window").alias("features"))
-    near = per_series(lambda x: (lambda of, c: np.sqrt(((x - c[of]) ** 2).sum(axis=1)))(*k.kmeans(x, clusters, seed)))(rows)
-    return reverse_windowing(near, series, width)
-
-
-def cblof(series: DataFrame, clusters: int = 8, alpha: float = 0.9, beta: float = 5.0, weighted: bool = False, seed: int = 2024) -> DataFrame:
-    points = d.channel_points(series)
-
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        of, c = k.kmeans(np.stack(pdf["v"].to_list()), clusters, seed)
-        return pd.DataFrame({"series_id": pdf["series_id"], "idx": pdf["idx"], "v": pdf["v"], "cluster": of, "c": list(c[of])})
-
-    of = points.groupBy("series_id").applyInPandas(assign, "series_id string, idx long, v array<double>, cluster int, c array<double>")
-    return d.cluster_scores(of.drop("c"), of.groupBy("series_id", "cluster").agg(F.first("c").alias("c")), alpha, beta, weighted)
+    points = zscore_rows(windows(series, width)).select("series_id", "idx", F.col("window").alias("v"))
+    return reverse_windowing(m.centre_distance(points, clusters=clusters, seed=seed), series, width)
 
 
 def _sub(points: Callable[..., DataFrame]) -> Scores:
@@ -165,70 +199,87 @@ def _sub(points: Callable[..., DataFrame]) -> Scores:
     return lambda series, width=50, **p: edge_pad(points(d.window_points(series, width), **p), series, width)
 
 
-def _seasonal(w: np.ndarray, period: int = 24) -> np.ndarray:
-    return w[:, -min(period, w.shape[1])]
-
-
-def _autoregressive(w: np.ndarray) -> np.ndarray:
-    """The next value by a linear map of the window, fitted on the first third."""
-    a, target = np.hstack([w[:-1], np.ones((len(w) - 1, 1))]), w[1:, -1]
-    own = _train(len(a))
-    coef = np.linalg.solve(a[own].T @ a[own] + 1e-2 * np.eye(a.shape[1]), a[own].T @ target[own])
-    return np.hstack([w, np.ones((len(w), 1))]) @ coef
-
-
 NOT_SHIPPED = "its source is not published"
+NO_WEIGHTS = "its pretrained weights are not here; give a forecast with `forecaster`"
+NO_NETWORK = "needs a deep-learning library; give a network with `forecaster` or `per_series`"
 register("FFT", d.fft_regions, keep=5, neighbourhood=21, limit=0.6)
-register("IForest", per_series(on_windows(k.isolation)), width=100, trees=100, columns=1)
-register("Sub_IForest", per_series(on_windows(k.isolation)), width=50, trees=100, columns=1)
+register("IForest", by_model(m.isolation), width=100, trees=100, columns=1, sample=256, seed=0)
+register("Sub_IForest", by_model(m.isolation), width=50, trees=100, columns=1, sample=256, seed=0)
 register("LOF", lambda s, **p: d.lof(d.channel_points(s), **p), channels=True, k=30)
 register("Sub_LOF", _sub(d.lof), width=50, k=30)
-register("POLY", per_series(_poly), width=100, power=3)
+register("POLY", lambda s, width, power: d.poly_blocks(s, width, power=power), width=100, power=3)
 register("MatrixProfile", d.matrix_profile, width=24)
 register("Left_STAMPi", d.left_profile, width=24, warm_up=50)
 register("SAND", per_series(_online_shapes), width=24, k=6)
 register("KShapeAD", per_series(k.shape_scores), width=24, k=6)
 register("Series2Graph", why_not=NOT_SHIPPED)
 register("NORMA", why_not=NOT_SHIPPED)
-register("Sub_PCA", per_series(on_windows(k.principal)), width=50)
-register("PCA", per_series(on_windows(k.principal)), width=100)
+register("Sub_PCA", by_model(m.principal), width=50, keep=None)
+register("PCA", by_model(m.principal), width=100, keep=None)
 register("HBOS", lambda s, **p: d.hbos(d.channel_values(zscore_rows(s, "features")), **p), channels=True, bins=10, tol=0.5)
 register("Sub_HBOS", d.sub_hbos, width=50, bins=10, tol=0.5)
-register("OCSVM", per_series(on_windows(_one_class)), channels=True, semi=True, width=1)
-register("Sub_OCSVM", per_series(on_windows(_one_class)), semi=True, width=50)
-register("MCD", per_series(on_windows(k.covariance_distance)), channels=True, semi=True, width=1)
-register("Sub_MCD", per_series(on_windows(k.covariance_distance)), semi=True, width=10)
+register("OCSVM", per_series(_one_class, semi=True), channels=True, semi=True, width=1)
+register("Sub_OCSVM", per_series(_one_class, semi=True), semi=True, width=50)
+register("MCD", by_model(m.covariance_distance, semi=True), channels=True, semi=True, support=None, seed=0)
+register("Sub_MCD", by_model(m.covariance_distance, semi=True), semi=True, width=10, support=None, seed=0)
 register("KNN", lambda s, **p: d.knn(d.channel_points(s), **p), channels=True, k=10, method="largest")
 register("Sub_KNN", _sub(d.knn), width=50, k=10, method="largest")
 register("KMeansAD_U", _kmeans_series, width=50, clusters=20)
 register("KMeansAD", _kmeans_series, width=50, clusters=10)
 register("COPOD", lambda s: d.copod(d.channel_values(zscore_rows(s, "features"))), channels=True)
-register("CBLOF", cblof, channels=True, clusters=8, alpha=0.9, beta=5.0)
+register("CBLOF", by_model(m.cluster_factor), channels=True, clusters=8, alpha=0.9, beta=5.0, weighted=False, seed=2024)
 register("COF", lambda s, **p: d.cof(d.channel_points(s), **p), channels=True, k=10)
-register("EIF", per_series(on_windows(lambda x, **p: k.isolation(x, extended=True, **p))), channels=True, trees=100)
+register("EIF", by_model(lambda points, **p: m.isolation(points, extended=True, **p)), channels=True, trees=100, sample=256, seed=0)
 register("RobustPCA", per_series(k.robust_principal), channels=True, rounds=1000)
 register("SR", per_series(k.spectral_residual))
-register("AutoEncoder", per_series(_reconstruct), semi=True, width=50)
-register("USAD", per_series(_reconstruct), semi=True, width=50, phases=2)
-register("FITS", per_series(lambda v, width=50, every=4: padded((lambda w: k.frequency_reconstruction(w, every, _train(len(w))))(np.lib.stride_tricks.sliding_window_view(v, width)), len(v))), semi=True, width=50)
-register("M2N2", per_series(_detrended), semi=True, width=12)
-for _name in ("CNN", "LSTMAD", "TranAD", "OmniAnomaly", "AnomalyTransformer", "TimesNet", "Donut", "OFA"):
-    register(_name, semi=True, why_not="needs a deep-learning library; give a network with `forecaster` or `per_series`")
-#: The large pretrained models can't be had here; the surface is the same, with small forecasters in their place.
-for _name, _how in (("Chronos", _seasonal), ("TimesFM", _autoregressive), ("Lag_Llama", _autoregressive)):
-    register(_name, forecaster(_how), width=50)
-for _name in ("MOMENT_ZS", "MOMENT_FT"):
-    register(_name, per_series(_reconstruct), semi=_name.endswith("FT"), width=50, epochs=10)
-
-
-def detect(series: DataFrame, name: str, **params: Any) -> DataFrame:
-    """series_id, detector, idx, score and error of one detector; unknown names and parameters raise ValueError."""
+register("AutoEncoder", per_series(_reconstruct, semi=True), semi=True, width=50, hidden=(16, 4, 16), epochs=30)
+register("FITS", frequency_reconstruction, semi=True, width=50, every=4)
+for _name in ("CNN", "LSTMAD", "TranAD", "OmniAnomaly", "AnomalyTransformer", "TimesNet", "Donut", "OFA", "USAD", "M2N2"):
+    register(_name, semi=True, why_not=NO_NETWORK)
+for _name in ("Chronos", "TimesFM", "Lag_Llama", "MOMENT_ZS", "MOMENT_FT"):
+    register(_name, semi=_name.endswith("FT"), why_not=NO_WEIGHTS)
+#: Small detectors of the same kinds, under names of their own.
+register("Seasonal", seasonal, width=24)
+register("LinearForecast", linear_forecast, semi=True, width=50)
+register("DetrendedMean", per_series(_detrended, semi=True), semi=True, width=12)
+
+
+def detect(series: DataFrame, name: str, period_rank: int | None = None, **params: Any) -> DataFrame:
+    """series_id, detector, idx, score and error of one detector; unknown names and parameters raise ValueError.
+
+    ``period_rank``: the width of each series is its period of that rank (1 to 3).  Series of the same period go
+    together, so there is a plan for each of the periods that occur, which are at most 300.
+    """
     if (entry := REGISTRY.get(name)) is None:
         raise ValueError(f"no detector {name!r}")
     if entry.run is None:
         raise ValueError(f"{name} is not available: {entry.why_not}")
     if unknown := set(params) - set(entry.params):
         raise ValueError(f"{name} has no parameter {', '.join(sorted(unknown))}")
+    if not entry.semi:
+        series = series.drop("train")
+    if period_rank is not None:
+        if "width" not in entry.params or "width" in params:
+            raise ValueError(f"the width of {name} can't come from the period")
+        lengths = materialise(period(series, period_rank))
+        found = [r["period"] for r in lengths.select("period").distinct().orderBy("period").collect()]
+        parts = [detect(series.join(lengths.filter(F.col("period") == w).select("series_id"), "series_id", "left_semi"), name, width=w, **params) for w in found]
+        return reduce(DataFrame.unionByName, parts) if parts else detect(series, name, **params)
     out = entry.run(series, **{**entry.params, **params})
     error = F.col("error") if "error" in out.columns else F.lit(None).cast("string")
     return out.select("series_id", F.lit(name).alias("detector"), "idx", "score", error.alias("error"))
+
+
+def detect_unsupervised(series: DataFrame, name: str, **params: Any) -> DataFrame:
+    """Fit and score whole series."""
+    if name in REGISTRY and REGISTRY[name].semi:
+        raise ValueError(f"{name} is fitted on a training part: detect_semisupervised")
+    return detect(series, name, **params)
+
+
+def detect_semisupervised(series: DataFrame, name: str, train: DataFrame, **params: Any) -> DataFrame:
+    """Fit on the first train_index points of each series (rows series_id, train_index) and score all."""
+    if name in REGISTRY and not REGISTRY[name].semi:
+        raise ValueError(f"{name} is not fitted on a training part: detect_unsupervised")
+    marked = series.join(train.select("series_id", "train_index"), "series_id").withColumn("train", F.col("idx") < F.col("train_index")).drop("train_index")
+    return detect(marked, name, **params)
