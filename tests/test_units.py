@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.operators import detectors, frames, kernels, measures, models, segments
+from tidewatch.operators import detectors, features, frames, kernels, measures, models, segments
 from tidewatch.operators import period as periods
 from tidewatch.plans import bench, registry
 from tidewatch.plans.registry import REGISTRY, detect, register
@@ -324,6 +324,97 @@ def test_widths_from_the_period(spark):
         detect(two, "SR", period_rank=1)
 
 
+def plain_predictions(label, pred):
+    """f1, pa_f1, event_f1 and r_f1 of predictions, point by point."""
+
+    def spans(x):
+        edge = np.diff(np.concatenate([[0], x, [0]]))
+        return [*zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1)]
+
+    f = lambda tp, pp, p: 2 * tp / (pp + p) if pp + p else 0.0
+    truth, found, adjusted = spans(label), spans(pred), pred.copy()
+    for s, e in truth:
+        if pred[s : e + 1].any():
+            adjusted[max(s, 1) : e + 1] = 1
+    hits = sum(pred[s : (e if e == len(label) - 1 else e + 1)].any() for s, e in truth)
+    precision, recall = (label * pred).sum() / max(pred.sum(), 1), hits / len(truth)
+    side = lambda a, b, mask: [mask[s : e + 1].mean() / max(sum(u <= e and s <= v for u, v in b), 1) for s, e in a]
+    r = np.mean([0.2 * pred[s : e + 1].any() + 0.8 * x for (s, e), x in zip(truth, side(truth, found, pred))])
+    p = np.mean(side(found, truth, label)) if found else 0.0
+    return f((label * pred).sum(), pred.sum(), label.sum()), f((label * adjusted).sum(), adjusted.sum(), label.sum()), 2 * recall * precision / (recall + precision + 1e-15), 2 * r * p / (r + p) if r + p else 0.0
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_measures_of_predictions(spark, seed, monkeypatch):
+    monkeypatch.setattr(segments, "BUCKET", 16)
+    rng = np.random.default_rng(seed)
+    label, pred = np.zeros(90, int), (rng.random(90) < 0.3).astype(int)
+    for s, e in ((0, 3), (12, 20), (31, 50), (86, 89)):
+        label[s : e + 1] = 1
+    pred[rng.integers(0, 60) :][:20] = 1
+    p = points(spark, label).withColumn("pred", F.element_at(F.array(*[F.lit(int(x)) for x in pred]), (F.col("idx") + 1).cast("int")))
+    got = measures.evaluate_predictions(p, 6).first()
+    assert (got.f1, got.pa_f1, got.event_f1, got.r_f1) == pytest.approx(plain_predictions(label, pred))
+    assert 0 <= got.vus_recall <= 1 and 0 <= got.vus_precision <= 1 and got.affiliation_f == pytest.approx(measures.affiliation_of_predictions(p).first().f)
+
+
+@pytest.mark.parametrize("bias", ["front", "back", "middle"])
+def test_biased_weights(spark, bias):
+    how = {"front": lambda i, n: n - i + 1, "back": lambda i, n: i, "middle": lambda i, n: i if i <= n / 2 else n - i + 1}[bias]
+    rows = spark.createDataFrame([(s, e, max(s, 5), min(e, 14)) for s in range(0, 15, 3) for e in range(max(s, 5), 25, 4)], "s long, e long, lo long, hi long")
+    for r in rows.withColumn("w", measures._weight(F.col("lo"), F.col("hi"), F.col("s"), F.col("e"), bias)).collect():
+        assert r.w == sum(how(i, r.e - r.s + 1) for i in range(r.lo, r.hi + 1))
+
+
+def test_runs_over_bucket_borders(spark, monkeypatch):
+    monkeypatch.setattr(segments, "BUCKET", 7)
+    label = (np.random.default_rng(8).random(120) < 0.7).astype(int)
+    p = points(spark, label)
+    edge = np.diff(np.concatenate([[0], label, [0]]))
+    want = [*zip(np.flatnonzero(edge == 1).tolist(), (np.flatnonzero(edge == -1) - 1).tolist())]
+    assert [(r.s, r.e) for r in segments.runs(p).orderBy("seg_id").collect()] == want
+    assert [(r.idx, r.s <= r.idx <= r.e) for r in segments.in_runs(p).orderBy("idx").collect()] == [(i, True) for i in np.flatnonzero(label).tolist()]
+    passed = p.withColumn("passed", (F.col("label") * (1 + F.col("idx") % 3)).cast("int"))
+    level = label * (1 + np.arange(120) % 3)
+    got = {(r.k, r.s, r.e) for r in segments.runs_over(passed).collect()}
+    for k in range(3):
+        edge = np.diff(np.concatenate([[0], (level > k).astype(int), [0]]))
+        assert {(s, e) for x, s, e in got if x == k} == {*zip(np.flatnonzero(edge == 1).tolist(), (np.flatnonzero(edge == -1) - 1).tolist())}
+    wins = {r.idx: r.window for r in frames.windows(p.withColumn("value", F.col("idx").cast("double")), 10).collect()}
+    assert wins == {i: [float(j) for j in range(i, i + 10)] for i in range(111)}
+
+
+@pytest.mark.parametrize("apart, past", [(0, False), (5, False), (5, True)])
+def test_neighbours_in_blocks(spark, monkeypatch, apart, past):
+    monkeypatch.setattr(detectors, "BLOCK", 40)
+    rng = np.random.default_rng(9)
+    x = np.vstack([rng.integers(0, 3, size=(100, 4)).astype(float), rng.normal(size=(60, 4))])
+    rows = spark.createDataFrame([("a", i, v.tolist()) for i, v in enumerate(x)], "series_id string, idx long, v array<double>")
+    got = {}
+    for r in detectors.neighbours(rows, 4, apart, past).orderBy("idx", "rank").collect():
+        got.setdefault(r.idx, []).append((r.other, pytest.approx(r.dist)))
+    for i in range(160):
+        others = sorted((float(((x[i] - x[j]) ** 2).sum()), j) for j in range(160) if abs(i - j) > apart and i != j and (j < i or not past))[:4]
+        assert [(j, d**0.5) for d, j in others] == got.get(i, [])
+
+
+def test_confidence(spark):
+    from math import comb
+
+    x = np.random.default_rng(3).normal(size=40).round(1)
+    rows = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(x)], "series_id string, idx long, score double")
+    for r in features.confidence(rows, 0.1).collect():
+        p = (1 + (x <= r.score).sum()) / 42
+        tail = 1 - sum(comb(40, k) * p**k * (1 - p) ** (40 - k) for k in range(40 - 4 + 1))
+        assert r.confidence == pytest.approx(tail if r.score > np.percentile(x, 90) else 1 - tail)
+
+
+def test_times_and_failures_of_a_sweep(spark, tmp_path):
+    both = spike(spark).unionByName(spark.createDataFrame([("b", 0, 1.0)], "series_id string, idx long, value double"))
+    log = {r.detector: r for r in bench.timed_scores(both, [("SR", {}), ("Sub_PCA", {"width": 20})], str(tmp_path / "scores")).collect()}
+    assert log["SR"].points == 301 and log["Sub_PCA"].failed == 1 and all(r.seconds > 0 and r.series == 2 for r in log.values())
+
+
 def test_kernels():
     x = np.array([0.0, 1, 2, 3])
     assert kernels.warp(x, x) == 0 and kernels.edit_on_reals(x, x + 1, 0.5) > 0 and kernels.time_warp_edit(x, x) == 0
@@ -333,6 +424,7 @@ def test_kernels():
 
 def test_rank_statistics():
     assert bench.chi_square_tail(3.841, 1) == pytest.approx(0.05, abs=1e-3)
+    assert bench.chi_square_tail(30.0, 4) == pytest.approx(4.9e-6, rel=0.01)
     assert bench.studentised_tail(3.314, 3) == pytest.approx(0.05, abs=1e-3)
     assert bench.cliques(["a", "b", "c"], {("a", "c")}) == [("a", "b"), ("b", "c")]
 

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+from math import lgamma
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions import arrays
+from tidewatch.operators import kernels
 from tidewatch.operators.frames import mean_of, std_of, windows
 
 
@@ -59,6 +65,82 @@ def score_rank(scored: DataFrame, normalise: bool = False) -> DataFrame:
     return scored.withColumn("rank", n / F.count("*").over(Window.partitionBy("series_id")) if normalise else n)
 
 
+def confidence(scored: DataFrame, contamination: float = 0.1) -> DataFrame:
+    """Add confidence: how likely the prediction (a score over the percentile that leaves the contamination) would stay under other samples of the series.
+
+    A score's posterior chance of being an outlier is (1 + its rank) / (2 + n); the confidence is a tail of the
+    binomial distribution with that chance.
+    """
+    limit = scored.groupBy("series_id").agg(F.percentile("score", 1 - contamination).alias("_limit"), F.count("*").alias("_n"))
+    ranked = score_rank(scored).join(limit, "series_id")
+
+    @F.pandas_udf("double")
+    def tail(rank: pd.Series, n: pd.Series) -> pd.Series:
+        """P(X > n - int(n * contamination)) for X of n trials, the same for all rows of a rank."""
+        out = np.zeros(len(rank))
+        for size in np.unique(n):
+            own, least = np.flatnonzero(n == size), int(size) - int(size * contamination) + 1
+            k = np.arange(least, int(size) + 1, dtype=float)
+            log = np.array([lgamma(size + 1) - lgamma(x + 1) - lgamma(size - x + 1) for x in k])
+            ranks, inverse = np.unique(rank.to_numpy()[own], return_inverse=True)
+            p = (1 + ranks) / (2 + size)
+            step = max(1, 2_000_000 // max(len(k), 1))
+            tails = np.concatenate([np.exp(log + k * np.log(p[i : i + step, None]) + (size - k) * np.log1p(-p[i : i + step, None])).sum(axis=1) for i in range(0, len(p), step)])
+            out[own] = np.minimum(tails, 1)[inverse]
+        return pd.Series(out)
+
+    chance = tail("rank", "_n")
+    return ranked.withColumn("_c", chance).withColumn("confidence", F.when(F.col("score") > F.col("_limit"), F.col("_c")).otherwise(1 - F.col("_c"))).drop("rank", "_limit", "_n", "_c")
+
+
+def sequence_statistics(series: DataFrame, width: int, order: int = 1) -> DataFrame:
+    """autoregression (the coefficient of the oldest of ``order`` values), entropy (of samples) and hurst of each window; null where undefined."""
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            w = [np.asarray(x, float) for x in b["window"]]
+            each = lambda f: [None if not np.isfinite(y := f(x)) else y for x in w]  # noqa: B023, E731
+            yield pd.DataFrame({"series_id": b["series_id"], "idx": b["idx"], "autoregression": each(lambda x: kernels.ar_coefficient(x, order)), "entropy": each(kernels.sample_entropy), "hurst": each(kernels.hurst)})
+
+    return windows(series, width).select("series_id", "idx", "window").mapInPandas(run, "series_id string, idx long, autoregression double, entropy double, hurst double")
+
+
+#: Distances of two sequences by name.
+DISTANCES: dict[str, Callable[..., float]] = {"dtw": kernels.warp, "edr": kernels.edit_on_reals, "twed": kernels.time_warp_edit, "mahalanobis": kernels.mahalanobis, "sbd": kernels.shape_distance}
+
+
+def sequence_distance(pairs: DataFrame, method: str, **params: float) -> DataFrame:
+    """Add distance: of the array columns a and b of each row, by dtw, edr, twed, mahalanobis (of their difference) or sbd (shape)."""
+    how = DISTANCES[method]
+
+    @F.pandas_udf("double")
+    def distance(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([how(np.asarray(x, float), np.asarray(y, float), **params) for x, y in zip(a, b)], dtype=float)
+
+    return pairs.withColumn("distance", distance("a", "b"))
+
+
+def optimal_bins(values: DataFrame, most: int | None = None) -> DataFrame:
+    """series_id, lag and bins: the number of equal bins (up to ``most``, or else the root of the number of values) with the greatest penalised likelihood."""
+    ends = values.groupBy("series_id", "lag").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
+    top = F.lit(most) if most else F.floor(F.sqrt("n"))
+    tried = ends.withColumn("b", F.explode(F.sequence(F.lit(1), F.greatest(top.cast("int") - 1, F.lit(1)))))
+    bins = values.join(tried, ["series_id", "lag"]).groupBy("series_id", "lag", "n", "b", F.least(F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.col("b")), F.col("b") - 1).alias("bin")).count()
+    # A bin adds its likelihood; all bins, the empty ones too, pay the penalty.
+    penalty = F.col("b") - 1 + F.pow(F.log("b"), 2.5)
+    likelihood = bins.groupBy("series_id", "lag", "b").agg((F.sum(F.col("count") * F.log(F.col("b") * F.col("count") / F.col("n") + 1)) - F.col("b") * F.first(penalty)).alias("gain"))
+    return likelihood.groupBy("series_id", "lag").agg(F.max_by("b", F.struct("gain", -F.col("b"))).alias("bins"))
+
+
+def similarity(points: DataFrame, alpha: float) -> DataFrame:
+    """series_id, idx and similarity of points (array column v) to their series' mean: 2 ** (-alpha * the mean of the squared normalised components)."""
+    lags = points.select("series_id", "idx", F.posexplode("v").alias("lag", "value"))
+    stats = lags.groupBy("series_id", "lag").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s"))
+    figures = stats.groupBy("series_id").agg(F.sort_array(F.collect_list(F.struct("lag", "m", "s"))).alias("f"))
+    squares = F.zip_with("v", "f", lambda x, g: F.when(g["s"] > 0, F.pow((x - g["m"]) / F.when(g["s"] > 0, g["s"]), 2)).otherwise(F.lit(0.0)))
+    return points.join(figures, "series_id").select("series_id", "idx", F.pow(F.lit(2.0), -alpha * mean_of(squares)).alias("similarity"))
+
+
 def top_n(scored: DataFrame, n: int) -> DataFrame:
     """The n highest scores of each series; ties to the smaller index."""
     order = Window.partitionBy("series_id").orderBy(F.desc("score"), "idx")

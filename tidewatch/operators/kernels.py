@@ -76,6 +76,7 @@ def spectral_residual(v: np.ndarray, taps: int = 100) -> np.ndarray:
     freq, half, before = np.fft.fft(v), len(v) // 2, (taps - 1) // 2
     log = np.log(np.maximum(np.abs(freq), 1e-8))
     smooth = np.convolve(np.concatenate([np.full(before, v[0]), log[1 : half + 1], np.full(taps - 1 - before, v[-1])]), np.full(taps, 1 / taps), "valid")
+    smooth = smooth[:half]  # a series of one point has no other frequency
     mean = np.concatenate([log[:1], smooth, smooth[: len(v) - 1 - half][::-1]])
     return np.abs(np.fft.ifft(np.exp(log - mean + 1j * np.angle(freq))))
 
@@ -236,7 +237,7 @@ def warp(x: np.ndarray, y: np.ndarray) -> float:
     return float(acc[-1, -1])
 
 
-def edit_on_reals(x: np.ndarray, y: np.ndarray, eps: float) -> float:
+def edit_on_reals(x: np.ndarray, y: np.ndarray, eps: float = 0.1) -> float:
     """Edits that make the sequences match within eps, over the longer length."""
     match = np.abs(np.subtract.outer(x, y)) <= eps
     acc = np.zeros((len(x) + 1, len(y) + 1))
@@ -289,3 +290,14 @@ def ar_coefficient(v: np.ndarray, k: int = 1) -> float:
     """The last coefficient of an autoregression of order k, by least squares."""
     a = np.column_stack([v[k - i - 1 : len(v) - i - 1] for i in range(k)] + [np.ones(len(v) - k)])
     return float(np.linalg.lstsq(a, v[k:], rcond=None)[0][k - 1])
+
+
+def mahalanobis(x: np.ndarray, y: np.ndarray) -> float:
+    """Length of the difference of two sequences, in units of the deviation of both together."""
+    spread = np.concatenate([x, y]).var()
+    return float(np.sqrt(((x - y) ** 2).sum() / max(spread, 1e-12)))
+
+
+def shape_distance(x: np.ndarray, y: np.ndarray) -> float:
+    """1 less the greatest normalised cross-correlation over all shifts."""
+    return float(1 - shape_correlation(x[None], y)[0][0])

@@ -143,23 +143,70 @@ def event_f1(scored: DataFrame) -> DataFrame:
     return rows.groupBy("series_id").agg(F.max(2 * F.col("_r") * F.col("_p") / (F.col("_r") + F.col("_p") + 1e-15)).alias("event_f1"))
 
 
-def range_f1(scored: DataFrame, alpha: float = 0.2) -> DataFrame:
-    """The best F of range recall (existence, and overlap times cardinality) and range precision over the grid."""
+def _weight(lo: Column, hi: Column, s: Column, e: Column, bias: str) -> Column:
+    """Sum of the weights of the indices lo to hi of a run from s to e: 1 each, or falling, rising or highest in the middle of a run of its length.
+
+    As is usual the weight is that of the index in the series, not in the run.
+    """
+    length, total = e - s + 1, lambda a, b: F.when(a <= b, (b - a + 1) * (a + b) / 2).otherwise(F.lit(0.0))
+    if bias == "flat":
+        return (hi - lo + 1).cast("double")
+    if bias == "back":
+        return total(lo, hi)
+    falling = lambda a, b: F.when(a <= b, (b - a + 1) * (length + 1)).otherwise(F.lit(0)) - total(a, b)
+    if bias == "front":
+        return falling(lo, hi)
+    if bias != "middle":
+        raise ValueError(f"no bias {bias!r}")
+    half = F.floor(length / 2)
+    return total(lo, F.least(hi, half)) + falling(F.greatest(lo, half + 1), hi)
+
+
+def _range_scores(found: DataFrame, truth: DataFrame, keys: list[str], alpha: float, bias: str) -> DataFrame:
+    """keys, _r (the sum over true runs of existence, and of overlap times cardinality) and _p (the sum over found runs of overlap times cardinality).
+
+    found: keys, q, qs and qe; truth: series_id, seg_id, s and e.
+    """
+    pairs = overlapping(found, truth, ("qs", "qe"), ("s", "e"))
+    lo, hi = F.greatest("s", "qs"), F.least("e", "qe")
+
+    # A run's share that the other side covers, over the number of runs that cover it.
+    def side(key: str, begin: str, end: str) -> DataFrame:
+        s, e = F.col(begin), F.col(end)
+        part = F.sum(_weight(lo, hi, s, e, bias)) / F.first(_weight(s, e, s, e, bias)) / F.count("*")
+        return pairs.groupBy(*keys, key).agg(part.alias("_part"))
+
+    recall = side("seg_id", "s", "e").groupBy(*keys).agg(F.sum(alpha + (1 - alpha) * F.col("_part")).alias("_r"), F.count("*").alias("_met"), F.sum("_part").alias("_overlap"))
+    precision = side("q", "qs", "qe").groupBy(*keys).agg(F.sum("_part").alias("_p"))
+    return recall.join(precision, keys, "full")
+
+
+def range_f1(scored: DataFrame, alpha: float = 0.2, bias: str = "flat") -> DataFrame:
+    """The best F of range recall (existence, and overlap times cardinality) and range precision over the grid; bias: flat, front, back or middle."""
     found = runs_over(passed(scored)).withColumnsRenamed({"s": "qs", "e": "qe"})
     truth = runs(scored)
-    pairs = overlapping(found, truth, ("qs", "qe"), ("s", "e")).withColumn("shared", F.least("e", "qe") - F.greatest("s", "qs") + 1)
-    # A run's share that the other side covers, over the number of runs that cover it.
-    side = lambda key, size: pairs.groupBy("series_id", "k", key).agg((F.sum("shared") / F.first(size) / F.count("*")).alias("_part"))
-    recall = side("seg_id", F.col("e") - F.col("s") + 1).groupBy("series_id", "k").agg(F.sum(alpha + (1 - alpha) * F.col("_part")).alias("_r"))
-    precision = side("q", F.col("qe") - F.col("qs") + 1).groupBy("series_id", "k").agg(F.sum("_part").alias("_p"))
+    sums = _range_scores(found, truth, ["series_id", "k"], alpha, bias)
     n_found = found.groupBy("series_id", "k").agg(F.count("*").alias("_nf"))
     n_truth = truth.groupBy("series_id").agg(F.count("*").alias("_nt"))
-    rows = grid(scored).select("series_id", "k").join(n_truth, "series_id").join(n_found, ["series_id", "k"], "left").join(recall, ["series_id", "k"], "left").join(precision, ["series_id", "k"], "left")
+    rows = grid(scored).select("series_id", "k").join(n_truth, "series_id").join(n_found, ["series_id", "k"], "left").join(sums, ["series_id", "k"], "left")
     r, p = F.coalesce("_r", F.lit(0.0)) / F.col("_nt"), F.coalesce(F.col("_p") / F.col("_nf"), F.lit(0.0))
     rows = rows.withColumn("_re", r).withColumn("_pr", p)
     return rows.groupBy("series_id").agg(F.max(_safe(2 * F.col("_re") * F.col("_pr"), F.col("_re") + F.col("_pr"))).alias("r_f1"))
 
 
+def range_of_predictions(predicted: DataFrame, alpha: float = 0.2, bias: str = "flat") -> DataFrame:
+    """range_recall, existence, overlap, range_precision and r_f1 of pred; existence and overlap are the two parts of the recall."""
+    found = runs(predicted, "pred").select("series_id", F.col("seg_id").alias("q"), F.col("s").alias("qs"), F.col("e").alias("qe"))
+    truth = runs(predicted)
+    sums = _range_scores(found, truth, ["series_id"], alpha, bias)
+    n_found, n_truth = (x.groupBy("series_id").agg(F.count("*").alias(n)) for x, n in ((found, "_nf"), (truth, "_nt")))
+    rows = n_truth.join(n_found, "series_id", "left").join(sums, "series_id", "left")
+    zero = lambda a, b: F.coalesce(F.col(a) / F.col(b), F.lit(0.0))
+    rows = rows.select("series_id", zero("_r", "_nt").alias("range_recall"), zero("_met", "_nt").alias("existence"), zero("_overlap", "_nt").alias("overlap"), zero("_p", "_nf").alias("range_precision"))
+    r, p = F.col("range_recall"), F.col("range_precision")
+    return rows.withColumn("r_f1", _safe(2 * r * p, r + p))
+
+
 def _areas(cells: DataFrame, keys: list[str]) -> DataFrame:
     """auc_roc and auc_pr of cells with k, tpr, fpr and precision, in the order of k."""
     order = Window.partitionBy(*keys).orderBy("k")
@@ -302,6 +349,59 @@ def _affiliation_f(found: DataFrame, zones: DataFrame, keys: list[str]) -> DataF
     return out.select(*keys, "affiliation_precision", "affiliation_recall", (2 * p * r / (p + r + 1e-15)).alias("f"))
 
 
+def adjusted_of_predictions(predicted: DataFrame) -> DataFrame:
+    """pa_f1 of pred: a run with one predicted point counts as found whole (but for the first point of a series)."""
+    own = in_runs(predicted).groupBy("series_id", "seg_id", "s", "e").agg(F.max("pred").alias("_hit"), F.max(F.when(F.col("idx") == 0, F.col("pred"))).alias("_first"))
+    hit = F.sum(F.when(F.col("_hit") == 1, F.col("e") - F.greatest("s", F.lit(1)) + 1).otherwise(0) + F.coalesce("_first", F.lit(0)))
+    counts = own.groupBy("series_id").agg(hit.alias("tp"))
+    others = predicted.groupBy("series_id").agg(F.sum(F.col("pred") * (1 - F.col("label"))).alias("fp"), F.sum("label").alias("p")).filter("p > 0")
+    rows = others.join(counts, "series_id", "left").withColumn("tp", F.coalesce("tp", F.lit(0)))
+    return rows.select("series_id", _safe(2 * F.col("tp"), F.col("tp") + F.col("fp") + F.col("p")).alias("pa_f1"))
+
+
+def event_of_predictions(predicted: DataFrame) -> DataFrame:
+    """event_f1 of pred: the share of runs found and the point-wise precision; a run that reaches the end counts without its last point."""
+    last = predicted.groupBy("series_id").agg(F.max("idx").alias("_last"), F.sum(F.col("label") * F.col("pred")).alias("tp"), F.sum("pred").alias("pp"))
+    hits = in_runs(predicted).join(last, "series_id").filter("idx < _last AND pred = 1").groupBy("series_id").agg(F.countDistinct("seg_id").alias("hits"))
+    rows = runs(predicted).groupBy("series_id").agg(F.count("*").alias("events")).join(last, "series_id").join(hits, "series_id", "left")
+    r, p = F.coalesce("hits", F.lit(0)) / F.col("events"), _safe(F.col("tp"), F.col("pp"))
+    return rows.select("series_id", (2 * r * p / (r + p + 1e-15)).alias("event_f1"))
+
+
+def volume_of_predictions(predicted: DataFrame, width: int) -> DataFrame:
+    """vus_recall, vus_precision and vus_f of pred: means over buffers of 0 to ``width`` points; each buffer is taken by itself."""
+    totals = predicted.groupBy("series_id").agg(F.sum("label").alias("p"), F.sum("pred").alias("pp"), F.sum(F.col("label") * F.col("pred")).alias("own")).filter("p > 0")
+    sides = runs(predicted).withColumn("w", F.explode(F.sequence(F.lit(0), F.lit(width)))).filter("w >= 2").withColumn("d", F.explode(F.sequence(F.lit(1), F.floor(F.col("w") / 2).cast("int"))))
+    beside_runs = sides.select("series_id", "w", F.explode(F.array(F.col("s") - F.col("d"), F.col("e") + F.col("d"))).alias("idx"), F.sqrt(1 - F.col("d") / F.col("w")).alias("_soft"))
+    hit = predicted.filter("label = 0 AND pred = 1").select("series_id", "idx")
+    more = beside_runs.groupBy("series_id", "w", "idx").agg(F.sum("_soft").alias("_soft")).join(hit, ["series_id", "idx"]).groupBy("series_id", "w").agg(F.sum(F.least("_soft", F.lit(1.0))).alias("_more"))
+    cells = totals.withColumn("w", F.explode(F.sequence(F.lit(0), F.lit(width)))).join(more, ["series_id", "w"], "left")
+    soft = F.coalesce("_more", F.lit(0.0))
+    tp = F.col("own") + soft
+    cells = cells.select("series_id", F.least(tp / (F.col("p") + soft / 2), F.lit(1.0)).alias("_r"), _safe(tp, F.col("pp")).alias("_p"))
+    r, p = F.col("_r"), F.col("_p")
+    return cells.groupBy("series_id").agg(F.avg("_r").alias("vus_recall"), F.avg("_p").alias("vus_precision"), F.avg(_safe(2 * r * p, r + p)).alias("vus_f"))
+
+
+def evaluate_predictions(predicted: DataFrame, width: int) -> DataFrame:
+    """All measures of pred, one row for each series with labelled points."""
+    predicted = materialise(predicted.select("series_id", "idx", "label", "pred"))
+    out = predicted.groupBy("series_id").agg(F.sum("label").alias("_p")).filter("_p > 0").select("series_id")
+    parts = (f1_of_predictions(predicted).select("series_id", "f1"), adjusted_of_predictions(predicted), event_of_predictions(predicted), range_of_predictions(predicted).select("series_id", "r_f1"), affiliation_of_predictions(predicted).select("series_id", F.col("f").alias("affiliation_f")), volume_of_predictions(predicted, width))
+    for part in parts:
+        out = out.join(part, "series_id", "left")
+    return out
+
+
+def evaluate_one_threshold(scored: DataFrame) -> DataFrame:
+    """auc_roc, and of scores over the mean plus three deviations: precision, recall, f1, pa_f1, the range figures and precision among the top n."""
+    predicted = materialise(three_sigma(scored))
+    out = roc_auc(scored)
+    for part in (f1_of_predictions(predicted), adjusted_of_predictions(predicted), range_of_predictions(predicted), precision_at_n(scored)):
+        out = out.join(part, "series_id", "left")
+    return out
+
+
 def evaluate(scored: DataFrame, width: int) -> DataFrame:
     """All nine measures, one row for each series; null where one is undefined.  The scores are written once and read by each measure."""
     scored = materialise(scored.select("series_id", "idx", "score", "label"))

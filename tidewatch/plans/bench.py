@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import time
 from collections.abc import Mapping, Sequence
 from itertools import combinations, product
 from typing import Any
@@ -30,9 +31,9 @@ GRIDS: dict[str, dict[str, list[Any]]] = {
     "CBLOF": {"clusters": [4, 8, 16, 32], "alpha": [0.6, 0.7, 0.8, 0.9]},
     "EIF": {"trees": [25, 50, 100, 200]},
     "RobustPCA": {"rounds": [500, 1000, 1500]},
-    "Chronos": {"width": [50, 100, 150]},
-    "TimesFM": {"width": [32, 64, 96]},
-    "Lag_Llama": {"width": [32, 64, 96]},
+    "KMeansAD_U": {"clusters": [10, 20, 30, 40]},
+    "COF": {"k": [10, 20, 30, 40, 50]},
+    "MatrixProfile": {"width": [10, 20, 30, 40]},
 }
 MEASURES = ("auc_pr", "auc_roc", "vus_pr", "vus_roc", "f1", "pa_f1", "event_f1", "r_f1", "affiliation_f")
 
@@ -57,6 +58,26 @@ def score_all(series: DataFrame, jobs: Sequence[tuple[str, Mapping[str, Any]]])
     return out
 
 
+def timed_scores(series: DataFrame, jobs: Sequence[tuple[str, Mapping[str, Any]]], path: str) -> DataFrame:
+    """Score all series with each job and write the scores to ``path``; detector, params, seconds, series, points and failed series of each job.
+
+    One job after the other, so that each has its own time; the work of a job is spread over all tasks.
+    """
+    spark, rows = series.sparkSession, []
+    for name, params in jobs:
+        began = time.perf_counter()
+        detect(series, name, **params).withColumn("params", F.lit(str(sorted(params.items())))).write.mode("append").partitionBy("detector", "params").parquet(path)
+        rows.append((name, str(sorted(params.items())), time.perf_counter() - began))
+    log = spark.createDataFrame(rows, "detector string, params string, seconds double")
+    done = spark.read.parquet(path).groupBy("detector", "params").agg(F.countDistinct("series_id").alias("series"), F.count("*").alias("points"), F.countDistinct(F.when(F.col("error").isNotNull(), F.col("series_id"))).alias("failed"))
+    return log.join(done, ["detector", "params"])
+
+
+def write_measures(results: DataFrame, path: str) -> None:
+    """Append rows of measures (series_id, detector, params, ...) by detector."""
+    results.write.mode("append").partitionBy("detector").parquet(path)
+
+
 def run_benchmark(series: DataFrame, jobs: Sequence[tuple[str, Mapping[str, Any]]], width: int) -> DataFrame:
     """series_id, detector, params and all measures; null where a detector failed."""
     scores = materialise(score_all(series, jobs).join(series.select("series_id", "idx", "label"), ["series_id", "idx"]))
@@ -102,7 +123,7 @@ def average_ranks(results: DataFrame) -> DataFrame:
 
 
 def friedman(results: DataFrame) -> DataFrame:
-    """The Friedman statistic over detectors, corrected for ties, for each measure."""
+    """The Friedman statistic over detectors, corrected for ties, and its chance (p) if all were equal, for each measure."""
     r = series_ranks(results)
     sums = r.groupBy("measure", "detector").agg(F.sum("rank").alias("s"))
     size = r.groupBy("measure").agg(F.countDistinct("series_id").alias("n"), F.countDistinct("detector").alias("k"))
@@ -111,7 +132,13 @@ def friedman(results: DataFrame) -> DataFrame:
     n, k = F.col("n"), F.col("k")
     raw = 12.0 / (n * k * (k + 1)) * F.col("ss") - 3 * n * (k + 1)
     c = 1 - F.col("ties") / (n * k * (k * k - 1))
-    return total.join(size, "measure").join(ties, "measure").select("measure", "n", "k", (raw / F.when(c > 0, c)).alias("statistic"))
+
+    @F.pandas_udf("double")
+    def tail(x: pd.Series, count: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(a) else chi_square_tail(a, int(b) - 1) for a, b in zip(x, count)], dtype=float)
+
+    rows = total.join(size, "measure").join(ties, "measure").select("measure", "n", "k", (raw / F.when(c > 0, c)).alias("statistic"))
+    return rows.withColumn("p", tail("statistic", "k"))
 
 
 def chi_square_tail(x: float, freedom: int) -> float:

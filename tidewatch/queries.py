@@ -316,7 +316,9 @@ def threshold_pct(spark: SparkSession, sf: str) -> DataFrame:
     return m.over_percentile(scored(spark, sf), 0.1).groupBy("series_id").agg(F.sum("pred").cast("long").alias("n"))
 
 
-@query("precision_at_n")
+@query("precision_at_n", SCORED + """, r AS (SELECT series_id, score, label, row_number() OVER (PARTITION BY series_id ORDER BY score) - 1 AS i, count(*) OVER s AS n, sum(label) OVER s AS p FROM x WINDOW s AS (PARTITION BY series_id)),
+    q AS (SELECT series_id, max(CASE WHEN i = floor(pos) THEN score END) AS a, max(CASE WHEN i = least(floor(pos) + 1, n - 1) THEN score END) AS b, max(pos - floor(pos)) AS part FROM (SELECT *, (n - 1) * (1 - p::DOUBLE / n) AS pos FROM r WHERE p > 0) GROUP BY 1)
+    SELECT q.series_id, round(coalesce(avg(CASE WHEN score > a + (b - a) * part THEN label END), 0), 6) AS precision_at_n FROM q JOIN x USING (series_id) GROUP BY 1""")
 def precision_at_n(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(m.precision_at_n(scored(spark, sf)), "precision_at_n")
 
@@ -326,7 +328,8 @@ def proba_linear(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(ft.probability(scored(spark, sf)).select("series_id", "idx", "probability"), "probability")
 
 
-@query("proba_normal")
+@query("proba_normal", SCORED + """, st AS (SELECT series_id, avg(score) AS mean, stddev_pop(score) * sqrt(2::DOUBLE) AS width FROM x GROUP BY 1), z AS (SELECT series_id, idx, (score - mean) / width AS z FROM x JOIN st USING (series_id)), t AS (SELECT *, 1 / (1 + 0.3275911::DOUBLE * abs(z)) AS t FROM z)
+    SELECT series_id, idx, round(CASE WHEN z <= 0 THEN 0 ELSE least(1, greatest(0, 1 - ((((1.061405429::DOUBLE * t - 1.453152027) * t + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t * exp(-z * z))) END, 6) AS probability FROM t""")
 def proba_normal(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(ft.probability(scored(spark, sf), "normal").select("series_id", "idx", "probability"), "probability")
 
@@ -410,6 +413,66 @@ def range_auc(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(m.range_auc(deviations(spark, sf), 24), "range_auc_roc", "range_auc_pr")
 
 
+PRUNS = PRED + """, hit AS (SELECT series_id, idx, pred, idx - row_number() OVER (PARTITION BY series_id ORDER BY idx) AS g FROM pr WHERE label = 1), runs AS (SELECT series_id, g, min(idx) AS s, max(idx) AS e, max(pred) AS top, max(CASE WHEN idx = 0 THEN pred END) AS first FROM hit GROUP BY 1, 2),
+    qs AS (SELECT series_id, g, min(idx) AS qs, max(idx) AS qe FROM (SELECT series_id, idx, idx - row_number() OVER (PARTITION BY series_id ORDER BY idx) AS g FROM pr WHERE pred = 1) GROUP BY 1, 2),
+    t AS (SELECT series_id, sum(label) AS p, sum(pred) AS pp, sum(label * pred) AS tp, max(idx) AS last FROM pr GROUP BY 1)"""
+
+
+@query("pa_f1_pred", PRUNS + """, a AS (SELECT series_id, sum(CASE WHEN top = 1 THEN e - greatest(s, 1) + 1 ELSE 0 END) + sum(coalesce(first, 0)) AS hits FROM runs GROUP BY 1)
+    SELECT series_id, round(2 * hits::DOUBLE / (hits + pp - tp + p), 6) AS pa_f1 FROM a JOIN t USING (series_id)""")
+def pa_f1_pred(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(m.adjusted_of_predictions(predicted(spark, sf)), "pa_f1")
+
+
+@query("event_f1_pred", PRUNS + """, f AS (SELECT series_id, count(DISTINCT g) AS hits FROM hit JOIN t USING (series_id) WHERE pred = 1 AND idx < last GROUP BY 1), n AS (SELECT series_id, count(*) AS events FROM runs GROUP BY 1),
+    rp AS (SELECT n.series_id, coalesce(hits, 0)::DOUBLE / events AS r, coalesce(tp::DOUBLE / nullif(pp, 0), 0) AS p FROM n JOIN t USING (series_id) LEFT JOIN f ON f.series_id = n.series_id)
+    SELECT series_id, round(2 * r * p / (r + p + 1e-15), 6) AS event_f1 FROM rp""")
+def event_f1_pred(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(m.event_of_predictions(predicted(spark, sf)), "event_f1")
+
+
+RANGE_PRED = PRUNS + """, pairs AS (SELECT q.series_id, q.g AS q, r.g AS r, qs, qe, s, e, greatest(s, qs) AS lo, least(e, qe) AS hi FROM qs q JOIN runs r ON q.series_id = r.series_id AND qs <= e AND s <= qe),
+    a AS (SELECT series_id, count(*) AS met, sum(part) AS over, sum(0.2 + 0.8 * part) AS r FROM (SELECT series_id, r, {truth} / count(*) AS part FROM pairs GROUP BY 1, 2) GROUP BY 1),
+    b AS (SELECT series_id, sum(part) AS p FROM (SELECT series_id, q, {found} / count(*) AS part FROM pairs GROUP BY 1, 2) GROUP BY 1),
+    nr AS (SELECT series_id, count(*) AS nr FROM runs GROUP BY 1), nq AS (SELECT series_id, count(*) AS nq FROM qs GROUP BY 1),
+    f AS (SELECT nr.series_id, coalesce(a.r, 0) / nr AS r, coalesce(met, 0)::DOUBLE / nr AS existence, coalesce(over, 0) / nr AS overlap, coalesce(b.p / nq, 0) AS p FROM nr LEFT JOIN nq ON nq.series_id = nr.series_id LEFT JOIN a ON a.series_id = nr.series_id LEFT JOIN b ON b.series_id = nr.series_id)
+    SELECT series_id, round(r, 6) AS range_recall, round(existence, 6) AS existence, round(overlap, 6) AS overlap, round(p, 6) AS range_precision, round(CASE WHEN r + p > 0 THEN 2 * r * p / (r + p) ELSE 0 END, 6) AS r_f1 FROM f"""
+RANGE_FIGURES = ("range_recall", "existence", "overlap", "range_precision", "r_f1")
+
+
+@query("range_pred", RANGE_PRED.format(truth="sum(hi - lo + 1)::DOUBLE / max(e - s + 1)", found="sum(hi - lo + 1)::DOUBLE / max(qe - qs + 1)"))
+def range_pred(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(m.range_of_predictions(predicted(spark, sf)), *RANGE_FIGURES)
+
+
+@query("range_pred_back", RANGE_PRED.format(truth="sum((hi - lo + 1) * (hi + lo))::DOUBLE / max((e - s + 1) * (e + s))", found="sum((hi - lo + 1) * (hi + lo))::DOUBLE / max((qe - qs + 1) * (qe + qs))"))
+def range_pred_back(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(m.range_of_predictions(predicted(spark, sf), bias="back"), *RANGE_FIGURES)
+
+
+@query("vus_pred", PRUNS + """, sd AS (SELECT series_id, w, d, unnest([s - d, e + d]) AS idx, sqrt(1 - d::DOUBLE / w) AS soft FROM runs, (SELECT w, unnest(range(1, w // 2 + 1)) AS d FROM (SELECT unnest(range(2, 21)) AS w))),
+    so AS (SELECT series_id, w, idx, least(1, sum(soft)) AS soft FROM sd GROUP BY 1, 2, 3), mo AS (SELECT so.series_id, w, sum(soft) AS more FROM so JOIN pr ON pr.series_id = so.series_id AND pr.idx = so.idx WHERE label = 0 AND pred = 1 GROUP BY 1, 2),
+    ce AS (SELECT t.series_id, least(1, (tp + coalesce(more, 0)) / (p + coalesce(more, 0) / 2)) AS r, coalesce((tp + coalesce(more, 0)) / nullif(pp, 0), 0) AS p FROM t JOIN (SELECT unnest(range(0, 21)) AS w) ws ON p > 0 LEFT JOIN mo ON mo.series_id = t.series_id AND mo.w = ws.w)
+    SELECT series_id, round(avg(r), 6) AS vus_recall, round(avg(p), 6) AS vus_precision, round(avg(CASE WHEN r + p > 0 THEN 2 * r * p / (r + p) ELSE 0 END), 6) AS vus_f FROM ce GROUP BY 1""")
+def vus_pred(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(m.volume_of_predictions(predicted(spark, sf), 20), "vus_recall", "vus_precision", "vus_f")
+
+
+@query("evaluate_pred")
+def evaluate_pred(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(m.evaluate_predictions(predicted(spark, sf), 20), "f1", "pa_f1", "event_f1", "r_f1", "affiliation_f", "vus_recall", "vus_precision", "vus_f")
+
+
+@query("evaluate_3sigma")
+def evaluate_3sigma(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(m.evaluate_one_threshold(scored(spark, sf)), "auc_roc", "precision", "recall", "f1", "pa_f1", "precision_at_n", *RANGE_FIGURES)
+
+
+@query("confidence")
+def confidence(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(ft.confidence(scored(spark, sf)).select("series_id", "idx", "confidence"), "confidence")
+
+
 @query("affiliation")
 def affiliation(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(m.affiliation(scored(spark, sf)), "affiliation_f")
@@ -432,7 +495,14 @@ def copod(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(d.copod(d.channel_values(rows).withColumn("value", F.round("value", 9))), "score")
 
 
-@query("sub_hbos")
+W24 = """w AS (SELECT a.idx, b.idx - a.idx AS lag, b.value FROM ts_h a JOIN ts_h b ON b.idx BETWEEN a.idx AND a.idx + 23 WHERE a.idx <= (SELECT max(idx) - 23 FROM ts_h)),
+    zw AS (SELECT idx, lag, (value - avg(value) OVER l) / stddev_pop(value) OVER l AS z FROM w WINDOW l AS (PARTITION BY lag))"""
+EDGE24 = " SELECT 'hourly' AS series_id, h.idx, round(sc.score, 6) AS score FROM ts_h h, (SELECT max(idx) AS last FROM sc) n JOIN sc ON sc.idx = least(greatest(h.idx - 12, 0), last)"
+
+
+@query("sub_hbos", W24 + """, en AS (SELECT lag, min(z) AS lo, max(z) AS hi, count(*) AS n, (max(z) - min(z)) / 10 AS width FROM zw GROUP BY 1),
+    bins AS (SELECT idx, lag, n, width, least(floor((z - lo) / width), 9) AS lb, greatest(least(ceil((z - lo) / width) - 1, 9), 0) AS rb FROM zw JOIN en USING (lag)), dens AS (SELECT lag, lb, count(*)::DOUBLE / max(n) / max(width) AS density FROM bins GROUP BY 1, 2),
+    sc AS (SELECT b.idx, sum(-log2(coalesce(density, 0) + 0.1)) AS score FROM bins b LEFT JOIN dens d ON d.lag = b.lag AND d.lb = b.rb GROUP BY 1)""" + EDGE24)
 def sub_hbos(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(d.sub_hbos(s.hourly_series(spark, sf), 24), "score")
 
@@ -501,8 +571,17 @@ def poly_line(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(d.poly_blocks(s.hourly_series(spark, sf), 24, 200), "score")
 
 
+SUB = W24 + ", vw AS (SELECT idx, list(z ORDER BY lag) AS v FROM zw GROUP BY 1), " + PAIRS.replace("vec a", "vw a").replace("vec b", "vw b")
+#: SQL of the detectors that SQL can express.
+DETECTOR_SQL = {
+    "detect_seasonal": "SELECT h.series_id, 'Seasonal' AS detector, h.idx, round(coalesce(pow(h.value - b.value, 2), 0), 6) AS score, NULL::VARCHAR AS error FROM ts_h h LEFT JOIN ts_h b ON b.idx = h.idx - 24",
+    "events_seasonal": "SELECT u.series_id, 'Seasonal' AS detector, u.idx, round(coalesce(pow(u.value - b.value, 2), 0), 6) AS score, NULL::VARCHAR AS error FROM ts_u u LEFT JOIN ts_u b ON b.series_id = u.series_id AND b.idx = u.idx - 24",
+    "detect_sub_knn": SUB + ", sc AS (SELECT idx, max(dist) AS score FROM near GROUP BY 1)" + EDGE24.replace("'hourly' AS series_id, h.idx,", "'hourly' AS series_id, 'Sub_KNN' AS detector, h.idx,").replace("AS score FROM ts_h", "AS score, NULL::VARCHAR AS error FROM ts_h"),
+}
+
+
 def _detector(name: str, key: str, build: Callable[[SparkSession, str], DataFrame], **params) -> None:
-    query(key)(lambda spark, sf: detect(build(spark, sf), name, **params).select("series_id", "detector", "idx", F.round("score", 6).alias("score"), "error"))
+    query(key, DETECTOR_SQL.get(key))(lambda spark, sf: detect(build(spark, sf), name, **params).select("series_id", "detector", "idx", F.round("score", 6).alias("score"), "error"))
 
 
 for _name, _params in {
@@ -547,7 +626,7 @@ def average_ranks(spark: SparkSession, sf: str) -> DataFrame:
 @query("friedman", RANKS + """, sm AS (SELECT detector, sum(rank) AS s FROM rk GROUP BY 1), sz AS (SELECT count(DISTINCT series_id) AS n, count(DISTINCT detector) AS k FROM rk), ti AS (SELECT sum(t * t * t - t) AS ties FROM (SELECT count(*) AS t FROM rk GROUP BY series_id, value))
     SELECT 'price' AS measure, n, k, round((12.0::DOUBLE / (n * k * (k + 1)) * (SELECT sum(s * s) FROM sm) - 3 * n * (k + 1)) / (1 - ties::DOUBLE / (n * k * (k * k - 1))), 6) AS statistic FROM sz, ti""")
 def friedman(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(bench.friedman(results(spark, sf)), "statistic")
+    return rounded(bench.friedman(results(spark, sf)).drop("p"), "statistic")
 
 
 @query("nemenyi")
@@ -615,6 +694,58 @@ def array_distances(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(w.join(later, ["series_id", "idx"]).select("series_id", "idx", arrays.lp_distance(a, b, 1).alias("manhattan"), arrays.lp_distance(a, b).alias("euclidean"), arrays.fourier_distance(a, b).alias("fourier")), "manhattan", "euclidean", "fourier")
 
 
+@query("window_autoregression", WINDOWS.replace("+ 4", "+ 11").replace("- 4", "- 11") + """, l AS (SELECT a.idx, regr_slope(b.value, a.value) AS slope FROM w a JOIN w b ON b.idx = a.idx AND b.lag = a.lag + 1 GROUP BY 1) SELECT 'hourly' AS series_id, idx, round(slope, 6) AS autoregression FROM l""")
+def window_autoregression(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(ft.sequence_statistics(s.hourly_series(spark, sf), 12).select("series_id", "idx", "autoregression"), "autoregression")
+
+
+@query("window_entropy_hurst")
+def window_entropy_hurst(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(ft.sequence_statistics(s.hourly_series(spark, sf), 64).select("series_id", "idx", "entropy", "hurst"), "entropy", "hurst")
+
+
+def window_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Each window of 12 hours beside that of the day after."""
+    w = fr.windows(s.hourly_series(spark, sf), 12)
+    later = w.select("series_id", (F.col("idx") - 24).alias("idx"), F.col("window").alias("b"))
+    return w.withColumnRenamed("window", "a").join(later, ["series_id", "idx"])
+
+
+for _name in ft.DISTANCES:
+    query(f"distance_{_name}")(lambda spark, sf, name=_name: rounded(ft.sequence_distance(window_pairs(spark, sf), name).select("series_id", "idx", "distance"), "distance"))
+
+
+@query("optimal_bins", """r AS (SELECT series_id, lag, round(value, 9) AS v FROM lags_m), en AS (SELECT series_id, lag, min(v) AS lo, max(v) AS hi, count(*) AS n FROM r GROUP BY 1, 2 HAVING min(v) < max(v)), tr AS (SELECT *, unnest(range(1, greatest(floor(sqrt(n))::INTEGER, 2))) AS b FROM en),
+    c AS (SELECT tr.lag, n, b, least(floor((v - lo) / (hi - lo) * b), b - 1) AS bin, count(*) AS c FROM tr JOIN r ON r.lag = tr.lag GROUP BY 1, 2, 3, 4), g AS (SELECT lag, b, sum(c * ln(b * c::DOUBLE / n + 1)) - b * (b - 1 + pow(ln(b), 2.5)) AS gain FROM c GROUP BY 1, 2, n)
+    SELECT 'shipments' AS series_id, lag, arg_max(b, struct_pack(gain := gain, b := -b))::INTEGER AS bins FROM g GROUP BY 2""")
+def optimal_bins(spark: SparkSession, sf: str) -> DataFrame:
+    return ft.optimal_bins(d.channel_values(s.shipment_series(spark, sf)).withColumn("value", F.round("value", 9)))
+
+
+@query("similarity", "st AS (SELECT lag, avg(value) AS m, stddev_pop(value) AS s FROM lags_m GROUP BY 1) SELECT series_id, idx, round(pow(2, -0.5 * avg(pow((value - m) / s, 2))), 6) AS similarity FROM lags_m JOIN st USING (lag) GROUP BY 1, 2")
+def similarity(spark: SparkSession, sf: str) -> DataFrame:
+    points = s.shipment_series(spark, sf).select("series_id", "idx", F.col("features").alias("v"))
+    return rounded(ft.similarity(points, 0.5), "similarity")
+
+
+@query("weighted_pearson", "q AS (SELECT l_returnflag AS series_id, l_quantity::DOUBLE AS w, l_extendedprice::DOUBLE AS x, l_discount::DOUBLE AS y FROM lineitem), mn AS (SELECT series_id, sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my FROM q GROUP BY 1) SELECT series_id, round(sum(w * (x - mx) * (y - my)) / sqrt(sum(w * pow(x - mx, 2)) * sum(w * pow(y - my, 2))), 6) AS pearson FROM q JOIN mn USING (series_id) GROUP BY 1")
+def weighted_pearson(spark: SparkSession, sf: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.col("l_returnflag").alias("series_id"), *(F.col(a).cast("double").alias(b) for a, b in (("l_quantity", "w"), ("l_extendedprice", "x"), ("l_discount", "y"))))
+    return rounded(ft.weighted_correlation(items), "pearson")
+
+
+@query("split_down_sample", "SELECT * FROM (SELECT series_id, idx, idx < floor(0.7::DOUBLE * count(*) OVER (PARTITION BY series_id)) AS is_train FROM ts_u) WHERE idx % 4 = 0")
+def split_down_sample(spark: SparkSession, sf: str) -> DataFrame:
+    """The first part of each series for training, every fourth point of it."""
+    return fr.split_valid(s.event_series(spark, sf), 0.3).filter("idx % 4 = 0").select("series_id", "idx", "is_train")
+
+
+@query("overlapping_runs", RUNS + ", late AS (SELECT series_id, row_number() OVER (PARTITION BY series_id ORDER BY s)::INTEGER AS seg_id, s + 2 AS s, e + 40 AS e FROM runs) SELECT a.series_id, a.seg_id AS a_id, b.seg_id AS b_id, least(a.e, b.e) - greatest(a.s, b.s) + 1 AS shared FROM runs a JOIN late b ON a.series_id = b.series_id AND a.s <= b.e AND b.s <= a.e")
+def overlapping_runs(spark: SparkSession, sf: str) -> DataFrame:
+    found = materialise(sg.runs(s.event_series(spark, sf)))
+    return sg.overlaps(found, found.withColumns({"s": F.col("s") + 2, "e": F.col("e") + 40}))
+
+
 # Streams' batch twins
 
 
@@ -638,9 +769,19 @@ def sessions(spark: SparkSession, sf: str) -> DataFrame:
     return st.sessions(_events(spark, sf), "12 hours")
 
 
-@query("registry_cover", None)
+@query("registry_cover")
 def registry_cover(spark: SparkSession, sf: str) -> DataFrame:
-    """How many series of the events each registered detector could score."""
+    """For each registered detector: how many of the series with enough points it scores without an error, on the first channel or all; 0 for those that aren't available."""
+    hourly, shipments = s.hourly_series(spark, sf), s.shipment_series(spark, sf)
+    parts = []
+    for entry in REGISTRY.values():
+        if entry.run is None:
+            continue
+        scores = detect(shipments if entry.channels else hourly, entry.name, **{k: min(v, 24) for k, v in entry.params.items() if k == "width"})
+        parts.append(scores.groupBy("detector", "series_id").agg(F.max("error").alias("error"), F.count("score").alias("points")))
+    done = parts[0]
+    for p in parts[1:]:
+        done = done.unionByName(p)
+    done = done.groupBy("detector").agg(F.count(F.when(F.col("error").isNull(), 1)).alias("series"), F.sum("points").alias("points"))
     names = spark.createDataFrame([(r.name, r.run is not None, r.semi, r.channels) for r in REGISTRY.values()], "detector string, available boolean, semi boolean, channels boolean")
-    n = s.event_series(spark, sf).agg(F.countDistinct("series_id").alias("series"), F.count("*").alias("points"))
-    return names.crossJoin(F.broadcast(n))  # one row
+    return names.join(done, "detector", "left").fillna(0, ["series", "points"])
