@@ -7,6 +7,8 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 from tidewatch.llm import fingerprints, langid, neardup, suffixes
 from tidewatch.llm.components import components
@@ -184,6 +186,42 @@ def test_chunks_resist_shifts():
     assert sum(fingerprints.chunk_texts([b"q" * 10_000])[0].values()) <= 10_000
 
 
+def plain_chunks(data):
+    """Byte by byte: digest and length of each chunk."""
+    out, start = {}, 0
+    while start < len(data):
+        for i in range(start, len(data)):
+            n = i - start + 1
+            if n < 32:
+                continue
+            h = sum(int(fingerprints.GEAR[data[i - k]]) << k for k in range(32)) & 0xFFFFFFFF
+            if n == 256 or not h >> (25 if n < 64 else 27):
+                break
+        out[xxhash.xxh3_64_hexdigest(data[start : i + 1])] = i + 1 - start
+        start = i + 1
+    return out
+
+
+def plain_likeness(a, b):
+    least = min(sum(a.values()), sum(b.values()))
+    return sum(n for d, n in a.items() if d in b) / least if least else float(not a and not b)
+
+
+def test_fingerprints_are_those_of_a_plain_chunker(spark, documents):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abcdefgh é漢") for _ in range(n)) for n in (0, 1, 31, 33, 400, 2_500)] + ["z" * 700, None]
+    texts.append((texts[5][:900] + "new" + texts[5][900:])[::1])
+    rows = [(i * 3, t) for i, t in enumerate(texts)]
+    got = {r.doc_id: r for r in fingerprints.edit_likeness(documents(rows)).collect()}
+    assert len(got) == len(rows)
+    for (i, t), (_, after) in zip(rows, rows[1:] + rows[:1]):
+        t, after = t or "", after or ""
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        own, changed, following = (plain_chunks(x.encode()) for x in (t, edited, after))
+        assert fingerprints.from_string(got[i].fingerprint) == own and fingerprints.from_string(got[i].edited_fingerprint) == changed
+        assert (got[i].near_edited, got[i].near_next) == pytest.approx((plain_likeness(own, changed), plain_likeness(own, following)))
+
+
 def test_edits_meet_the_next_document(spark, documents):
     rows = [(i, t) for i, t in ODD if i is not None and i not in (4, 6)] + [(9, "nine" * 100), (12, "twelve" * 300), (15, None)]
     rows.sort()
@@ -213,6 +251,46 @@ def test_language_on_held_out_documents(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def plain_language(train, text, min_share=2e-5, ratio=0.0):
+    """By sets of n-grams, without filters: part of each language."""
+    grams = lambda t: [g for g in (lambda b: [b[i : i + 4] for i in range(len(b) - 3)])(bytes(c if c > 127 or chr(c).isalpha() else 32 for c in f" {t.lower()} ".encode()) + b"   ") if g[1] != 32 and g[2] != 32]
+    if train:
+        counts = {}
+        for t, lang in train:
+            counts.setdefault(lang, Counter()).update(grams(t))
+        return {lang: {g for g, n in c.items() if n >= min_share * sum(c.values())} for lang, c in counts.items()}
+    return grams(text)
+
+
+def test_language_is_that_of_plain_sets(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("doc_id < 400")
+    rows = [(r.doc_id, r.text, r.lang) for r in docs.collect() if r.text and r.lang]
+    sets = plain_language([(t, lang) for _, t, lang in rows], "")
+    got = {r.doc_id: r for r in langid.predict(docs, langid.train(docs, min_ratio=0.0)).collect()}
+    same = 0
+    for i, t, _ in rows:
+        grams = plain_language(None, t)
+        share = {lang: sum(g in known for g in grams) / max(len(grams), 1) for lang, known in sets.items()}
+        best = min(share, key=lambda x: (-share[x], x))
+        same += best == got[i].lang_pred
+        if sum(share.values()):
+            assert got[i].score == pytest.approx(max(share.values()) / sum(share.values()), abs=0.02)
+    assert same >= 0.99 * len(rows)
+
+
+def test_very_long_texts(spark, documents):
+    """Longer than any slice, alone and twice."""
+    rng = random.Random(4)
+    long = " ".join(f"w{rng.randrange(50_000)}" for _ in range(200_000))
+    rows = [(1, long), (2, long + " end"), (3, "short text of a few words")]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(documents(rows), 2).collect()}
+    assert got == plain_components(rows, 2)
+    removed = {r.doc_id: (r.n_bytes, r.n_removed) for r in suffixes.remove_repeats(documents(rows)).collect()}
+    assert removed == {1: (len(long), len(long)), 2: (len(long) + 4, len(long)), 3: (25, 0)}
+    model = langid.train(documents([(1, "the text of it"), (2, "der text davon")]).withColumn("lang", F.when(F.col("doc_id") == 1, "en").otherwise("de")))
+    assert langid.predict(documents([(1, "the text of it " * 200_000)]), model).first().lang_pred == "en"
+
+
 def test_language_of_odd_rows(spark, documents, small_docs):
     model = langid.train(small_docs)
     got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(documents([*ODD, (8, "12 + 3 !?")]), model).collect()}

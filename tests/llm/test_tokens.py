@@ -158,6 +158,30 @@ def test_mix_of_small_table(spark, small_docs):
         assert by[s][2] == by[s][0] and by[s][3] == pytest.approx(t) and abs(by[s][1] - t) <= 2 * mixing.BLOCK
 
 
+def test_mix_is_that_of_plain_slots(spark, small_docs):
+    """Documents tile their source's row of words; what is taken follows slot by slot from the draws and permutations."""
+    docs = small_docs.unionByName(small_docs.filter("doc_id < 20")).unionByName(spark.createDataFrame([(None, f"a b c {i}", None, "src1", 0) for i in range(50)] + [(None, "same", None, "src1", 0)] * 30, small_docs.schema))
+    rows = mixing.numbered(docs, ["doc_id"])
+    placed, figures = mixing.place(rows, (5, 2, 1), 1.5)
+    at = defaultdict(list)
+    for r in placed.collect():
+        at[r.number].append((r.place, r.size, r.n))
+    taken = defaultdict(int)
+    for f in figures.itertuples():
+        row = sorted(x for x in at[f.number] if x[1])
+        assert [p for p, _, _ in row] == [0, *np.cumsum([n for _, n, _ in row]).tolist()][:-1] and sum(n for _, n, _ in row) == f.words
+        slots = np.concatenate([np.arange(first, first + n) for _, source, first, n in mixing.draw(figures["slots"].tolist(), mixing.SHARDS, 1) if source == f.number] or [np.zeros(0, int)])
+        assert sorted(slots.tolist()) == list(range(f.slots))
+        blocks = f.blocks
+        for slot in slots.tolist():
+            key = mixing.mix64(np.uint64(1) + mixing.mix64(np.array([f.number << 32 | slot // blocks], np.uint64)))
+            block = int(mixing.permute(np.array([slot % blocks]), np.array([blocks]), key)[0])
+            for p, n, i in row:
+                taken[i] += max(0, min(p + n, (block + 1) * mixing.BLOCK) - max(p, block * mixing.BLOCK))
+    want = sorted((str(r.doc_id), r.size, taken[r.n]) for r in rows.collect())
+    assert want == sorted((str(r.doc_id), r.size, r.taken) for r in mixing.taken_words(docs).collect())
+
+
 def test_mix_gives_the_words_taken(spark, small_docs):
     mixed = mixing.mix(small_docs)
     assert mixed.columns == small_docs.columns
