@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write a table that several plans read to the checkpoint folder (``spark.checkpoint.dir``, or our own where it is unset)."""
+    """Write a table that several plans read to the checkpoint folder: ``spark.checkpoint.dir``, or our own where it is unset, on a single machine only."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidewatch-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tidewatch-"))
     return df.checkpoint()
