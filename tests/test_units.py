@@ -347,6 +347,7 @@ def plain_predictions(label, pred):
 @pytest.mark.parametrize("seed", range(4))
 def test_measures_of_predictions(spark, seed, monkeypatch):
     monkeypatch.setattr(segments, "BUCKET", 16)
+    monkeypatch.setattr(segments, "MEET", 16)
     rng = np.random.default_rng(seed)
     label, pred = np.zeros(90, int), (rng.random(90) < 0.3).astype(int)
     for s, e in ((0, 3), (12, 20), (31, 50), (86, 89)):

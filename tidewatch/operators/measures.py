@@ -88,8 +88,13 @@ def passed(scored: DataFrame, steps: int = STEPS) -> DataFrame:
     ends = scored.groupBy("series_id").agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"))
     step = (F.col("_hi") - F.col("_lo")) / (steps - 1)
     theta = lambda k: F.when(k == steps - 1, F.col("_hi")).otherwise(F.col("_lo") + k * step)
-    below = F.size(F.filter(F.sequence(F.lit(0), F.lit(steps - 1)), lambda k: theta(k) < F.col("score")))
-    return scored.join(ends, "series_id").withColumn("passed", below).drop("_lo", "_hi")
+    # About how many, put right by the thresholds on both sides of it.
+    about = F.least(F.greatest(F.coalesce(F.ceil((F.col("score") - F.col("_lo")) / F.nullif(step, F.lit(0.0))), F.lit(0)), F.lit(0)), F.lit(steps)).cast("int")
+    rows = scored.join(ends, "series_id").withColumn("_k", about)
+    k = F.col("_k")
+    more = ((k < steps) & (theta(k) < F.col("score"))).cast("int")
+    less = ((k > 0) & (theta(k - 1) >= F.col("score"))).cast("int")
+    return rows.withColumn("passed", k + more - less).drop("_lo", "_hi", "_k")
 
 
 def _counts(with_passed: DataFrame, what: Column, name: str) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Indices of a series in a bucket.
 BUCKET = 8_192
+#: Indices of a bucket in which ranges meet; few of them, as ranges of a bucket are compared pair by pair.
+MEET = 256
 
 
 def bucket(column: str | Column = "idx") -> Column:
@@ -51,26 +53,30 @@ def beside(points: DataFrame, column: str, default: int = 0) -> DataFrame:
 
 
 def runs_over(passed: DataFrame) -> DataFrame:
-    """series_id, k, q, s and e: the runs of points over each threshold k, where a point is over k if k < passed.
+    """series_id, k, q, s and e: the runs of points over each threshold k, where a point is over k if k < passed; q is their begin.
 
-    Runs begin and end where ``passed`` changes, so a run gives one row for its begin and one for its end, whatever its length.
+    Runs begin and end where ``passed`` changes, so a run gives one row for its begin and one for its end, whatever its
+    length; behind a begin, the next row of the threshold is its end.
     """
     at = beside(passed.select("series_id", "idx", "passed"), "passed")
-    edges = lambda other, name: at.filter(F.col("passed") > F.col(other)).select("series_id", F.explode(F.sequence(F.col(other), F.col("passed") - 1)).alias("k"), F.col("idx").alias(name)).withColumn("q", F.row_number().over(Window.partitionBy("series_id", "k").orderBy(name)))
-    return edges("_before", "s").join(edges("_after", "e"), ["series_id", "k", "q"])
+    edges = lambda other, end: F.transform(F.when(F.col("passed") > F.col(other), F.sequence(F.col(other), F.col("passed") - 1)).otherwise(F.array().cast("array<int>")), lambda k: F.struct(k.alias("k"), F.lit(end).alias("end")))
+    rows = at.select("series_id", "idx", F.explode(F.concat(edges("_before", 0), edges("_after", 1))).alias("_x")).select("series_id", "_x.k", "idx", "_x.end")
+    following = F.lead("idx").over(Window.partitionBy("series_id", "k").orderBy("idx", "end"))
+    return rows.withColumn("e", following).filter("end = 0").select("series_id", "k", F.col("idx").alias("q"), F.col("idx").alias("s"), "e")
 
 
 def overlapping(a: DataFrame, b: DataFrame, a_ends: tuple[str, str], b_ends: tuple[str, str], key: str = "series_id") -> DataFrame:
     """Pairs of rows of a series whose ranges (both ends inside) share an index; columns of both, which differ but for the key.
 
-    Both sides are dealt to the buckets that they cover; a pair is given in the first bucket of both.
+    Both sides are dealt to the buckets (of MEET indices) that they cover; a pair is given in the first bucket of both.
     """
-    cover = lambda df, ends, name: df.withColumn(name, F.explode(F.sequence(bucket(ends[0]), bucket(ends[1]))))
+    place = lambda column: F.floor(F.col(column) / MEET)
+    cover = lambda df, ends, name: df.withColumn(name, F.explode(F.sequence(place(ends[0]), place(ends[1]))))
     left = cover(a, a_ends, "_bucket").alias("a")
     right = cover(b.withColumnRenamed(key, "_key"), b_ends, "_b_bucket").alias("b")
     pairs = left.join(right, (F.col(key) == F.col("_key")) & (F.col("_bucket") == F.col("_b_bucket")))
     meet = (F.col(a_ends[0]) <= F.col(b_ends[1])) & (F.col(b_ends[0]) <= F.col(a_ends[1]))
-    return pairs.filter(meet & (F.col("_bucket") == F.greatest(bucket(a_ends[0]), bucket(b_ends[0])))).drop("_key", "_bucket", "_b_bucket")
+    return pairs.filter(meet & (F.col("_bucket") == F.greatest(place(a_ends[0]), place(b_ends[0])))).drop("_key", "_bucket", "_b_bucket")
 
 
 def merged(segments: DataFrame, sizes: DataFrame, width: int) -> DataFrame:
