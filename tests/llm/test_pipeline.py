@@ -52,7 +52,7 @@ def test_no_long_string_is_left_twice(stages):
 
 def test_texts_are_those_of_plain_removal(stages):
     before = [(r.doc_id, r.text) for r in stages[2].collect()]
-    left = {i: w[3].decode("utf-8", "ignore") for (i, _), w in zip(before, plain_repeats([t.encode() for _, t in before], 400))}
+    left = {i: w[3].decode("utf-8", "ignore") for (i, _), w in zip(before, plain_repeats([t.encode() for _, t in before], corpus_pipeline.PASSAGE_BYTES))}
     assert {r.doc_id: r.text for r in stages[3].collect()} == left
 
 

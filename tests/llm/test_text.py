@@ -145,8 +145,8 @@ def plain_repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize("many", [1_024, 1])
-def test_repeated_strings_are_those_of_all_strings(spark, documents, monkeypatch, many):
+@pytest.mark.parametrize("many, length", [(1_024, 400), (1, 400), (1_024, 256), (1, 100), (1_024, 511)])
+def test_repeated_strings_are_those_of_all_strings(spark, documents, monkeypatch, many, length):
     """Both ways of deciding single strings; borders at any byte, repeats in one text, overlaps, runs of one letter."""
     monkeypatch.setattr(suffixes, "MANY", many)
     rng = random.Random(11)
@@ -154,8 +154,8 @@ def test_repeated_strings_are_those_of_all_strings(spark, documents, monkeypatch
     long, other = noise(1_500), noise(450)
     texts = [noise(50) + long + noise(300), long[200:900] + noise(10), noise(700) + other + noise(3), other[3:], other[:399], "x" * 900, noise(20) + long[1000:1450] + noise(5) + long[1000:1401], noise(800), long, long]
     rows = list(enumerate(texts))
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffixes.remove_repeats(documents(rows)).collect()}
-    assert got == dict(enumerate(plain_repeats([t.encode() for t in texts], 400)))
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffixes.remove_repeats(documents(rows), length=length).collect()}
+    assert got == dict(enumerate(plain_repeats([t.encode() for t in texts], length)))
 
 
 def test_repeated_strings_of_small_table(spark, small_docs, small_texts):

@@ -1,11 +1,11 @@
 """Removal of long repeated byte strings by distributed prefix doubling over sampled suffixes.
 
-Which bytes are covered by a string of ``LENGTH`` bytes that also starts elsewhere?  A row for each byte would be many
+Which bytes are covered by a string of ``length`` bytes that also starts elsewhere?  A row for each byte would be many
 times the input, so suffixes are taken only at anchors: the position with the least hash of ``GRAM`` bytes among
-``SPREAD`` positions in a row.  Each string of LENGTH bytes has one anchor near its start, the same one wherever it
-stands, and contains the BASE * 4 bytes behind it.
+``spread`` positions in a row.  Each string of that length has one anchor near its start, the same one wherever it
+stands, and contains the 4 * ``base`` bytes behind it.
 
-Spark doubles the ranks of the anchors.  The first rank is the name (a 64-bit hash) of the BASE bytes behind an anchor.
+Spark doubles the ranks of the anchors.  The first rank is the name (a 64-bit hash) of the base bytes behind an anchor.
 In each round the pairs of an anchor's rank and of the name of the bytes that follow, as many again, are counted, those
 that only one anchor has are dropped, and the others are sorted; the place in that order is the new rank, of
 twice the length.  The last round goes past the threshold: the name is that of all bytes of all strings of the anchor.
@@ -13,8 +13,8 @@ Anchors that share the last rank have all their strings repeated.  Where anchors
 the last, single strings are decided: one anchor of each last rank gives a row for each of its strings, and those that
 meet an equal one are repeated.  Equality thus rests on several names of 64 bits together.
 
-A null text is empty.  Texts shorter than LENGTH lose nothing.  Repeated rows are texts of their own: each of at least
-LENGTH bytes loses everything.  Rows with the same doc_id are told apart by their text; a null doc_id is handled as any
+A null text is empty.  Texts shorter than the length lose nothing.  Repeated rows are texts of their own: each of at least
+so many bytes loses everything.  Rows with the same doc_id are told apart by their text; a null doc_id is handled as any
 other.  An empty table gives an empty table; other columns are ignored.
 """
 
@@ -33,9 +33,16 @@ from xxhash import xxh3_64_intdigest
 
 from tidewatch.llm.common import cut, mix64, shuffle_partitions, slices, store, text_batches, whole_groups, window_hashes
 
-LENGTH, SPREAD, GRAM = 400, 192, 16
-#: Bytes of the first rank; each of the ROUNDS doubles them.
-BASE, ROUNDS = (LENGTH - SPREAD) // 4, 2
+#: Bytes of a repeated string; bytes that are hashed to choose anchors; rounds that double a rank.
+LENGTH, GRAM, ROUNDS = 400, 16, 2
+
+
+def layout(length: int) -> tuple[int, int]:
+    """spread and base for strings of so many bytes."""
+    if not 64 <= length <= 512:
+        raise ValueError("strings of 64 to 512 bytes")
+    spread = length * 12 // 25
+    return spread, (length - spread) >> ROUNDS
 
 
 class Bytes:
@@ -53,21 +60,21 @@ class Bytes:
         return np.fromiter((xxh3_64_intdigest(self.view[a:b]) for a, b in zip(start.tolist(), end.tolist())), np.uint64, len(start))
 
 
-def anchors(b: Bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(b: Bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Text, position, and first and last start of the strings of each anchor (places in the array of all texts)."""
-    n = len(b.joined)
-    if n < LENGTH:
+    n, (spread, _) = len(b.joined), layout(length)
+    if n < length:
         return (np.zeros(0, np.int64),) * 4
     # The hash above, the position below: the least is the leftmost of the least hashes.
     key = window_hashes(np.frombuffer(b.joined, np.uint8), GRAM) >> np.uint64(36) << np.uint64(36) | np.arange(n - GRAM + 1, dtype=np.uint64)
     width = 1
-    while 2 * width <= SPREAD:
+    while 2 * width <= spread:
         key = np.minimum(key[:-width], key[width:])
         width *= 2
-    if width < SPREAD:
-        key = np.minimum(key[: len(key) - (SPREAD - width)], key[SPREAD - width :])
+    if width < spread:
+        key = np.minimum(key[: len(key) - (spread - width)], key[spread - width :])
     place = (key & np.uint64((1 << 36) - 1)).astype(np.int64)
-    starts = np.maximum(b.size - LENGTH + 1, 0)
+    starts = np.maximum(b.size - length + 1, 0)
     text = np.repeat(np.arange(len(starts)), starts)
     first = np.arange(len(text)) + np.repeat(b.begin - (np.cumsum(starts) - starts), starts)
     place = place[first]
@@ -91,19 +98,20 @@ def tagged(docs: DataFrame) -> DataFrame:
 NAMES = [f"name{k}" for k in range(ROUNDS + 2)]
 
 
-def anchor_rows(docs: DataFrame) -> DataFrame:
+def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
     """The names of each anchor, its document (doc_id, tag) and span: the first start * 2**8 + how many more."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    spread, base = layout(length)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in slices(batch):
                 b = Bytes(texts)
-                text, at, lo, hi = anchors(b)
-                edges = [0, *(BASE << k for k in range(ROUNDS + 1))]
+                text, at, lo, hi = anchors(b, length)
+                edges = [0, *(base << k for k in range(ROUNDS + 1))]
                 names = [b.names(at + x, at + y) for x, y in zip(edges, edges[1:])]
-                shape = (at - lo).astype(np.uint64) << np.uint64(32) | (hi - at + SPREAD).astype(np.uint64)
-                names.append(mix64(b.names(lo, hi + LENGTH) + mix64(shape)))
+                shape = (at - lo).astype(np.uint64) << np.uint64(32) | (hi - at + spread).astype(np.uint64)
+                names.append(mix64(b.names(lo, hi + length) + mix64(shape)))
                 take = pa.array(text)
                 yield pa.RecordBatch.from_arrays(
                     [*(pa.array(x.view(np.int64)) for x in names), part.column("doc_id").take(take), part.column("tag").take(take).cast(pa.int32()), pa.array((lo - b.begin[text]) << 8 | (hi - lo))],
@@ -140,7 +148,7 @@ def _same_document(a: DataFrame, b: DataFrame) -> Column:
     return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["tag"] == b["tag"])
 
 
-def _contexts(docs: DataFrame, chosen: DataFrame, strings: bool) -> DataFrame:
+def _contexts(docs: DataFrame, chosen: DataFrame, length: int, strings: bool) -> DataFrame:
     """The bytes of all strings of each chosen anchor (rank, alone, doc_id, tag, span); or with ``strings`` the hash of each one."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     lists = chosen.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("rank", "alone", "span")).alias("list"))
@@ -160,11 +168,11 @@ def _contexts(docs: DataFrame, chosen: DataFrame, strings: bool) -> DataFrame:
                 lo, more = span >> 8, span & 255
                 owner = [batch.column("doc_id").take(pa.array(of)), batch.column("tag").take(pa.array(of))]
                 if not strings:
-                    parts = [text[t][a : a + n + LENGTH] for t, a, n in zip(of.tolist(), lo.tolist(), more.tolist())]
+                    parts = [text[t][a : a + n + length] for t, a, n in zip(of.tolist(), lo.tolist(), more.tolist())]
                     yield pa.RecordBatch.from_arrays([pa.array(rank), pa.array(alone), *owner, pa.array(lo), pa.array(parts, pa.binary())], ["rank", "alone", "doc_id", "tag", "lo", "part"])
                     continue
                 size = np.array([len(t) for t in text])
-                string = window_hashes(np.frombuffer(b"".join(text), np.uint8), LENGTH)
+                string = window_hashes(np.frombuffer(b"".join(text), np.uint8), length)
                 row = np.repeat(np.arange(len(lo)), more + 1)
                 start = lo[row] + np.arange(len(row)) - np.repeat(np.cumsum(more + 1) - more - 1, more + 1)
                 place = start + (np.cumsum(size) - size)[of[row]]
@@ -175,7 +183,7 @@ def _contexts(docs: DataFrame, chosen: DataFrame, strings: bool) -> DataFrame:
     return joined.mapInArrow(run, f"{head}, alone boolean, doc_id {kind}, tag int, lo long" + ", part binary" * (not strings))
 
 
-def _repeated_in_groups(rows: DataFrame, kind: str) -> DataFrame:
+def _repeated_in_groups(rows: DataFrame, length: int, kind: str) -> DataFrame:
     """doc_id, tag, lo and hi: runs of starts of strings that another anchor of the same rank has too."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,8 +191,8 @@ def _repeated_in_groups(rows: DataFrame, kind: str) -> DataFrame:
             t = t.combine_chunks()
             parts = t.column("part").to_pylist()
             size = np.array([len(p) for p in parts])
-            string = window_hashes(np.frombuffer(b"".join(parts), np.uint8), LENGTH)
-            count = size - LENGTH + 1
+            string = window_hashes(np.frombuffer(b"".join(parts), np.uint8), length)
+            count = size - length + 1
             row = np.repeat(np.arange(len(parts)), count)
             inside = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
             place = inside + (np.cumsum(size) - size)[row]
@@ -201,10 +209,10 @@ def _repeated_in_groups(rows: DataFrame, kind: str) -> DataFrame:
     return rows.repartition(spread, "rank").sortWithinPartitions("rank").mapInArrow(run, f"doc_id {kind}, tag int, lo long, hi long")
 
 
-def repeated_starts(docs: DataFrame) -> DataFrame:
+def repeated_starts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, tag, lo and hi: runs of starts of repeated strings; docs as ``tagged`` gives them."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = anchor_rows(docs.select("doc_id", "text", "tag")).withColumnRenamed(NAMES[0], "rank")
+    rows = anchor_rows(docs.select("doc_id", "text", "tag"), length).withColumnRenamed(NAMES[0], "rank")
     for k, name in enumerate(NAMES[1:-1], 1):
         rows = store(rerank(rows, name), f"anchors{k}")
     left = rows.withColumnRenamed(NAMES[-1], "name")
@@ -214,9 +222,9 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
     mixed = cut(last.groupBy("rank").agg(F.count("*").alias("names")).filter("names > 1"))
     open_ = last.join(mixed, "rank").select("rank", "names", (F.col("n") == 1).alias("alone"), "one.*")
     few, many = open_.filter(F.col("names") <= MANY).drop("names"), open_.filter(F.col("names") > MANY).drop("names")
-    found = found.unionByName(_repeated_in_groups(_contexts(docs, few, strings=False), kind))
+    found = found.unionByName(_repeated_in_groups(_contexts(docs, few, length, strings=False), length, kind))
     if mixed.filter(F.col("names") > MANY).take(1):
-        strings = store(_contexts(docs, many, strings=True), "strings")
+        strings = store(_contexts(docs, many, length, strings=True), "strings")
         repeated = cut(strings.groupBy("rank", "string").agg(F.count("*").alias("n")).filter("n > 1").select("rank", "string"))
         found = found.unionByName(strings.filter("alone").join(repeated, ["rank", "string"]).select("doc_id", "tag", "lo", F.col("lo").alias("hi")))
     return found
@@ -225,13 +233,13 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
 FORMS = {"kept": ("binary", pa.binary(), lambda b: b), "kept_sha256": ("string", pa.string(), lambda b: hashlib.sha256(b).hexdigest()), "text": ("string", pa.string(), lambda b: b.decode("utf-8", "ignore"))}
 
 
-def remove_repeats(docs: DataFrame, form: str = "kept") -> DataFrame:
+def remove_repeats(docs: DataFrame, form: str = "kept", length: int = LENGTH) -> DataFrame:
     """doc_id, tag, n_bytes, n_removed, n_spans and the remaining bytes: as they are (kept), as kept_sha256, or as text without cut characters."""
     sql, arrow, shape = FORMS[form]
     docs = tagged(text_batches(docs))
     kind = docs.schema["doc_id"].dataType.simpleString()
     rest = ["row"] if "row" in docs.columns else []
-    spans = repeated_starts(docs).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
+    spans = repeated_starts(docs, length).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
     texts = packed(docs)
     joined = texts.join(spans, _same_document(texts, spans), "left").select(texts["doc_id"], texts["tag"], "packed", "runs", *rest)
 
@@ -243,7 +251,7 @@ def remove_repeats(docs: DataFrame, form: str = "kept") -> DataFrame:
                 sizes, removed, count, kept = [], [], [], []
                 for p, runs in zip(batch.column("packed"), batch.column("runs").to_pylist()):
                     text, at, out, n = press.decompress(p.as_py()), 0, [], 0
-                    for lo, hi in merged([(r["lo"], r["hi"] + LENGTH) for r in runs or []]):
+                    for lo, hi in merged([(r["lo"], r["hi"] + length) for r in runs or []]):
                         out.append(text[at:lo])
                         at, n = hi, n + 1
                     left = b"".join([*out, text[at:]])
@@ -258,11 +266,11 @@ def remove_repeats(docs: DataFrame, form: str = "kept") -> DataFrame:
     return joined.mapInArrow(run, schema + "".join(f", row {docs.schema['row'].dataType.simpleString()}" for _ in rest))
 
 
-def strip(docs: DataFrame) -> DataFrame:
+def strip(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The documents, with all their columns, without the repeated bytes of their texts; a character that is cut goes."""
     names, kinds = docs.columns, dict(docs.dtypes)
     others = [F.col(n) for n in names if n != "text"]
-    kept = remove_repeats(docs.select("doc_id", "text", F.struct(*others).alias("row")), "text")
+    kept = remove_repeats(docs.select("doc_id", "text", F.struct(*others).alias("row")), "text", length)
     out = kept.select(*(F.col("row")[n].alias(n) for n in names if n != "text"), "text")
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.length("text").cast(kinds["n_chars"]))
