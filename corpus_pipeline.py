@@ -12,6 +12,10 @@ from tidewatch.llm import bpe, langid, mixing, neardup, suffixes
 from tidewatch.llm.common import scratch, table
 
 
+#: Bytes from which a repeated string is a passage: some 50 words of five bytes with their spaces.
+PASSAGE_BYTES = 256
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages learned from the labelled ones, with the predicted language; others go."""
     return langid.accept(docs, langid.train(docs.filter(~langid.held_out())))
@@ -23,8 +27,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the strings of 400 bytes that occur more than once."""
-    return suffixes.strip(docs)
+    """Texts without the strings of PASSAGE_BYTES bytes that occur more than once."""
+    return suffixes.strip(docs, PASSAGE_BYTES)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
