@@ -251,7 +251,7 @@ def test_language_on_held_out_documents(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
-def plain_language(train, text, min_share=2e-5, ratio=0.0):
+def plain_language(train, text, min_share=2e-5):
     """By sets of n-grams, without filters: part of each language."""
     grams = lambda t: [g for g in (lambda b: [b[i : i + 4] for i in range(len(b) - 3)])(bytes(c if c > 127 or chr(c).isalpha() else 32 for c in f" {t.lower()} ".encode()) + b"   ") if g[1] != 32 and g[2] != 32]
     if train:
@@ -266,7 +266,7 @@ def test_language_is_that_of_plain_sets(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("doc_id < 400")
     rows = [(r.doc_id, r.text, r.lang) for r in docs.collect() if r.text and r.lang]
     sets = plain_language([(t, lang) for _, t, lang in rows], "")
-    got = {r.doc_id: r for r in langid.predict(docs, langid.train(docs, min_ratio=0.0)).collect()}
+    got = {r.doc_id: r for r in langid.predict(docs, langid.train(docs)).collect()}
     same = 0
     for i, t, _ in rows:
         grams = plain_language(None, t)

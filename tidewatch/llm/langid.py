@@ -1,9 +1,8 @@
 """Language identification by bit-sliced Bloom filters of n-grams.
 
 Training counts the n-grams (four bytes of lower-cased text, signs and digits as spaces) of each language.  A language
-keeps an n-gram that makes up at least ``min_share`` of all its n-grams, which bounds how many it keeps to
-1 / min_share, and whose share is not under ``min_ratio`` of that in any other language.  All languages share the rows
-of one table: bit l of a row belongs to language l, and the rows of an n-gram, and-ed, give every language that has it.
+keeps the n-grams that make up at least ``min_share`` of all its n-grams each, which bounds how many it keeps to
+1 / min_share, whatever other languages have.  All languages share the rows of one table: bit l of a row belongs to language l, and the rows of an n-gram, and-ed, give every language that has it.
 
 For a text the bits are counted for each language.  The share of n-grams that hit is corrected for those that hit by
 chance, of which the filling of the language's slice tells the rate.  The highest corrected share decides; ties go to
@@ -60,7 +59,7 @@ def positions(code: np.ndarray, size: int) -> list[np.ndarray]:
     return [(h >> np.uint64(20 * k)) & np.uint64(size - 1) for k in range(HASHES)]
 
 
-def train(labelled: DataFrame, sample: int = 20_000, min_share: float = 2e-5, min_ratio: float = 0.5) -> Model:
+def train(labelled: DataFrame, sample: int = 20_000, min_share: float = 2e-5) -> Model:
     """Fit on rows with text and lang; of each language on about ``sample`` documents, chosen by a hash of the text."""
     labelled = text_batches(labelled).select("text", "lang").filter("text IS NOT NULL AND lang IS NOT NULL")
     sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
@@ -98,8 +97,6 @@ def train(labelled: DataFrame, sample: int = 20_000, min_share: float = 2e-5, mi
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     shares = counts.join(F.broadcast(totals), "lang").select("lang", "gram", (F.col("n") / F.col("total")).alias("share"))  # 64 rows at most
     kept = shares.filter(F.col("share") >= min_share).toPandas()  # at most 1 / min_share rows for each language
-    best = kept.groupby("gram")["share"].transform("max")
-    kept = kept[kept["share"] >= min_ratio * best]
     size = 1 << max(10, int(16 * kept.groupby("lang").size().max() if len(kept) else 1).bit_length())
     rows = np.zeros(size, np.uint64)
     for bit, lang in enumerate(languages):
