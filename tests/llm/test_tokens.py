@@ -16,6 +16,7 @@ from tidewatch.llm import bpe, mixing, pretokens, simple8b
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 LIBRARY = public_tokenizers.path("byte_bpe_50k.json")
+LIBRARY_ITSELF = Tokenizer.from_file(LIBRARY)
 ODD = [(1, None), (2, ""), (3, " \t\n "), (4, "it's we'll 'sand don't!'s  x"), (4, "it's we'll 'sand don't!'s  x"), (None, "none"), (5, "é漢🙂\x00\x1c " * 500), (6, "aaaa" * 5_000), (7, "x <|endoftext|><|endoftext|> y"), (8, "<|endoftext|>")]
 #: A sequence and its complement, which have the same polynomial hash modulo a power of two whatever its base.
 MORSE = "".join("ab"[i.bit_count() % 2] for i in range(1_024))
@@ -35,6 +36,14 @@ def test_ids_are_those_of_the_library(reference, texts):
     assert ids.tolist() == [i for t in texts for i in reference.encode_ordinary(t)]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(st.characters(exclude_categories=["Cs"])) | st.lists(st.sampled_from(["a", "é", " ", "  ", "\n", "\r\n", "'s", "'re", "'", "1", "²", "!", "漢", "the ", "\xa0", "ing", "\x00", "\x1c", "\x85", "<|endoftext|>"])).map("".join), max_size=5))
+def test_library_ids_piece_by_piece(texts):
+    want = [LIBRARY_ITSELF.encode(t, add_special_tokens=False).ids for t in texts]
+    ids, counts = simple8b.library_codec(LIBRARY).encode_texts(texts)
+    assert ids.tolist() == [i for w in want for i in w] and counts.tolist() == [*map(len, want)]
+
+
 def test_round_trip(spark, documents, small_texts, reference):
     rows = small_texts + [(i, t) for i, t in ODD if i is None]
     for r in bpe.round_trip(documents(rows), RANKS).collect():
