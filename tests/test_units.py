@@ -152,6 +152,24 @@ def test_periods(spark):
     assert periods.spectrum_periods(rows, 1).first().period == 25
 
 
+@pytest.mark.parametrize("n", [1, 2, 7, 36, 97, 120])
+def test_spectrum(spark, n):
+    x = np.random.default_rng(n).normal(size=n)
+    rows = spark.createDataFrame([(name, i, float(v)) for name, s in (("a", x), ("b", x[::-1])) for i, v in enumerate(s)], "series_id string, idx long, value double")
+    got = {(r.series_id, r.freq): r.amplitude for r in periods.spectrum(rows).collect()}
+    want = {(name, f): abs(np.fft.fft(s)[f]) for name, s in (("a", x), ("b", x[::-1])) for f in range(1, n // 2 + 1)}
+    assert got == pytest.approx(want)
+
+
+def test_correlations_of_all_points(spark):
+    x = np.sin(np.arange(300) * (1 + (np.arange(300) > 150)))
+    rows = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(x)], "series_id string, idx long, value double")
+    for points in (150, None):
+        z = x[:points] - x[:points].mean()
+        got = {r.lag: r.acf for r in periods.acf(rows, 20, points).collect()}
+        assert got == pytest.approx({k: float((z[: len(z) - k] * z[k:]).sum() / (z * z).sum()) for k in range(21)})
+
+
 def spike(spark, n=300, at=200):
     rng = np.random.default_rng(0)
     v = np.sin(np.arange(n) / 4) + 0.05 * rng.normal(size=n)

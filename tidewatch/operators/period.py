@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 POINTS, LAGS, BASE, DEFAULT = 20_000, 400, 3, 125
 
 
-def acf(series: DataFrame, lags: int = LAGS) -> DataFrame:
-    """series_id, lag and acf of the first POINTS points: a join of each point with those at most ``lags`` later, on blocks of the index."""
-    first = series.filter(F.col("idx") < POINTS).select("series_id", "idx", "value")
+def acf(series: DataFrame, lags: int = LAGS, points: int | None = POINTS) -> DataFrame:
+    """series_id, lag and acf of the first ``points`` points (or of all): a join of each point with those at most ``lags`` later, on blocks of the index."""
+    first = (series if points is None else series.filter(F.col("idx") < points)).select("series_id", "idx", "value")
     mean = first.groupBy("series_id").agg(F.avg("value").alias("_mean"))
     x = first.join(mean, "series_id").select("series_id", "idx", (F.col("value") - F.col("_mean")).alias("x"))
     size = lags + 1
@@ -30,7 +32,7 @@ def peaks(correlations: DataFrame) -> DataFrame:
     return tops.select("series_id", (F.row_number().over(order) - 1).alias("ordinal"), "lag", "acf")
 
 
-def period(series: DataFrame, rank: int = 1) -> DataFrame:
+def period(series: DataFrame, rank: int = 1, points: int | None = POINTS) -> DataFrame:
     """series_id and period: the lag of the highest peak (rank 1) or of the next highest that come later (2, 3).
 
     A peak within BASE lags of the first or over 300 lags after it, and a series without peaks, gives DEFAULT; rank 0 gives 1.
@@ -38,7 +40,7 @@ def period(series: DataFrame, rank: int = 1) -> DataFrame:
     names = series.select("series_id").distinct()
     if rank == 0:
         return names.withColumn("period", F.lit(1))
-    found = peaks(acf(series)).groupBy("series_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("acf")).alias("h"), "ordinal", "lag"))).alias("tops"))
+    found = peaks(acf(series, points=points)).groupBy("series_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("acf")).alias("h"), "ordinal", "lag"))).alias("tops"))
     # At most LAGS peaks a series, from the highest down.
     tops = F.col("tops")
     highest = F.element_at(tops, 1)
@@ -58,11 +60,39 @@ def period(series: DataFrame, rank: int = 1) -> DataFrame:
     return names.join(lengths, "series_id", "left").select("series_id", F.coalesce("_period", F.lit(DEFAULT)).cast("int").alias("period"))
 
 
+def spectrum(series: DataFrame) -> DataFrame:
+    """series_id, n, freq (1 to n / 2) and amplitude of the discrete Fourier transform of each series.
+
+    In two steps over n = a * b points, a the largest divisor of n up to its root: transforms of the b points that have
+    the same remainder by a, turned, and transforms of the a results of each frequency of those.  Both steps are groups
+    of a part of the series only (for a prime n, of the whole).
+    """
+    sizes = series.groupBy("series_id").agg(F.count("*").alias("n"))
+    sizes = sizes.withColumn("a", F.array_max(F.filter(F.sequence(F.lit(1).cast("long"), F.floor(F.sqrt("n"))), lambda d: F.col("n") % d == 0)))
+    rows = series.select("series_id", "idx", "value").join(sizes, "series_id").withColumn("r", F.col("idx") % F.col("a"))
+
+    def inner(t: pa.Table) -> pa.Table:
+        t = t.sort_by("idx")
+        n, r = t["n"][0].as_py(), t["r"][0].as_py()
+        y = np.fft.fft(t["value"].to_numpy())
+        k = np.arange(len(y))
+        y = y * np.exp(-2j * np.pi * ((r * k) % n) / n)
+        same = lambda c: t[c].combine_chunks()[:1].take(pa.array(np.zeros(len(y), int)))
+        return pa.table({"series_id": same("series_id"), "n": same("n"), "r": same("r"), "k": k, "re": y.real, "im": y.imag})
+
+    def outer(t: pa.Table) -> pa.Table:
+        t = t.sort_by("r")
+        n, k = t["n"][0].as_py(), t["k"][0].as_py()
+        z = np.abs(np.fft.fft(t["re"].to_numpy() + 1j * t["im"].to_numpy()))
+        freq = np.arange(len(z)) * (n // len(z)) + k
+        keep = (freq >= 1) & (freq <= n // 2)
+        return pa.table({"series_id": t["series_id"].combine_chunks()[:1].take(pa.array(np.zeros(int(keep.sum()), int))), "n": np.full(int(keep.sum()), n), "freq": freq[keep].astype(np.int32), "amplitude": z[keep]})
+
+    turned = rows.groupBy("series_id", "r").applyInArrow(inner, "series_id string, n long, r long, k long, re double, im double")
+    return turned.groupBy("series_id", "k").applyInArrow(outer, "series_id string, n long, freq int, amplitude double")
+
+
 def spectrum_periods(series: DataFrame, k: int) -> DataFrame:
-    """The k strongest frequencies of each series (without the mean) and their periods, by a discrete Fourier transform over a join."""
-    n = series.groupBy("series_id").agg(F.count("*").alias("n"))
-    rows = series.join(n, "series_id").withColumn("freq", F.explode(F.sequence(F.lit(1), F.floor(F.col("n") / 2).cast("int"))))
-    angle = F.lit(2 * 3.141592653589793) * ((F.col("idx") * F.col("freq")) % F.col("n")) / F.col("n")
-    power = rows.groupBy("series_id", "n", "freq").agg(F.sqrt(F.sum(F.col("value") * F.cos(angle)) ** 2 + F.sum(F.col("value") * F.sin(angle)) ** 2).alias("amplitude"))
+    """The k strongest frequencies of each series (without the mean) and their periods."""
     order = Window.partitionBy("series_id").orderBy(F.desc("amplitude"), "freq")
-    return power.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("series_id", "rank", "freq", F.floor(F.col("n") / F.col("freq")).cast("int").alias("period"), "amplitude")
+    return spectrum(series).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("series_id", "rank", "freq", F.floor(F.col("n") / F.col("freq")).cast("int").alias("period"), "amplitude")
