@@ -441,6 +441,37 @@ def test_kernels():
     assert kernels.ar_coefficient(np.cumprod(np.full(50, 0.9))) == pytest.approx(0.9)
 
 
+def test_sequence_distances_are_those_of_plain_recursion(spark):
+    from functools import cache
+
+    rng = np.random.default_rng(6)
+    rows = [(rng.integers(0, 4, n).astype(float).tolist(), rng.integers(0, 4, m).astype(float).tolist()) for n, m in ((4, 6), (6, 6), (5, 3), (1, 4))]
+    pairs = spark.createDataFrame(rows, "a array<double>, b array<double>")
+
+    def plain(x, y, method):
+        px, py = [0.0, *x], [0.0, *y]
+
+        @cache
+        def d(i, j):
+            if i == 0 or j == 0:
+                return (0 if i == j else np.inf) if method != "edr" else max(i, j)
+            if method == "dtw":
+                return abs(x[i - 1] - y[j - 1]) + min(d(i - 1, j), d(i, j - 1), d(i - 1, j - 1))
+            if method == "edr":
+                return min(d(i - 1, j - 1) + (abs(x[i - 1] - y[j - 1]) > 0.1), d(i - 1, j) + 1, d(i, j - 1) + 1)
+            gap = 0.1 + 0.001
+            return min(d(i - 1, j) + abs(px[i] - px[i - 1]) + gap, d(i, j - 1) + abs(py[j] - py[j - 1]) + gap, d(i - 1, j - 1) + abs(px[i] - py[j]) + abs(px[i - 1] - py[j - 1]) + 0.002 * abs(i - j))
+
+        out = d(len(x), len(y))
+        return out / max(len(x), len(y)) if method == "edr" else out
+
+    for method in ("dtw", "edr", "twed"):
+        for r in features.sequence_distance(pairs, method).collect():
+            assert r.distance == pytest.approx(plain(r.a, r.b, method))
+    same = spark.createDataFrame([([0.0, 1.0, 2.0, 1.0, 0.0, 0.0], [0.0, 0.0, 0.0, 2.0, 4.0, 2.0])], "a array<double>, b array<double>")
+    assert features.sequence_distance(same, "sbd").first().distance == pytest.approx(0, abs=0.05)
+
+
 def test_rank_statistics():
     assert bench.chi_square_tail(3.841, 1) == pytest.approx(0.05, abs=1e-3)
     assert bench.chi_square_tail(30.0, 4) == pytest.approx(4.9e-6, rel=0.01)

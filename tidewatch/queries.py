@@ -202,7 +202,13 @@ def period_rank1(spark: SparkSession, sf: str) -> DataFrame:
     return pe.period(s.daily_series(spark, sf))
 
 
-@query("period_rank3")
+@query("period_rank3", """ser AS (SELECT series_id, idx, value FROM ts_d WHERE idx < 20000 UNION ALL SELECT series_id, idx, value FROM ts_h WHERE idx < 20000), mn AS (SELECT series_id, avg(value) AS m FROM ser GROUP BY 1),
+    x AS (SELECT ser.series_id, idx, value - m AS x FROM ser JOIN mn USING (series_id)), z AS (SELECT series_id, sum(x * x) AS z FROM x GROUP BY 1),
+    ac AS (SELECT a.series_id, b.idx - a.idx AS lag, sum(a.x * b.x) / max(z) AS acf FROM x a JOIN x b ON a.series_id = b.series_id AND b.idx BETWEEN a.idx AND a.idx + 400 JOIN z ON z.series_id = a.series_id GROUP BY 1, 2),
+    p AS (SELECT *, lag(acf) OVER w AS l, lead(acf) OVER w AS r FROM ac WHERE lag >= 3 WINDOW w AS (PARTITION BY series_id ORDER BY lag)), t AS (SELECT series_id, lag, acf, row_number() OVER (PARTITION BY series_id ORDER BY lag) - 1 AS o FROM p WHERE acf > l AND acf > r),
+    ls AS (SELECT series_id, list(struct_pack(o := o, lag := lag) ORDER BY acf DESC, o) AS ts FROM t GROUP BY 1), s2 AS (SELECT *, coalesce(list_filter(ts[2:], lambda e: e.o > ts[1].o)[1], ts[1]) AS sec FROM ls),
+    s3 AS (SELECT *, ts[least(sec.o + 1, len(ts))] AS st FROM s2), s4 AS (SELECT *, coalesce(list_filter(ts[sec.o + 1:], lambda e: e.o > st.o)[1], ts[1]) AS thd FROM s3)
+    SELECT series_id, (CASE WHEN sec.lag - 3 BETWEEN 3 AND 300 THEN sec.lag ELSE 125 END)::INTEGER AS second, (CASE WHEN thd.lag - 3 BETWEEN 3 AND 300 THEN thd.lag ELSE 125 END)::INTEGER AS third FROM s4""")
 def period_rank3(spark: SparkSession, sf: str) -> DataFrame:
     series = s.daily_series(spark, sf).unionByName(s.hourly_series(spark, sf))
     return pe.period(series, 2).withColumnRenamed("period", "second").join(pe.period(series, 3).withColumnRenamed("period", "third"), "series_id")
@@ -576,6 +582,11 @@ SUB = W24 + ", vw AS (SELECT idx, list(z ORDER BY lag) AS v FROM zw GROUP BY 1),
 DETECTOR_SQL = {
     "detect_seasonal": "SELECT h.series_id, 'Seasonal' AS detector, h.idx, round(coalesce(pow(h.value - b.value, 2), 0), 6) AS score, NULL::VARCHAR AS error FROM ts_h h LEFT JOIN ts_h b ON b.idx = h.idx - 24",
     "events_seasonal": "SELECT u.series_id, 'Seasonal' AS detector, u.idx, round(coalesce(pow(u.value - b.value, 2), 0), 6) AS score, NULL::VARCHAR AS error FROM ts_u u LEFT JOIN ts_u b ON b.series_id = u.series_id AND b.idx = u.idx - 24",
+    "detect_hbos": ROWS + """, en AS (SELECT lag, min(value) AS lo, max(value) AS hi, count(*) AS n, (max(value) - min(value)) / 10 AS width FROM z GROUP BY 1),
+        bins AS (SELECT idx, lag, n, width, least(floor((value - lo) / width), 9) AS lb, greatest(least(ceil((value - lo) / width) - 1, 9), 0) AS rb FROM z JOIN en USING (lag)), dens AS (SELECT lag, lb, count(*)::DOUBLE / max(n) / max(width) AS density FROM bins GROUP BY 1, 2)
+        SELECT 'shipments' AS series_id, 'HBOS' AS detector, b.idx, round(sum(-log2(coalesce(density, 0) + 0.1)), 6) AS score, NULL::VARCHAR AS error FROM bins b LEFT JOIN dens d ON d.lag = b.lag AND d.lb = b.rb GROUP BY b.idx""",
+    "detect_sub_lof": SUB.replace("<= 10", "<= 30") + """, kd AS (SELECT idx AS other, max(dist) AS kd FROM near GROUP BY 1), lrd AS (SELECT idx, 1 / (avg(greatest(kd, dist)) + 1e-10) AS lrd FROM near JOIN kd USING (other) GROUP BY 1),
+        sc AS (SELECT near.idx, avg(b.lrd) / max(a.lrd) AS score FROM near JOIN lrd a ON a.idx = near.idx JOIN lrd b ON b.idx = near.other GROUP BY near.idx)""" + EDGE24.replace("'hourly' AS series_id, h.idx,", "'hourly' AS series_id, 'Sub_LOF' AS detector, h.idx,").replace("AS score FROM ts_h", "AS score, NULL::VARCHAR AS error FROM ts_h"),
     "detect_sub_knn": SUB + ", sc AS (SELECT idx, max(dist) AS score FROM near GROUP BY 1)" + EDGE24.replace("'hourly' AS series_id, h.idx,", "'hourly' AS series_id, 'Sub_KNN' AS detector, h.idx,").replace("AS score FROM ts_h", "AS score, NULL::VARCHAR AS error FROM ts_h"),
 }
 
@@ -711,8 +722,11 @@ def window_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return w.withColumnRenamed("window", "a").join(later, ["series_id", "idx"])
 
 
+DISTANCE_SQL = {
+    "mahalanobis": WINDOWS.replace("+ 4", "+ 11").replace("- 4", "- 11") + ", pr AS (SELECT a.idx, sum(pow(a.value - b.value, 2)) AS square, count(*) AS n, sum(a.value + b.value) AS s, sum(a.value * a.value + b.value * b.value) AS ss FROM w a JOIN w b ON b.idx = a.idx + 24 AND a.lag = b.lag GROUP BY 1) SELECT 'hourly' AS series_id, idx, round(sqrt(square / (ss / (2 * n) - pow(s / (2 * n), 2))), 6) AS distance FROM pr",
+}
 for _name in ft.DISTANCES:
-    query(f"distance_{_name}")(lambda spark, sf, name=_name: rounded(ft.sequence_distance(window_pairs(spark, sf), name).select("series_id", "idx", "distance"), "distance"))
+    query(f"distance_{_name}", DISTANCE_SQL.get(_name))(lambda spark, sf, name=_name: rounded(ft.sequence_distance(window_pairs(spark, sf), name).select("series_id", "idx", "distance"), "distance"))
 
 
 @query("optimal_bins", """r AS (SELECT series_id, lag, round(value, 9) AS v FROM lags_m), en AS (SELECT series_id, lag, min(v) AS lo, max(v) AS hi, count(*) AS n FROM r GROUP BY 1, 2 HAVING min(v) < max(v)), tr AS (SELECT *, unnest(range(1, greatest(floor(sqrt(n))::INTEGER, 2))) AS b FROM en),
