@@ -89,13 +89,13 @@ class Transducer:
 
     def _move(self, state: int, byte: int) -> tuple[tuple[int, ...], int]:
         settled, behind, open_ = self.states[state]
-        text, path, still, kinds = behind + bytes((byte,)), None, [], self.kinds
+        text, path, still, kinds, profiles = behind + bytes((byte,)), None, [], self.kinds, self.profiles
         for boundary in open_:  # in ascending order, so that the longest token comes first
             token = text[boundary[0] :]
             kind = kinds.get(token)
             if kind is None:
                 continue
-            if path is None and kind & 1 and self._profile(token) is not None:
+            if path is None and kind & 1 and (profiles[token] if token in profiles else self._profile(token)) is not None:
                 before = boundary[1]
                 last = before[-1] if before else settled
                 if not last or self._fit(last, token):
@@ -105,10 +105,12 @@ class Transducer:
         if path is None:
             raise ValueError("the ranks lack a single byte or contradict each other")
         common = len(path)
-        for _, other in still:
-            common = min(common, len(other))
-            while path[:common] != other[:common]:
-                common -= 1
+        for _, other in still:  # the earliest boundary has the shortest path, so this mostly ends at once
+            most, common = min(common, len(other)), 0
+            while common < most and path[common] == other[common]:
+                common += 1
+            if not common:
+                break
         still.append((len(text), path))
         if common:
             settled, cutoff = path[common - 1], sum(map(len, path[:common]))
@@ -169,6 +171,7 @@ class Vocabulary:
             self.count[i] = len(t)
         self.offset = np.cumsum(self.count) - self.count
         self.flat = np.frombuffer(b"".join(tokens), np.uint8)
+        self.decimal = np.array([str(i) for i in range(size)], object)
 
     def decode(self, ids: np.ndarray) -> bytes:
         return ragged(self.flat, self.offset[ids], self.count[ids]).tobytes()
@@ -236,7 +239,7 @@ def round_trip(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
                 for a, b in zip(bounds, bounds[1:]):
                     name, sha = hashlib.sha256(), hashlib.sha256()
                     for c in range(a, b, PORTION):
-                        name.update(b"," * (c > a) + ",".join(map(str, ids[c : min(c + PORTION, b)].tolist())).encode())
+                        name.update(b"," * (c > a) + ",".join(vocabulary.decimal[ids[c : min(c + PORTION, b)]].tolist()).encode())
                     for text in decode_stream(vocabulary, ids[a:b]):
                         sha.update(text.encode())
                     names.append(name.hexdigest())
