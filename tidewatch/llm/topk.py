@@ -6,8 +6,8 @@ about ``GROUP`` vectors.  A query looks into the annuli that could be nearest, i
 inequality an annulus can be left out when the query's distance to the pivot is further from the annulus than the
 k-th best found so far.  The last step looks into all that are left, so the result is exact.
 
-Annulus and query block (of at most about ``GROUP`` queries with the same nearest pivot, which want much the same
-annuli) make a group, and only the groups that queries want get rows of the index; annuli of more vectors, such as
+Annulus and query block (of about ``GROUP`` queries at most, of the same nearest pivot where it has so many, as those
+want much the same annuli) make a group, and only the groups that queries want get rows of the index; annuli of more vectors, such as
 repeated ones, are cut by a hash of the row.  The driver holds the pivots and the bounds of the annuli, whose number is
 bounded by PIVOTS * RINGS.
 
@@ -135,6 +135,20 @@ def _best(q: pa.Table, x: pa.Table, k: int) -> pa.Table:
     return pa.concat_tables(found)
 
 
+def query_blocks(counts: dict[int, int]) -> tuple[dict[int, int], dict[int, int]]:
+    """For each pivot the first block of its queries and their number: pivots of few queries share a block of GROUP, those of more have several."""
+    base, parts, block, filled = {}, {}, 0, 0
+    for pivot, n in sorted(counts.items()):
+        if filled and filled + n > GROUP:
+            block, filled = block + 1, 0
+        base[pivot], parts[pivot] = block, max(1, -(-n // GROUP))
+        if n >= GROUP:
+            block, filled = block + parts[pivot], 0
+        else:
+            filled += n
+    return base, parts
+
+
 def search(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id and score of the k best other vectors of each query."""
     kind = vectors.schema["vec_id"].dataType.simpleString()
@@ -142,11 +156,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     index = cut(index)
     result = f"query_row long, query_id {kind}, vec_id {kind}, score long"
     queries = index.filter(is_query).select(F.col("row").alias("query_row"), F.col("vec_id").alias("query_id"), "v", "pivot")
-    # Queries of a pivot come in blocks; as many figures as pivots.
-    counts = {r["pivot"]: -(-r["count"] // GROUP) for r in queries.groupBy("pivot").count().collect()}
-    base = dict(zip(counts, np.cumsum([0, *counts.values()]).tolist()))
-    of_pivot = lambda figures: F.coalesce(F.create_map(*[F.lit(int(x)) for item in figures.items() for x in item])[F.col("pivot")], F.lit(0)) if figures else F.lit(0)
-    queries = cut(queries.withColumn("block", (of_pivot(base) + F.pmod(F.xxhash64("query_row"), F.greatest(of_pivot(counts), F.lit(1)))).cast("int")).drop("pivot"))
+    base, parts = query_blocks({r["pivot"]: r["count"] for r in queries.groupBy("pivot").count().collect()})  # as many as pivots
+    of_pivot = lambda figures, other: F.coalesce(F.create_map(*[F.lit(x) for item in figures.items() for x in item])[F.col("pivot")], F.lit(other)) if figures else F.lit(other)
+    queries = cut(queries.withColumn("block", (of_pivot(base, 0) + F.pmod(F.xxhash64("query_row"), of_pivot(parts, 1))).cast("int")).drop("pivot"))
     slack = 3 * _slack(pivots.shape[1], longest)
 
     def visit(first: bool, kth: str | None):
