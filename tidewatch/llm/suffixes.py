@@ -144,6 +144,25 @@ def packed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+#: Bytes of texts that are unpacked at once; single strings are several dozen times as large.
+UNPACKED = 1 << 18
+
+
+def unpacked(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Cut a batch of packed texts into runs of rows with a bounded amount of text (or one text)."""
+    press = zstandard.ZstdDecompressor()
+    begin, size, texts = 0, 0, []
+    for i, p in enumerate(batch.column("packed")):
+        text = press.decompress(p.as_py())
+        if texts and size + len(text) > UNPACKED:
+            yield batch.slice(begin, i - begin), texts
+            begin, size, texts = i, 0, []
+        texts.append(text)
+        size += len(text)
+    if texts:
+        yield batch.slice(begin), texts
+
+
 def _same_document(a: DataFrame, b: DataFrame) -> Column:
     return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["tag"] == b["tag"])
 
@@ -156,11 +175,8 @@ def _contexts(docs: DataFrame, chosen: DataFrame, length: int, strings: bool) ->
     joined = texts.join(lists, _same_document(texts, lists)).select(texts["doc_id"], texts["tag"], "packed", "list")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdDecompressor()
         for whole in batches:
-            for k in range(0, whole.num_rows, 256):
-                batch = whole.slice(k, 256)
-                text = [press.decompress(p) for p in batch.column("packed").to_pylist()]
+            for batch, text in unpacked(whole):
                 lists_ = batch.column("list")
                 of = np.repeat(np.arange(batch.num_rows), pa.compute.list_value_length(lists_).to_numpy())
                 flat = lists_.flatten()
@@ -244,13 +260,11 @@ def remove_repeats(docs: DataFrame, form: str = "kept", length: int = LENGTH) ->
     joined = texts.join(spans, _same_document(texts, spans), "left").select(texts["doc_id"], texts["tag"], "packed", "runs", *rest)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdDecompressor()
         for whole in batches:
-            for k in range(0, whole.num_rows, 512):
-                batch = whole.slice(k, 512)
+            for batch, texts in unpacked(whole):
                 sizes, removed, count, kept = [], [], [], []
-                for p, runs in zip(batch.column("packed"), batch.column("runs").to_pylist()):
-                    text, at, out, n = press.decompress(p.as_py()), 0, [], 0
+                for text, runs in zip(texts, batch.column("runs").to_pylist()):
+                    at, out, n = 0, [], 0
                     for lo, hi in merged([(r["lo"], r["hi"] + length) for r in runs or []]):
                         out.append(text[at:lo])
                         at, n = hi, n + 1
