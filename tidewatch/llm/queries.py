@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, fingerprints, langid, mixing, neardup, simple8b, suffixes, topk, urls, warc
+from tidewatch.llm import bpe, fingerprints, langid, merkle, mixing, neardup, repair, simple8b, suffixes, topk, urls, warc
 from tidewatch.llm.common import scratch, table
 
 URL_RULES: list[urls.Rule] = [
@@ -65,7 +65,18 @@ def op10_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.with_starts(simple8b.read(spark, folder, with_ids=False)).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_near_duplicates, op3_bpe, op4_mixing, op5_url_filter, op6_repeated_strings, op7_language_id, op8_topk, op9_warc, op10_simple8b)}
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.proofs(table(spark, sf_dir, "documents"))
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_fingerprints, op2_near_duplicates, op3_bpe, op4_mixing, op5_url_filter, op6_repeated_strings, op7_language_id, op8_topk, op9_warc, op10_simple8b, op12_merkle, op13_repair)
+}
 
 ORACLE_SQL = {
     "op2_near_duplicates": r"""
