@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidewatch.llm import fingerprints, langid, neardup, suffixes
+from tidewatch.llm import fingerprints, langid, mixing, neardup, suffixes
 from tidewatch.llm.components import components
 
 ODD = [(1, None), (2, ""), (3, " \t\n"), (4, "one"), (4, "one"), (None, "one"), (None, None), (5, "é漢🙂" * 2_000), (6, "a b " * 30_000)]
@@ -82,6 +82,44 @@ def test_near_duplicates_of_odd_rows(spark, documents):
     assert kept.columns == documents([]).columns and kept.filter("doc_id = 5").count() == 1
 
 
+@pytest.mark.parametrize("k", [2, 5])
+def test_rows_with_a_common_id_are_one_document(spark, documents, k):
+    a, b, c = ("a b c d e f g", "h i j k l m n", "o p q r s t u")
+    rows = [(3, a), (5, a), (5, b), (7, b), (8, c), (9, None), (9, c), (None, c), (None, "x y"), (None, "x y"), (None, "x  Y")]
+    got = Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(documents(rows), k).collect())
+    n = 8 - k
+    assert got[3, n, 3, True] == 1 and got[5, n, 3, False] == 2 and got[7, n, 3, False] == 1
+    assert got[8, n, 8, True] == 1 and got[9, n, 8, False] == got[9, 0, 8, False] == got[None, n, 8, False] == 1
+    assert got[None, 1, None, True] in (1, 2) and got[None, 1, None, True] + got[None, 1, None, False] == 3
+
+
+def test_any_names_of_other_columns(spark):
+    """Columns that are named as helpers of the stages are."""
+    names = ["doc_id", "text", "lang", "source", "n_chars", "kept_id", "KEPT_CLASS", "class", "drawn_parts", "row", "n", "tag", "rank", "span", "node", "copy", "parts"]
+    rows = [(i, f"some words of number {i} and of no other " * 30, "en", "s", 9, *([1] * 12)) for i in range(9)]
+    docs = spark.createDataFrame(rows, ", ".join(f"`{n}` {'string' if n in ('text', 'lang', 'source') else 'long'}" for n in names))
+    assert neardup.one_of_each(docs).columns == suffixes.strip(docs).columns == names
+    assert neardup.one_of_each(docs).count() == suffixes.strip(docs).count() == 9
+    mixed = mixing.mix(docs)
+    assert mixed.columns == names and mixed.count() > 0
+
+
+def test_many_rows_without_an_id_are_told_apart(spark, documents):
+    """As many strangers as once shared some bits of a hash with planted pairs."""
+    rng = random.Random(8)
+    pairs = ["".join(rng.choice("abcdefgh ") for _ in range(500)) for _ in range(300)]
+    clean = ["".join(rng.choice("abcdefgh ") for _ in range(500)) for _ in range(6_000)]
+    rows = [(None, f"{t}{i}") for i, t in enumerate(pairs + pairs)] + [(None, t) for t in clean]
+    got = Counter(r.n_removed for r in suffixes.remove_repeats(documents(rows)).select("n_removed").collect())
+    assert got == {0: 6_000, 500: 600} or got[0] == 6_000 and sum(got.values()) == 6_600
+
+
+def test_repeated_rows_are_removed_alike(spark, documents):
+    text = "".join(random.Random(9).choice("abcdefgh ") for _ in range(900))
+    got = [(r.n_bytes, r.n_removed, r.n_spans) for r in suffixes.remove_repeats(documents([(None, text)] * 40 + [(1, text[:300])])).collect()]
+    assert sorted(got) == [(300, 0, 0)] + [(900, 900, 1)] * 40
+
+
 def test_words_alike_by_construction_are_not_linked(spark, documents):
     """A sequence and its complement have the same polynomial hash modulo a power of two, whatever its base."""
     one = "".join("ab"[i.bit_count() % 2] for i in range(1_024))

@@ -59,6 +59,14 @@ def text_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """The name, with more to it if a column has it (Spark does not tell capital letters apart)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -1,7 +1,6 @@
 """Near duplicates by a chosen-path set similarity join.
 
-A document is the set of its word shingles.  Equal sets are one class; only the document of the smallest id stands for
-it in what follows.  In each of several independent trees a set follows, from the root, one coordinate of its MinHash
+A document is the set of its word shingles.  Equal texts are one class, which goes through what follows once.  In each of several independent trees a set follows, from the root, one coordinate of its MinHash
 signature, and with some chance a second one, that the node chooses; the value there leads to the child.  The
 expected number of children that a pair of the wanted similarity shares stays one, so a pair is likely to meet in some
 leaf of some tree.  In a leaf all pairs are compared by sketches (two bits of each signature coordinate), and what passes
@@ -17,9 +16,10 @@ With the trees and levels set here a pair at the threshold itself is missed with
 a pair of similarity 0.9 with one under 1 in a million, unless others connect them.
 
 A null, empty or blank text has no shingles and is linked with nothing; one with fewer words than a shingle has its
-whole sequence as the only shingle.  Rows with the same doc_id count as one document.  A row without doc_id joins the
-component of its class; if nobody in the class has an id, its component is null and it is kept.  Other columns are
-ignored; an empty table gives an empty table.
+whole sequence as the only shingle.  Rows with the same doc_id count as one document: what one of them links, all are
+linked with.  A row without doc_id links others, but gives no name to a component; where nobody has an id, the
+component is null and the rows of one text of it are kept.  Other columns are ignored; an empty table gives an empty
+table.
 """
 
 from __future__ import annotations
@@ -32,13 +32,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import EXACT, cut, mix64, slices, span_hashes, span_words, text_batches, whole_groups
+from tidewatch.llm.classes import class_components, class_texts, text_class, with_class
+from tidewatch.llm.common import EXACT, cut, mix64, shuffle_partitions, slices, span_hashes, span_words, store, text_batches, unused, whole_groups
 from tidewatch.llm.components import components, spanning
 
 #: Signature coordinates; trees, levels and the chance of a second child (its expectation is that of 1 / 0.8).
 COORDINATES, TREES, LEVELS, SECOND = 64, 10, 4, 0.25
 #: Sets in a leaf above which it comes in blocks of half as many; members and shingles of a block of full sets.
 LEAF, BLOCK, BLOCK_SHINGLES = 8_192, 1_024, 500_000
+#: Classes that a task remembers to have seen.
+SEEN = 500_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -86,21 +89,23 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return out.astype(np.uint32)
 
 
-def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, the set's hash (h1, h2) and signature of every text."""
+def signatures(texts: DataFrame, words: int) -> DataFrame:
+    """doc_id, class and n (shingles) of every row; the signature in the first row that a task sees of a class, in others nothing."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            for part, texts in slices(batch):
-                sets = shingle_sets(texts, words)
-                both = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
-                sigs = [signature(s).tobytes() if len(s) else b"" for s in sets]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1])), pa.array(sigs, pa.binary())],
-                    ["doc_id", "n_shingles", "h1", "h2", "signature"],
-                )
+            for part, own in slices(batch):
+                sets = shingle_sets(own, words)
+                sigs = []
+                for c, s in zip(part.column("class").to_pylist(), sets):
+                    sigs.append(signature(s).tobytes() if len(s) and c not in seen else b"")
+                    seen.add(c)
+                if len(seen) > SEEN:
+                    seen.clear()
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("class"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, pa.binary())], ["doc_id", "class", "n", "signature"])
 
-    return text_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, signature binary")
+    return text_batches(texts).mapInArrow(run, "doc_id long, class long, n long, signature binary")
 
 
 def _branch(sig: np.ndarray, node: np.ndarray, row: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray]:
@@ -263,31 +268,32 @@ def linked(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray
     return x, y
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every document."""
-    spark = docs.sparkSession
-    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    signed = cut(signatures(docs, words))
-    classes = cut(signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n")).filter("n > 0"))
-    heads = signed.join(classes.filter("rep IS NOT NULL").select(F.col("rep").alias("doc_id"), "h1", "h2"), ["doc_id", "h1", "h2"]).select("doc_id", F.col("n_shingles").alias("n"), "signature").dropDuplicates(["doc_id", "n"])
-    heads = cut(heads)
-    rows = cut(leaves(heads))
+def _components(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """doc_id, class, n, component_id and kept of every row."""
+    spread = shuffle_partitions(docs.sparkSession)
+    texts = with_class(docs)
+    signed = store(signatures(texts, words), "signatures")
+    heads = signed.filter("length(signature) > 0").dropDuplicates(["class"]).select(F.col("class").alias("doc_id"), "n", "signature")
+    rows = store(leaves(heads), "leaves")
     large = cut(rows.groupBy("node").agg(F.count("*").alias("n")).filter(F.col("n") > LEAF).select("node", F.ceil(F.col("n") / (LEAF // 2)).cast("int").alias("blocks")))
     candidates = candidate_links(in_blocks(rows, "node", large if large.take(1) else None), similarity, spread)
     clusters = cut(components(candidates.distinct()).withColumnRenamed("id", "doc_id").withColumnRenamed("component", "cluster"))
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
-    giants = cut(clusters.join(heads.select("doc_id", "n"), "doc_id").groupBy("cluster").agg(blocks.alias("blocks")).filter("blocks > 1"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(clusters, "doc_id")
-    links = exact_links(in_blocks(texts, "cluster", giants if giants.take(1) else None), words, similarity, spread)
-    found = components(links)
-    of_class = classes.join(found, classes["rep"] == found["id"], "left").select("h1", "h2", F.coalesce("component", "rep").alias("component"))
-    of_class = cut(of_class)
-    out = signed.select("doc_id", "n_shingles", "h1", "h2").join(of_class, ["h1", "h2"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    sizes = signed.filter("length(signature) > 0").select(F.col("class").alias("doc_id"), "n").distinct()
+    giants = cut(clusters.join(sizes, "doc_id").groupBy("cluster").agg(blocks.alias("blocks")).filter("blocks > 1"))
+    links = exact_links(in_blocks(class_texts(texts, clusters), "cluster", giants if giants.take(1) else None), words, similarity, spread)
+    found = class_components(signed.select("doc_id", "class", "n"), links)
+    named = F.col("component_id").isNotNull() | (F.col("n") == 0) | (F.col("class") == F.col("first"))
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")) & named).drop("first")
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every document."""
+    return _components(docs, words, similarity).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "kept")
 
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The documents, with all their columns, without those that are near duplicates of one of a smaller id."""
-    kept = near_duplicates(docs, words, similarity).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
+    own, text = (unused(c, docs.columns) for c in ("kept_id", "kept_class"))
+    kept = _components(docs, words, similarity).filter("kept").select(F.col("doc_id").alias(own), F.col("class").alias(text)).distinct()
+    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col(own)) & (text_class(F.col("text")) == F.col(text)), "left_semi")

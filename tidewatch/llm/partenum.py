@@ -33,9 +33,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.llm.classes import class_components, class_texts, with_class
 from tidewatch.llm.common import cut, mix64, release, shuffle_partitions, slices, text_batches, whole_groups
 from tidewatch.llm.components import components, spanning
 from tidewatch.llm.neardup import BLOCK, BLOCK_SHINGLES, COORDINATES, _sketches, exact_links, in_blocks, shingle_sets, signature
@@ -122,17 +123,6 @@ def signed(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(owners), np.concatenate(uppers), np.concatenate(found)
 
 
-def text_class(text: Column) -> Column:
-    """An even number that equal texts share."""
-    return F.xxhash64(F.sha2(text, 256)).bitwiseAND(F.lit(-2).cast("long"))
-
-
-def with_class(docs: DataFrame) -> DataFrame:
-    """doc_id, class and text (not null) of every row."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_class(text).alias("class"), text.alias("text"))
-
-
 def sketched(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, class, n (size of the set) and sketch (s1, s2) of every row of ``with_class``."""
 
@@ -301,20 +291,6 @@ def alike_links(rows: DataFrame, similarity: float, spread: int) -> DataFrame:
     return rows.repartition(spread, "node", "i", "j").sortWithinPartitions("node", "i", "j").mapInArrow(run, "a long, b long")
 
 
-def class_components(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """doc_id, n and component_id of rows (doc_id, class, n): classes are joined by links (a, b) and by rows with the same doc_id."""
-    own = F.when(F.col("n") > 0, F.col("class")).otherwise(F.xxhash64(F.lit("blank"), "doc_id"))
-    rows = rows.select("doc_id", "n", own.alias("class"))
-    several = rows.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("class").alias("b"), F.max("class").alias("most")).filter("b <> most").select("doc_id", "b")
-    same = rows.join(several, "doc_id").select(F.col("class").alias("a"), "b").distinct()
-    found = components(links.select("a", "b").unionByName(same))
-    classes = rows.groupBy("class").agg(F.min("doc_id").alias("least"))
-    rooted = classes.join(found, classes["class"] == found["id"], "left").select("class", "least", F.coalesce("component", "class").alias("root"))
-    rooted = cut(rooted)
-    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(rooted.join(names, "root").select("class", "component_id"), "class").select("doc_id", "n", "component_id")
-
-
 def join(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     spread = shuffle_partitions(docs.sparkSession)
@@ -331,7 +307,5 @@ def join(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     clusters = cut(near.withColumnRenamed("id", "doc_id").withColumnRenamed("component", "cluster"))
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
     giants = cut(clusters.join(sketches.select("doc_id", "n"), "doc_id").groupBy("cluster").agg(blocks.alias("blocks")).filter("blocks > 1"))
-    # One text of each class, copies put together before the shuffle; the join needs no other one.
-    whole = texts.groupBy(F.col("class").alias("doc_id")).agg(F.min("text").alias("text")).join(clusters, "doc_id")
-    links = exact_links(in_blocks(whole, "cluster", giants if giants.take(1) else None), words, similarity, spread)
+    links = exact_links(in_blocks(class_texts(texts, clusters), "cluster", giants if giants.take(1) else None), words, similarity, spread)
     return class_components(rows, links).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
