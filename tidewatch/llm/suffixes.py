@@ -85,13 +85,12 @@ def anchors(b: Bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.
 
 #: Last ranks of one rank before, above which their strings are counted in rows of their own.
 MANY = 1_024
-_TAG = 1 << 23
 
 
 def tagged(docs: DataFrame) -> DataFrame:
-    """doc_id, text and tag: some bits of the text, so that rows with the same doc_id are told apart."""
+    """doc_id, text and tag: 64 bits of the text's SHA-256, so that rows with the same doc_id, or none, are told apart."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", text.alias("text"), F.pmod(F.xxhash64(text), F.lit(_TAG)).alias("tag"), *(["row"] if "row" in docs.columns else []))
+    return docs.select("doc_id", text.alias("text"), F.xxhash64(F.sha2(text, 256)).alias("tag"), *(["row"] if "row" in docs.columns else []))
 
 
 #: Names of the bytes that each round adds to an anchor's rank; the first is the first rank.
@@ -114,11 +113,11 @@ def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
                 names.append(mix64(b.names(lo, hi + length) + mix64(shape)))
                 take = pa.array(text)
                 yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(x.view(np.int64)) for x in names), part.column("doc_id").take(take), part.column("tag").take(take).cast(pa.int32()), pa.array((lo - b.begin[text]) << 8 | (hi - lo))],
+                    [*(pa.array(x.view(np.int64)) for x in names), part.column("doc_id").take(take), part.column("tag").take(take), pa.array((lo - b.begin[text]) << 8 | (hi - lo))],
                     [*NAMES, "doc_id", "tag", "span"],
                 )
 
-    return docs.mapInArrow(run, ", ".join(f"{n} long" for n in NAMES) + f", doc_id {kind}, tag int, span long")
+    return docs.mapInArrow(run, ", ".join(f"{n} long" for n in NAMES) + f", doc_id {kind}, tag long, span long")
 
 
 def rerank(rows: DataFrame, name: str) -> DataFrame:
@@ -138,9 +137,9 @@ def packed(docs: DataFrame) -> DataFrame:
         press = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for part, texts in slices(batch):
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tag").cast(pa.int32()), pa.array([press.compress(t.encode()) for t in texts], pa.binary()), *map(part.column, rest)], ["doc_id", "tag", "packed", *rest])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tag"), pa.array([press.compress(t.encode()) for t in texts], pa.binary()), *map(part.column, rest)], ["doc_id", "tag", "packed", *rest])
 
-    schema = f"doc_id {kind}, tag int, packed binary" + "".join(f", row {docs.schema['row'].dataType.simpleString()}" for _ in rest)
+    schema = f"doc_id {kind}, tag long, packed binary" + "".join(f", row {docs.schema['row'].dataType.simpleString()}" for _ in rest)
     return docs.mapInArrow(run, schema)
 
 
@@ -196,7 +195,7 @@ def _contexts(docs: DataFrame, chosen: DataFrame, length: int, strings: bool) ->
                 yield pa.RecordBatch.from_arrays([pa.array(rank).take(take), pa.array(string[place].view(np.int64)), pa.array(alone).take(take), owner[0].take(take), owner[1].take(take), pa.array(start)], ["rank", "string", "alone", "doc_id", "tag", "lo"])
 
     head = "rank long, string long" if strings else "rank long"
-    return joined.mapInArrow(run, f"{head}, alone boolean, doc_id {kind}, tag int, lo long" + ", part binary" * (not strings))
+    return joined.mapInArrow(run, f"{head}, alone boolean, doc_id {kind}, tag long, lo long" + ", part binary" * (not strings))
 
 
 def _repeated_in_groups(rows: DataFrame, length: int, kind: str) -> DataFrame:
@@ -222,7 +221,7 @@ def _repeated_in_groups(rows: DataFrame, length: int, kind: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([doc, tag, pa.array(lo + inside[edge]), pa.array(lo + inside[end])], ["doc_id", "tag", "lo", "hi"])
 
     spread = shuffle_partitions(rows.sparkSession)
-    return rows.repartition(spread, "rank").sortWithinPartitions("rank").mapInArrow(run, f"doc_id {kind}, tag int, lo long, hi long")
+    return rows.repartition(spread, "rank").sortWithinPartitions("rank").mapInArrow(run, f"doc_id {kind}, tag long, lo long, hi long")
 
 
 def repeated_starts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -255,7 +254,7 @@ def remove_repeats(docs: DataFrame, form: str = "kept", length: int = LENGTH) ->
     docs = tagged(text_batches(docs))
     kind = docs.schema["doc_id"].dataType.simpleString()
     rest = ["row"] if "row" in docs.columns else []
-    spans = repeated_starts(docs, length).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
+    spans = repeated_starts(docs, length).groupBy("doc_id", "tag").agg(F.collect_set(F.struct("lo", "hi")).alias("runs"))  # repeated rows have the same runs
     texts = packed(docs)
     joined = texts.join(spans, _same_document(texts, spans), "left").select(texts["doc_id"], texts["tag"], "packed", "runs", *rest)
 
@@ -276,7 +275,7 @@ def remove_repeats(docs: DataFrame, form: str = "kept", length: int = LENGTH) ->
                 columns = [pa.array(c, pa.int64()) for c in (sizes, removed, count)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tag"), *columns, pa.array(kept, arrow), *map(batch.column, rest)], ["doc_id", "tag", "n_bytes", "n_removed", "n_spans", form, *rest])
 
-    schema = f"doc_id {kind}, tag int, n_bytes long, n_removed long, n_spans long, {form} {sql}"
+    schema = f"doc_id {kind}, tag long, n_bytes long, n_removed long, n_spans long, {form} {sql}"
     return joined.mapInArrow(run, schema + "".join(f", row {docs.schema['row'].dataType.simpleString()}" for _ in rest))
 
 
