@@ -130,7 +130,15 @@ class Transducer:
             self._reset()
         state, out, moves = 0, [], self.moves
         for byte in piece:
-            emitted, state = moves.get(state << 8 | byte) or self._move(state, byte)
+            if (move := moves.get(state << 8 | byte)) is None:
+                if len(moves) > self.limit:  # in a long piece: on from the present state alone
+                    present = self.states[state]
+                    self._reset()
+                    state, moves = len(self.states), self.moves
+                    self.states.append(present)
+                    self.numbers[present[:2]] = state
+                move = self._move(state, byte)
+            emitted, state = move
             out += emitted
         if (rest := self.finals.get(state)) is None:
             rest = self.finals[state] = tuple(self.ranks[t] for t in self.states[state][2][-1][1])

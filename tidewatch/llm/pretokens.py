@@ -13,28 +13,39 @@ from itertools import chain
 
 import numpy as np
 import regex
+import tiktoken
 
 from tidewatch.llm.common import EXACT, SLICE_CHARS, ragged, span_hashes, span_words
 
 SPACE, LETTER, DIGIT, OTHER, END = range(5)
 
 
+def matched_by_tiktoken(pattern: str, text: str) -> str:
+    """What of a text the pattern matches, by the version of Unicode that the tiktoken library was built with: it leaves out the rest."""
+    single = {bytes((b,)): b for b in range(256)}
+    encoding = tiktoken.Encoding("single bytes", pat_str=pattern, mergeable_ranks=single, special_tokens={})
+    return encoding.decode(encoding.encode_ordinary(text))
+
+
+def matched_by_regex(pattern: str, text: str) -> str:
+    return "".join(regex.findall(pattern, text))
+
+
 @cache
-def char_classes() -> np.ndarray:
-    """Class of every code point."""
+def char_classes(matched: Callable[[str, str], str] = matched_by_tiktoken) -> np.ndarray:
+    """Class of every code point, by the library whose splitting is wanted."""
     out = np.full(0x110000, OTHER, np.uint8)
     every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
-    for kind, pattern in ((LETTER, r"\p{L}+"), (DIGIT, r"\p{N}+"), (SPACE, r"\p{White_Space}+")):
-        for m in regex.finditer(pattern, every):
-            out[ord(m[0][0]) : ord(m[0][-1]) + 1] = kind
+    for kind, pattern in ((LETTER, r"\p{L}"), (DIGIT, r"\p{N}"), (SPACE, r"\s")):
+        out[np.frombuffer(matched(pattern, every).encode("utf-32-le"), "<u4")] = kind
     return out
 
 
-def split(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, str]:
+def split(texts: list[str], matched: Callable[[str, str], str] = matched_by_tiktoken) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, str]:
     """Starts and ends of the pieces of all texts, the number of pieces of each text, the code points, and the joined text."""
     joined = "\x00".join(texts) + "\x00"
     cp = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
-    kind = char_classes()[cp]
+    kind = char_classes(matched)[cp]
     ends = np.cumsum([len(t) + 1 for t in texts]) - 1
     kind[ends] = END
     first = np.ones(len(cp), bool)
@@ -81,8 +92,8 @@ class PieceCache:
     some 60 bytes, so the limit bounds a Python worker's memory.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 800_000):
-        self.encode, self.limit = encode, limit
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 800_000, matched: Callable[[str, str], str] = matched_by_tiktoken):
+        self.encode, self.limit, self.matched = encode, limit, matched
         self.clear()
 
     def clear(self) -> None:
@@ -138,7 +149,7 @@ class PieceCache:
         nothing = np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
         if not any(texts):
             return nothing
-        start, end, pieces, cp, joined = split(texts)
+        start, end, pieces, cp, joined = split(texts, self.matched)
         if not len(start):
             return nothing
         if len(self.keys) > self.limit:
