@@ -1,6 +1,7 @@
 """Tokens and mixing: the BPE transducer, Simple-8b files, and shares of sources."""
 
 import hashlib
+import random
 import zlib
 from collections import defaultdict
 
@@ -208,3 +209,28 @@ def test_mix_of_nothing(spark, documents):
 
 def test_join_words():
     assert mixing.join_words(" a  b\tc d e ", [(0, 1), (1, 3), (4, 5)]) == "a  b\tc\ne"
+
+
+def test_letters_of_newer_unicode_are_as_the_library_has_them(reference):
+    odd = np.flatnonzero(pretokens.char_classes() != pretokens.char_classes(pretokens.matched_by_regex)).tolist()
+    texts = [f"a{chr(c)}a {chr(c)}1 {chr(c)}" for c in [0x18DA7, 0x10EE7, 0x16EA7, *odd[::150]]]
+    ids, counts = bpe.codec(RANKS)[0].encode_texts(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [reference.encode_ordinary(t) for t in texts]
+
+
+def test_states_are_bounded_inside_one_piece(reference):
+    machine = bpe.Transducer(bpe.read_ranks(RANKS), limit=200)
+    text = "".join(random.Random(5).choice("abcdefghijklmnopqrstuvwxyz") for _ in range(20_000))
+    assert machine.encode_piece(text.encode()) == reference.encode_ordinary(text)
+    assert len(machine.moves) <= 202 and len(machine.states) <= 300
+
+
+def test_files_of_ids_are_bounded_in_blocks(spark, documents, monkeypatch, tmp_path):
+    monkeypatch.setattr(simple8b, "FILE_BLOCKS", 2)
+    texts = [(i % 7 if i % 5 else None, f"text number {i} " * 9) for i in range(60)]
+    simple8b.write(documents(texts), LIBRARY, str(tmp_path / "ids"), block_ids=64)
+    rows = simple8b.with_starts(simple8b.read(spark, str(tmp_path / "ids"))).orderBy("start").collect()
+    assert len(list((tmp_path / "ids").glob("part-*"))) > 20 and len(rows) == 60
+    ids = [r.doc_id for r in rows]
+    assert ids == sorted(ids, key=lambda i: (i is not None, i or 0))
+    assert [r.start for r in rows] == np.cumsum([0] + [r.n_tokens for r in rows])[:-1].tolist()
