@@ -14,7 +14,7 @@ bounded by PIVOTS * RINGS.
 Vectors that are null, or hold a null or a component that isn't finite, take no part; nor do those of another length
 than the commonest (the larger of two as common), nor rows without an id.  Rows with the same id are rows of their own:
 each is a query of its own, and a candidate of all others.  Ties go to the smaller id.  An empty table gives an empty
-result; other columns are ignored.
+result; other columns are ignored.  Scores are exact; one beyond 64 bits is an error.
 """
 
 from __future__ import annotations
@@ -30,6 +30,10 @@ from pyspark.sql import functions as F
 from tidewatch.llm.common import cut, store
 
 PIVOTS, RINGS, SAMPLE, GROUP = 32, 64, 4_096, 2_048
+#: Sums of products up to here are exact in double precision.
+EXACT = 1 << 53
+#: Queries whose bounds to all annuli are held at once.
+VISIT = 256
 #: How many annuli a query looks into before all that the bounds leave.
 FIRST_RINGS = 4
 
@@ -39,8 +43,9 @@ def integer_vectors(table: DataFrame, vector: str = "embedding", scale: int = 25
     x = F.col(vector)
     finite = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     good = table.filter(x.isNotNull() & F.col("vec_id").isNotNull()).filter(finite)
-    # floor() gives a whole number; as a double again, so that arrays of any magnitude can be compared.
-    good = good.select(F.monotonically_increasing_id().alias("row"), "vec_id", F.transform(x, lambda c: F.floor(c.cast("double") * scale).cast("double")).alias("v"))
+    # As doubles, which hold any whole number that floor() leaves of one; from 2**53 on doubles have no other part.
+    whole = lambda y: F.when(F.abs(y) < float(EXACT), F.floor(y).cast("double")).otherwise(y)
+    good = good.select(F.monotonically_increasing_id().alias("row"), "vec_id", F.transform(x, lambda c: whole(c.cast("double") * scale)).alias("v"))
     good = store(good, "vectors")
     lengths = good.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
     return good.filter(F.size("v") == (lengths["n"] if lengths else 0))
@@ -116,22 +121,37 @@ def build_index(vectors: DataFrame) -> tuple[DataFrame, pd.DataFrame, np.ndarray
     return ringed.select("row", "vec_id", "v", "pivot", "ring", F.pmod(F.xxhash64("row"), parts).cast("int").alias("part")), rings.reset_index(drop=True), pivots, longest
 
 
-def _best(q: pa.Table, x: pa.Table, k: int) -> pa.Table:
-    """The k best of x for each query of a group; those of the k-th score are all weighed, the smaller id first."""
+def exact_scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of rows of whole numbers, with integers of any size; ValueError beyond 64 bits."""
+    out = [sum(int(x) * int(y) for x, y in zip(p, q)) for p, q in zip(a.tolist(), b.tolist())]
+    if any(not -(2**63) <= s < 2**63 for s in out):
+        raise ValueError("an inner product has more than 64 bits")
+    return np.array(out, np.int64)
+
+
+def _best(q: pa.Table, x: pa.Table, k: int, longest: float) -> pa.Table:
+    """The k best of x for each query of a group; those of the k-th score are all weighed, the smaller id first.
+
+    No product of vectors, and no part of one, exceeds the square of the greatest length.  Where that is more than
+    double precision holds, all that may be among the best by what rounding adds is worked out again in integers.
+    """
     ids, rows, own = x["vec_id"].to_numpy(), x["row"].to_numpy(), q["query_row"].to_numpy()
     found = []
-    matrix = _matrix(x["v"].combine_chunks()).T
+    right = _matrix(x["v"].combine_chunks())
+    unsure = 0.0 if longest < EXACT else 4 * longest * np.finfo(float).eps * (right.shape[1] + 2)
     for i in range(0, len(own), 512):
         part = q.slice(i, 512)
-        scores = _matrix(part["v"].combine_chunks()) @ matrix
+        left = _matrix(part["v"].combine_chunks())
+        scores = left @ right.T
         scores[own[i : i + 512, None] == rows[None, :]] = -np.inf
         kth = np.partition(scores, -min(k, len(ids)), axis=1)[:, -min(k, len(ids))]
-        row, col = np.nonzero((scores >= kth[:, None]) & np.isfinite(scores))
-        order = np.lexsort((ids[col], -scores[row, col], row))
-        row, col = row[order], col[order]
+        row, col = np.nonzero((scores >= kth[:, None] - unsure) & np.isfinite(scores))
+        score = exact_scores(left[row], right[col]) if unsure else scores[row, col].astype(np.int64)
+        order = np.lexsort((ids[col], ~score, row))  # the complement is in reverse order
+        row, col, score = row[order], col[order], score[order]
         keep = np.arange(len(row)) - np.searchsorted(row, row) < k
-        row, col = row[keep], col[keep]
-        found.append(pa.table({"query_row": own[i + row], "query_id": part["query_id"].take(pa.array(row)), "vec_id": x["vec_id"].take(pa.array(col)), "score": scores[row, col].astype(np.int64)}))
+        row, col, score = row[keep], col[keep], score[keep]
+        found.append(pa.table({"query_row": own[i + row], "query_id": part["query_id"].take(pa.array(row)), "vec_id": x["vec_id"].take(pa.array(col)), "score": score}))
     return pa.concat_tables(found)
 
 
@@ -163,8 +183,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
 
     def visit(first: bool, kth: str | None):
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows or not len(rings):
+            for batch in (whole.slice(i, VISIT) for whole in batches for i in range(0, whole.num_rows, VISIT)):
+                if not len(rings):
                     continue
                 v = _matrix(batch.column("v"))
                 to_pivot = _distances(_augment_query(v), pivots)[:, rings["pivot"].to_numpy()]
@@ -195,7 +215,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
 
     def best(a: pa.Table, b: pa.Table) -> pa.Table:
         if a.num_rows and b.num_rows:
-            return _best(a, b, k)
+            return _best(a, b, k, longest)
         return pa.table({"query_row": pa.array([], pa.int64()), "query_id": a["query_id"].slice(0, 0), "vec_id": b["vec_id"].slice(0, 0), "score": pa.array([], pa.int64())})
 
     def look(q: DataFrame, first: bool, kth: str | None) -> DataFrame:
