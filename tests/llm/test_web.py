@@ -152,3 +152,34 @@ def test_sql_gives_the_same(spark, name):
     plain = lambda v: None if pd.isna(v) else int(v) if isinstance(v, float) and v.is_integer() else v
     got, want = (sorted(tuple(str(plain(v)) for v in row) for row in x.astype(object).itertuples(index=False)) for x in (got, want))
     assert got == want and got
+
+
+@pytest.mark.parametrize("body", [b"1\r\nA\r\n-6\r\n", b"+1\r\nA\r\n0\r\n\r\n", b"0x1\r\nA\r\n0\r\n\r\n", b"1_0\r\nA\r\n", b"\r\n", b"-1\r\n", b"5\r\nA\r\n0\r\n\r\n"])
+def test_damaged_chunk_sizes_are_errors(body):
+    with pytest.raises(ValueError):
+        warc.unchunked(body)
+
+
+def test_scores_are_exact_at_any_magnitude(spark):
+    """Sums beyond 2**53 in integers; beyond 64 bits an error."""
+    big = 1e6 + 1 / 256
+    rows = [(0, [big, 0.0]), (1, [big, 0.0]), (2, [1e6, 0.0]), (3, [big, 1.0]), (4, [-big, 3.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in topk.search(topk.integer_vectors(table), F.col("vec_id") % 50 == 0, 5).collect()]
+    whole = {i: [int(256 * c // 1) for c in v] for i, v in rows}
+    scores = sorted((-sum(a * b for a, b in zip(whole[0], whole[i])), i) for i in range(1, 5))
+    assert sorted(got) == [(0, r, i, -s) for r, (s, i) in enumerate(scores, 1)]
+    assert -scores[0][0] == 256_000_001**2 and -scores[2][0] == 256_000_001 * 256_000_000
+    table = spark.createDataFrame([(0, [1e10]), (1, [1e10])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="more than 64 bits"):
+        topk.search(topk.integer_vectors(table), F.col("vec_id") % 50 == 0, 5).collect()
+
+
+def test_bounds_are_held_for_some_queries_at_once(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(300)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    want = sorted(map(tuple, topk.search(topk.integer_vectors(table), F.col("vec_id") % 5 == 0, 3).collect()))
+    monkeypatch.setattr(topk, "VISIT", 7)
+    monkeypatch.setattr(topk, "GROUP", 16)
+    assert sorted(map(tuple, topk.search(topk.integer_vectors(table), F.col("vec_id") % 5 == 0, 3).collect())) == want

@@ -36,6 +36,7 @@ SEGMENT, CHUNK, MIN_SHARED, FILE_RECORDS = 32_768, 8_192, 100, 4_096
 PORTION = 1 << 20
 END = b"\r\n"
 DATE = "2024-01-01T00:00:00Z"
+_HEX = re.compile(rb"[0-9A-Fa-f]+")
 
 
 def chunked(payload: bytes) -> bytes:
@@ -50,8 +51,10 @@ def unchunked(body: bytes) -> bytes:
         line = body.find(END, at)
         if line < 0:
             raise ValueError("the last chunk is missing")
-        size = int(body[at:line].partition(b";")[0], 16)
-        at = line + 2
+        digits = body[at:line].partition(b";")[0].strip()
+        if not _HEX.fullmatch(digits):
+            raise ValueError("a chunk has no size")
+        size, at = int(digits, 16), line + 2
         if not size:
             return b"".join(out)
         if body[at + size : at + size + 2] != END:
@@ -153,7 +156,9 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes, str | None]]:
     while True:
         del held[:at]
         at = 0
-        while (end := held.find(b"\r\n\r\n")) < 0 and over is None:
+        looked = 0  # what was searched already is not searched again
+        while (end := held.find(b"\r\n\r\n", max(0, looked - 3))) < 0 and over is None:
+            looked = len(held)
             more()
         if end < 0:
             if held.strip() or over:
@@ -164,7 +169,9 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes, str | None]]:
         size = fields.get("content-length", "")
         if not version.startswith("WARC/") or not size.isdecimal():
             # On with the next record, be it in what was read or behind it.
-            while not (m := _START.search(held, 1)) and over is None:
+            looked = 1
+            while not (m := _START.search(held, max(1, looked - 6))) and over is None:
+                looked = len(held)
                 more()
             yield {}, b"", "no record where one should begin"
             at = m.start() if m else len(held)
