@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import cut, mix64, shuffle_partitions, slices, store, text_batches
+from tidewatch.llm.common import cut, mix64, shuffle_partitions, slices, store, text_batches, unused
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK, SHARDS, BUCKET_ROWS, RUN = 128, 256, 250, 20_000
@@ -175,18 +175,18 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     taken = copies.groupBy("n", "copy").agg(F.sort_array(F.collect_list(F.struct("from_word", "to_word"))).alias("parts"))
     # Texts meet a hash table of narrow rows, so they needn't be sorted.
     joined = rows.select("n", "row").join(taken.hint("shuffle_hash"), "n")
-    schema = docs.schema
+    schema, drawn_parts = docs.schema, unused("drawn_parts", names)
 
     def cut_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in slices(batch):
-                lists = part.column("drawn_parts").to_pylist()
+                lists = part.column(drawn_parts).to_pylist()
                 own = [join_words(t, [(p["from_word"], p["to_word"]) for p in ps]) for t, ps in zip(texts, lists)]
                 new = {"text": own, "n_chars": [len(t) for t in own]}
                 columns = [pa.array(new[n], part.schema.field(n).type) if n in new else part.column(n) for n in names]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return joined.select(*(F.col("row")[n].alias(n) for n in names), F.col("parts").alias("drawn_parts")).mapInArrow(cut_words, schema)
+    return joined.select(*(F.col("row")[n].alias(n) for n in names), F.col("parts").alias(drawn_parts)).mapInArrow(cut_words, schema)
 
 
 def join_words(text: str, parts: list[tuple[int, int]]) -> str:
