@@ -485,13 +485,6 @@ def test_csv_series(spark, tmp_path):
     assert [(r.series_id, r.idx, r.value, r.label) for r in rows] == [("x.csv", 0, 1.5, 0), ("x.csv", 1, 2.5, 1)]
 
 
-def test_scores_resume(spark, tmp_path):
-    path = str(tmp_path / "scores")
-    wanted = spark.createDataFrame([("SR", "a"), ("SR", "b")], "detector string, series_id string")
-    assert sources.missing_scores(wanted, spark, path).count() == 2
-    sources.write_scores(spark.createDataFrame([("SR", "a", 0, 1.0)], "detector string, series_id string, idx long, score double"), path)
-    assert [r.series_id for r in sources.missing_scores(wanted, spark, path).collect()] == ["b"]
-
 
 def run_stream(df, name, mode="append"):
     q = df.writeStream.outputMode(mode).format("memory").queryName(name).start()
@@ -512,5 +505,5 @@ def test_stateful_detectors_run_over_batches(spark, tmp_path):
     for i in range(3):
         rows.filter(F.col("idx").between(i * 100, i * 100 + 99)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     source = lambda: spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    for i, step in enumerate((streams.ema_residual, lambda x: streams.left_profile(x, 20), lambda x: streams.online_clusters(x, 20))):
+    for i, step in enumerate((streams.ema_residual, lambda x: streams.left_profile(x, 20))):
         assert run_stream(step(source()), f"state{i}").count() == 300

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.operators.frames import edge_pad, min_fill_pad, minmax, ratio, windows, zscore, zscore_lags
+from tidewatch.operators.ranks import at_or_below
 from tidewatch.operators.segments import overlapping
 
 
@@ -47,10 +48,10 @@ def hbos(values: DataFrame, bins: int = 10, alpha: float = 0.1, tol: float = 0.5
 
 def copod(values: DataFrame) -> DataFrame:
     """Copula-based score: per column the rarity (-ln of the empirical distribution) in the tail that its skew names, or the mean of both tails if more."""
-    column = Window.partitionBy("series_id", "lag")
-    left = -F.log(F.cume_dist().over(column.orderBy("value")))
-    right = -F.log(F.cume_dist().over(column.orderBy(F.desc("value"))))
-    sides = values.select("series_id", "idx", left.alias("l"), right.alias("r"), F.signum(F.coalesce(F.skewness("value").over(column), F.lit(0.0))).alias("side"))
+    column = ["series_id", "lag"]
+    ranks = at_or_below(values, column, "value").select(*column, "value", (-F.log(F.col("below") / F.col("n"))).alias("l"), (-F.log(F.col("above") / F.col("n"))).alias("r"))
+    skews = values.groupBy(*column).agg(F.signum(F.coalesce(F.skewness("value"), F.lit(0.0))).alias("side"))
+    sides = values.join(ranks, [*column, "value"]).join(skews, column)
     named = F.when(F.col("side") > 0, F.col("r")).when(F.col("side") < 0, F.col("l")).otherwise(F.col("l") + F.col("r"))
     return sides.groupBy("series_id", "idx").agg(F.sum(F.greatest(named, (F.col("l") + F.col("r")) / 2)).alias("score"))
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions import arrays
 from tidewatch.operators import kernels
 from tidewatch.operators.frames import mean_of, std_of, windows
+from tidewatch.operators.ranks import at_or_below
 
 
 def window_features(series: DataFrame, width: int, lag: int = 1) -> DataFrame:
@@ -23,7 +24,8 @@ def window_features(series: DataFrame, width: int, lag: int = 1) -> DataFrame:
 
 def ecdf(values: DataFrame) -> DataFrame:
     """Share of a column's values at or below each (rows series_id, idx, lag, value)."""
-    return values.select("series_id", "idx", "lag", F.cume_dist().over(Window.partitionBy("series_id", "lag").orderBy("value")).alias("ecdf"))
+    shares = at_or_below(values, ["series_id", "lag"], "value").select("series_id", "lag", "value", (F.col("below") / F.col("n")).alias("ecdf"))
+    return values.select("series_id", "idx", "lag", "value").join(shares, ["series_id", "lag", "value"]).select("series_id", "idx", "lag", "ecdf")
 
 
 def column_entropy(values: DataFrame, bins: int = 10) -> DataFrame:
@@ -60,9 +62,8 @@ def probability(scored: DataFrame, method: str = "linear") -> DataFrame:
 
 def score_rank(scored: DataFrame, normalise: bool = False) -> DataFrame:
     """Add rank: how many scores of the series are at or below."""
-    order = Window.partitionBy("series_id").orderBy("score").rangeBetween(Window.unboundedPreceding, 0)
-    n = F.count("*").over(order)
-    return scored.withColumn("rank", n / F.count("*").over(Window.partitionBy("series_id")) if normalise else n)
+    ranks = at_or_below(scored, ["series_id"], "score").select("series_id", "score", (F.col("below") / F.col("n") if normalise else F.col("below")).alias("rank"))
+    return scored.join(ranks, ["series_id", "score"]).select(*scored.columns, "rank")
 
 
 def confidence(scored: DataFrame, contamination: float = 0.1) -> DataFrame:

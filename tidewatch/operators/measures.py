@@ -5,21 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.operators.ranks import from_the_top
 from tidewatch.operators.segments import BUCKET, bucket, in_runs, merged, overlapping, runs, runs_over
 from tidewatch.sources.lineage import materialise
 
 STEPS = 100
 
 
-def _down(*keys: str):
-    return Window.partitionBy(*keys).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-
-
 def by_threshold(scored: DataFrame) -> DataFrame:
-    """For each distinct score: points and positives at or above it (n_at, p_at), and the totals n and p."""
-    steps = scored.groupBy("series_id", "score").agg(F.count("*").alias("_n"), F.sum("label").alias("_p"))
-    total = Window.partitionBy("series_id")
-    return steps.select("series_id", "score", F.col("_n").alias("n_own"), F.col("_p").alias("p_own"), F.sum("_n").over(_down("series_id")).alias("n_at"), F.sum("_p").over(_down("series_id")).alias("p_at"), F.sum("_n").over(total).alias("n"), F.sum("_p").over(total).alias("p"))
+    """For each distinct score: points and positives at or above it (n_at, p_at), its own, and the totals n and p."""
+    steps = scored.groupBy("series_id", "score").agg(F.count("*").alias("n_own"), F.sum("label").alias("p_own"))
+    return from_the_top(steps, ["series_id"], "score", {"n_own": ("n_at", "n"), "p_own": ("p_at", "p")})
 
 
 def roc_auc(scored: DataFrame) -> DataFrame:
@@ -221,16 +217,15 @@ def _areas(cells: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def rank_grid(scored: DataFrame, steps: int = 250) -> DataFrame:
-    """series_id, k, theta, n_at: the scores at ``steps`` places of the descending order, and how many points are at or above each."""
-    order = Window.partitionBy("series_id").orderBy(F.desc("score"), "idx")
-    n = F.count("*").over(Window.partitionBy("series_id"))
-    ranked = scored.select("series_id", "score", (F.row_number().over(order) - 1).alias("_place"), n.alias("n"))
-    sizes = ranked.select("series_id", "n").distinct()
-    places = sizes.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(steps - 1)))).withColumn("_place", F.floor(F.col("k") * (F.col("n") - 1) / (steps - 1)).cast("int"))
-    theta = places.join(ranked.drop("n"), ["series_id", "_place"]).select("series_id", "k", "n", F.col("score").alias("theta"))
-    counts = scored.groupBy("series_id", "score").agg(F.count("*").alias("_c"))
-    cumulative = counts.select("series_id", F.col("score").alias("theta"), F.sum("_c").over(_down("series_id")).alias("n_at"))
-    return theta.join(cumulative, ["series_id", "theta"])
+    """series_id, k, theta, n_at, n: the scores at ``steps`` places of the descending order, and how many points are at or above each.
+
+    A distinct score knows the places that it takes, from n_at less its own points on, and so which of the k (whose
+    places are floor(k * (n - 1) / (steps - 1))) are its own.
+    """
+    t = by_threshold(scored.select("series_id", "score", F.lit(0).alias("label")))
+    first = lambda place: F.expr(f"CASE WHEN n = 1 THEN {steps} * ({place}) ELSE (({place}) * {steps - 1}L + n - 2) DIV (n - 1) END")
+    ends = t.withColumn("_lo", first("n_at - n_own")).withColumn("_hi", F.least(first("n_at"), F.lit(steps)) - 1).filter("_lo <= _hi")
+    return ends.select("series_id", F.explode(F.sequence("_lo", "_hi")).cast("int").alias("k"), F.col("score").alias("theta"), "n", "n_at")
 
 
 def volume_under_surface(scored: DataFrame, width: int, steps: int = 250, first_width: int = 0) -> DataFrame:

@@ -1,14 +1,18 @@
 """Models fitted on all points of many series at once, and points scored by them, both in tasks of bounded size.
 
 Points are rows (series_id, idx, v).  A fit reduces what a task has read of a series to sums or to a sample of bounded
-size; only these meet in a group for the series.  The model comes back as a row for each series, and meets the points
-in groups of a series and a bucket of indices, so a long series is fitted and scored by many tasks.
+size; only these meet in one task for the series, where they are added as they stream by.  The model comes back as a
+row for each series, in a plain format, and meets the points in groups of a series and a bucket of indices, so a long
+series is fitted and scored by many tasks.
+
+A detector is a ``Kind``: how its models are fitted, and how a model scores points.  Both apart give model tables.
 """
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
+from functools import partial
 from typing import Any
 
 import numpy as np
@@ -16,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.operators.segments import BUCKET, bucket
+from tidewatch.operators.plain import pack, unpack
+from tidewatch.operators.segments import bucket
 from tidewatch.sources.lineage import materialise
 
 #: Points of a series in the sample that starts or makes a model.
@@ -34,7 +39,7 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 
 def _pack(rows: list[tuple[str, Model]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.string()), pa.array([pickle.dumps(m) for _, m in rows], pa.binary())], ["series_id", "model"])
+    return pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.string()), pa.array([pack(m) for _, m in rows], pa.binary())], ["series_id", "model"])
 
 
 def fit(points: DataFrame, reduce: Callable[[np.ndarray, np.ndarray], Model], add: Callable[[Model, Model], Model], finish: Callable[[Model], Model]) -> DataFrame:
@@ -54,15 +59,28 @@ def fit(points: DataFrame, reduce: Callable[[np.ndarray, np.ndarray], Model], ad
         if held:
             yield _pack([*held.items()])
 
-    def merge(table: pa.Table) -> pa.Table:
-        total = None
-        for m in table["model"]:
-            part = pickle.loads(m.as_py())
-            total = part if total is None else add(total, part)
-        return pa.table({"series_id": table["series_id"].slice(0, 1), "model": pa.array([pickle.dumps(finish(total))], pa.binary())})
+    return _merged(points.select("series_id", "idx", "v").mapInArrow(run, MODELS), add, finish)
+
 
-    parts = points.select("series_id", "idx", "v").mapInArrow(run, MODELS)
-    return parts.groupBy("series_id").applyInArrow(merge, MODELS)
+def _merged(parts: DataFrame, add: Callable[[Model, Model], Model], finish: Callable[[Model], Model]) -> DataFrame:
+    """One model of each series from its parts, which are read one by one: a task holds a total and a part, however many there are."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, total = None, None
+        for batch in batches:
+            for own, part in zip(batch.column("series_id"), batch.column("model")):
+                part = unpack(part.as_py())
+                if total is not None and own.as_py() == name:
+                    total = add(total, part)
+                    continue
+                if total is not None:
+                    yield _pack([(name, finish(total))])
+                name, total = own.as_py(), part
+        if total is not None:
+            yield _pack([(name, finish(total))])
+
+    tasks = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return parts.repartition(tasks, "series_id").sortWithinPartitions("series_id").mapInArrow(run, MODELS)
 
 
 def _met(points: DataFrame, models: DataFrame, function: Callable[[Model, np.ndarray, np.ndarray, str], pa.Table], schema: str) -> DataFrame:
@@ -74,7 +92,7 @@ def _met(points: DataFrame, models: DataFrame, function: Callable[[Model, np.nda
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         if a.num_rows and b.num_rows:
-            return function(pickle.loads(b["model"][0].as_py()), a["idx"].to_numpy(), matrix(a["v"]), a["series_id"][0].as_py())
+            return function(unpack(b["model"][0].as_py()), a["idx"].to_numpy(), matrix(a["v"]), a["series_id"][0].as_py())
         kinds = {"long": pa.int64(), "string": pa.string(), "double": pa.float64(), "int": pa.int32(), "binary": pa.binary()}
         return pa.table({n: pa.array([], kinds[c.split()[1]]) for n, c in zip(names, schema.split(", "))})
 
@@ -97,16 +115,9 @@ def refit(points: DataFrame, models: DataFrame, reduce: Callable[[Model, np.ndar
     """Models made of sums over all points that reduce() takes with the models before."""
 
     def run(model: Model, idx: np.ndarray, v: np.ndarray, series: str) -> pa.Table:
-        return pa.table({"series_id": [series], "model": pa.array([pickle.dumps(reduce(model, v))], pa.binary())})
-
-    def merge(table: pa.Table) -> pa.Table:
-        total = None
-        for m in table["model"]:
-            part = pickle.loads(m.as_py())
-            total = part if total is None else add(total, part)
-        return pa.table({"series_id": table["series_id"].slice(0, 1), "model": pa.array([pickle.dumps(finish(total))], pa.binary())})
+        return pa.table({"series_id": [series], "model": pa.array([pack(reduce(model, v))], pa.binary())})
 
-    return _met(points, models, run, MODELS).groupBy("series_id").applyInArrow(merge, MODELS)
+    return _merged(_met(points, models, run, MODELS), add, finish)
 
 
 def _with(models: DataFrame, numbers: DataFrame) -> DataFrame:
@@ -115,7 +126,7 @@ def _with(models: DataFrame, numbers: DataFrame) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield _pack([(s, (*pickle.loads(m), x)) for s, m, x in zip(*(batch.column(c).to_pylist() for c in ("series_id", "model", column)))])
+            yield _pack([(s, (*unpack(m), x)) for s, m, x in zip(*(batch.column(c).to_pylist() for c in ("series_id", "model", column)))])
 
     return models.join(numbers, "series_id").select("series_id", "model", column).mapInArrow(run, MODELS)
 
@@ -136,25 +147,37 @@ def _hash(idx: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def _least(keys: np.ndarray, v: np.ndarray) -> Model:
-    keep = np.argsort(keys, kind="stable")[:POOL]
+def _least(keys: np.ndarray, v: np.ndarray, most: int) -> Model:
+    keep = np.argsort(keys, kind="stable")[:most]
     return keys[keep], v[keep]
 
 
-def _pool(idx: np.ndarray, v: np.ndarray) -> Model:
-    """The points whose index has the least hashes: a sample of POOL points, or all of them."""
-    return _least(_hash(idx), v)
+def pooled(points: DataFrame, finish: Callable[[Model], Model], pool: int) -> DataFrame:
+    """Models of a sample of each series: the ``pool`` points whose index has the least hashes, or all of them."""
+    return fit(points, lambda idx, v: _least(_hash(idx), v, pool), lambda a, b: _least(np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]]), pool), finish)
 
 
-def _pooled(a: Model, b: Model) -> Model:
-    return _least(np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]]))
+@dataclass(frozen=True)
+class Kind:
+    """fit(points, **params) gives models (series_id, model); how(model, v, **params) the scores of points."""
+
+    fit: Callable[..., DataFrame]
+    how: Callable[..., np.ndarray]
+    #: Parameters that scoring takes too.
+    both: tuple[str, ...] = ()
+
+    def score(self, points: DataFrame, models: DataFrame, **params: Any) -> DataFrame:
+        return score(points, models, partial(self.how, **{k: v for k, v in params.items() if k in self.both}))
+
+    def __call__(self, points: DataFrame, train: DataFrame | None = None, **params: Any) -> DataFrame:
+        return self.score(points, self.fit(train if train is not None else points, **params), **params)
 
 
 # Principal components
 
 
-def principal(points: DataFrame, train: DataFrame | None = None, keep: int | None = None) -> DataFrame:
-    """Sum over components of the distance from the point to the component's vector, over the share of variance it explains.
+def principal_models(points: DataFrame, keep: int | None = None) -> DataFrame:
+    """Columns that vary, means and deviations of all, variances along the components and their vectors (a column each).
 
     The covariance is a sum of outer products over all points.  Columns are standardised, constant ones dropped; a
     vector's largest loading is positive.
@@ -173,15 +196,20 @@ def principal(points: DataFrame, train: DataFrame | None = None, keep: int | Non
             vectors = vectors * np.sign(vectors[np.abs(vectors).argmax(axis=0), np.arange(vectors.shape[1])])
         return own, mean, std, values, vectors
 
-    def how(model: Model, v: np.ndarray) -> np.ndarray:
-        own, mean, std, values, vectors = model
-        if not len(own):
-            return np.zeros(len(v))
-        x = (v[:, own] - mean[own]) / std[own]
-        away = np.sqrt(np.maximum((x * x).sum(axis=1)[:, None] + 1 - 2 * x @ vectors, 0))
-        return (away / (values / values.sum())).sum(axis=1)
+    return fit(points, _moments, _add, finish)
+
 
-    return score(points, fit(train if train is not None else points, _moments, _add, finish), how)
+def principal_scores(model: Model, v: np.ndarray) -> np.ndarray:
+    """Sum over components of the distance from the point to the component's vector, over the share of variance it explains."""
+    own, mean, std, values, vectors = model
+    if not len(own):
+        return np.zeros(len(v))
+    x = (v[:, own] - mean[own]) / std[own]
+    away = np.sqrt(np.maximum((x * x).sum(axis=1)[:, None] + 1 - 2 * x @ vectors, 0))
+    return (away / (values / values.sum())).sum(axis=1)
+
+
+principal = Kind(principal_models, principal_scores)
 
 
 # Isolation forests
@@ -215,7 +243,8 @@ def _tree(own: np.ndarray, pool: np.ndarray, height: int, extended: bool, rng: n
         return at
 
     grow(own, 0)
-    return normals, cuts, children, depths
+    leaf = np.zeros(own.shape[1]) if extended else -1
+    return np.array([leaf if n is None else n for n in normals]), np.array(cuts), np.array(children), np.array(depths)
 
 
 def _depths(tree: Model, v: np.ndarray) -> np.ndarray:
@@ -226,33 +255,38 @@ def _depths(tree: Model, v: np.ndarray) -> np.ndarray:
         at, rows = stack.pop()
         if not len(rows):
             continue
-        if children[at][0] < 0:
+        if children[at, 0] < 0:
             out[rows] = depths[at]
             continue
-        side = (v[rows] @ normals[at] if isinstance(normals[at], np.ndarray) else v[rows, normals[at]]) < cuts[at]
-        stack += [(children[at][0], rows[side]), (children[at][1], rows[~side])]
+        side = (v[rows] @ normals[at] if normals.ndim == 2 else v[rows, normals[at]]) < cuts[at]
+        stack += [(children[at, 0], rows[side]), (children[at, 1], rows[~side])]
     return out
 
 
-def isolation(points: DataFrame, train: DataFrame | None = None, trees: int = 100, sample: int = 256, extended: bool = False, columns: int | None = None, seed: int = 0) -> DataFrame:
-    """2 ** -(mean depth / expected depth) in trees of random splits: of one column, or (extended) by random hyperplanes.
+def forests(points: DataFrame, trees: int = 100, sample: int = 256, extended: bool = False, columns: int | None = None, seed: int = 0, pool: int | None = None) -> DataFrame:
+    """Trees of random splits: of one column, or (extended) by random hyperplanes; and the depth expected of their samples.
 
-    Each tree grows on ``sample`` points, drawn from a pool of at most POOL points of the series; all points are scored.
+    Each tree grows on ``sample`` points, drawn from a sample of at most ``pool`` points of the series.
     """
 
     def finish(total: Model) -> Model:
         x, rng, forest = total[1], np.random.default_rng(seed), []
         size = min(sample, len(x))
         for _ in range(trees):
-            pool = rng.choice(x.shape[1], min(columns, x.shape[1]), replace=False) if columns else np.arange(x.shape[1])
-            forest.append(_tree(x[rng.choice(len(x), size, replace=False)], pool, int(np.ceil(np.log2(max(size, 2)))), extended, rng))
+            own = rng.choice(x.shape[1], min(columns, x.shape[1]), replace=False) if columns else np.arange(x.shape[1])
+            forest.append(_tree(x[rng.choice(len(x), size, replace=False)], own, int(np.ceil(np.log2(max(size, 2)))), extended, rng))
         return forest, max(float(expected_depth(np.array(float(size)))), 1e-12)
 
-    def how(model: Model, v: np.ndarray) -> np.ndarray:
-        forest, expected = model
-        return 2 ** (-np.mean([_depths(t, v) for t in forest], axis=0) / expected)
+    return pooled(points, finish, pool or POOL)
+
 
-    return score(points, fit(train if train is not None else points, _pool, _pooled, finish), how)
+def isolation_scores(model: Model, v: np.ndarray) -> np.ndarray:
+    """2 ** -(mean depth / expected depth)."""
+    forest, expected = model
+    return 2 ** (-np.mean([_depths(t, v) for t in forest], axis=0) / expected)
+
+
+isolation = Kind(forests, isolation_scores)
 
 
 # Clusters
@@ -273,12 +307,12 @@ def _lloyd(v: np.ndarray, centres: np.ndarray, rounds: int) -> np.ndarray:
     return centres
 
 
-def centres_of(points: DataFrame, train: DataFrame | None = None, clusters: int = 8, seed: int = 0, rounds: int = 3) -> DataFrame:
-    """series_id and model (centres): started far apart and settled on a pool of at most POOL points, then moved over all points.
+def centres_of(points: DataFrame, clusters: int = 8, seed: int = 0, rounds: int = 3, pool: int | None = None) -> DataFrame:
+    """series_id and model (centres): started far apart and settled on a sample of at most ``pool`` points, then moved over all points.
 
-    Each of the ``rounds`` over all points is a sum for each cluster; a series of no more than POOL points has settled before.
+    Each of the ``rounds`` over all points is a sum for each cluster; a series of no more than ``pool`` points has settled before.
     """
-    own = materialise((train if train is not None else points).select("series_id", "idx", "v"))
+    own = materialise(points.select("series_id", "idx", "v"))
 
     def start(total: Model) -> Model:
         x, rng = total[1], np.random.default_rng(seed)
@@ -302,24 +336,27 @@ def centres_of(points: DataFrame, train: DataFrame | None = None, clusters: int
         s, n, before = total
         return np.where(n[:, None] > 0, s / np.maximum(n, 1)[:, None], before)
 
-    models = fit(own, _pool, _pooled, start)
+    pool = pool or POOL
+    models = pooled(own, start, pool)
     longest = own.groupBy("series_id").count().agg(F.max("count")).first()[0] or 0
-    for _ in range(rounds if longest > POOL else 0):  # otherwise the pool was all points
+    for _ in range(rounds if longest > pool else 0):  # otherwise the sample was all points
         models = refit(own, materialise(models), sums, add, move)
     return materialise(models)
 
 
-def centre_distance(points: DataFrame, train: DataFrame | None = None, **params: Any) -> DataFrame:
+def centre_distances(centres: Model, v: np.ndarray) -> np.ndarray:
     """The distance to the nearest centre."""
-    return score(points, centres_of(points, train, **params), lambda centres, v: np.sqrt(_nearest(v, centres)[1].min(axis=1)))
+    return np.sqrt(_nearest(v, centres)[1].min(axis=1))
+
+
+centre_distance = Kind(centres_of, centre_distances)
 
 
-def cluster_factor(points: DataFrame, train: DataFrame | None = None, clusters: int = 8, alpha: float = 0.9, beta: float = 5.0, weighted: bool = False, seed: int = 0) -> DataFrame:
-    """Cluster-based outlier factor.
+def cluster_models(points: DataFrame, clusters: int = 8, alpha: float = 0.9, beta: float = 5.0, weighted: bool = False, seed: int = 0, pool: int | None = None) -> DataFrame:
+    """Centres, their sizes, and which are large.
 
     Clusters by size are split into large and small ones, where both the coverage alpha and the jump beta are met, or
-    else the coverage, or else the jump.  Points of large clusters score the distance to their own centre, others that
-    to the nearest large one.
+    else the coverage, or else the jump.
     """
 
     def counts(centres: Model, v: np.ndarray) -> Model:
@@ -335,30 +372,37 @@ def cluster_factor(points: DataFrame, train: DataFrame | None = None, clusters:
         large[order[: first + 1]] = True
         return centres, size, large
 
-    def how(model: Model, v: np.ndarray) -> np.ndarray:
-        centres, size, large = model
-        of, d = _nearest(v, centres)
-        away = np.sqrt(np.where(large[of], d[np.arange(len(v)), of], np.where(large, d, np.inf).min(axis=1)))
-        return away * size[of] if weighted else away
+    settled = centres_of(points, clusters=clusters, seed=seed, pool=pool)
+    return refit(points, settled, counts, lambda a, b: (a[0] + b[0], a[1]), mark)
+
+
+def cluster_scores(model: Model, v: np.ndarray, weighted: bool = False) -> np.ndarray:
+    """Cluster-based outlier factor: of points of large clusters the distance to their own centre, of others that to the nearest large one."""
+    centres, size, large = model
+    of, d = _nearest(v, centres)
+    away = np.sqrt(np.where(large[of], d[np.arange(len(v)), of], np.where(large, d, np.inf).min(axis=1)))
+    return away * size[of] if weighted else away
+
 
-    settled = centres_of(points, train, clusters=clusters, seed=seed)
-    return score(points, refit(points, settled, counts, lambda a, b: (a[0] + b[0], a[1]), mark), how)
+cluster_factor = Kind(cluster_models, cluster_scores, ("weighted",))
 
 
 # Robust covariance
 
 
-def covariance_distance(points: DataFrame, train: DataFrame | None = None, support: float | None = None, starts: int = 10, rounds: int = 2, seed: int = 0) -> DataFrame:
-    """Squared Mahalanobis distances from the half of the points with the least covariance determinant found.
+def mahalanobis_scores(model: Model, v: np.ndarray) -> np.ndarray:
+    """Squared Mahalanobis distances."""
+    mean, inverse = model[0], model[1]
+    return np.einsum("ij,ij->i", (v - mean) @ inverse, v - mean)
 
-    Subsets are tried and concentrated on a pool of at most POOL points; the best is then concentrated ``rounds`` times
+
+def covariances(points: DataFrame, support: float | None = None, starts: int = 10, rounds: int = 2, seed: int = 0, pool: int | None = None) -> DataFrame:
+    """Mean and inverse covariance of the half of the points with the least covariance determinant found.
+
+    Subsets are tried and concentrated on a sample of at most ``pool`` points; the best is then concentrated ``rounds`` times
     over all points, by the distance that half of them keep (exact to one in 10,000 points).
     """
-    own = train if train is not None else points
-
-    def distances(model: Model, v: np.ndarray) -> np.ndarray:
-        mean, inverse = model[0], model[1]
-        return np.einsum("ij,ij->i", (v - mean) @ inverse, v - mean)
+    distances = mahalanobis_scores
 
     def of(n: int, s: np.ndarray, ss: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         mean = s / n
@@ -382,10 +426,11 @@ def covariance_distance(points: DataFrame, train: DataFrame | None = None, suppo
                 best = det, mean, inverse
         return best[1:]
 
-    own = materialise(own.select("series_id", "idx", "v"))
-    models = materialise(fit(own, _pool, _pooled, start))
+    own = materialise(points.select("series_id", "idx", "v"))
+    pool = pool or POOL
+    models = materialise(pooled(own, start, pool))
     longest = own.groupBy("series_id").count().agg(F.max("count")).first()[0] or 0
-    for _ in range(rounds if longest > POOL else 0):
+    for _ in range(rounds if longest > pool else 0):
         far = score(own, models, distances)
         limits = far.groupBy("series_id").agg(F.percentile_approx("score", support or 0.5, 10_000).alias("limit"))
 
@@ -398,13 +443,16 @@ def covariance_distance(points: DataFrame, train: DataFrame | None = None, suppo
             return mean, np.linalg.inv(cov)
 
         models = materialise(refit(own, _with(models, limits), sums, _add, concentrate))
-    return score(points, models, distances)
+    return models
+
+
+covariance_distance = Kind(covariances, mahalanobis_scores)
 
 
 # Linear maps
 
 
-def linear_errors(points: DataFrame, train: DataFrame, sides: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], ridge: float, last: bool = False, scale: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+def linear_kind(sides: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], last: bool = False, scale: Callable[[np.ndarray], np.ndarray] | None = None) -> Kind:
     """Squared errors of a linear map from sides(v)[0] (and a constant) to sides(v)[1]: of all columns on average, or of the last.
 
     The map comes from sums of products over the training points.
@@ -414,16 +462,16 @@ def linear_errors(points: DataFrame, train: DataFrame, sides: Callable[[np.ndarr
         a, b = sides(v)
         return np.hstack([a, np.ones((len(a), 1))]), b
 
-    def products(_: np.ndarray, v: np.ndarray) -> Model:
-        a, b = both(v)
-        return a.T @ a, a.T @ b
+    def maps(points: DataFrame, ridge: float = 1e-2) -> DataFrame:
+        def products(_: np.ndarray, v: np.ndarray) -> Model:
+            a, b = both(v)
+            return a.T @ a, a.T @ b
 
-    def solve(total: Model) -> Model:
-        return np.linalg.solve(total[0] + ridge * np.eye(len(total[0])), total[1])
+        return fit(points, products, _add, lambda total: np.linalg.solve(total[0] + ridge * np.eye(len(total[0])), total[1]))
 
     def errors(model: Model, v: np.ndarray) -> np.ndarray:
         a, b = both(v)
         off = (a @ model - b) * (scale(v)[:, None] if scale else 1.0)
         return off[:, -1] ** 2 if last else (off**2).mean(axis=1)
 
-    return score(points, fit(train, products, _add, solve), errors)
+    return Kind(maps, errors)

@@ -22,6 +22,7 @@ from tidewatch.operators import models as m
 from tidewatch.operators.frames import edge_pad, left_hold_pad, reverse_windowing, windows, zscore_rows
 from tidewatch.operators.period import period
 from tidewatch.sources.lineage import materialise
+from tidewatch.streaming.online import adapted_scores
 
 Scores = Callable[..., DataFrame]
 #: The part of a series that semi-supervised detectors are fitted on where no points are marked.
@@ -81,22 +82,51 @@ def training(points: DataFrame, series: DataFrame, width: int) -> DataFrame:
     return points.join(limits, "series_id").filter(F.col("idx") + width <= F.greatest("_limit", F.lit(width + 1))).drop("_limit")
 
 
-def by_model(scores: Callable[..., DataFrame], semi: bool = False) -> Scores:
-    """A detector from a model of points (tidewatch.operators.models): of the normalised windows of one channel, or of rows of channels.
+@dataclass(frozen=True)
+class Modelled:
+    """A detector whose models can be kept: the points it makes of a series, the kind of model, and the way back from scores of windows to scores of points.
 
-    Windows' scores go to their middles.  A series without a window has null scores and an error.
+    A series without a window has null scores and an error.
     """
 
-    def run(series: DataFrame, width: int = 1, **params: Any) -> DataFrame:
-        channels = "features" in series.columns
-        points = d.channel_points(series) if channels else d.window_points(series, width)
-        train = training(points, series, 1 if channels else width) if semi else None
-        found = scores(points, train=train, **params)
-        padded = found if channels else edge_pad(found, series, width)
+    kind: m.Kind
+    points: Callable[[DataFrame, int], DataFrame]
+    back: Callable[[DataFrame, DataFrame, int], DataFrame]
+    reach: int = 0  # values behind a window that it looks at
+    fixed: Mapping[str, Any] = field(default_factory=dict)
+
+    def width(self, series: DataFrame, width: int) -> int:
+        return 1 if "features" in series.columns else width
+
+    def fit(self, series: DataFrame, semi: bool, width: int = 1, **params: Any) -> DataFrame:
+        """series_id and model; of the training part only, if ``semi``."""
+        points = self.points(series, width)
+        return self.kind.fit(training(points, series, self.width(series, width) + self.reach) if semi else points, **self.fixed, **params)
+
+    def score(self, series: DataFrame, models: DataFrame, width: int = 1, **params: Any) -> DataFrame:
+        found = self.kind.score(self.points(series, width), models, **self.fixed, **params)
+        padded = found if "features" in series.columns else self.back(found, series, width)
         error = F.when(F.col("score").isNull(), F.lit(f"no window of {width} points"))
         return series.select("series_id", "idx").join(padded, ["series_id", "idx"], "left").select("series_id", "idx", "score", error.alias("error"))
 
-    return run
+
+#: Detectors whose models can be kept, by name.
+MODELLED: dict[str, Modelled] = {}
+
+
+def register_model(name: str, kind: m.Kind, points: Callable[[DataFrame, int], DataFrame], back: Callable[..., DataFrame] = edge_pad, *, semi: bool = False, channels: bool = False, reach: int = 0, fixed: Mapping[str, Any] | None = None, **params: Any) -> None:
+    """Register a detector that fits a model of points and then scores them."""
+    entry = MODELLED[name] = Modelled(kind, points, back, reach, fixed or {})
+
+    def run(series: DataFrame, **given: Any) -> DataFrame:
+        return entry.score(series, entry.fit(series, semi, **given), **given)
+
+    register(name, run, semi=semi, channels=channels, **params)
+
+
+def _rows_or_windows(series: DataFrame, width: int) -> DataFrame:
+    """Rows of channels, or else normalised windows of one channel."""
+    return d.channel_points(series) if "features" in series.columns else d.window_points(series, width)
 
 
 def normalised_windows(v: np.ndarray, width: int) -> np.ndarray:
@@ -134,24 +164,27 @@ def _windowed(series: DataFrame, width: int) -> DataFrame:
     return windows(series, width).select("series_id", "idx", F.col("window").alias("v"))
 
 
-def linear_forecast(series: DataFrame, width: int = 50, ridge: float = 1e-2) -> DataFrame:
-    """Squared errors of the next value as a linear map of the window, fitted on the training part; 0 until the first forecast."""
-    points = _windowed(series, width + 1)
-    scores = m.linear_errors(points, training(points, series, width + 1), lambda v: (v[:, :-1], v[:, -1:]), ridge)
-    return left_hold_pad(scores, series, width)
+def _next_value(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return v[:, :-1], v[:, -1:]
 
 
-def frequency_reconstruction(series: DataFrame, width: int = 50, every: int = 4, ridge: float = 1e-2) -> DataFrame:
-    """Squared errors of a window's last value, rebuilt linearly from the low frequencies of every ``every``-th value."""
+def low_frequencies(every: int = 4) -> m.Kind:
+    """A window's last value, rebuilt linearly from the low frequencies of every ``every``-th value."""
 
     def sides(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         z = (v - v.mean(axis=1, keepdims=True)) / np.maximum(v.std(axis=1, keepdims=True), 1e-8)
         low = np.fft.rfft(z[:, ::every])
         return np.hstack([low.real, low.imag]), z
 
-    points = _windowed(series, width)
-    scores = m.linear_errors(points, training(points, series, width), sides, ridge, last=True, scale=lambda v: np.maximum(v.std(axis=1), 1e-8))
-    return edge_pad(scores, series, width)
+    return m.linear_kind(sides, last=True, scale=lambda v: np.maximum(v.std(axis=1), 1e-8))
+
+
+def _frequency_models(points: DataFrame, every: int = 4, **params: Any) -> DataFrame:
+    return low_frequencies(every).fit(points, **params)
+
+
+def _frequency_errors(model: Any, v: np.ndarray, every: int = 4) -> np.ndarray:
+    return low_frequencies(every).how(model, v)
 
 
 def seasonal(series: DataFrame, width: int = 24) -> DataFrame:
@@ -189,9 +222,8 @@ def _online_shapes(v: np.ndarray, width: int = 24, **params: Any) -> np.ndarray:
     return k.shape_scores(v, width, start=max(int(TRAIN * len(v)), 2), batch=max(5 * width, int(0.1 * len(v))), **params)
 
 
-def _kmeans_series(series: DataFrame, width: int = 100, clusters: int = 20, seed: int = 2024) -> DataFrame:
-    points = zscore_rows(windows(series, width)).select("series_id", "idx", F.col("window").alias("v"))
-    return reverse_windowing(m.centre_distance(points, clusters=clusters, seed=seed), series, width)
+def _scaled_windows(series: DataFrame, width: int) -> DataFrame:
+    return zscore_rows(windows(series, width)).select("series_id", "idx", F.col("window").alias("v"))
 
 
 def _sub(points: Callable[..., DataFrame]) -> Scores:
@@ -203,8 +235,8 @@ NOT_SHIPPED = "its source is not published"
 NO_WEIGHTS = "its pretrained weights are not here; give a forecast with `forecaster`"
 NO_NETWORK = "needs a deep-learning library; give a network with `forecaster` or `per_series`"
 register("FFT", d.fft_regions, keep=5, neighbourhood=21, limit=0.6)
-register("IForest", by_model(m.isolation), width=100, trees=100, columns=1, sample=256, seed=0)
-register("Sub_IForest", by_model(m.isolation), width=50, trees=100, columns=1, sample=256, seed=0)
+register_model("IForest", m.isolation, _rows_or_windows, width=100, trees=100, columns=1, sample=256, seed=0, pool=m.POOL)
+register_model("Sub_IForest", m.isolation, _rows_or_windows, width=50, trees=100, columns=1, sample=256, seed=0, pool=m.POOL)
 register("LOF", lambda s, **p: d.lof(d.channel_points(s), **p), channels=True, k=30)
 register("Sub_LOF", _sub(d.lof), width=50, k=30)
 register("POLY", lambda s, width, power: d.poly_blocks(s, width, power=power), width=100, power=3)
@@ -214,33 +246,34 @@ register("SAND", per_series(_online_shapes), width=24, k=6)
 register("KShapeAD", per_series(k.shape_scores), width=24, k=6)
 register("Series2Graph", why_not=NOT_SHIPPED)
 register("NORMA", why_not=NOT_SHIPPED)
-register("Sub_PCA", by_model(m.principal), width=50, keep=None)
-register("PCA", by_model(m.principal), width=100, keep=None)
+register_model("Sub_PCA", m.principal, _rows_or_windows, width=50, keep=None)
+register_model("PCA", m.principal, _rows_or_windows, width=100, keep=None)
 register("HBOS", lambda s, **p: d.hbos(d.channel_values(zscore_rows(s, "features")), **p), channels=True, bins=10, tol=0.5)
 register("Sub_HBOS", d.sub_hbos, width=50, bins=10, tol=0.5)
 register("OCSVM", per_series(_one_class, semi=True), channels=True, semi=True, width=1)
 register("Sub_OCSVM", per_series(_one_class, semi=True), semi=True, width=50)
-register("MCD", by_model(m.covariance_distance, semi=True), channels=True, semi=True, support=None, seed=0)
-register("Sub_MCD", by_model(m.covariance_distance, semi=True), semi=True, width=10, support=None, seed=0)
+register_model("MCD", m.covariance_distance, _rows_or_windows, channels=True, semi=True, support=None, seed=0, pool=m.POOL)
+register_model("Sub_MCD", m.covariance_distance, _rows_or_windows, semi=True, width=10, support=None, seed=0, pool=m.POOL)
 register("KNN", lambda s, **p: d.knn(d.channel_points(s), **p), channels=True, k=10, method="largest")
 register("Sub_KNN", _sub(d.knn), width=50, k=10, method="largest")
-register("KMeansAD_U", _kmeans_series, width=50, clusters=20)
-register("KMeansAD", _kmeans_series, width=50, clusters=10)
+register_model("KMeansAD_U", m.centre_distance, _scaled_windows, reverse_windowing, width=50, clusters=20, seed=2024, pool=m.POOL)
+register_model("KMeansAD", m.centre_distance, _scaled_windows, reverse_windowing, width=50, clusters=10, seed=2024, pool=m.POOL)
 register("COPOD", lambda s: d.copod(d.channel_values(zscore_rows(s, "features"))), channels=True)
-register("CBLOF", by_model(m.cluster_factor), channels=True, clusters=8, alpha=0.9, beta=5.0, weighted=False, seed=2024)
+register_model("CBLOF", m.cluster_factor, _rows_or_windows, channels=True, clusters=8, alpha=0.9, beta=5.0, weighted=False, seed=2024, pool=m.POOL)
 register("COF", lambda s, **p: d.cof(d.channel_points(s), **p), channels=True, k=10)
-register("EIF", by_model(lambda points, **p: m.isolation(points, extended=True, **p)), channels=True, trees=100, sample=256, seed=0)
+register_model("EIF", m.isolation, _rows_or_windows, channels=True, fixed={"extended": True}, trees=100, sample=256, seed=0, pool=m.POOL)
 register("RobustPCA", per_series(k.robust_principal), channels=True, rounds=1000)
 register("SR", per_series(k.spectral_residual))
 register("AutoEncoder", per_series(_reconstruct, semi=True), semi=True, width=50, hidden=(16, 4, 16), epochs=30)
-register("FITS", frequency_reconstruction, semi=True, width=50, every=4)
-for _name in ("CNN", "LSTMAD", "TranAD", "OmniAnomaly", "AnomalyTransformer", "TimesNet", "Donut", "OFA", "USAD", "M2N2"):
+register_model("FITS", m.Kind(_frequency_models, _frequency_errors, ("every",)), _windowed, semi=True, width=50, every=4, ridge=1e-2)
+for _name in ("CNN", "LSTMAD", "TranAD", "OmniAnomaly", "AnomalyTransformer", "TimesNet", "Donut", "OFA", "USAD"):
     register(_name, semi=True, why_not=NO_NETWORK)
 for _name in ("Chronos", "TimesFM", "Lag_Llama", "MOMENT_ZS", "MOMENT_FT"):
     register(_name, semi=_name.endswith("FT"), why_not=NO_WEIGHTS)
+register("M2N2", per_series(adapted_scores, semi=True), semi=True, width=12, latent=8, epochs=30, rate=0.05, online_rate=0.01, gamma=0.99, quantile=0.95, seed=0)
 #: Small detectors of the same kinds, under names of their own.
 register("Seasonal", seasonal, width=24)
-register("LinearForecast", linear_forecast, semi=True, width=50)
+register_model("LinearForecast", m.linear_kind(_next_value), lambda s, width: _windowed(s, width + 1), left_hold_pad, semi=True, reach=1, width=50, ridge=1e-2)
 register("DetrendedMean", per_series(_detrended, semi=True), semi=True, width=12)
 
 

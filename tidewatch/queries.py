@@ -17,10 +17,11 @@ from tidewatch.operators import frames as fr
 from tidewatch.operators import measures as m
 from tidewatch.operators import period as pe
 from tidewatch.operators import segments as sg
-from tidewatch.plans import bench
+from tidewatch.plans import bench, fitted
 from tidewatch.plans.registry import REGISTRY, detect
 from tidewatch.sources import series as s
-from tidewatch.sources.lineage import materialise
+from tidewatch.sources.lineage import materialise, scratch
+from tidewatch.sources.sink import ScoreSink
 from tidewatch.streaming import features as st
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +65,16 @@ def scan_series(spark: SparkSession, sf: str) -> DataFrame:
     return s.event_series(spark, sf).drop("ts")
 
 
+@query("csv_lines", "SELECT series_id, idx, value, label FROM ts_h")
+def csv_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The hourly series as a file of lines (hours, which don't grow with the events, so one task may write them) and back, in pieces by several tasks."""
+    folder = scratch(spark, "csv")
+    h = s.hourly_series(spark, sf)
+    lines = h.repartitionByRange(1, "idx").sortWithinPartitions("idx").select("value", F.col("label").alias("Label"))
+    lines.write.csv(folder, header=True)
+    return s.csv_series(spark, folder).select(F.lit("hourly").alias("series_id"), "idx", "value", "label")
+
+
 @query("name_metadata", r"""SELECT file_name, regexp_extract(file_name, '^(\d+)_', 1)::INTEGER AS series_no, regexp_extract(file_name, '^\d+_(.+)_id_', 1) AS dataset, regexp_extract(file_name, '_id_(\d+)_', 1)::INTEGER AS id,
     regexp_extract(file_name, '_id_\d+_(\w+)_tr_', 1) AS domain, regexp_extract(file_name, '_tr_(\d+)_', 1)::INTEGER AS train_index, regexp_extract(file_name, '_1st_(\d+)', 1)::INTEGER AS first_anomaly
     FROM (SELECT lpad(c_custkey::VARCHAR, 6, '0') || '_' || c_mktsegment || '_id_' || c_nationkey || '_Facility_tr_' || (500 + c_custkey) || '_1st_' || (900 + c_custkey) || '.csv' AS file_name FROM customer)""")
@@ -799,3 +810,39 @@ def registry_cover(spark: SparkSession, sf: str) -> DataFrame:
     done = done.groupBy("detector").agg(F.count(F.when(F.col("error").isNull(), 1)).alias("series"), F.sum("points").alias("points"))
     names = spark.createDataFrame([(r.name, r.run is not None, r.semi, r.channels) for r in REGISTRY.values()], "detector string, available boolean, semi boolean, channels boolean")
     return names.join(done, "detector", "left").fillna(0, ["series", "points"])
+
+
+# Models and scores that are kept
+
+
+@query("model_pca", """r AS (SELECT v, list_avg(v) AS m, list_stddev_samp(v) AS d FROM vec WHERE idx % 2 = 0),
+    m AS (SELECT unnest(range(len(v)))::INTEGER AS row, unnest(list_transform(v, lambda x: CASE WHEN d = 0 THEN 0 ELSE (x - m) / d END)) AS x FROM r)
+    SELECT 'vec' AS series_id, row, round(avg(x), 6) AS mean, round(var_pop(x), 6) AS variance FROM m GROUP BY row""")
+def model_pca(spark: SparkSession, sf: str) -> DataFrame:
+    """Means and variances that principal components of half of the vectors are fitted with, from the stored model."""
+    path = scratch(spark, "models")
+    half = s.point_set(spark, sf).filter("idx % 2 = 0")
+    fitted.save(fitted.fit(half, "PCA"), path)
+    numbers = fitted.coefficients(fitted.load(spark, path, "PCA"))
+    mean = numbers.filter("part = 'mean'").select("series_id", "row", F.round("value", 6).alias("mean"))
+    return mean.join(numbers.filter("part = 'deviation'").select("series_id", "row", F.round(F.pow("value", 2), 6).alias("variance")), ["series_id", "row"])
+
+
+@query("model_scores")
+def model_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of all vectors by a forest that half of them were stored with."""
+    path = scratch(spark, "models")
+    vectors = s.point_set(spark, sf)
+    fitted.save(fitted.fit(vectors.filter("idx % 2 = 0"), "EIF"), path)
+    return rounded(fitted.score(vectors, fitted.load(spark, path, "EIF")), "score")
+
+
+@query("stored_scores", "SELECT u.series_id, 'Seasonal' AS detector, u.idx, round(coalesce(pow(u.value - b.value, 2), 0), 6) AS score FROM ts_u u LEFT JOIN ts_u b ON b.series_id = u.series_id AND b.idx = u.idx - 24")
+def stored_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of a run that is broken off before it is complete, and repeated twice."""
+    sink = ScoreSink(spark, scratch(spark, "scores"))
+    u = materialise(s.event_series(spark, sf))
+    sink.begin(detect(u, "Seasonal").withColumn("params", F.lit("{}")))
+    for _ in range(2):
+        sink.run(u, [("Seasonal", {})], chunks=2)
+    return rounded(sink.read().select("series_id", "detector", "idx", "score"), "score")

@@ -4,16 +4,30 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write a table that several plans read to the checkpoint folder: ``spark.checkpoint.dir``, or our own where it is unset, on a single machine only."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder: ``spark.checkpoint.dir``, or our own where it is unset, on a single machine only."""
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tidewatch-"))
+        folder = tempfile.mkdtemp(prefix="tidewatch-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(folder)
+    return folder
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write a table that several plans read to the checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

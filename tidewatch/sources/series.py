@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewatch.operators.segments import runs
+
 #: The parts of a series' file name, in order.
 NAME = r"^(\d+)_(.+)_id_(\d+)_(\w+)_tr_(\d+)_1st_(\d+)\.csv$"
 
@@ -79,17 +81,22 @@ def name_metadata(names: DataFrame, column: str = "file_name") -> DataFrame:
     return names.select(F.col(column).alias("file_name"), part(1).cast("int").alias("series_no"), part(2).alias("dataset"), part(3).cast("int").alias("id"), part(4).alias("domain"), part(5).cast("int").alias("train_index"), part(6).cast("int").alias("first_anomaly"))
 
 
+def _placed(rows: DataFrame, *columns: Column) -> DataFrame:
+    """Rows of files with the file's path, where the piece of the file begins that the row's task reads, and a number that ascends in it."""
+    return rows.select(*columns, F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"))
+
+
 def csv_series(spark: SparkSession, path: str, channels: int = 1) -> DataFrame:
     """Files with channels and a last column Label, by line; lines with a null are dropped before they are numbered.
 
-    Every file is read whole by one task, so the order of its lines is that of the rows' ids.
+    A large file is read in pieces by several tasks (``spark.sql.files.maxPartitionBytes``); lines are numbered inside
+    their piece, and only the pieces' sizes are summed up over a file.
     """
     names = [f"c{i}" for i in range(channels)]
     schema = ", ".join(f"{n} double" for n in names) + ", Label double"
-    rows = spark.read.schema(schema).csv(path, header=True, multiLine=True)
-    rows = rows.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("series_id"), *names, F.col("Label").cast("int").alias("label"), F.monotonically_increasing_id().alias("_line")).na.drop("any")
-    numbered = rows.withColumn("idx", F.row_number().over(Window.partitionBy("series_id").orderBy("_line")).cast("long") - 1)
-    return numbered.select("series_id", "idx", (F.col("c0").alias("value") if channels == 1 else F.array(*names).alias("features")), "label")
+    rows = _placed(spark.read.schema(schema).csv(path, header=True), *map(F.col, names), F.col("Label").cast("int").alias("label")).na.drop("any")
+    numbered = number(rows, ["_path"], F.col("_block"), ["_line"])
+    return numbered.select(F.element_at(F.split("_path", "/"), -1).alias("series_id"), "idx", (F.col("c0").alias("value") if channels == 1 else F.array(*names).alias("features")), "label")
 
 
 def restrict(series: DataFrame, file_list: DataFrame) -> DataFrame:
@@ -98,28 +105,19 @@ def restrict(series: DataFrame, file_list: DataFrame) -> DataFrame:
 
 
 def label_files(spark: SparkSession, path: str) -> DataFrame:
-    """Text or gzip files named dataset_algorithm.gz with 0 or 1 on each line: dataset, algorithm, idx, label."""
-    rows = spark.read.text(path).select("value", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)_([^/_]+)\.gz$", 1).alias("dataset"), F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)_([^/_]+)\.gz$", 2).alias("algorithm"), F.monotonically_increasing_id().alias("_line"))
-    idx = F.row_number().over(Window.partitionBy("dataset", "algorithm").orderBy("_line")).cast("long") - 1
-    return rows.select("dataset", "algorithm", idx.alias("idx"), F.col("value").cast("int").alias("label"))
+    """A folder of text or gzip files named dataset_algorithm.gz with 0 or 1 on each line: dataset, algorithm, idx, label."""
+    rows = number(_placed(spark.read.text(path), F.col("value")), ["_path"], F.col("_block"), ["_line"])
+    name = lambda i: F.regexp_extract("_path", r"([^/]+)_([^/_]+)\.gz$", i)
+    return rows.select(name(1).alias("dataset"), name(2).alias("algorithm"), "idx", F.col("value").cast("int").alias("label"))
+
+
+def label_events(spark: SparkSession, path: str) -> DataFrame:
+    """The events of such files: dataset, algorithm, s and e (the first and last index) of each run of ones."""
+    rows = label_files(spark, path).withColumn("series_id", F.to_json(F.struct("dataset", "algorithm")))
+    named = rows.select("series_id", "dataset", "algorithm").distinct()
+    return runs(rows).join(named, "series_id").select("dataset", "algorithm", "s", "e")
 
 
 def profile(series: DataFrame) -> DataFrame:
     """Length, labels and moments of each series."""
     return series.groupBy("series_id").agg(F.count("*").alias("n"), F.sum("label").cast("long").alias("positives"), F.min("value").alias("least"), F.max("value").alias("greatest"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_pop("value"), 6).alias("std"))
-
-
-def write_scores(scores: DataFrame, path: str) -> None:
-    """Scores by detector and series; only those are written that are not there yet."""
-    scores.write.mode("append").partitionBy("detector", "series_id").parquet(path)
-
-
-def missing_scores(wanted: DataFrame, spark: SparkSession, path: str) -> DataFrame:
-    """The (detector, series_id) of ``wanted`` without stored scores, to resume a run."""
-    try:
-        done = spark.read.parquet(path).select("detector", "series_id").distinct()
-    except Exception as e:  # nothing was written yet
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        return wanted
-    return wanted.join(done, ["detector", "series_id"], "left_anti")

@@ -87,34 +87,3 @@ def left_profile(points: DataFrame, width: int = 24, keep: int = 2_000) -> DataF
         return out, (both[-keep:].tolist(),)
 
     return _stateful(points, step, "past array<double>")
-
-
-def online_clusters(points: DataFrame, width: int = 24, decay: float = 0.5) -> DataFrame:
-    """Distance of each point's batch windows to centres that are merged with, or added to, as batches come.
-
-    The state is the centres, their weights and their mean distances; the past itself isn't kept.
-    """
-
-    def step(pdf: pd.DataFrame, state: tuple | None) -> tuple[list[float], tuple]:
-        v = pdf["value"].to_numpy(float)
-        centres = np.array(state[0]).reshape(-1, width) if state else np.zeros((0, width))
-        weight, mean = (np.array(state[1]), np.array(state[2])) if state else (np.zeros(0), np.zeros(0))
-        if len(v) < width:
-            return [0.0] * len(v), (centres.ravel().tolist(), weight.tolist(), mean.tolist())
-        w = np.lib.stride_tricks.sliding_window_view(v, width)
-        z = (w - w.mean(axis=1, keepdims=True)) / np.maximum(w.std(axis=1, keepdims=True), 1e-12)
-        weight = weight * decay
-        for x in z[::width]:
-            far = np.sqrt(((centres - x) ** 2).sum(axis=1)) if len(centres) else np.array([np.inf])
-            i = int(far.argmin())
-            if np.isfinite(far[i]) and far[i] < 1.5 * max(mean[i], np.sqrt(width) / 2):
-                centres[i] += (x - centres[i]) / (1 + weight[i])
-                mean[i] += (far[i] - mean[i]) / (1 + weight[i])
-                weight[i] += 1
-            elif len(centres) < 12:
-                centres, weight, mean = np.vstack([centres, x]), np.append(weight, 1.0), np.append(mean, np.sqrt(width) / 2)
-        near = np.sqrt(np.maximum(2 * width - 2 * z @ centres.T, 0)) @ weight / max(weight.sum(), 1e-12)
-        out = np.pad(near, (0, width - 1), "edge")
-        return out.tolist(), (centres.ravel().tolist(), weight.tolist(), mean.tolist())
-
-    return _stateful(points, step, "centres array<double>, weight array<double>, mean array<double>")
