@@ -33,7 +33,13 @@ FAN, BITS = 8, 3
 
 
 def digest(*parts: Column) -> Column:
-    return F.sha2(F.concat(*parts), 256)
+    """32 bytes, half as many as the text of a digest has."""
+    return F.unhex(F.sha2(F.concat(*parts), 256))
+
+
+def told(digest: Column) -> Column:
+    """A digest, or several behind each other, as text."""
+    return F.lower(F.hex(digest))
 
 
 def field(value: Column) -> Column:
@@ -76,7 +82,7 @@ def fold(nodes: DataFrame, steps: int) -> list[DataFrame]:
         members = F.sort_array(F.collect_list(F.struct("rank", "digest")))
         above = nodes.filter("n > 1").groupBy("tree", F.shiftright("rank", BITS).alias("up")).agg(members.alias("m"), F.max("n").alias("n"))
         above = above.select("tree", F.col("up").alias("rank"), F.ceil(F.col("n") / FAN).cast("long").alias("n"), F.col("m.digest").alias("children"))
-        nodes = cut(above.select("tree", "rank", "n", F.sha2(F.concat_ws("", "children"), 256).alias("digest"), "children"))
+        nodes = cut(above.select("tree", "rank", "n", digest(F.concat_ws("", F.transform("children", told))).alias("digest"), "children"))
         levels.append(nodes)
     return levels
 
@@ -88,7 +94,7 @@ class Manifest:
     leaves: DataFrame
     records: str
     subroots: DataFrame
-    root: str | None
+    root: bytes | None
     leaf_height: int
     lang_height: int
 
@@ -112,56 +118,64 @@ def build(docs: DataFrame, *more: Column) -> Manifest:
     for tree, levels in (("leaf", lower), ("lang", upper)):
         for h, level in enumerate(levels, 1):
             level.select("digest", "children").dropDuplicates(["digest"]).write.parquet(f"{folder}/tree={tree}/height={h}", compression="zstd")
-    root = (upper[-1] if upper else subroots).select("digest").first()[0]
+    root = bytes((upper[-1] if upper else subroots).select("digest").first()[0])
     return Manifest(leaves, folder, subroots, root, height(most), height(langs))
 
 
+SEGMENTS = "array<struct<left:binary,right:binary>>"
+
+
 def _step(manifest: Manifest, now: DataFrame, tree: str, at: int, wanted: DataFrame) -> DataFrame:
-    """From nodes (tree, rank, digest, path) of this height to those of their children that are wanted (tree, rank); path gets the children left and right of the chosen one."""
+    """From nodes (tree, rank, digest, path) of this height to the wanted ones (tree, rank and more) below them.
+
+    A record is met by its digest; each wanted child then takes its digest out of the record by the last digit of its
+    rank, and adds the children left and right of it to the path.  So a path is moved once for a record, never for each child.
+    """
     records = manifest.leaves.sparkSession.read.parquet(f"{manifest.records}/tree={tree}/height={at}")
-    met = now.join(records, "digest").select("tree", "rank", "path", "children", F.posexplode("children").alias("digit", "child"))
-    left = F.concat_ws("", F.slice("children", F.lit(1), F.col("digit")))
-    right = F.concat_ws("", F.slice("children", F.col("digit") + 2, F.lit(FAN)))
-    down = met.select("tree", (F.shiftleft("rank", BITS) + F.col("digit")).alias("rank"), F.col("child").alias("digest"), F.concat("path", F.array(F.struct(left.alias("left"), right.alias("right")))).alias("path"))
-    if at == 1:
-        return down  # the requests themselves are joined next
-    needed = wanted.select(F.col("tree").alias("_tree"), F.shiftright("rank", BITS * (at - 1)).alias("_rank")).distinct()
-    return down.join(needed, down["tree"].eqNullSafe(needed["_tree"]) & (down["rank"] == needed["_rank"]), "left_semi")
+    met = now.join(records, "digest").select(F.col("tree").alias("_tree"), F.col("rank").alias("_above"), F.col("path").alias("_path"), "children")
+    down = wanted.join(met, wanted["tree"].eqNullSafe(met["_tree"]) & (F.shiftright(wanted["rank"], BITS) == met["_above"]))
+    digit = F.col("rank").bitwiseAND(FAN - 1).cast("int")
+    together = lambda digests: F.aggregate(digests, F.lit(b""), lambda a, b: F.concat(a, b))
+    segment = F.struct(together(F.slice("children", F.lit(1), digit)).alias("left"), together(F.slice("children", digit + 2, F.lit(FAN))).alias("right"))
+    return down.select(*wanted.columns, F.get("children", digit).alias("digest"), F.concat("_path", F.array(segment)).alias("path"))
 
 
 def prove(manifest: Manifest, requests: DataFrame) -> DataFrame:
     """Every request (lang, rank and more) with digest (its leaf, as found by the descent) and path: the segments (left, right) from its leaf up to the root."""
-    path = "array<struct<left:string,right:string>>"
     spark = requests.sparkSession
-    start = spark.range(1).select(F.lit(0).cast("long").alias("tree"), F.lit(0).cast("long").alias("rank"), F.lit(manifest.root).alias("digest"), F.array().cast(path).alias("path"))
-    asked = requests.select("lang", "rank")
-    langs = asked.select("lang").distinct()
+    langs = requests.select(F.col("lang").alias("_lang")).distinct()
     tops = manifest.subroots
-    chosen = tops.join(langs.select(F.col("lang").alias("_lang")), tops["lang"].eqNullSafe(F.col("_lang")), "left_semi")
-    now = start
+    chosen = cut(tops.join(langs, tops["lang"].eqNullSafe(F.col("_lang")), "left_semi").select("tree", "rank", "lang", "height"))
+    root, empty = F.lit(manifest.root).alias("digest"), F.array().cast(SEGMENTS).alias("path")
+    now = spark.range(1).select(F.lit(0).cast("long").alias("tree"), F.lit(0).cast("long").alias("rank"), root, empty)
+    if not manifest.lang_height:
+        now = chosen.select("*", root, empty)  # the only subroot is the root
     for at in range(manifest.lang_height, 0, -1):
-        now = _step(manifest, now, "lang", at, chosen.select("tree", "rank"))
-    ways = chosen.select("lang", "rank", "height").join(now.select("rank", "digest", "path"), "rank").select(F.col("lang").alias("tree"), F.lit(0).cast("long").alias("rank"), "digest", "path", "height")
-    ways = cut(ways)
-    wanted = asked.withColumnRenamed("lang", "tree")
-    if manifest.leaf_height > 1:  # what lies above the lowest records is an eighth of the requests
-        wanted = cut(wanted.select("tree", F.shiftright("rank", BITS).alias("rank")).distinct()).select("tree", F.shiftleft("rank", BITS).alias("rank"))
+        wanted = chosen if at == 1 else chosen.select("tree", F.shiftright("rank", BITS * (at - 1)).alias("rank")).distinct()
+        now = _step(manifest, now, "lang", at, wanted)
+    ways = cut(now.select(F.col("lang").alias("tree"), F.lit(0).cast("long").alias("rank"), "digest", "path", "height"))
+    asked = requests.withColumnRenamed("lang", "tree")
+    above = cut(asked.select("tree", F.shiftright("rank", BITS).alias("rank")).distinct())
     columns = ["tree", "rank", "digest", "path"]
     now = ways.filter(F.col("height") == manifest.leaf_height).select(columns)
-    for at in range(manifest.leaf_height, 0, -1):
+    for at in range(manifest.leaf_height, 1, -1):
+        wanted = above.select("tree", F.shiftright("rank", BITS * (at - 2)).alias("rank")).distinct()
         now = _step(manifest, now, "leaf", at, wanted).select(columns).unionByName(ways.filter(F.col("height") == at - 1).select(columns))
-    found = now.select(F.col("tree").alias("_tree"), F.col("rank").alias("_rank"), "digest", F.reverse("path").alias("path"))
-    return requests.join(found, requests["lang"].eqNullSafe(found["_tree"]) & (requests["rank"] == found["_rank"])).drop("_tree", "_rank")
+    alone = ways.filter("height = 0").select(F.col("tree").alias("_tree"), "digest", "path")
+    found = asked.join(alone, asked["tree"].eqNullSafe(alone["_tree"])).drop("_tree")
+    if manifest.leaf_height:
+        found = _step(manifest, now, "leaf", 1, asked).unionByName(found)
+    return found.withColumnRenamed("tree", "lang").withColumn("path", F.reverse("path"))
 
 
 def folded(start: Column, path: str = "path") -> Column:
     """The root that a leaf and the segments of its path lead to."""
-    return F.aggregate(path, start, lambda now, s: F.sha2(F.concat(s["left"], now, s["right"]), 256))
+    return F.aggregate(path, told(start), lambda now, s: F.sha2(F.concat(told(s["left"]), now, told(s["right"])), 256))
 
 
 def siblings(path: str = "path") -> Column:
     """All digests of a path, from the leaf up and left to right."""
-    return F.concat_ws("", F.transform(path, lambda s: F.concat(s["left"], s["right"])))
+    return F.concat_ws("", F.transform(path, lambda s: told(F.concat(s["left"], s["right"]))))
 
 
 def lower_ascii(text: Column) -> Column:
@@ -174,10 +188,10 @@ def proofs(docs: DataFrame) -> DataFrame:
     manifest = build(docs, tampered.alias("tampered"))
     tops = manifest.subroots.select(F.col("lang").alias("_lang"), F.col("digest").alias("subroot"))
     if manifest.root is None:
-        found = manifest.leaves.withColumn("digest", F.col("leaf")).withColumn("path", F.array().cast("array<struct<left:string,right:string>>"))
+        found = manifest.leaves.withColumn("digest", F.col("leaf")).withColumn("path", F.array().cast(SEGMENTS))
     else:
         found = prove(manifest, manifest.leaves.select("doc_id", "lang", "rank", "tampered"))
     out = found.join(tops, found["lang"].eqNullSafe(tops["_lang"]))
-    root = F.lit(manifest.root).cast("string")
-    out = out.select("doc_id", F.col("digest").alias("leaf"), "subroot", root.alias("root"), F.sha2(siblings(), 256).alias("proof_sha256"), folded(F.coalesce("tampered", "digest")).alias("folded_root"))
+    root = F.lit(manifest.root.hex() if manifest.root else None).cast("string")
+    out = out.select("doc_id", told(F.col("digest")).alias("leaf"), told(F.col("subroot")).alias("subroot"), root.alias("root"), F.sha2(siblings(), 256).alias("proof_sha256"), folded(F.coalesce("tampered", "digest")).alias("folded_root"))
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
