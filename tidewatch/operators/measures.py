@@ -225,7 +225,7 @@ def rank_grid(scored: DataFrame, steps: int = 250) -> DataFrame:
     t = by_threshold(scored.select("series_id", "score", F.lit(0).alias("label")))
     first = lambda place: F.expr(f"CASE WHEN n = 1 THEN {steps} * ({place}) ELSE (({place}) * {steps - 1}L + n - 2) DIV (n - 1) END")
     ends = t.withColumn("_lo", first("n_at - n_own")).withColumn("_hi", F.least(first("n_at"), F.lit(steps)) - 1).filter("_lo <= _hi")
-    return ends.select("series_id", F.explode(F.sequence("_lo", "_hi")).cast("int").alias("k"), F.col("score").alias("theta"), "n", "n_at")
+    return ends.select("series_id", F.explode(F.sequence(F.col("_lo").cast("int"), F.col("_hi").cast("int"))).alias("k"), F.col("score").alias("theta"), "n", "n_at")
 
 
 def volume_under_surface(scored: DataFrame, width: int, steps: int = 250, first_width: int = 0) -> DataFrame:
