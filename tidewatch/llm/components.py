@@ -25,8 +25,8 @@ def components(edges: DataFrame) -> DataFrame:
     a root.  The least neighbours are written out before they are joined, so that a join of many edges of one id can be
     split.
     """
-    now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct())
-    loops = edges.filter("a = b").select("a", "b")
+    edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())  # read twice, but made once
+    now, loops = edges.filter("a <> b"), edges.filter("a = b")
     mark = None
     while True:
         least = cut(_least(now, both_ways=True))
