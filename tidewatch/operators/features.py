@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from math import lgamma
 
 import numpy as np
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import arrays
 from tidewatch.operators import kernels
+from tidewatch.operators.distances import BATCH, batched
 from tidewatch.operators.frames import mean_of, std_of, windows
 from tidewatch.operators.ranks import at_or_below
 
@@ -66,6 +67,27 @@ def score_rank(scored: DataFrame, normalise: bool = False) -> DataFrame:
     return scored.join(ranks, ["series_id", "score"]).select(*scored.columns, "rank")
 
 
+def beta_share(x: np.ndarray, a: float, b: float) -> np.ndarray:
+    """The regularised incomplete beta function at 0 < x < 1, by its continued fraction: the chance of at least a successes in a + b - 1 trials of chance x."""
+    turned = x > (a + 1) / (a + b + 2)
+    x, p, q = np.where(turned, 1 - x, x), np.where(turned, b, a), np.where(turned, a, b)
+    tiny = 1e-300
+    c, d = np.ones(len(x)), 1 / np.where(np.abs(y := 1 - (p + q) * x / (p + 1)) < tiny, tiny, y)
+    h = d.copy()
+    for m in range(1, 100_000):
+        before = h
+        for part in (m * (q - m) * x / ((p + 2 * m - 1) * (p + 2 * m)), -(p + m) * (p + q + m) * x / ((p + 2 * m) * (p + 2 * m + 1))):
+            d = 1 + part * d
+            d = 1 / np.where(np.abs(d) < tiny, tiny, d)
+            c = 1 + part / c
+            c = np.where(np.abs(c) < tiny, tiny, c)
+            h = h * c * d
+        if (np.abs(h - before) <= 1e-15 * np.abs(h)).all():
+            break
+    head = np.exp(p * np.log(x) + q * np.log1p(-x) + lgamma(a + b) - lgamma(a) - lgamma(b)) / p
+    return np.clip(np.where(turned, 1 - head * h, head * h), 0, 1)
+
+
 def confidence(scored: DataFrame, contamination: float = 0.1) -> DataFrame:
     """Add confidence: how likely the prediction (a score over the percentile that leaves the contamination) would stay under other samples of the series.
 
@@ -77,17 +99,12 @@ def confidence(scored: DataFrame, contamination: float = 0.1) -> DataFrame:
 
     @F.pandas_udf("double")
     def tail(rank: pd.Series, n: pd.Series) -> pd.Series:
-        """P(X > n - int(n * contamination)) for X of n trials, the same for all rows of a rank."""
+        """P(X > n - int(n * contamination)) for X of n trials."""
         out = np.zeros(len(rank))
         for size in np.unique(n):
             own, least = np.flatnonzero(n == size), int(size) - int(size * contamination) + 1
-            k = np.arange(least, int(size) + 1, dtype=float)
-            log = np.array([lgamma(size + 1) - lgamma(x + 1) - lgamma(size - x + 1) for x in k])
-            ranks, inverse = np.unique(rank.to_numpy()[own], return_inverse=True)
-            p = (1 + ranks) / (2 + size)
-            step = max(1, 2_000_000 // max(len(k), 1))
-            tails = np.concatenate([np.exp(log + k * np.log(p[i : i + step, None]) + (size - k) * np.log1p(-p[i : i + step, None])).sum(axis=1) for i in range(0, len(p), step)])
-            out[own] = np.minimum(tails, 1)[inverse]
+            if least <= size:
+                out[own] = beta_share((1 + rank.to_numpy()[own]) / (2 + size), least, int(size) - least + 1)
         return pd.Series(out)
 
     chance = tail("rank", "_n")
@@ -106,17 +123,13 @@ def sequence_statistics(series: DataFrame, width: int, order: int = 1) -> DataFr
     return windows(series, width).select("series_id", "idx", "window").mapInPandas(run, "series_id string, idx long, autoregression double, entropy double, hurst double")
 
 
-#: Distances of two sequences by name.
-DISTANCES: dict[str, Callable[..., float]] = {"dtw": kernels.warp, "edr": kernels.edit_on_reals, "twed": kernels.time_warp_edit, "mahalanobis": kernels.mahalanobis, "sbd": kernels.shape_distance}
-
-
 def sequence_distance(pairs: DataFrame, method: str, **params: float) -> DataFrame:
-    """Add distance: of the array columns a and b of each row, by dtw, edr, twed, mahalanobis (of their difference) or sbd (shape)."""
-    how = DISTANCES[method]
+    """Add distance: of the array columns a and b of each row, by dtw, edr, twed, mahalanobis (of their difference), sbd (shape) or garch; null where one is null or empty."""
+    how = BATCH[method]
 
     @F.pandas_udf("double")
     def distance(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([how(np.asarray(x, float), np.asarray(y, float), **params) for x, y in zip(a, b)], dtype=float)
+        return batched(how, a, b, **params)
 
     return pairs.withColumn("distance", distance("a", "b"))
 

@@ -226,39 +226,6 @@ def autoencoder(x: np.ndarray, hidden: tuple[int, ...] = (16, 4, 16), epochs: in
     return ((forward(x)[-1] - x) ** 2).mean(axis=1)
 
 
-def warp(x: np.ndarray, y: np.ndarray) -> float:
-    """Dynamic time warping distance with absolute differences."""
-    d = np.abs(np.subtract.outer(x, y))
-    acc = np.full((len(x) + 1, len(y) + 1), np.inf)
-    acc[0, 0] = 0
-    for i in range(1, len(x) + 1):
-        for j in range(1, len(y) + 1):
-            acc[i, j] = d[i - 1, j - 1] + min(acc[i - 1, j], acc[i, j - 1], acc[i - 1, j - 1])
-    return float(acc[-1, -1])
-
-
-def edit_on_reals(x: np.ndarray, y: np.ndarray, eps: float = 0.1) -> float:
-    """Edits that make the sequences match within eps, over the longer length."""
-    match = np.abs(np.subtract.outer(x, y)) <= eps
-    acc = np.zeros((len(x) + 1, len(y) + 1))
-    acc[:, 0], acc[0] = np.arange(len(x) + 1), np.arange(len(y) + 1)
-    for i in range(1, len(x) + 1):
-        for j in range(1, len(y) + 1):
-            acc[i, j] = min(acc[i - 1, j - 1] + (not match[i - 1, j - 1]), acc[i - 1, j] + 1, acc[i, j - 1] + 1)
-    return float(acc[-1, -1] / max(len(x), len(y), 1))
-
-
-def time_warp_edit(x: np.ndarray, y: np.ndarray, gamma: float = 0.1, nu: float = 0.001) -> float:
-    """Edits of a sequence with times: a gap costs gamma and the time it spans times nu."""
-    x, y = np.concatenate([[0.0], x]), np.concatenate([[0.0], y])
-    acc = np.full((len(x), len(y)), np.inf)
-    acc[0, 0] = 0
-    for i in range(1, len(x)):
-        for j in range(1, len(y)):
-            acc[i, j] = min(acc[i - 1, j] + abs(x[i] - x[i - 1]) + nu + gamma, acc[i, j - 1] + abs(y[j] - y[j - 1]) + nu + gamma, acc[i - 1, j - 1] + abs(x[i] - y[j]) + abs(x[i - 1] - y[j - 1]) + 2 * nu * abs(i - j))
-    return float(acc[-1, -1])
-
-
 def sample_entropy(v: np.ndarray, m: int = 2, tol: float = 0.2) -> float:
     """-ln of the share of pairs alike over m values that stay alike over m + 1."""
     r = tol * v.std()
@@ -290,14 +257,3 @@ def ar_coefficient(v: np.ndarray, k: int = 1) -> float:
     """The last coefficient of an autoregression of order k, by least squares."""
     a = np.column_stack([v[k - i - 1 : len(v) - i - 1] for i in range(k)] + [np.ones(len(v) - k)])
     return float(np.linalg.lstsq(a, v[k:], rcond=None)[0][k - 1])
-
-
-def mahalanobis(x: np.ndarray, y: np.ndarray) -> float:
-    """Length of the difference of two sequences, in units of the deviation of both together."""
-    spread = np.concatenate([x, y]).var()
-    return float(np.sqrt(((x - y) ** 2).sum() / max(spread, 1e-12)))
-
-
-def shape_distance(x: np.ndarray, y: np.ndarray) -> float:
-    """1 less the greatest normalised cross-correlation over all shifts."""
-    return float(1 - shape_correlation(x[None], y)[0][0])

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import time
 from collections.abc import Mapping, Sequence
-from itertools import combinations, product
+from itertools import product
 from typing import Any
 
 import pandas as pd
@@ -182,11 +182,53 @@ def nemenyi(results: DataFrame) -> DataFrame:
     return pairs.select("measure", "a", "b", (F.col("ra") - F.col("rb")).alias("difference"), "q", tail("q", "k").alias("p"))
 
 
+#: Nodes of a graph whose largest cliques are listed.
+NODES = 64
+
+
+def maximal_cliques(neighbours: Sequence[int]) -> list[int]:
+    """All maximal cliques of a graph, as sets of bits: of node i the bits of its neighbours are given.
+
+    The steps of Bron and Kerbosch: a clique grows by the nodes linked with all of it, but not by those linked with the
+    one that has most of them, as a clique without them would have to hold it or another one not linked with it.
+    """
+    if len(neighbours) > NODES:
+        raise ValueError(f"a graph of more than {NODES} nodes")
+    found: list[int] = []
+    bits = lambda x: [i for i in range(len(neighbours)) if x >> i & 1]
+    stack = [(0, (1 << len(neighbours)) - 1, 0)]
+    while stack:
+        clique, open_, done = stack.pop()
+        if not open_ and not done:
+            found.append(clique)
+            continue
+        if not open_:
+            continue
+        pivot = max(bits(open_ | done), key=lambda i: (open_ & neighbours[i]).bit_count())
+        for i in bits(open_ & ~neighbours[pivot]):
+            stack.append((clique | 1 << i, open_ & neighbours[i], done & neighbours[i]))
+            open_ &= ~(1 << i)
+            done |= 1 << i
+    return found
+
+
 def cliques(names: Sequence[str], apart: set[tuple[str, str]]) -> list[tuple[str, ...]]:
-    """Largest groups of detectors that don't differ; names in the order of their average ranks, a few dozen at most."""
-    alike = lambda group: all((a, b) not in apart and (b, a) not in apart for a, b in combinations(group, 2))
-    spans = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names) + 1) if alike(names[i:j])]
-    return [tuple(names[i:j]) for i, j in spans if j - i > 1 and not any((a, b) != (i, j) and a <= i and j <= b for a, b in spans)]
+    """Largest groups of two or more detectors of which no two differ, each in the order of names; NODES names at most."""
+    alike = [sum(1 << j for j, b in enumerate(names) if a != b and (a, b) not in apart and (b, a) not in apart) for a in names]
+    found = [tuple(n for i, n in enumerate(names) if c >> i & 1) for c in maximal_cliques(alike)]
+    return sorted((c for c in found if len(c) > 1), key=lambda c: [names.index(n) for n in c])
+
+
+def clique_table(pairs: DataFrame) -> DataFrame:
+    """measure and clique of rows (measure, a, b, alike): the largest groups of detectors that are all alike, for each measure."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        names = sorted({*pdf["a"], *pdf["b"]})
+        linked = {(a, b) for a, b, alike in zip(pdf["a"], pdf["b"], pdf["alike"]) if alike}
+        apart = {(a, b) for a in names for b in names if (a, b) not in linked and (b, a) not in linked}
+        return pd.DataFrame([(pdf["measure"].iloc[0], list(c)) for c in cliques(names, apart)], columns=["measure", "clique"])
+
+    return pairs.select("measure", "a", "b", "alike").groupBy("measure").applyInPandas(run, "measure string, clique array<string>")
 
 
 def outcomes(predicted: DataFrame) -> DataFrame:

@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import arrays
 from tidewatch.operators import detectors as d
+from tidewatch.operators import distances as dist
 from tidewatch.operators import features as ft
 from tidewatch.operators import frames as fr
 from tidewatch.operators import measures as m
 from tidewatch.operators import period as pe
+from tidewatch.operators import seasons
 from tidewatch.operators import segments as sg
 from tidewatch.plans import bench, fitted
 from tidewatch.plans.registry import REGISTRY, detect
@@ -47,7 +49,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[name] = f
         if sql:
-            ORACLE_SQL[name] = f"WITH {TABLES}{',' if sql.lstrip()[:6] != 'SELECT' else ''} {sql}"
+            text = sql.removeprefix("RECURSIVE")
+            ORACLE_SQL[name] = f"WITH {'RECURSIVE ' if text != sql else ''}{TABLES}{',' if text.lstrip()[:6] != 'SELECT' else ''} {text}"
         return f
 
     return add
@@ -651,6 +654,19 @@ def friedman(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(bench.friedman(results(spark, sf)).drop("p"), "statistic")
 
 
+@query("cliques", "RECURSIVE" + RESULTS + """, pa AS (SELECT x.detector AS a, y.detector AS b FROM res x JOIN res y ON x.series_id = y.series_id AND x.detector < y.detector GROUP BY 1, 2 HAVING sum((x.value > y.value)::INTEGER) BETWEEN 2 AND count(*) - 2),
+    ed AS (SELECT a, b FROM pa UNION ALL SELECT b, a FROM pa),
+    cl AS (SELECT [detector] AS m, detector AS z FROM (SELECT DISTINCT detector FROM res) UNION ALL SELECT list_append(m, e.b), e.b FROM cl JOIN ed e ON e.a = cl.z AND e.b > cl.z WHERE (SELECT count(*) FROM ed f WHERE f.b = e.b AND list_contains(cl.m, f.a)) = len(cl.m))
+    SELECT 'price' AS measure, array_to_string(m, ', ') AS clique, len(m)::INTEGER AS size FROM cl WHERE len(m) > 1 AND NOT EXISTS (SELECT 1 FROM ed g WHERE list_contains(cl.m, g.a) GROUP BY g.b HAVING count(*) = len(cl.m))""")
+def cliques(spark: SparkSession, sf: str) -> DataFrame:
+    """Largest groups of detectors of which no two differ by more than chance: each is better in two cases at least."""
+    r = results(spark, sf)
+    x, y = (r.select("series_id", "measure", F.col("detector").alias(n), F.col("value").alias(f"v{n}")) for n in "ab")
+    pairs = x.join(y, ["series_id", "measure"]).filter("a < b").groupBy("measure", "a", "b").agg(F.sum((F.col("va") > F.col("vb")).cast("int")).alias("wins"), F.count("*").alias("n"))
+    found = bench.clique_table(pairs.withColumn("alike", F.col("wins").between(2, F.col("n") - 2)))
+    return found.select("measure", F.array_join("clique", ", ").alias("clique"), F.size("clique").alias("size"))
+
+
 @query("nemenyi")
 def nemenyi(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(bench.nemenyi(results(spark, sf)), "difference", "q", "p")
@@ -726,20 +742,77 @@ def window_entropy_hurst(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(ft.sequence_statistics(s.hourly_series(spark, sf), 64).select("series_id", "idx", "entropy", "hurst"), "entropy", "hurst")
 
 
-def window_pairs(spark: SparkSession, sf: str) -> DataFrame:
+def window_pairs(spark: SparkSession, sf: str, change: Callable[[DataFrame], DataFrame] = lambda h: h, width: int = 12) -> DataFrame:
     """Each window of 12 hours beside that of the day after."""
-    w = fr.windows(s.hourly_series(spark, sf), 12)
+    w = fr.windows(change(s.hourly_series(spark, sf)), width)
     later = w.select("series_id", (F.col("idx") - 24).alias("idx"), F.col("window").alias("b"))
     return w.withColumnRenamed("window", "a").join(later, ["series_id", "idx"])
 
 
+PAIRS = """l AS (SELECT idx, list(value) OVER (ORDER BY idx ROWS BETWEEN CURRENT ROW AND 11 FOLLOWING) AS v FROM ts_h), pr AS (SELECT x.idx, x.v AS a, y.v AS b FROM l x JOIN l y ON y.idx = x.idx + 24 WHERE len(y.v) = 12)"""
+#: A table of the recursion row by row: the row of before, and in it value by value.
+TABLE = """, d AS (SELECT idx, list_reduce(list_prepend({first}, list_transform(range({lo}, {hi}), lambda i: [i::DOUBLE])), lambda up, ii: list_reduce(list_prepend([{left}], list_transform(range({lo}, {hi}), lambda j: [j::DOUBLE])),
+    lambda row, jj: list_append(row, {step}))) AS t FROM pr)"""
+ROUND = " SELECT 'hourly' AS series_id, idx, round({}, 6) AS distance FROM {}"
+_I, _J = "ii[1]::INTEGER", "jj[1]::INTEGER"
 DISTANCE_SQL = {
     "mahalanobis": WINDOWS.replace("+ 4", "+ 11").replace("- 4", "- 11") + ", pr AS (SELECT a.idx, sum(pow(a.value - b.value, 2)) AS square, count(*) AS n, sum(a.value + b.value) AS s, sum(a.value * a.value + b.value * b.value) AS ss FROM w a JOIN w b ON b.idx = a.idx + 24 AND a.lag = b.lag GROUP BY 1) SELECT 'hourly' AS series_id, idx, round(sqrt(square / (ss / (2 * n) - pow(s / (2 * n), 2))), 6) AS distance FROM pr",
+    "dtw": PAIRS + TABLE.format(first="list_prepend(0::DOUBLE, list_transform(range(12), lambda x: 'inf'::DOUBLE))", lo=1, hi=13, left="'inf'::DOUBLE", step=f"abs(a[{_I}] - b[{_J}]) + least(up[{_J} + 1], row[{_J}], up[{_J}])") + ROUND.format("t[13]", "d"),
+    "edr": PAIRS + TABLE.format(first="list_transform(range(13), lambda x: x::DOUBLE)", lo=1, hi=13, left="ii[1]", step=f"least(up[{_J} + 1] + 1, row[{_J}] + 1, up[{_J}] + (abs(a[{_I}] - b[{_J}]) > 0.1)::INTEGER)") + ROUND.format("t[13] / 12", "d"),
+    "twed": PAIRS.replace("x.v AS a, y.v AS b", "list_prepend(0::DOUBLE, x.v) AS a, list_prepend(0::DOUBLE, y.v) AS b")
+    + TABLE.format(first="list_prepend(0::DOUBLE, list_transform(range(12), lambda x: 'inf'::DOUBLE))", lo=2, hi=14, left="'inf'::DOUBLE", step=f"least(up[{_J}] + abs(a[{_I}] - a[{_I} - 1]) + 0.101::DOUBLE, row[{_J} - 1] + abs(b[{_J}] - b[{_J} - 1]) + 0.101::DOUBLE, up[{_J} - 1] + abs(a[{_I}] - b[{_J}]) + abs(a[{_I} - 1] - b[{_J} - 1]) + 0.002::DOUBLE * abs({_I} - {_J}))") + ROUND.format("t[13]", "d"),
 }
-for _name in ft.DISTANCES:
+for _name in ("dtw", "edr", "twed", "mahalanobis", "sbd", "garch"):
     query(f"distance_{_name}", DISTANCE_SQL.get(_name))(lambda spark, sf, name=_name: rounded(ft.sequence_distance(window_pairs(spark, sf), name).select("series_id", "idx", "distance"), "distance"))
 
 
+@query("garch_given", PAIRS + """, r AS (SELECT idx, a, b, list_transform(range(1, 13), lambda i: pow(10 * (a[i] - b[i]), 2)) AS q FROM pr),
+    h AS (SELECT *, list_sum(list_transform(range(1, 13), lambda i: pow(0.94::DOUBLE, i - 1) * q[i])) / list_sum(list_transform(range(1, 13), lambda i: pow(0.94::DOUBLE, i - 1))) AS back FROM r),
+    s AS (SELECT idx, a, b, list_transform(range(1, 13), lambda t: list_reduce(list_prepend(5 + 0.9::DOUBLE * back, q[1 : t - 1]), lambda h, x: 5 + 0.1::DOUBLE * x + 0.8::DOUBLE * h)) AS h FROM h)
+    SELECT 'hourly' AS series_id, idx, round(list_sum(list_transform(range(1, 13), lambda i: abs(a[i] - b[i]) / (sqrt(h[i]) / 10))) / 12, 6) AS distance FROM s""")
+def garch_given(spark: SparkSession, sf: str) -> DataFrame:
+    """Differences over the deviations of a volatility recursion at given parameters."""
+    found = ft.sequence_distance(window_pairs(spark, sf), "garch", params=(5.0, 0.1, 0.8))
+    return rounded(found.select("series_id", "idx", "distance"), "distance")
+
+
+@query("line_distance", "RECURSIVE" + """
+    l AS (SELECT idx, list(round(value, 4)) OVER (ORDER BY idx ROWS BETWEEN CURRENT ROW AND 11 FOLLOWING) AS v FROM ts_h), pr AS (SELECT x.idx, x.v AS a, y.v AS b FROM l x JOIN l y ON y.idx = x.idx + 24 WHERE len(y.v) = 12),
+    side AS (SELECT idx, 0 AS side, a AS x FROM pr UNION ALL SELECT idx, 1, b FROM pr),
+    kn AS (SELECT idx, side, x, 1::BIGINT AS p FROM side UNION ALL
+           SELECT idx, side, x, list_filter(range(p + 2, 13), lambda t: abs(x[t] - (x[p] + (x[p + 1] - x[p]) * (t - p))) >= 5)[1] FROM kn WHERE len(list_filter(range(p + 2, 13), lambda t: abs(x[t] - (x[p] + (x[p + 1] - x[p]) * (t - p))) >= 5)) > 0),
+    ks AS (SELECT idx, side, any_value(x) AS x, list(p) AS k FROM kn GROUP BY 1, 2), every AS (SELECT DISTINCT idx, p FROM kn),
+    val AS (SELECT idx, e.p, side, x, list_max(list_filter(k, lambda z: z <= e.p)) AS q FROM every e JOIN ks USING (idx)),
+    g AS (SELECT idx, p, abs(max(CASE WHEN side = 0 THEN y END) - max(CASE WHEN side = 1 THEN y END)) AS gap FROM (SELECT idx, p, side, CASE WHEN q = p THEN x[p] ELSE x[q] + (x[q + 1] - x[q]) * (p - q) END AS y FROM val) GROUP BY 1, 2)
+    SELECT 'hourly' AS series_id, idx, round(avg(gap), 7) AS distance FROM g GROUP BY idx""")
+def line_distance(spark: SparkSession, sf: str) -> DataFrame:
+    """Gaps of the lines that two windows are cut into."""
+    pairs = window_pairs(spark, sf, lambda h: h.withColumn("value", F.round("value", 4)))
+    return dist.line_distance(pairs, 5.0).select("series_id", "idx", F.round("distance", 7).alias("distance"))
+
+
+@query("covariance_distance", """p AS (SELECT a.idx, a.value - c.value AS x, b.value - d.value AS y FROM ts_h a JOIN ts_h b ON b.idx = a.idx + 1 JOIN ts_h c ON c.idx = a.idx + 24 JOIN ts_h d ON d.idx = a.idx + 25),
+    m AS (SELECT var_samp(x) AS xx, var_samp(y) AS yy, covar_samp(x, y) AS xy FROM p) SELECT 'hourly' AS series_id, idx, round(sqrt((yy * x * x - 2 * xy * x * y + xx * y * y) / (xx * yy - xy * xy)), 6) AS distance FROM p, m""")
+def covariance_distance(spark: SparkSession, sf: str) -> DataFrame:
+    """Differences of windows of two hours, a day apart, in units of their covariance over the series."""
+    return rounded(dist.covariance_distance(window_pairs(spark, sf, width=2)), "distance")
+
+
+SEASONS = """c AS (SELECT series_id, idx, value, CASE WHEN count(*) OVER f = 25 THEN (sum(value) OVER g + (lag(value, 12) OVER o + lead(value, 12) OVER o) / 2) / 24 END AS t FROM {t}
+        WINDOW o AS (PARTITION BY series_id ORDER BY idx), f AS (o ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING), g AS (o ROWS BETWEEN 11 PRECEDING AND 11 FOLLOWING)),
+    z AS (SELECT series_id, min(idx) AS lo, max(idx) AS hi FROM c WHERE t IS NOT NULL GROUP BY 1 HAVING count(*) > 24),
+    e AS (SELECT series_id, any_value(lo) AS lo, any_value(hi) AS hi, regr_slope(t, idx) FILTER (idx < lo + 24) AS sa, regr_intercept(t, idx) FILTER (idx < lo + 24) AS ia, regr_slope(t, idx) FILTER (idx > hi - 24) AS sb, regr_intercept(t, idx) FILTER (idx > hi - 24) AS ib FROM c JOIN z USING (series_id) WHERE t IS NOT NULL GROUP BY 1),
+    w AS (SELECT series_id, idx, value, CASE WHEN idx < lo THEN ia + sa * idx WHEN idx > hi THEN ib + sb * idx ELSE t END AS trend FROM c JOIN e USING (series_id)),
+    ph AS (SELECT series_id, idx % 24 AS k, avg(value - trend) AS m FROM w GROUP BY 1, 2), sn AS (SELECT series_id, k, m - avg(m) OVER (PARTITION BY series_id) AS seasonal FROM ph)
+    SELECT w.series_id, idx, round(trend, 7) AS trend, round(seasonal, 7) AS seasonal, round(value - trend - seasonal, 7) AS residual FROM w JOIN sn ON sn.series_id = w.series_id AND sn.k = w.idx % 24"""
+
+
+@query("decomposition", SEASONS.format(t="ts_u"))
+def decomposition(spark: SparkSession, sf: str) -> DataFrame:
+    found = seasons.decompose(s.event_series(spark, sf), 24)
+    return found.select("series_id", "idx", *(F.round(c, 7).alias(c) for c in ("trend", "seasonal", "residual")))
+
+
 @query("optimal_bins", """r AS (SELECT series_id, lag, round(value, 9) AS v FROM lags_m), en AS (SELECT series_id, lag, min(v) AS lo, max(v) AS hi, count(*) AS n FROM r GROUP BY 1, 2 HAVING min(v) < max(v)), tr AS (SELECT *, unnest(range(1, greatest(floor(sqrt(n))::INTEGER, 2))) AS b FROM en),
     c AS (SELECT tr.lag, n, b, least(floor((v - lo) / (hi - lo) * b), b - 1) AS bin, count(*) AS c FROM tr JOIN r ON r.lag = tr.lag GROUP BY 1, 2, 3, 4), g AS (SELECT lag, b, sum(c * ln(b * c::DOUBLE / n + 1)) - b * (b - 1 + pow(ln(b), 2.5)) AS gain FROM c GROUP BY 1, 2, n)
     SELECT 'shipments' AS series_id, lag, arg_max(b, struct_pack(gain := gain, b := -b))::INTEGER AS bins FROM g GROUP BY 2""")
