@@ -68,14 +68,18 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return np.stack([np.asarray(v, float) for v in column.to_pylist()]) if len(column) else np.zeros((0, 0))
 
 
-def _nearest_of(a: pa.Table, b: pa.Table, k: int, apart: int, past: bool) -> pa.Table:
+#: Distances of points by name: of all pairs at once, or None where a matrix product gives them; and of a pair, from its components.
+METRICS = ("euclidean", "manhattan")
+
+
+def _nearest_of(a: pa.Table, b: pa.Table, k: int, apart: int, past: bool, metric: str = "euclidean") -> pa.Table:
     """The k nearest of b for each point of a: by a matrix product first, and those that it can't tell from the k-th again value by value."""
     x, y, own, other = _matrix(a["v"]), _matrix(b["u"]), a["idx"].to_numpy(), b["other"].to_numpy()
     rows = []
     for i in range(0, len(own), 256):
         part, at = x[i : i + 256], own[i : i + 256, None]
         left, right = (part * part).sum(axis=1), (y * y).sum(axis=1)
-        near = left[:, None] + right - 2 * part @ y.T
+        near = left[:, None] + right - 2 * part @ y.T if metric == "euclidean" else sum((np.abs(part[:, d, None] - y[None, :, d]) for d in range(x.shape[1])), np.zeros((len(part), len(y))))
         allowed = (np.abs(at - other) > apart) & ((other < at) if past else (other != at))
         near[~allowed] = np.inf
         few = min(k, near.shape[1])
@@ -86,23 +90,25 @@ def _nearest_of(a: pa.Table, b: pa.Table, k: int, apart: int, past: bool) -> pa.
         total = np.zeros(len(r))
         for d in range(x.shape[1]):  # in order, as a plain sum over the array would
             step = part[r, d] - y[c, d]
-            total += step * step
+            total += step * step if metric == "euclidean" else np.abs(step)
         order = np.lexsort((other[c], total, r))
         r, c, total = r[order], c[order], total[order]
         first = np.arange(len(r)) - np.searchsorted(r, r) < k
-        rows.append((own[i + r[first]], other[c[first]], np.sqrt(total[first])))
+        rows.append((own[i + r[first]], other[c[first]], np.sqrt(total[first]) if metric == "euclidean" else total[first]))
     idx, found, dist = (np.concatenate(z) for z in zip(*rows)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
     series = pa.array(np.repeat(a["series_id"][0].as_py() if a.num_rows else "", len(idx)).tolist(), pa.string())
     return pa.table({"series_id": series, "idx": idx, "other": found, "dist": dist})
 
 
-def neighbours(points: DataFrame, k: int, apart: int = 0, past: bool = False) -> DataFrame:
+def neighbours(points: DataFrame, k: int, apart: int = 0, past: bool = False, metric: str = "euclidean") -> DataFrame:
     """series_id, idx, rank, other and dist of the k nearest points (array column v) of the series; ties to the smaller index.
 
     Points come in blocks of about BLOCK; two blocks are compared in one task by a matrix product, which gives the k
     nearest of the one block for each point of the other, so the shuffle holds k rows for each point and block, not one
     for each pair.  ``apart``: others must be further away in idx; ``past``: only earlier ones.
     """
+    if metric not in METRICS:
+        raise ValueError(f"no metric {metric!r}: {', '.join(METRICS)}")
     sizes = points.groupBy("series_id").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks"))
     dealt = points.select("series_id", F.col("idx").cast("long").alias("idx"), "v").join(sizes, "series_id").withColumn("_b", F.pmod(F.xxhash64("idx"), F.col("_blocks")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
@@ -110,19 +116,19 @@ def neighbours(points: DataFrame, k: int, apart: int = 0, past: bool = False) ->
     tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     left = dealt.select("series_id", "idx", "v", F.col("_b").alias("i"), every.alias("j")).repartition(tasks, "series_id", "i", "j").groupBy("series_id", "i", "j")
     right = dealt.select(F.col("series_id").alias("_series"), F.col("idx").alias("other"), F.col("v").alias("u"), every.alias("_i"), F.col("_b").alias("_j")).repartition(tasks, "_series", "_i", "_j").groupBy("_series", "_i", "_j")
-    best = left.cogroup(right).applyInArrow(lambda a, b: _nearest_of(a, b, k, apart, past), "series_id string, idx long, other long, dist double")
+    best = left.cogroup(right).applyInArrow(lambda a, b: _nearest_of(a, b, k, apart, past, metric), "series_id string, idx long, other long, dist double")
     order = Window.partitionBy("series_id", "idx").orderBy("dist", "other")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("series_id", "idx", "rank", "other", "dist")
 
 
-def knn(points: DataFrame, k: int = 5, method: str = "largest") -> DataFrame:
+def knn(points: DataFrame, k: int = 5, method: str = "largest", metric: str = "euclidean") -> DataFrame:
     how = {"largest": F.max("dist"), "mean": F.avg("dist"), "median": F.median("dist")}[method]
-    return neighbours(points, k).groupBy("series_id", "idx").agg(how.alias("score"))
+    return neighbours(points, k, metric=metric).groupBy("series_id", "idx").agg(how.alias("score"))
 
 
-def lof(points: DataFrame, k: int = 20) -> DataFrame:
+def lof(points: DataFrame, k: int = 20, metric: str = "euclidean") -> DataFrame:
     """Local outlier factor: the neighbours' local reachability density over the point's own."""
-    near = neighbours(points, k)
+    near = neighbours(points, k, metric=metric)
     reach = near.groupBy("series_id", F.col("idx").alias("other")).agg(F.max("dist").alias("k_dist"))
     density = near.join(reach, ["series_id", "other"]).groupBy("series_id", "idx").agg((1 / (F.avg(F.greatest("k_dist", "dist")) + 1e-10)).alias("lrd"))
     theirs = near.join(density.select("series_id", F.col("idx").alias("other"), F.col("lrd").alias("their_lrd")), ["series_id", "other"])

@@ -235,25 +235,38 @@ def volume_under_surface(scored: DataFrame, width: int, steps: int = 250, first_
     beside their own, so what is added for a buffer is a row for each such point, summed up by the first threshold
     that takes it in; nothing is computed point by point for each cell.
     """
-    truth = runs(scored)
+    truth = runs(scored).withColumn("w", F.explode(F.sequence(F.lit(first_width), F.lit(width)))).withColumn("_left", F.floor(F.col("w") / 2)).withColumn("_right", F.col("_left"))
+    return _volume(scored, truth, F.greatest("w", F.lit(1)), steps)
+
+
+def range_auc_share(scored: DataFrame, share: float = 0.2, steps: int = 250) -> DataFrame:
+    """The areas where the buffer of a run is a share of its own length: as many points before it, one less behind it."""
+    buffer = F.floor((F.col("e") - F.col("s") + 1) * share)
+    truth = runs(scored).withColumn("w", F.lit(0)).withColumn("_left", buffer).withColumn("_right", F.greatest(buffer - 1, F.lit(0)))
+    return _volume(scored, truth, F.greatest(2 * F.col("_left"), F.lit(1)), steps).withColumnsRenamed({"vus_roc": "range_auc_roc", "vus_pr": "range_auc_pr"})
+
+
+def _volume(scored: DataFrame, truth: DataFrame, reach: Column, steps: int) -> DataFrame:
+    """The mean areas over w of runs (series_id, w, s, e) with buffers of _left and _right points, whose soft labels are sqrt(1 - d / reach) at the distance d."""
     sizes = scored.groupBy("series_id").agg(F.count("*").alias("n"), F.sum("label").alias("p")).filter("p > 0")
     thresholds = rank_grid(scored, steps)
     # The first threshold k that takes in a score: the number of thresholds above it.
     marks = thresholds.groupBy("series_id").agg(F.sort_array(F.collect_list(F.struct("k", "theta"))).alias("_t"))
     entered = lambda df, score="score": df.join(marks, "series_id").withColumn("k", F.size(F.filter("_t", lambda t: t["theta"] > F.col(score)))).drop("_t").filter(F.col("k") < steps)
     own = entered(scored.filter("label = 1")).groupBy("series_id", "k").agg(F.count("*").alias("_own"))
-    buffers = sizes.select("series_id", F.explode(F.sequence(F.lit(first_width), F.lit(width))).alias("w"))
-    # Soft labels beside runs: for the buffer w, sqrt(1 - d / w) at distances d up to w // 2.
-    sides = truth.withColumn("w", F.explode(F.sequence(F.lit(first_width), F.lit(width)))).filter("w >= 2").withColumn("d", F.explode(F.sequence(F.lit(1), F.floor(F.col("w") / 2).cast("int"))))
-    beside = sides.select("series_id", "w", F.explode(F.array(F.col("s") - F.col("d"), F.col("e") + F.col("d"))).alias("idx"), F.sqrt(1 - F.col("d") / F.col("w")).alias("_soft"))
+    buffers = truth.select("series_id", "w").distinct()
+    # Soft labels beside runs.
+    near = lambda side: F.when(F.col(side) > 0, F.sequence(F.lit(1), F.col(side).cast("int"))).otherwise(F.array().cast("array<int>"))
+    soft_at = lambda d, idx: F.struct(idx.alias("idx"), F.sqrt(1 - d / reach).alias("_soft"))
+    around = F.concat(F.transform(near("_left"), lambda d: soft_at(d, F.col("s") - d)), F.transform(near("_right"), lambda d: soft_at(d, F.col("e") + d)))
+    beside = truth.select("series_id", "w", F.explode(around).alias("_p")).select("series_id", "w", "_p.idx", "_p._soft")
     soft = beside.groupBy("series_id", "w", "idx").agg(F.sum("_soft").alias("_soft")).join(scored.filter("label = 0").select("series_id", "idx", "score"), ["series_id", "idx"])
     more = entered(soft).groupBy("series_id", "w", "k").agg(F.sum(F.least("_soft", F.lit(1.0))).alias("_more"))
     # Merged runs and the first threshold that finds each.
     order = Window.partitionBy("series_id", "w").orderBy("s")
-    joined = truth.crossJoin(F.broadcast(scored.sparkSession.range(first_width, width + 1).select(F.col("id").cast("int").alias("w")))).withColumn("_half", F.floor(F.col("w") / 2))  # width + 1 rows
-    new = F.coalesce((F.lag("e").over(order) + F.col("_half") < F.col("s") - F.col("_half")).cast("int"), F.lit(1))
-    joined = joined.withColumn("_new", new).withColumn("seg", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    wide = joined.groupBy("series_id", "w", "seg").agg((F.min("s") - F.first("_half")).alias("s"), (F.max("e") + F.first("_half")).alias("e"))
+    new = F.coalesce((F.lag(F.col("e") + F.col("_right")).over(order) < F.col("s") - F.col("_left")).cast("int"), F.lit(1))
+    joined = truth.withColumn("_new", new).withColumn("seg", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    wide = joined.groupBy("series_id", "w", "seg").agg(F.min(F.col("s") - F.col("_left")).alias("s"), F.max(F.col("e") + F.col("_right")).alias("e"))
     # The greatest score of a run: of the buckets that it covers whole, and of the points in those that it covers in part.
     parts = wide.withColumn("bucket", F.explode(F.sequence(bucket(F.greatest("s", F.lit(0))), bucket("e")))).withColumn("_whole", (F.col("s") <= F.col("bucket") * BUCKET) & (F.col("e") >= (F.col("bucket") + 1) * BUCKET - 1))
     points = scored.select("series_id", bucket().alias("bucket"), "idx", "score")

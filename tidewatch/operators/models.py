@@ -176,7 +176,7 @@ class Kind:
 # Principal components
 
 
-def principal_models(points: DataFrame, keep: int | None = None) -> DataFrame:
+def principal_models(points: DataFrame, keep: int | float | None = None) -> DataFrame:
     """Columns that vary, means and deviations of all, variances along the components and their vectors (a column each).
 
     The covariance is a sum of outer products over all points.  Columns are standardised, constant ones dropped; a
@@ -190,7 +190,12 @@ def principal_models(points: DataFrame, keep: int | None = None) -> DataFrame:
         std = np.sqrt(np.maximum(np.diag(cov), 0))
         own = np.flatnonzero(std > 1e-9 * np.maximum(np.abs(mean), 1))
         values, vectors = np.linalg.eigh(cov[np.ix_(own, own)] / np.outer(std[own], std[own]) * n / max(n - 1, 1)) if len(own) else (np.zeros(0), np.zeros((0, 0)))
-        order = np.argsort(values)[::-1][: keep or min(n, len(own))]
+        order = np.argsort(values)[::-1]
+        if isinstance(keep, float):  # as many as explain more than this share of the variance
+            share = np.cumsum(np.maximum(values[order], 0))
+            order = order[: int(np.searchsorted(share, keep * share[-1], "right")) + 1] if len(order) else order
+        else:
+            order = order[: keep or min(n, len(own))]
         values, vectors = np.maximum(values[order], 1e-12), vectors[:, order]
         if vectors.size:
             vectors = vectors * np.sign(vectors[np.abs(vectors).argmax(axis=0), np.arange(vectors.shape[1])])
@@ -263,7 +268,7 @@ def _depths(tree: Model, v: np.ndarray) -> np.ndarray:
     return out
 
 
-def forests(points: DataFrame, trees: int = 100, sample: int = 256, extended: bool = False, columns: int | None = None, seed: int = 0, pool: int | None = None) -> DataFrame:
+def forests(points: DataFrame, trees: int = 100, sample: int = 256, extended: bool = False, columns: int | float | None = None, seed: int = 0, pool: int | None = None) -> DataFrame:
     """Trees of random splits: of one column, or (extended) by random hyperplanes; and the depth expected of their samples.
 
     Each tree grows on ``sample`` points, drawn from a sample of at most ``pool`` points of the series.
@@ -273,7 +278,8 @@ def forests(points: DataFrame, trees: int = 100, sample: int = 256, extended: bo
         x, rng, forest = total[1], np.random.default_rng(seed), []
         size = min(sample, len(x))
         for _ in range(trees):
-            own = rng.choice(x.shape[1], min(columns, x.shape[1]), replace=False) if columns else np.arange(x.shape[1])
+            some = max(1, int(columns * x.shape[1])) if isinstance(columns, float) else columns  # a share of them
+            own = rng.choice(x.shape[1], min(some, x.shape[1]), replace=False) if some else np.arange(x.shape[1])
             forest.append(_tree(x[rng.choice(len(x), size, replace=False)], own, int(np.ceil(np.log2(max(size, 2)))), extended, rng))
         return forest, max(float(expected_depth(np.array(float(size)))), 1e-12)
 

@@ -16,33 +16,97 @@ from tidewatch.operators.measures import evaluate
 from tidewatch.plans.registry import detect
 from tidewatch.sources.lineage import materialise
 
-#: The grids of hyper-parameters that are swept.
+_PERIODS, _POWERS, _NEAR, _BINS = [1, 2, 3], [1, 2, 3, 4], [10, 20, 30, 40, 50], [5, 10, 20, 30, 40]
+_SUPPORT, _KEPT, _KERNELS, _TREES = [0.2, 0.4, 0.6, 0.8, None], [0.25, 0.5, 0.75, None], ["linear", "poly", "rbf", "sigmoid"], [25, 50, 100, 150, 200]
+_HIDDEN = [(64, 32, 64), (32, 16, 32), (128, 64, 128)]
+#: The grids of hyper-parameters that are swept, for series of one channel.
 GRIDS: dict[str, dict[str, list[Any]]] = {
-    "IForest": {"trees": [25, 50, 100, 150, 200]},
-    "Sub_IForest": {"trees": [25, 50, 100, 150, 200]},
-    "LOF": {"k": [10, 20, 30, 40, 50]},
-    "Sub_LOF": {"k": [10, 20, 30, 40, 50]},
-    "POLY": {"power": [1, 2, 3, 4]},
-    "HBOS": {"bins": [5, 10, 20, 30, 40], "tol": [0.1, 0.3, 0.5, 0.7]},
-    "Sub_HBOS": {"bins": [5, 10, 20, 30, 40]},
-    "KNN": {"k": [10, 20, 30, 40, 50], "method": ["largest", "mean", "median"]},
-    "Sub_KNN": {"k": [10, 20, 30, 40, 50]},
+    "Sub_IForest": {"period_rank": _PERIODS, "trees": _TREES},
+    "IForest": {"trees": _TREES},
+    "Sub_LOF": {"period_rank": _PERIODS, "k": _NEAR},
+    "LOF": {"k": _NEAR},
+    "POLY": {"period_rank": _PERIODS, "power": _POWERS},
+    "MatrixProfile": {"period_rank": _PERIODS},
+    "SAND": {"period_rank": _PERIODS},
+    "Sub_PCA": {"period_rank": _PERIODS, "keep": _KEPT},
+    "Sub_HBOS": {"period_rank": _PERIODS, "bins": _BINS},
+    "Sub_OCSVM": {"period_rank": _PERIODS, "kernel": _KERNELS},
+    "Sub_MCD": {"period_rank": _PERIODS, "support": _SUPPORT},
+    "Sub_KNN": {"period_rank": _PERIODS, "k": _NEAR},
+    "KMeansAD_U": {"period_rank": _PERIODS, "clusters": [10, 20, 30, 40]},
+    "KShapeAD": {"period_rank": _PERIODS},
+    "AutoEncoder": {"width": [50, 100, 150], "hidden": _HIDDEN},
+    "FITS": {"width": [100, 200]},
+}
+#: The grids for series of several channels.
+CHANNEL_GRIDS: dict[str, dict[str, list[Any]]] = {
+    "IForest": {"trees": _TREES, "columns": [0.2, 0.4, 0.6, 0.8, 1.0]},
+    "LOF": {"k": _NEAR, "metric": ["euclidean", "manhattan"]},
+    "PCA": {"keep": _KEPT},
+    "HBOS": {"bins": _BINS, "tol": [0.1, 0.3, 0.5, 0.7]},
+    "OCSVM": {"kernel": _KERNELS, "nu": [0.1, 0.3, 0.5, 0.7]},
+    "MCD": {"support": _SUPPORT},
+    "KNN": {"k": _NEAR, "method": ["largest", "mean", "median"]},
     "KMeansAD": {"clusters": [10, 20, 30, 40], "width": [10, 20, 30, 40]},
     "CBLOF": {"clusters": [4, 8, 16, 32], "alpha": [0.6, 0.7, 0.8, 0.9]},
     "EIF": {"trees": [25, 50, 100, 200]},
     "RobustPCA": {"rounds": [500, 1000, 1500]},
-    "KMeansAD_U": {"clusters": [10, 20, 30, 40]},
-    "COF": {"k": [10, 20, 30, 40, 50]},
-    "MatrixProfile": {"width": [10, 20, 30, 40]},
+    "COF": {"k": _NEAR},
+}
+#: The parameters that were found best, for series of one channel and of several.
+TUNED: dict[str, dict[str, Any]] = {
+    "Sub_IForest": {"period_rank": 1, "trees": 150},
+    "IForest": {"trees": 200},
+    "Sub_LOF": {"period_rank": 2, "k": 30},
+    "LOF": {"k": 50},
+    "POLY": {"period_rank": 1, "power": 4},
+    "MatrixProfile": {"period_rank": 1},
+    "SAND": {"period_rank": 1},
+    "SR": {},
+    "Sub_PCA": {"period_rank": 1, "keep": None},
+    "Sub_HBOS": {"period_rank": 1, "bins": 10},
+    "Sub_OCSVM": {"period_rank": 2, "kernel": "rbf"},
+    "Sub_MCD": {"period_rank": 3, "support": None},
+    "Sub_KNN": {"period_rank": 2, "k": 50},
+    "KMeansAD_U": {"period_rank": 2, "clusters": 10},
+    "KShapeAD": {"period_rank": 1},
+    "FFT": {},
+    "Left_STAMPi": {},
+    "AutoEncoder": {"width": 100, "hidden": (128, 64, 128)},
+    "FITS": {"width": 100},
+    "M2N2": {},
+}
+CHANNELS_TUNED: dict[str, dict[str, Any]] = {
+    "IForest": {"trees": 25, "columns": 0.8},
+    "LOF": {"k": 50, "metric": "euclidean"},
+    "PCA": {"keep": 0.25},
+    "HBOS": {"bins": 30, "tol": 0.5},
+    "OCSVM": {"kernel": "rbf", "nu": 0.1},
+    "MCD": {"support": 0.8},
+    "KNN": {"k": 50, "method": "mean"},
+    "KMeansAD": {"clusters": 10, "width": 40},
+    "KShapeAD": {"k": 20, "width": 40},
+    "COPOD": {},
+    "CBLOF": {"clusters": 4, "alpha": 0.6},
+    "EIF": {"trees": 50},
+    "RobustPCA": {"rounds": 1000},
+    "AutoEncoder": {"hidden": (128, 64, 128)},
+    "FITS": {"width": 100},
 }
 MEASURES = ("auc_pr", "auc_roc", "vus_pr", "vus_roc", "f1", "pa_f1", "event_f1", "r_f1", "affiliation_f")
 
 
-def combinations_of(name: str) -> list[dict[str, Any]]:
-    grid = GRIDS.get(name, {})
+def combinations_of(name: str, channels: bool = False) -> list[dict[str, Any]]:
+    """All combinations of a detector's grid; one empty one for a detector without a grid."""
+    grid = (CHANNEL_GRIDS if channels else GRIDS).get(name, {})
     return [dict(zip(grid, values)) for values in product(*grid.values())]
 
 
+def detect_tuned(series: DataFrame, name: str) -> DataFrame:
+    """Scores with the parameters that were found best for series of one channel, or of several."""
+    return detect(series, name, **(CHANNELS_TUNED if "features" in series.columns else TUNED).get(name, {}))
+
+
 def grid_table(spark: SparkSession, grids: Mapping[str, Mapping[str, Sequence[Any]]] = GRIDS) -> DataFrame:
     """detector and params (text to text) of every combination."""
     rows = [(name, {k: str(v) for k, v in zip(grid, values)}) for name, grid in grids.items() for values in product(*grid.values())]

@@ -193,9 +193,9 @@ def seasonal(series: DataFrame, width: int = 24) -> DataFrame:
     return series.join(before, ["series_id", "idx"], "left").select("series_id", "idx", F.coalesce(F.pow(F.col("value") - F.col("_before"), 2), F.lit(0.0)).alias("score"))
 
 
-def _one_class(v: np.ndarray, limit: int, width: int = 1) -> np.ndarray:
+def _one_class(v: np.ndarray, limit: int, width: int = 1, kernel: str = "rbf", nu: float = 0.5) -> np.ndarray:
     x = normalised_windows(v, width)
-    return padded(k.one_class(x, np.arange(min(max(limit - (len(v) - len(x)), 2), len(x)))), len(v))
+    return padded(k.one_class(x, np.arange(min(max(limit - (len(v) - len(x)), 2), len(x))), nu, kernel), len(v))
 
 
 def _reconstruct(v: np.ndarray, limit: int, width: int = 50, hidden: tuple[int, ...] = (16, 4, 16), epochs: int = 30) -> np.ndarray:
@@ -237,8 +237,8 @@ NO_NETWORK = "needs a deep-learning library; give a network with `forecaster` or
 register("FFT", d.fft_regions, keep=5, neighbourhood=21, limit=0.6)
 register_model("IForest", m.isolation, _rows_or_windows, width=100, trees=100, columns=1, sample=256, seed=0, pool=m.POOL)
 register_model("Sub_IForest", m.isolation, _rows_or_windows, width=50, trees=100, columns=1, sample=256, seed=0, pool=m.POOL)
-register("LOF", lambda s, **p: d.lof(d.channel_points(s), **p), channels=True, k=30)
-register("Sub_LOF", _sub(d.lof), width=50, k=30)
+register("LOF", lambda s, **p: d.lof(d.channel_points(s), **p), channels=True, k=30, metric="euclidean")
+register("Sub_LOF", _sub(d.lof), width=50, k=30, metric="euclidean")
 register("POLY", lambda s, width, power: d.poly_blocks(s, width, power=power), width=100, power=3)
 register("MatrixProfile", d.matrix_profile, width=24)
 register("Left_STAMPi", d.left_profile, width=24, warm_up=50)
@@ -250,12 +250,12 @@ register_model("Sub_PCA", m.principal, _rows_or_windows, width=50, keep=None)
 register_model("PCA", m.principal, _rows_or_windows, width=100, keep=None)
 register("HBOS", lambda s, **p: d.hbos(d.channel_values(zscore_rows(s, "features")), **p), channels=True, bins=10, tol=0.5)
 register("Sub_HBOS", d.sub_hbos, width=50, bins=10, tol=0.5)
-register("OCSVM", per_series(_one_class, semi=True), channels=True, semi=True, width=1)
-register("Sub_OCSVM", per_series(_one_class, semi=True), semi=True, width=50)
+register("OCSVM", per_series(_one_class, semi=True), channels=True, semi=True, width=1, kernel="rbf", nu=0.5)
+register("Sub_OCSVM", per_series(_one_class, semi=True), semi=True, width=50, kernel="rbf", nu=0.5)
 register_model("MCD", m.covariance_distance, _rows_or_windows, channels=True, semi=True, support=None, seed=0, pool=m.POOL)
 register_model("Sub_MCD", m.covariance_distance, _rows_or_windows, semi=True, width=10, support=None, seed=0, pool=m.POOL)
-register("KNN", lambda s, **p: d.knn(d.channel_points(s), **p), channels=True, k=10, method="largest")
-register("Sub_KNN", _sub(d.knn), width=50, k=10, method="largest")
+register("KNN", lambda s, **p: d.knn(d.channel_points(s), **p), channels=True, k=10, method="largest", metric="euclidean")
+register("Sub_KNN", _sub(d.knn), width=50, k=10, method="largest", metric="euclidean")
 register_model("KMeansAD_U", m.centre_distance, _scaled_windows, reverse_windowing, width=50, clusters=20, seed=2024, pool=m.POOL)
 register_model("KMeansAD", m.centre_distance, _scaled_windows, reverse_windowing, width=50, clusters=10, seed=2024, pool=m.POOL)
 register("COPOD", lambda s: d.copod(d.channel_values(zscore_rows(s, "features"))), channels=True)

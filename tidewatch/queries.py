@@ -19,7 +19,7 @@ from tidewatch.operators import measures as m
 from tidewatch.operators import period as pe
 from tidewatch.operators import seasons
 from tidewatch.operators import segments as sg
-from tidewatch.plans import bench, fitted
+from tidewatch.plans import bench, fitted, sql
 from tidewatch.plans.registry import REGISTRY, detect
 from tidewatch.sources import series as s
 from tidewatch.sources.lineage import materialise, scratch
@@ -433,6 +433,12 @@ def range_auc(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(m.range_auc(deviations(spark, sf), 24), "range_auc_roc", "range_auc_pr")
 
 
+@query("range_auc_share")
+def range_auc_share(spark: SparkSession, sf: str) -> DataFrame:
+    """Areas with buffers of a fifth of each run; tests hold them against a plain version."""
+    return rounded(m.range_auc_share(deviations(spark, sf)), "range_auc_roc", "range_auc_pr")
+
+
 PRUNS = PRED + """, hit AS (SELECT series_id, idx, pred, idx - row_number() OVER (PARTITION BY series_id ORDER BY idx) AS g FROM pr WHERE label = 1), runs AS (SELECT series_id, g, min(idx) AS s, max(idx) AS e, max(pred) AS top, max(CASE WHEN idx = 0 THEN pred END) AS first FROM hit GROUP BY 1, 2),
     qs AS (SELECT series_id, g, min(idx) AS qs, max(idx) AS qe FROM (SELECT series_id, idx, idx - row_number() OVER (PARTITION BY series_id ORDER BY idx) AS g FROM pr WHERE pred = 1) GROUP BY 1, 2),
     t AS (SELECT series_id, sum(label) AS p, sum(pred) AS pp, sum(label * pred) AS tp, max(idx) AS last FROM pr GROUP BY 1)"""
@@ -885,6 +891,27 @@ def registry_cover(spark: SparkSession, sf: str) -> DataFrame:
     return names.join(done, "detector", "left").fillna(0, ["series", "points"])
 
 
+# From SQL
+
+
+@query("sql_segments", RUNS + " SELECT * FROM runs")
+def sql_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs of labels by a table function."""
+    sql.register_functions(spark)
+    s.event_series(spark, sf).createOrReplaceTempView("series")
+    return spark.sql("SELECT series_id, seg_id, s, e FROM anomaly_segments(TABLE(SELECT series_id, idx, label FROM series) PARTITION BY series_id ORDER BY idx)")
+
+
+@query("sql_measures", """sc AS (SELECT u.series_id, u.idx, u.label, coalesce(pow(u.value - b.value, 2), 0) AS score FROM ts_u u LEFT JOIN ts_u b ON b.series_id = u.series_id AND b.idx = u.idx - 24),
+    st AS (SELECT series_id, score, count(*) AS n0, sum(label) AS p0 FROM sc GROUP BY 1, 2), c AS (SELECT *, sum(n0) OVER o AS nc, sum(p0) OVER o AS pc, sum(n0) OVER (PARTITION BY series_id) AS n, sum(p0) OVER (PARTITION BY series_id) AS p FROM st WINDOW o AS (PARTITION BY series_id ORDER BY score DESC))
+    SELECT series_id, round(sum((n0 - p0) * (pc - p0 / 2)) / max(p * (n - p)), 6) AS auc_roc, round(sum(p0::DOUBLE / p * pc / nc), 6) AS auc_pr, round(sum((n0 - p0) * (pc - p0 / 2)) / max(p * (n - p)), 6) AS by_aggregate FROM c WHERE p > 0 GROUP BY 1""")
+def sql_measures(spark: SparkSession, sf: str) -> DataFrame:
+    """Measures of a detector by its view, and by an aggregate over the view of its scores."""
+    sql.publish(spark, s.event_series(spark, sf), {"Seasonal": {}})
+    return spark.sql("""SELECT m.series_id, round(m.auc_roc, 6) AS auc_roc, round(m.auc_pr, 6) AS auc_pr, round(a.area, 6) AS by_aggregate
+        FROM measures_seasonal m JOIN (SELECT series_id, auc_roc(score, label) AS area FROM scores_seasonal GROUP BY series_id) a ON a.series_id = m.series_id""")
+
+
 # Models and scores that are kept
 
 
