@@ -7,6 +7,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.operators.ranks import at_or_below
 from tidewatch.operators.segments import bucket
 
 
@@ -146,6 +147,23 @@ def down_sample(wins: DataFrame, every: int) -> DataFrame:
     return wins.withColumn("window", F.filter("window", lambda v, i: i % every == 0))
 
 
-def bagging(series: DataFrame, share: float, seed: int, replace: bool = False) -> DataFrame:
-    """A random sample of the points."""
-    return series.sample(withReplacement=replace, fraction=share, seed=seed)
+def bagging(series: DataFrame, k: int, seed: int, replace: bool = False) -> DataFrame:
+    """A sample of k points of each series (all of a shorter one, unless ``replace``), the same for the same seed, however the table is cut.
+
+    Without ``replace`` these are the points whose index has the least hashes; with it k indices are drawn by hashes of
+    0 to k - 1, and a point comes as often as it is drawn.
+    """
+    if not replace:
+        hashed = series.withColumn("_hash", F.xxhash64("series_id", "idx", F.lit(seed)))
+        least = at_or_below(hashed, ["series_id"], "_hash").filter(F.col("below") <= k).select("series_id", "_hash")
+        return hashed.join(least, ["series_id", "_hash"]).select(series.columns)
+    drawn = series.groupBy("series_id").agg(F.count("*").alias("_n")).withColumn("_draw", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    drawn = drawn.select("series_id", F.pmod(F.xxhash64("series_id", "_draw", F.lit(seed)), "_n").alias("idx"))
+    return drawn.join(series, ["series_id", "idx"]).select(series.columns)
+
+
+def split_values(values: DataFrame, seed: int) -> DataFrame:
+    """series_id, lag and split: a value between the least and the greatest of each column (rows series_id, idx, lag, value), by a hash of the column and the seed."""
+    ends = values.groupBy("series_id", "lag").agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
+    share = F.pmod(F.xxhash64("series_id", "lag", F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
+    return ends.select("series_id", "lag", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * share).alias("split"))

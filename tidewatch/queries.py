@@ -19,6 +19,7 @@ from tidewatch.operators import measures as m
 from tidewatch.operators import period as pe
 from tidewatch.operators import seasons
 from tidewatch.operators import segments as sg
+from tidewatch.operators import sketches as sk
 from tidewatch.plans import bench, fitted, sql
 from tidewatch.plans.registry import REGISTRY, detect
 from tidewatch.sources import series as s
@@ -623,7 +624,7 @@ for _name, _params in {
 for _name in ("HBOS", "OCSVM", "MCD", "CBLOF", "EIF", "RobustPCA"):
     _detector(_name, f"detect_{_name.lower()}", s.shipment_series)
 #: Detectors whose cost is linear in the points also score the events, which grow with the tables.
-for _name, _params in {"IForest": {"width": 16, "trees": 25}, "PCA": {"width": 16}, "KMeansAD": {"width": 16}, "Sub_MCD": {}, "LinearForecast": {"width": 16}, "FITS": {"width": 16}, "Seasonal": {}, "POLY": {"width": 64}}.items():
+for _name, _params in {"IForest": {"width": 16}, "PCA": {"width": 16}, "KMeansAD": {"width": 16}, "Sub_MCD": {}, "LinearForecast": {"width": 16}, "FITS": {"width": 16}, "Seasonal": {}, "POLY": {"width": 64}}.items():
     _detector(_name, f"events_{_name.lower()}", s.event_series, **_params)
 
 
@@ -891,6 +892,16 @@ def registry_cover(spark: SparkSession, sf: str) -> DataFrame:
     return names.join(done, "detector", "left").fillna(0, ["series", "points"])
 
 
+@query("sketch_sizes", "SELECT event_type AS series_id, CAST(ts AS DATE) AS day, count(*) AS n, true AS close FROM events GROUP BY 1, 2")
+def sketch_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    """How many values the sketch of each day holds, and whether its median is one of ranks 40 to 60 in a hundred."""
+    rows = s.event_series(spark, sf).select("series_id", F.to_date("ts").alias("day"), F.col("value").alias("score"))
+    days = sk.daily(rows, F.col("day")).withColumn("median", F.kll_sketch_get_quantile_double("sketch", F.lit(0.5)))
+    ranks = rows.join(days.select("series_id", "day", "median"), ["series_id", "day"]).groupBy("series_id", "day").agg(F.count("*").alias("n"), F.sum((F.col("score") < F.col("median")).cast("int")).alias("under"), F.sum((F.col("score") <= F.col("median")).cast("int")).alias("upto"))
+    close = (F.col("under") <= 0.6 * F.col("n")) & (F.col("upto") >= 0.4 * F.col("n"))
+    return ranks.select("series_id", "day", "n", close.alias("close"))
+
+
 # From SQL
 
 
