@@ -495,7 +495,10 @@ def evaluate_3sigma(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(m.evaluate_one_threshold(scored(spark, sf)), "auc_roc", "precision", "recall", "f1", "pa_f1", "precision_at_n", *RANGE_FIGURES)
 
 
-@query("confidence")
+@query("confidence", SCORED + """, r AS (SELECT series_id, idx, score, count(*) OVER (PARTITION BY series_id ORDER BY score RANGE UNBOUNDED PRECEDING) AS rank, count(*) OVER (PARTITION BY series_id) AS n FROM x),
+    lim AS (SELECT series_id, quantile_cont(score, 0.9) AS top FROM x GROUP BY 1), ch AS (SELECT DISTINCT rank, n, (1 + rank)::DOUBLE / (2 + n) AS p FROM r),
+    k AS (SELECT rank, n, p, unnest(range(n - floor(n * 0.1::DOUBLE)::BIGINT + 1, n + 1)) AS k FROM ch), t AS (SELECT rank, n, least(sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(p) + (n - k) * ln(1 - p))), 1) AS c FROM k GROUP BY 1, 2)
+    SELECT series_id, idx, round(CASE WHEN score > top THEN coalesce(c, 0) ELSE 1 - coalesce(c, 0) END, 6) AS confidence FROM r JOIN lim USING (series_id) LEFT JOIN t USING (rank, n)""")
 def confidence(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(ft.confidence(scored(spark, sf)).select("series_id", "idx", "confidence"), "confidence")
 
