@@ -68,7 +68,7 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return np.stack([np.asarray(v, float) for v in column.to_pylist()]) if len(column) else np.zeros((0, 0))
 
 
-#: Distances of points by name: of all pairs at once, or None where a matrix product gives them; and of a pair, from its components.
+#: Distances of points by name.
 METRICS = ("euclidean", "manhattan")
 
 
