@@ -13,6 +13,7 @@ a null ``doc_id`` is kept as it is, other columns are ignored, and an empty tabl
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from collections.abc import Iterable, Iterator
 from functools import cache
@@ -32,23 +33,39 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Transducer:
-    def __init__(self, ranks: dict[bytes, int], limit: int = 50_000):
+    """Tokens are their ranks; a text from a boundary on is the node of the tokens' trie that it leads to, 0 being the root."""
+
+    def __init__(self, ranks: dict[bytes, int], limit: int = 150_000):
         self.ranks, self.limit = ranks, limit
-        # 1: a token, 2: the beginning of one, 3: both.
-        self.kinds = dict.fromkeys((t[:n] for t in ranks for n in range(1, len(t))), 2)
-        for t in ranks:
-            self.kinds[t] = self.kinds.get(t, 0) + 1
-        self.profiles: dict[bytes, tuple | None] = {}
+        self.tokens = {i: t for t, i in ranks.items()}
+        # Of each node: its children by node << 8 | byte, its token or -1, and whether longer tokens begin with it.
+        self.children: dict[int, int] = {}
+        self.token, self.longer = [-1], [True]
+        for t, i in ranks.items():
+            node = 0
+            for byte in t:
+                self.longer[node] = True
+                key = node << 8 | byte
+                if (node := self.children.get(key, -1)) < 0:
+                    node = self.children[key] = len(self.token)
+                    self.token.append(-1)
+                    self.longer.append(False)
+            self.token[node] = i
+        self.profiles: dict[int, tuple | None] = {}
+        #: By two tokens, whether the second can come after the first.
+        self.fits: dict[int, bool] = {}
         self._reset()
 
     def _reset(self) -> None:
-        # A state: (settled token, bytes behind it, [(open boundary, tokens from 0 to it)]).
-        self.states: list[tuple[bytes, bytes, list[tuple[int, tuple[bytes, ...]]]]] = [(b"", b"", [(0, ())])]
-        self.numbers: dict[tuple, int] = {}
-        self.moves: dict[int, tuple[tuple[int, ...], int]] = {}
-        self.finals: dict[int, tuple[int, ...]] = {}
-
-    def _profile(self, token: bytes) -> tuple[list[tuple[bytes, int]], list[tuple[bytes, int]]] | None:
+        # A state: nodes of the open boundaries, and for each the last settled token (-1 at first) and those from there to it.
+        # The path to the end of what was read is the last one; it tells states apart, as its tokens spell the bytes.
+        self.states: list[tuple[tuple[int, ...], tuple[tuple[int, ...], ...]]] = [((0,), ((-1,),))]
+        self.numbers: dict[tuple[int, ...], int] = {}
+        #: By state << 8 | byte the next state; its complement, if tokens are settled on the way.
+        self.moves: dict[int, int] = {}
+        self.emitted: dict[int, tuple[int, ...]] = {}
+
+    def _profile(self, token: int) -> tuple[list[tuple[bytes, int]], list[tuple[bytes, int]]] | None:
         """The part at the right end and at the left end while the token's own merges run, each with the rank that ends it.
 
         None if the merges don't give the token.
@@ -56,7 +73,8 @@ class Transducer:
         if token in self.profiles:
             return self.profiles[token]
         get, never, self.profiles[token] = self.ranks.get, 1 << 60, None
-        parts, right, left, now = [token[i : i + 1] for i in range(len(token))], [], [], -1
+        text = self.tokens[token]
+        parts, right, left, now = [text[i : i + 1] for i in range(len(text))], [], [], -1
         while len(parts) > 1:
             pairs = [get(x + y, never) for x, y in zip(parts, parts[1:])]
             rank = min(pairs)
@@ -68,12 +86,16 @@ class Transducer:
             if i == 0:
                 left.append((parts[0], now))
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        out = self.profiles[token] = (*right, (token, never)), (*left, (token, never))
+        out = self.profiles[token] = (*right, (text, never)), (*left, (text, never))
         return out
 
-    def _fit(self, a: bytes, b: bytes) -> bool:
-        """Whether the merges of both tokens side by side keep them apart: at no time is a pair across their border next."""
-        right, left, i, j = self.profiles[a][0], self.profiles[b][1], 0, 0
+    def _fit(self, a: int, b: int) -> bool:
+        """Whether b can come after a (-1: at the beginning): the merges of both side by side keep them apart, at no time is a pair across their border next."""
+        if (second := self._profile(b)) is None:
+            return False
+        if a < 0:
+            return True
+        right, left, i, j = self._profile(a)[0], second[1], 0, 0
         while True:
             x, until_x = right[i]
             y, until_y = left[j]
@@ -87,64 +109,83 @@ class Transducer:
             else:
                 j += 1
 
-    def _move(self, state: int, byte: int) -> tuple[tuple[int, ...], int]:
-        settled, behind, open_ = self.states[state]
-        text, path, still, kinds, profiles = behind + bytes((byte,)), None, [], self.kinds, self.profiles
-        for boundary in open_:  # in ascending order, so that the longest token comes first
-            token = text[boundary[0] :]
-            kind = kinds.get(token)
-            if kind is None:
+    def _move(self, state: int, byte: int) -> int:
+        nodes, paths = self.states[state]
+        children, tokens, longer, fits = self.children, self.token, self.longer, self.fits
+        path, still, befores = None, [], []
+        for node, before in zip(nodes, paths):  # boundaries in ascending order, so that the longest token comes first
+            if (node := children.get(node << 8 | byte)) is None:
                 continue
-            if path is None and kind & 1 and (profiles[token] if token in profiles else self._profile(token)) is not None:
-                before = boundary[1]
-                last = before[-1] if before else settled
-                if not last or self._fit(last, token):
+            if path is None and (token := tokens[node]) >= 0:
+                pair = before[-1] << 32 | token
+                if (fit := fits.get(pair)) is None:
+                    if len(fits) >= 2 * self.limit:
+                        fits.clear()
+                    fit = fits[pair] = self._fit(before[-1], token)
+                if fit:
                     path = (*before, token)
-            if kind & 2:
-                still.append(boundary)
+            if longer[node]:
+                still.append(node)
+                befores.append(before)
         if path is None:
             raise ValueError("the ranks lack a single byte or contradict each other")
         common = len(path)
-        for _, other in still:  # the earliest boundary has the shortest path, so this mostly ends at once
-            most, common = min(common, len(other)), 0
+        for other in befores:  # the earliest boundary has the shortest path, so this mostly ends at once
+            if common == 1:
+                break
+            most, common = min(common, len(other)), 1
             while common < most and path[common] == other[common]:
                 common += 1
-            if not common:
-                break
-        still.append((len(text), path))
-        if common:
-            settled, cutoff = path[common - 1], sum(map(len, path[:common]))
-            text = text[cutoff:]
-            still = [(j - cutoff, p[common:]) for j, p in still]
-        name = (settled, text)
-        if (number := self.numbers.get(name)) is None:
-            number = self.numbers[name] = len(self.states)
-            self.states.append((settled, text, still))
-        move = self.moves[state << 8 | byte] = tuple(self.ranks[t] for t in path[:common]), number
-        return move
+        still.append(0)
+        befores.append(path)
+        key = state << 8 | byte
+        if common > 1:
+            self.emitted[key] = path[1:common]
+            befores = [p[common - 1 :] for p in befores]
+            path = befores[-1]
+        if (number := self.numbers.get(path)) is None:
+            number = self.numbers[path] = len(self.states)
+            self.states.append((tuple(still), tuple(befores)))
+        if common > 1:
+            number = ~number
+        self.moves[key] = number
+        return number
 
     def encode_piece(self, piece: bytes) -> list[int]:
         if (whole := self.ranks.get(piece)) is not None:
             return [whole]
         if len(self.moves) > self.limit:
             self._reset()
-        state, out, moves = 0, [], self.moves
+        state, out, moves, limit = 0, [], self.moves, self.limit
         for byte in piece:
-            if (move := moves.get(state << 8 | byte)) is None:
-                if len(moves) > self.limit:  # in a long piece: on from the present state alone
+            key = state << 8 | byte
+            if (move := moves.get(key)) is None:
+                if len(moves) > limit:  # in a long piece: on from the present state alone
                     present = self.states[state]
                     self._reset()
                     state, moves = len(self.states), self.moves
                     self.states.append(present)
-                    self.numbers[present[:2]] = state
+                    self.numbers[present[1][-1]] = state
+                    key = state << 8 | byte
                 move = self._move(state, byte)
-            emitted, state = move
-            out += emitted
-        if (rest := self.finals.get(state)) is None:
-            rest = self.finals[state] = tuple(self.ranks[t] for t in self.states[state][2][-1][1])
-        out += rest
+            if move < 0:
+                out += self.emitted[key]
+                state = ~move
+            else:
+                state = move
+        out += self.states[state][1][-1][1:]
         return out
 
+    def encode_pieces(self, pieces: list[str]) -> list[list[int]]:
+        # States and ids hold no cycles, yet the collector would go through all that are kept again and again.
+        running = gc.isenabled()
+        gc.disable()
+        try:
+            return [self.encode_piece(p.encode("utf-8", "surrogatepass")) for p in pieces]
+        finally:
+            if running:
+                gc.enable()
+
 
 class Utf8Stream:
     """Incremental UTF-8: feed bytes in any portions, get the characters that are complete; a wrong byte gives U+FFFD."""
@@ -189,8 +230,7 @@ class Vocabulary:
 def codec(path: str) -> tuple[PieceCache, Vocabulary]:
     """One for each Python worker and file."""
     ranks = read_ranks(path)
-    machine = Transducer(ranks)
-    return PieceCache(lambda pieces: [machine.encode_piece(p.encode("utf-8", "surrogatepass")) for p in pieces]), Vocabulary(ranks)
+    return PieceCache(Transducer(ranks).encode_pieces), Vocabulary(ranks)
 
 
 #: Ids that are turned into text at once.
