@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidewatch.llm import fingerprints, langid, mixing, neardup, suffixes
+from tidewatch.llm import fingerprints, langid, mixing, neardup, queries, suffixes
 from tidewatch.llm.components import components
 
 ODD = [(1, None), (2, ""), (3, " \t\n"), (4, "one"), (4, "one"), (None, "one"), (None, None), (5, "é漢🙂" * 2_000), (6, "a b " * 30_000)]
@@ -202,6 +202,18 @@ def test_repeated_strings_of_small_table(spark, small_docs, small_texts):
     assert got == {i: (*w[:3], hashlib.sha256(w[3]).hexdigest()) for (i, _), w in zip(small_texts, want)}
 
 
+def test_repeated_strings_query_shows_what_is_left(spark, tmp_path):
+    """The digest, the counts and the remaining text, for a long passage of two documents, a cut inside a character, and a clean text."""
+    passage = "".join(random.Random(3).choices("abcdefgh ", k=500))
+    texts = ["before " + passage + " after", "é" + passage + "è", "nothing of it", None, "x" * 399 + "é" + "y" + "x" * 399 + "è" + "y"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = queries.op6_repeated_strings(spark, str(tmp_path))
+    assert rows.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"]
+    want = plain_repeats([(t or "").encode() for t in texts], 400)
+    assert {r.doc_id: tuple(r)[1:] for r in rows.collect()} == {i: (*w[:3], hashlib.sha256(w[3]).hexdigest(), w[3].decode("utf-8", "ignore")) for i, w in enumerate(want)}
+    assert want[0][1] == 500 and want[4][3] == "é".encode()[1:] + b"y" + "è".encode()[1:] + b"y"
+
+
 def test_repeated_strings_of_odd_rows(spark, documents):
     rows = suffixes.remove_repeats(documents([*ODD, (5, "b" * 500), (None, "c" * 300)])).collect()
     assert len(rows) == len(ODD) + 2
