@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.functions import arrays
+from tidewatch.functions import arrays, sums
 from tidewatch.operators import frames, sketches
 from tidewatch.plans import bench
 
@@ -62,3 +62,17 @@ def test_measures_are_appended_by_detector(spark, tmp_path):
     bench.write_measures(rows, path)
     bench.write_measures(rows.filter("detector = 'A'"), path)
     assert spark.read.parquet(path).groupBy("detector").count().orderBy("detector").collect() == [("A", 2), ("B", 1)]
+
+
+def test_means_of_equal_groups_are_equal(spark):
+    """Days of the same total have the same mean, here one that lies between two numbers of nine places."""
+    taxes = [0.01, 0.02, 0.03, 0.04, 0.05, 0.06, 0.07, 0.08] * 32
+    taxes[0] += 0.01
+    orders = {"up": sorted(taxes), "down": sorted(taxes, reverse=True), "apart": sorted(taxes[:-2]) + [0.0, 0.15]}
+    rows = spark.createDataFrame([(k, v) for k in orders for v in orders[k]], "day string, tax double").coalesce(1)
+    exact = sum(round(v * 100) for v in taxes) / (100 * len(taxes))
+    got = {r.day: (r.mean, r.places) for r in rows.groupBy("day").agg(sums.mean("tax").alias("mean")).withColumn("places", F.round("mean", 9)).collect()}
+    assert got == dict.fromkeys(orders, (exact, 0.045039063))
+    odd = spark.createDataFrame([("a", 1e300), ("a", 2.0), ("b", None), ("c", float("nan")), ("d", 1e-5), ("d", 3e-5), ("e", None), ("e", -0.5), ("f", 3e6)], "day string, tax double")
+    means = {r.day: r.mean for r in odd.groupBy("day").agg(sums.mean("tax").alias("mean")).collect()}
+    assert np.isnan(means.pop("c")) and means == {"a": pytest.approx(5e299), "b": None, "d": pytest.approx(2e-5), "e": -0.5, "f": 3e6}

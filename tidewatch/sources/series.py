@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewatch.functions import sums
 from tidewatch.operators.segments import runs
 
 #: The parts of a series' file name, in order.
@@ -63,7 +64,7 @@ def daily_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shipment_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One series of four channels: mean quantity, price, discount and tax of each day's line items."""
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    means = [F.avg(c) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")]
+    means = [sums.mean(c) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")]
     days = items.groupBy(F.col("l_shipdate").alias("ts")).agg(F.array(*means).alias("features"))
     rows = days.select(F.lit("shipments").alias("series_id"), "ts", "features", day_label("ts").alias("label"))
     return number(rows, ["series_id"], F.date_trunc("month", "ts"), ["ts"]).select("series_id", "idx", "ts", "features", "label")
