@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.functions import arrays, sums
-from tidewatch.operators import frames, sketches
+from tidewatch.operators import frames, measures, sketches
 from tidewatch.plans import bench
 
 
@@ -76,3 +76,18 @@ def test_means_of_equal_groups_are_equal(spark):
     odd = spark.createDataFrame([("a", 1e300), ("a", 2.0), ("b", None), ("c", float("nan")), ("d", 1e-5), ("d", 3e-5), ("e", None), ("e", -0.5), ("f", 3e6)], "day string, tax double")
     means = {r.day: r.mean for r in odd.groupBy("day").agg(sums.mean("tax").alias("mean")).collect()}
     assert np.isnan(means.pop("c")) and means == {"a": pytest.approx(5e299), "b": None, "d": pytest.approx(2e-5), "e": -0.5, "f": 3e6}
+
+
+def test_limits_do_not_depend_on_the_order_of_rows(spark):
+    """Limits are those of whole numbers, bit by bit, and equal scores pass none."""
+    parts = np.random.default_rng(3).exponential(5_000, 3_000).round().astype(int)
+    spread = 3_000 * int((parts * parts).sum()) - int(parts.sum()) ** 2
+    for order in (parts, parts[::-1], np.sort(parts)):
+        rows = spark.createDataFrame([(int(c) / 1e4,) for c in order], "v double").coalesce(1)
+        got = rows.agg(sums.mean("v"), sums.deviation("v"), sums.deviation("v", 1)).first()
+        assert tuple(got) == (int(parts.sum()) / 3e7, (spread / 9e6) ** 0.5 / 1e4, (spread / (3_000.0 * 2_999)) ** 0.5 / 1e4)
+    same = spark.createDataFrame([("a", i, 36.3207) for i in range(1_000)] + [("b", 0, 1.5)], "series_id string, idx long, score double")
+    assert {r.pred for r in measures.three_sigma(same).collect()} == {0}
+    odd = spark.createDataFrame([("a", 1e10), ("a", 1e10), ("b", None), ("d", 1e-5), ("d", 3e-5), ("e", 2.5), ("f", -200_000.0), ("f", 200_000.0)], "k string, v double")
+    got = {r.k: (r.p, r.s) for r in odd.groupBy("k").agg(sums.deviation("v").alias("p"), sums.deviation("v", 1).alias("s")).collect()}
+    assert got == {"a": (0, 0), "b": (None, None), "d": (pytest.approx(1e-5), pytest.approx(2**0.5 * 1e-5)), "e": (0, None), "f": (2e5, pytest.approx(2**0.5 * 2e5))}

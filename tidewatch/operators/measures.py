@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.functions import sums
 from tidewatch.operators.ranks import from_the_top
 from tidewatch.operators.segments import BUCKET, bucket, in_runs, merged, overlapping, runs, runs_over
 from tidewatch.sources.lineage import materialise
@@ -48,7 +49,7 @@ def f1_of_predictions(predicted: DataFrame) -> DataFrame:
 
 def three_sigma(scored: DataFrame) -> DataFrame:
     """Add pred: scores over the mean plus three deviations."""
-    limit = scored.groupBy("series_id").agg((F.avg("score") + 3 * F.stddev_pop("score")).alias("_limit"))
+    limit = scored.groupBy("series_id").agg((sums.mean("score") + 3 * sums.deviation("score")).alias("_limit"))
     return scored.join(limit, "series_id").withColumn("pred", (F.col("score") > F.col("_limit")).cast("int")).drop("_limit")
 
 
