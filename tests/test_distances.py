@@ -144,3 +144,24 @@ def test_confidence_at_any_size(spark):
         want = sum(comb(n, k) * x**k * (1 - x) ** (n - k) for k in range(least, n + 1))
         assert features.beta_share(np.array([x]), least, n - least + 1)[0] == pytest.approx(want, rel=1e-9)
     assert features.beta_share(np.array([0.9, 0.95]), 9e5, 1e5 + 1)[1] == pytest.approx(1)
+
+
+def test_confidence_of_millions(spark):
+    """Only ranks near the limit are worked out, in some hundred steps, to twelve digits; sums of logarithms by fsum are the plain version."""
+    from math import exp, fsum, log, log1p
+    from time import process_time
+
+    n = 1_200_000
+    least, began = n - n // 10 + 1, process_time()
+    got = features.chance_of_more(np.arange(1.0, n + 1), n, 0.1)
+    assert process_time() - began < 20 and got[0] == 0 and got[-1] == 1 and (np.diff(got) > -1e-12).all()
+    for rank in (least - 300, least, least + 200):
+        x, ratio, total, j = (1 + rank) / (2 + n), 1.0, [], least
+        while ratio > 1e-20:  # chances from the limit up, by the first
+            total.append(ratio)
+            ratio, j = ratio * (n - j) / (j + 1) * x / (1 - x), j + 1
+        first = fsum([log(v) for v in range(least + 1, n + 1)] + [-log(v) for v in range(1, n - least + 1)] + [least * log(x), (n - least) * log1p(-x)])
+        assert got[rank - 1] == pytest.approx(exp(first) * fsum(total), abs=1e-10)
+    rows = spark.createDataFrame([(s, i, float(i % 4)) for s in "ab" for i in range(200)], "series_id string, idx long, score double")
+    out = {(r.series_id, r.score): r.confidence for r in features.confidence(rows).collect()}
+    assert len(out) == 8 and features.confidence(rows).columns == ["series_id", "idx", "score", "confidence"] and features.confidence(rows).count() == 400
