@@ -7,7 +7,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from tidewatch.operators import distances, features, seasons
+from tidewatch.operators import detectors, distances, features, seasons
 from tidewatch.plans import bench
 
 
@@ -165,3 +165,25 @@ def test_confidence_of_millions(spark):
     rows = spark.createDataFrame([(s, i, float(i % 4)) for s in "ab" for i in range(200)], "series_id string, idx long, score double")
     out = {(r.series_id, r.score): r.confidence for r in features.confidence(rows).collect()}
     assert len(out) == 8 and features.confidence(rows).columns == ["series_id", "idx", "score", "confidence"] and features.confidence(rows).count() == 400
+
+
+@pytest.mark.parametrize("metric, apart, past", [("euclidean", 0, False), ("euclidean", 3, False), ("manhattan", 0, True)])
+def test_points_are_written_once_for_all_blocks(spark, monkeypatch, metric, apart, past):
+    """Nearest points over many blocks, with copies, ties and far-off values, from blocks that hold each point once."""
+    rng, written = np.random.default_rng(0), []
+    x = np.vstack([rng.integers(0, 3, size=(80, 4)).astype(float), rng.normal(size=(40, 4)) + 1_000, np.ones((40, 4))])
+    monkeypatch.setattr(detectors, "BLOCK", 50)
+    monkeypatch.setattr(detectors, "HELD", 3_000)
+    cut = detectors.materialise
+    monkeypatch.setattr(detectors, "materialise", lambda df: written.append(cut(df)) or written[-1])
+    rows = spark.createDataFrame([(s, i, v.tolist()) for s in "ab" for i, v in enumerate(x)], "series_id string, idx long, v array<double>")
+    got = {}
+    for r in detectors.neighbours(rows, 4, apart, past, metric).orderBy("idx", "rank").collect():
+        got.setdefault((r.series_id, r.idx), []).append((r.other, pytest.approx(r.dist)))
+    far = lambda i, j: float(((x[i] - x[j]) ** 2).sum() ** 0.5 if metric == "euclidean" else np.abs(x[i] - x[j]).sum())
+    for i in range(160):
+        want = [(j, d) for d, j in sorted((far(i, j), j) for j in range(160) if abs(i - j) > apart and i != j and (j < i or not past))[:4]]
+        assert got.get(("a", i), []) == got.get(("b", i), []) == want
+    (blocks,) = (w.collect() for w in written)
+    assert len(blocks) == 8 and sum(b.n for b in blocks) == 320 and sum(len(b.v) for b in blocks) == 320 * 32
+    assert (sum(b.m for b in blocks) < 320) == (apart == 0 and not past)

@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from math import ceil
 
 import numpy as np
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from tidewatch.operators.frames import edge_pad, min_fill_pad, minmax, ratio, windows, zscore, zscore_lags
 from tidewatch.operators.ranks import at_or_below
 from tidewatch.operators.segments import overlapping
+from tidewatch.sources.lineage import materialise
 
 
 def window_values(series: DataFrame, width: int) -> DataFrame:
@@ -56,69 +58,133 @@ def copod(values: DataFrame) -> DataFrame:
     return sides.groupBy("series_id", "idx").agg(F.sum(F.greatest(named, (F.col("l") + F.col("r")) / 2)).alias("score"))
 
 
-def _squared(a: str, b: str) -> Column:
+def _squared(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
 
 
-#: Points in a block of those that are compared with each other at once.
-BLOCK = 1_024
-
-
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    return np.stack([np.asarray(v, float) for v in column.to_pylist()]) if len(column) else np.zeros((0, 0))
-
-
+#: Points in a block; a block meets another in one step of a task.
+BLOCK = 4_096
+#: Bytes of the blocks that a task holds while others pass by.
+HELD = 64 << 20
 #: Distances of points by name.
 METRICS = ("euclidean", "manhattan")
 
 
-def _nearest_of(a: pa.Table, b: pa.Table, k: int, apart: int, past: bool, metric: str = "euclidean") -> pa.Table:
-    """The k nearest of b for each point of a: by a matrix product first, and those that it can't tell from the k-th again value by value."""
-    x, y, own, other = _matrix(a["v"]), _matrix(b["u"]), a["idx"].to_numpy(), b["other"].to_numpy()
-    rows = []
-    for i in range(0, len(own), 256):
-        part, at = x[i : i + 256], own[i : i + 256, None]
-        left, right = (part * part).sum(axis=1), (y * y).sum(axis=1)
-        near = left[:, None] + right - 2 * part @ y.T if metric == "euclidean" else sum((np.abs(part[:, d, None] - y[None, :, d]) for d in range(x.shape[1])), np.zeros((len(part), len(y))))
-        allowed = (np.abs(at - other) > apart) & ((other < at) if past else (other != at))
-        near[~allowed] = np.inf
-        few = min(k, near.shape[1])
-        # What rounding may add, for vectors of these lengths.
-        slack = 1e-14 * (x.shape[1] + 8) * (left.max(initial=0) + right.max(initial=0))
-        close = (near <= np.partition(near, few - 1, axis=1)[:, few - 1 :][:, :1] + 2 * slack) & allowed
-        r, c = np.nonzero(close)
+def _pack(rows: pa.Table, k: int, copies: bool) -> pa.Table:
+    """A block as one row.  First come its ``m`` candidates: without ``copies`` those that are not behind k + 1 equal points of smaller index, as no point needs more of them."""
+    idx = rows["idx"].to_numpy()
+    order = np.argsort(idx, kind="stable")
+    x, idx = np.stack([np.asarray(v, float) for v in rows["v"].to_pylist()])[order], idx[order]
+    first = np.ones(len(x), bool)
+    if not copies:
+        _, of = np.unique(x, axis=0, return_inverse=True)
+        by = np.argsort(of.ravel(), kind="stable")
+        first[by] = np.arange(len(x)) - np.searchsorted(of.ravel()[by], of.ravel()[by]) <= k
+    order = np.argsort(~first, kind="stable")
+    return pa.table({"series_id": pa.array([rows["series_id"][0].as_py()], pa.string()), "b": rows["b"][:1], "n": pa.array([len(x)]), "m": pa.array([int(first.sum())]), "at": pa.array([idx[order].astype(np.int64).tobytes()], pa.binary()), "v": pa.array([x[order].tobytes()], pa.binary())})
+
+
+class _Best:
+    """The k nearest so far of each point of a block."""
+
+    def __init__(self, own: np.ndarray, x: np.ndarray, k: int, apart: int, past: bool, metric: str):
+        self.own, self.x, self.k, self.apart, self.past, self.metric = own, x, k, apart, past, metric
+        self.total, self.other = np.full((len(own), k), np.inf), np.full((len(own), k), np.iinfo(np.int64).max)
+        self.shift = x.mean(axis=0)
+        if metric != "euclidean" or not np.isfinite(self.shift).all():
+            self.shift = np.zeros(x.shape[1])
+
+    def _allowed(self, at: np.ndarray, other: np.ndarray) -> np.ndarray:
+        return (np.abs(at - other) > self.apart) & ((other < at) if self.past else (other != at))
+
+    def meet(self, other: np.ndarray, y: np.ndarray) -> None:
+        """Another block: those that a product of matrices can't tell from the k-th are worked out again value by value."""
+        squared = self.metric == "euclidean"
+        a, b = self.x - self.shift, y - self.shift
+        left, right = ((a * a).sum(axis=1), (b * b).sum(axis=1)) if squared else (np.abs(a).sum(axis=1), np.abs(b).sum(axis=1))
+        most = max(left[np.isfinite(left)].max(initial=0), right[np.isfinite(right)].max(initial=0))
+        # Single precision where its range does; slack is what rounding may add, for vectors of these lengths.
+        single = squared and 1e-20 < most < 1e30 and bool(np.isfinite(left).all() and np.isfinite(right).all())
+        slack = (2.4e-7 if single else 1e-14) * (a.shape[1] + 8) * 2 * most
+        kind = np.float32 if single else float
+        turned, right = np.ascontiguousarray((-2 * b).astype(kind).T), right.astype(kind)
+        for i in range(0, len(self.own), 256):
+            rows = slice(i, i + 256)
+            if squared:
+                near = a[rows].astype(kind) @ turned
+                near += right
+            else:
+                near = sum((np.abs(a[rows, d, None] - b[None, :, d]) for d in range(a.shape[1])), np.zeros((len(a[rows]), len(b))))
+            limit = self.total[rows, -1] - (left[rows] if squared else 0)
+            open_ = np.flatnonzero(np.isinf(self.total[rows, -1]))
+            if len(open_) and near.shape[1] >= self.k:  # fewer than k so far: no more than the k-th of this block
+                some = np.where(self._allowed(self.own[rows][open_, None], other), near[open_], np.inf)
+                limit[open_] = np.partition(some, self.k - 1, axis=1)[:, self.k - 1] + slack
+            r, c = np.nonzero(near <= (limit + slack).astype(kind)[:, None])
+            ok = self._allowed(self.own[rows][r], other[c])
+            if ok.any():
+                self._add(i + r[ok], c[ok], other, y)
+
+    def _add(self, r: np.ndarray, c: np.ndarray, other: np.ndarray, y: np.ndarray) -> None:
         total = np.zeros(len(r))
-        for d in range(x.shape[1]):  # in order, as a plain sum over the array would
-            step = part[r, d] - y[c, d]
-            total += step * step if metric == "euclidean" else np.abs(step)
-        order = np.lexsort((other[c], total, r))
-        r, c, total = r[order], c[order], total[order]
-        first = np.arange(len(r)) - np.searchsorted(r, r) < k
-        rows.append((own[i + r[first]], other[c[first]], np.sqrt(total[first]) if metric == "euclidean" else total[first]))
-    idx, found, dist = (np.concatenate(z) for z in zip(*rows)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-    series = pa.array(np.repeat(a["series_id"][0].as_py() if a.num_rows else "", len(idx)).tolist(), pa.string())
-    return pa.table({"series_id": series, "idx": idx, "other": found, "dist": dist})
+        for d in range(y.shape[1]):  # in order, as a plain sum over the array would
+            step = self.x[r, d] - y[c, d]
+            total += step * step if self.metric == "euclidean" else np.abs(step)
+        own = np.unique(r)
+        rows, totals, others = np.concatenate([r, np.repeat(own, self.k)]), np.concatenate([total, self.total[own].ravel()]), np.concatenate([other[c], self.other[own].ravel()])
+        order = np.lexsort((others, totals, rows))
+        rows, totals, others = rows[order], totals[order], others[order]
+        first = np.arange(len(rows)) - np.searchsorted(rows, rows) < self.k
+        self.total[own], self.other[own] = totals[first].reshape(-1, self.k), others[first].reshape(-1, self.k)
+
+    def table(self, series: str) -> pa.RecordBatch:
+        r, c = np.nonzero(self.other != np.iinfo(np.int64).max)
+        dist = self.total[r, c]
+        return pa.RecordBatch.from_pydict({"series_id": pa.array([series] * len(r), pa.string()), "idx": self.own[r], "other": self.other[r, c], "dist": np.sqrt(dist) if self.metric == "euclidean" else dist})
 
 
 def neighbours(points: DataFrame, k: int, apart: int = 0, past: bool = False, metric: str = "euclidean") -> DataFrame:
     """series_id, idx, rank, other and dist of the k nearest points (array column v) of the series; ties to the smaller index.
 
-    Points come in blocks of about BLOCK; two blocks are compared in one task by a matrix product, which gives the k
-    nearest of the one block for each point of the other, so the shuffle holds k rows for each point and block, not one
-    for each pair.  ``apart``: others must be further away in idx; ``past``: only earlier ones.
+    Points come in blocks of about BLOCK, one row each, written to the checkpoint folder once.  A task holds some of them
+    (HELD bytes) and reads others one after the other; blocks are read as often as needed but written no more than that,
+    so disk grows with the points and with k rows for each point and each HELD bytes, while the work is that of all pairs.
+    ``apart``: others must be further away in idx; ``past``: only earlier ones.
     """
     if metric not in METRICS:
         raise ValueError(f"no metric {metric!r}: {', '.join(METRICS)}")
+    spark = points.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sizes = points.groupBy("series_id").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks"))
-    dealt = points.select("series_id", F.col("idx").cast("long").alias("idx"), "v").join(sizes, "series_id").withColumn("_b", F.pmod(F.xxhash64("idx"), F.col("_blocks")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+    dealt = points.select("series_id", F.col("idx").cast("long").alias("idx"), "v").join(sizes, "series_id").select("series_id", F.pmod(F.xxhash64("idx"), F.col("_blocks")).cast("int").alias("b"), "idx", "v")
+    whole = apart > 0 or past
     # By a number, so that small tables aren't put in one task: it is the computation that counts.
-    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    left = dealt.select("series_id", "idx", "v", F.col("_b").alias("i"), every.alias("j")).repartition(tasks, "series_id", "i", "j").groupBy("series_id", "i", "j")
-    right = dealt.select(F.col("series_id").alias("_series"), F.col("idx").alias("other"), F.col("v").alias("u"), every.alias("_i"), F.col("_b").alias("_j")).repartition(tasks, "_series", "_i", "_j").groupBy("_series", "_i", "_j")
-    best = left.cogroup(right).applyInArrow(lambda a, b: _nearest_of(a, b, k, apart, past, metric), "series_id string, idx long, other long, dist double")
+    packed = dealt.repartition(tasks, "series_id", "b").groupBy("series_id", "b").applyInArrow(lambda t: _pack(t, k, whole), "series_id string, b int, n long, m long, at binary, v binary")
+    blocks = materialise(packed)
+    count, size = blocks.agg(F.count("*"), F.coalesce(F.sum(F.length("v")), F.lit(0))).first()
+    held = max(min(count, 2), ceil(size / HELD), 1)
+    passing = max(1, min(count, ceil(4 * tasks / held)))
+    other = blocks.select(F.col("series_id").alias("_series"), F.col("m").alias("_m"), F.col("at").alias("_at"), F.col("n").alias("_n"), F.col("v").alias("_v")).repartition(held)
+    pairs = blocks.drop("m").repartition(passing).join(other.hint("shuffle_replicate_nl"), F.col("series_id") == F.col("_series")).drop("_series")
+
+    def nearest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, at = None, None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                here = (batch["series_id"][i].as_py(), batch["b"][i].as_py())
+                if here != at:
+                    if best:
+                        yield best.table(at[0])
+                    n, at = batch["n"][i].as_py(), here
+                    best = _Best(np.frombuffer(batch["at"][i].as_buffer(), np.int64), np.frombuffer(batch["v"][i].as_buffer()).reshape(n, -1).copy(), k, apart, past, metric)
+                n, m = batch["_n"][i].as_py(), batch["_m"][i].as_py()
+                best.meet(np.frombuffer(batch["_at"][i].as_buffer(), np.int64)[:m], np.frombuffer(batch["_v"][i].as_buffer()).reshape(n, -1)[:m])
+        if best:
+            yield best.table(at[0])
+
+    found = pairs.mapInArrow(nearest, "series_id string, idx long, other long, dist double")
     order = Window.partitionBy("series_id", "idx").orderBy("dist", "other")
-    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("series_id", "idx", "rank", "other", "dist")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("series_id", "idx", "rank", "other", "dist")
 
 
 def knn(points: DataFrame, k: int = 5, method: str = "largest", metric: str = "euclidean") -> DataFrame:
@@ -128,7 +194,7 @@ def knn(points: DataFrame, k: int = 5, method: str = "largest", metric: str = "e
 
 def lof(points: DataFrame, k: int = 20, metric: str = "euclidean") -> DataFrame:
     """Local outlier factor: the neighbours' local reachability density over the point's own."""
-    near = neighbours(points, k, metric=metric)
+    near = materialise(neighbours(points, k, metric=metric))
     reach = near.groupBy("series_id", F.col("idx").alias("other")).agg(F.max("dist").alias("k_dist"))
     density = near.join(reach, ["series_id", "other"]).groupBy("series_id", "idx").agg((1 / (F.avg(F.greatest("k_dist", "dist")) + 1e-10)).alias("lrd"))
     theirs = near.join(density.select("series_id", F.col("idx").alias("other"), F.col("lrd").alias("their_lrd")), ["series_id", "other"])
@@ -137,13 +203,13 @@ def lof(points: DataFrame, k: int = 20, metric: str = "euclidean") -> DataFrame:
 
 def cof(points: DataFrame, k: int = 10) -> DataFrame:
     """Connectivity-based outlier factor: the average chaining distance over that of the neighbours."""
-    near = neighbours(points, k)
+    near = materialise(neighbours(points, k))
     vectors = points.select("series_id", F.col("idx").alias("other"), F.col("v").alias("u"))
-    at = near.join(vectors, ["series_id", "other"])
-    one, two = at.select("series_id", "idx", F.col("rank").alias("h"), F.col("u").alias("a"), "dist"), at.select("series_id", "idx", "rank", F.col("u").alias("b"))
-    between = one.join(two, ["series_id", "idx"]).filter("rank < h").groupBy("series_id", "idx", "h").agg(F.min(F.sqrt(_squared("a", "b"))).alias("nearest"))
-    cost = near.withColumnRenamed("rank", "h").join(between, ["series_id", "idx", "h"], "left").withColumn("cost", F.least("dist", F.coalesce("nearest", F.col("dist"))))
-    chain = cost.groupBy("series_id", "idx").agg(F.sum(F.lit(2.0) * (k + 1 - F.col("h")) / ((k + 1) * k) * F.col("cost")).alias("ac"))
+    at = near.join(vectors, ["series_id", "other"]).groupBy("series_id", "idx").agg(F.sort_array(F.collect_list(F.struct("rank", "dist", "u"))).alias("at"))
+    # The h-th neighbour costs its distance, or that to one of the nearer neighbours if less.
+    cost = lambda p, h: F.least(p["dist"], F.coalesce(F.array_min(F.transform(F.slice("at", F.lit(1), h), lambda q: F.sqrt(_squared(q["u"], p["u"])))), p["dist"]))
+    costs = F.transform("at", lambda p, h: F.lit(2.0) * (k - h) / ((k + 1) * k) * cost(p, h))
+    chain = at.select("series_id", "idx", F.aggregate(costs, F.lit(0.0), lambda x, y: x + y).alias("ac"))
     sums = near.join(chain.select("series_id", F.col("idx").alias("other"), F.col("ac").alias("their")), ["series_id", "other"]).groupBy("series_id", "idx").agg(F.sum("their").alias("s"))
     return chain.join(sums, ["series_id", "idx"]).select("series_id", "idx", ratio(F.col("ac") * k, F.col("s")).alias("score"))
 
