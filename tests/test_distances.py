@@ -187,3 +187,16 @@ def test_points_are_written_once_for_all_blocks(spark, monkeypatch, metric, apar
     (blocks,) = (w.collect() for w in written)
     assert len(blocks) == 8 and sum(b.n for b in blocks) == 320 and sum(len(b.v) for b in blocks) == 320 * 32
     assert (sum(b.m for b in blocks) < 320) == (apart == 0 and not past)
+
+
+def test_connectivity_factor_from_neighbours_written_once(spark, monkeypatch):
+    x, k, written = np.random.default_rng(5).normal(size=(60, 3)).round(1), 5, []
+    cut = detectors.materialise
+    monkeypatch.setattr(detectors, "materialise", lambda df: written.append(1) or cut(df))
+    rows = spark.createDataFrame([("a", i, v.tolist()) for i, v in enumerate(x)], "series_id string, idx long, v array<double>")
+    far = lambda i, j: float(((x[i] - x[j]) ** 2).sum() ** 0.5)
+    near = [[j for _, j in sorted((far(i, j), j) for j in range(60) if j != i)[:k]] for i in range(60)]
+    cost = [sum(2 * (k - h) / ((k + 1) * k) * min(far(i, j), *(far(e, j) for e in near[i][:h])) if h else 2 / (k + 1) * far(i, j) for h, j in enumerate(near[i])) for i in range(60)]
+    got = {r.idx: r.score for r in detectors.cof(rows, k).collect()}
+    assert got == {i: pytest.approx(k * cost[i] / sum(cost[j] for j in near[i])) for i in range(60)} and len(written) == 2
+    assert detectors.lof(rows, k).count() == 60 and len(written) == 4
